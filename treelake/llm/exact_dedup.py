@@ -41,13 +41,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = docs.count()
     large = {r["key"]: r["n"] for r in rows.groupBy("key").agg(F.count("*").alias("n"))
              .where(F.col("n") * parts > max(total, 1) + parts).collect()}
-    salt = F.lit(0)
+    rows = rows.withColumn("head", F.substring("norm", 1, _PREFIX))
+    by = ("head", "key")
     if large:
         split = F.create_map(*[F.lit(x).cast("long") for k, n in large.items() for x in (k, -(-n * parts // total))])
         salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.element_at(split, F.col("key"))), F.lit(0))
-    rows = rows.withColumn("head", F.substring("norm", 1, _PREFIX)).withColumn("salt", salt.cast("int"))
-
-    by = ("head", "key", "salt")
+        rows = rows.withColumn("salt", salt.cast("int"))
+        by = (*by, "salt")
     order = Window.partitionBy(*by).orderBy("norm", F.col("doc_id").asc_nulls_last())
     dealt = rows.repartitionByRange(*by)
     first = ~F.lag("norm").over(order).eqNullSafe(F.col("norm"))
