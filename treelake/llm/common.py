@@ -74,7 +74,7 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         linked = both.join(least, "u").where("v > u")
-        return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     least = e.groupBy("u").agg(F.min("v").alias("m"))
     linked = e.join(least, "u")
     own = least.select("u", F.col("m").alias("v"))

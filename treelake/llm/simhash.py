@@ -11,9 +11,9 @@ segments of the chain serve as the bucket key, and each later chain length prune
 pairs before the full Hamming check, which is the chain of length ``m``.
 
 Buckets are never expanded into all their pairs. First every fingerprint meets only the least one
-of each of its buckets (a count and a minimum, aggregated before the shuffle). The components of
-those links settle almost every large bucket. Only buckets that still hold several components are
-joined with themselves, and only across components, which finds every link that is still missing.
+of each of its buckets (a count and a minimum, aggregated before the shuffle). Labels spread over those
+links settle almost every large bucket. Only buckets that still hold several labels are joined
+with themselves, and only across labels, which finds every link that is still missing.
 """
 
 from __future__ import annotations
@@ -121,12 +121,15 @@ def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS, segments: i
             .where("n > 1").drop("n"))
     shared = cut(keyed.join(hubs, ["kind", "bits"]))
     links = shared.where("fp <> hub").where(ring.linked(F.col("kind"), F.col("fp"), F.col("hub")))
-    links = cut(links.select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct())
-    first = components(links)
-
-    root = F.coalesce("root", "fp")
-    placed = shared.join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "kind", "bits", "fp", root.alias("root"))
+    links = cut(links.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
+
+    # Two steps towards the least hub: labels that are equal only inside a component, which is all
+    # that pruning needs.
+    least = links.groupBy("u").agg(F.min("v").alias("v"))
+    above = least.select(F.col("u").alias("v"), F.col("v").alias("top"))
+    label = least.join(above, "v", "left").select(F.col("u").alias("fp"), F.coalesce("top", "v").alias("label"))
+    root = F.coalesce("label", "fp")
+    placed = shared.join(label, "fp", "left").select("kind", "bits", "fp", root.alias("root"))
     open_ = (placed.groupBy("kind", "bits").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo < hi").select("kind", "bits"))
     left = cut(placed.join(open_, ["kind", "bits"], "left_semi"))
