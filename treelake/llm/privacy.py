@@ -98,6 +98,15 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _keep_valid(kind: str):
+    return lambda s: _valid(kind, s["m"])
+
+
+def _labelled(number: int, name: str, *fields: str):
+    """A function that turns a span into a struct of the constant ``name`` and the fields."""
+    return lambda s: F.struct(F.lit(number).alias(name), *[s[f].alias(f) for f in fields])
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """``docs`` (text, ...) with arrays email, ip, card, phone of (start, end, m)."""
     docs = docs.withColumn("has_digit", F.col("text").rlike("[0-9]"))
@@ -105,7 +114,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
              "phone": F.col("has_digit") & (F.instr("text", "+") > 0)}
     for kind, pattern in zip(KINDS, (_EMAIL, _IP, _CARD, _PHONE), strict=True):
         docs = _find(kind, pattern, tests[kind])(docs)
-    return docs.withColumns({k: F.filter(k, lambda s, k=k: _valid(k, s["m"])) for k in KINDS})
+    return docs.withColumns({k: F.filter(k, _keep_valid(k)) for k in KINDS})
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
@@ -116,7 +125,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
     docs = _find("at", _AT, F.col("text").rlike(r"@|\(at\)|\[at\]"))(docs)
     docs = docs.withColumn("taken", F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     number = F.filter("number", lambda s: _count(s["m"]) >= 7)
-    gens = F.concat(*[F.transform(a, lambda s, g=g: F.struct(F.lit(g).alias("gen"), s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m")))
+    gens = F.concat(*[F.transform(a, _labelled(g, "gen", "start", "end", "m"))
                       for g, a in enumerate((number, F.col("local"), F.col("at")))])
     docs = docs.withColumn("gens", gens)
 
@@ -214,8 +223,7 @@ def find(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     """``docs`` (of its columns and ``text``) with ``base`` and ``spans``: arrays of (kind, start, end), by kind and then start."""
     score, limits = model
     rows = _candidates(base_spans(docs.withColumn("text", text_of(text_col))))
-    base = F.concat(*[F.transform(k, lambda s, i=i: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-                      for i, k in enumerate(KINDS)])
+    base = F.concat(*[F.transform(k, _labelled(i, "kind", "start", "end")) for i, k in enumerate(KINDS)])
     limit = lambda kind: reduce(lambda acc, i: acc.when(kind == i, F.lit(limits[i])), range(4), F.when(F.lit(False), F.lit(0.0)))
     more = F.filter("found", lambda c: ~c["meets"] & (score(c["f"]) > limit(c["kind"])))
     rows = rows.withColumn("base", base).withColumn("more", F.array_sort(F.transform(more, lambda c: F.struct(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries a memo may hold before it starts afresh, and characters taken at once.
-MEMO, AT_ONCE = 300_000, 1_000_000
+MEMO, AT_ONCE = 400_000, 1_000_000
 
 _LATIN = "".join(c for c in map(chr, range(0x00C0, 0x0250)) if c.isalpha() and c != "İ")
 _UNUSUAL = re.compile(f"[^ \\n\\t\\r!-~{_LATIN}]")
@@ -56,6 +56,8 @@ class WordEncoder:
         self.mark = added[0]["content"]
         self.mark_id = added[0]["id"]
         self.added = [a["content"] for a in added]
+        self.model = self.lib.model
+        self.shown = {b: c for b, c in enumerate(_byte_alphabet())}
         self.raw: dict[str, bytes] = {}
         self.lower: dict[str, bytes] = {}
 
@@ -68,6 +70,17 @@ class WordEncoder:
             text = text.replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
         return plain, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
+    def _learn_letters(self, memo: dict[str, bytes], words: list[str]) -> None:
+        """Lower-cased words of letters are one piece each, which the library's model takes directly."""
+        tokenize, ids, ends = self.model.tokenize, [], []
+        for w in words:
+            shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.shown)
+            ids += [t.id for t in tokenize(shown)]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        for w, a, b in zip(words, [0, *ends], ends):
+            memo[w] = raw[a:b]
+
     def _learn(self, memo: dict[str, bytes], words: set[str]) -> None:
         alone = [w for w in words if any(a in w for a in self.added)]
         for w in alone:
@@ -88,7 +101,9 @@ class WordEncoder:
             if len(memo) > MEMO:
                 memo.clear()
             if new := {w for p, ws in split if p is plain for w in ws if w not in memo}:
-                self._learn(memo, new)
+                letters = [w for w in new if plain and w.isalpha()]
+                self._learn_letters(memo, letters)
+                self._learn(memo, new.difference(letters))
         return [b"".join(map((self.lower if p else self.raw).__getitem__, ws)) for p, ws in split]
 
 
