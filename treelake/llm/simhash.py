@@ -18,9 +18,9 @@ with themselves, and only across labels, which finds every link that is still mi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import gcd
+from math import acos, gcd, pi
 
 import numpy as np
 import pandas as pd
@@ -33,36 +33,53 @@ from treelake.llm.common import components, cut
 WORDS, MAX_BITS, SEGMENTS, SEED = 4, 4, 7, 42
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The fingerprint of one text as an unsigned 64-bit number; 0 if it has no word."""
+def _majority(text: str | None, words: int, size: int, hashes: Callable[[bytes], bytes]) -> bytes:
+    """``size`` bytes: each bit is set if over half of the shingles' hashes have it; zeros without a word."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
-    digest = xxhash.xxh64_intdigest
+        return bytes(size)
     joined = b" ".join(parts)
     if len(parts) <= words:
-        hashes = [digest(joined, SEED)]
+        raw = [hashes(joined)]
     else:
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(parts) - words + 1].tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
-    ones = np.zeros(64, np.int64)
-    h = np.array(hashes, ">u8")
-    for at in range(0, len(h), 65536):
-        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+        raw = [hashes(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist())]
+    ones = np.zeros(8 * size, np.int64)
+    for at in range(0, len(raw), 16384):
+        grid = np.frombuffer(b"".join(raw[at : at + 16384]), np.uint8).reshape(-1, size)
+        ones += np.unpackbits(grid, axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(raw)).tobytes()
+
+
+def _xxh64(shingle: bytes) -> bytes:
+    return xxhash.xxh64_digest(shingle, SEED)
+
+
+def _wide(shingle: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(shingle, SEED) + xxhash.xxh3_128_digest(shingle, SEED + 1)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The fingerprint of one text as an unsigned 64-bit number; 0 if it has no word."""
+    return int.from_bytes(_majority(text, words, 8, _xxh64), "big")
+
 
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                 wide: bool = False) -> DataFrame:
+    """(doc_id, f0 long), or f0 to f3 of a 256-bit fingerprint: whole texts, one at a time inside Arrow batches."""
+    size, hashes = (32, _wide) if wide else (8, _xxh64)
+    names = [f"f{i}" for i in range(size // 8)]
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp long): whole texts, one document at a time inside Arrow batches."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps})
+            raw = b"".join([_majority(t, words, size, hashes) for t in b["text"]])
+            grid = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, size // 8)
+            yield pd.DataFrame({"doc_id": b["doc_id"], **{n: grid[:, i] for i, n in enumerate(names)}})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, fp long")
+        run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 class Ring:
@@ -87,15 +104,17 @@ class Ring:
                 return i
         raise AssertionError("the ring has no start")
 
-    def keys(self, fp: Column) -> Column:
+    width = 1
+
+    def keys(self, fp: list[Column]) -> Column:
         """An array of (kind, agreeing bits), one for each kind of bucket."""
         lits = [(k, _signed(sum(self.masks[i] for i in s))) for k, (s, _) in enumerate(self.kinds)]
-        return F.array(*[F.struct(F.lit(k).alias("kind"), fp.bitwiseAND(F.lit(mask).cast("long")).alias("bits"))
+        return F.array(*[F.struct(F.lit(k).alias("kind"), fp[0].bitwiseAND(F.lit(mask).cast("long")).alias("bits"))
                          for k, mask in lits])
 
-    def linked(self, kind: Column, a: Column, b: Column) -> Column:
+    def linked(self, kind: Column, a: list[Column], b: list[Column]) -> Column:
         """The chains of 2 to m segments from the kind's start stay within their budgets."""
-        x = a.bitwiseXOR(b)
+        x = a[0].bitwiseXOR(b[0])
         out = F.lit(True)
         for length in range(2, self.m + 1):
             chain = [_signed(sum(self.masks[(i + n) % self.m] for n in range(length))) for _, i in self.kinds]
@@ -104,58 +123,103 @@ class Ring:
         return out
 
 
+class WideRing:
+    """256 bits as a ring of 64 segments of 4 bits, for a similarity rather than a number of bits.
+
+    Sets of similarity J differ in about ``256 acos(2 J / (1 + J)) / pi`` bits; pairs up to there link. A
+    bucket is a chain of four consecutive segments without a difference, at each of the 64 starts. At
+    J = 0.8 nine of ten such pairs share a chain, above it more; a pair counts only where its chain
+    begins. The widest budget this leaves cannot be searched exactly on any selective key.
+    """
+
+    width = 4
+
+    def __init__(self, similarity: float):
+        self.limit = int(256 * acos(2 * similarity / (1 + similarity)) / pi)
+
+    def keys(self, fp: list[Column]) -> Column:
+        def chain(j: int) -> Column:
+            word, at = divmod(60 - 4 * (j % 16), 64)[1], j // 16
+            if word >= 12:
+                return F.shiftrightunsigned(fp[at], word - 12).bitwiseAND(0xFFFF)
+            low = F.shiftleft(fp[at].bitwiseAND((1 << (word + 4)) - 1), 12 - word)
+            return low.bitwiseOR(F.shiftrightunsigned(fp[(at + 1) % 4], 52 + word)).bitwiseAND(0xFFFF)
+        return F.array(*[F.struct(F.lit(j).alias("kind"), chain(j).alias("bits")) for j in range(64)])
+
+    def linked(self, kind: Column, a: list[Column], b: list[Column]) -> Column:
+        x = [p.bitwiseXOR(q) for p, q in zip(a, b)]
+        total = F.bit_count(x[0]) + F.bit_count(x[1]) + F.bit_count(x[2]) + F.bit_count(x[3])
+        before = (kind + 63) % 64
+        segments = [F.lit(15 << (60 - 4 * i) if i else _signed(15 << 60)).cast("long") for i in range(16)]
+        mask = F.element_at(F.array(*segments), before % 16 + 1)
+        begins = F.element_at(F.array(*x), F.floor(before / 16).cast("int") + 1).bitwiseAND(mask) != 0
+        return (total <= self.limit) & begins
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_components(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """(fp, root) for every distinct value of ``fps.fp`` linked to another, root one of them.
+def fingerprint_components(fps: DataFrame, ring: Ring | WideRing) -> DataFrame:
+    """(id, root) for every row of ``fps`` (id long, f0, ...; ids and fingerprints distinct) linked to another.
 
-    Exact: fp and root are equal in root for two fingerprints if and only if a path of links of at
-    most ``max_bits`` differing bits joins them.
+    ``root`` is the same for two rows if and only if a path of links joins them.
     """
-    ring = Ring(max_bits, segments)
-    distinct = cut(fps.select("fp").distinct())
-    keyed = distinct.select("fp", F.explode(ring.keys(F.col("fp"))).alias("k")).select("fp", "k.kind", "k.bits")
-    hubs = (keyed.groupBy("kind", "bits").agg(F.min("fp").alias("hub"), F.count("*").alias("n"))
+    names = [f"f{i}" for i in range(ring.width)]
+    of = lambda prefix: [F.col(prefix + n) for n in names]
+    keyed = fps.select("id", *names, F.explode(ring.keys(of(""))).alias("k")).select("id", *names, "k.kind", "k.bits")
+    hubs = (keyed.groupBy("kind", "bits").agg(F.min("id").alias("hub"), F.count("*").alias("n"),
+                                              *[F.min_by(n, "id").alias(f"hub_{n}") for n in names])
             .where("n > 1").drop("n"))
-    shared = cut(keyed.join(hubs, ["kind", "bits"]))
-    links = shared.where("fp <> hub").where(ring.linked(F.col("kind"), F.col("fp"), F.col("hub")))
-    links = cut(links.select(F.col("fp").alias("u"), F.col("hub").alias("v")))
+    links = keyed.join(hubs, ["kind", "bits"]).where("id <> hub").where(ring.linked(F.col("kind"), of(""), of("hub_")))
+    links = cut(links.select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
 
     # Two steps towards the least hub: labels that are equal only inside a component, which is all
     # that pruning needs.
     least = links.groupBy("u").agg(F.min("v").alias("v"))
     above = least.select(F.col("u").alias("v"), F.col("v").alias("top"))
-    label = least.join(above, "v", "left").select(F.col("u").alias("fp"), F.coalesce("top", "v").alias("label"))
-    root = F.coalesce("label", "fp")
-    placed = shared.join(label, "fp", "left").select("kind", "bits", "fp", root.alias("root"))
-    open_ = (placed.groupBy("kind", "bits").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    label = least.join(above, "v", "left").select(F.col("u").alias("id"), F.coalesce("top", "v").alias("label"))
+    marked = fps.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    placed = marked.select("id", "label", *names, F.explode(ring.keys(of(""))).alias("k")).select("id", "label", *names, "k.kind", "k.bits")
+    open_ = (placed.groupBy("kind", "bits").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
              .where("lo < hi").select("kind", "bits"))
-    left = cut(placed.join(open_, ["kind", "bits"], "left_semi"))
+    left = placed.join(open_, ["kind", "bits"], "left_semi")
     a, b = left.alias("a"), left.alias("b")
     across = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.bits") == F.col("b.bits"))
-                    & (F.col("a.root") < F.col("b.root"))
-                    & ring.linked(F.col("a.kind"), F.col("a.fp"), F.col("b.fp")))
-    more = across.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    return components(links.union(more)).withColumnRenamed("node", "fp")
+                    & (F.col("a.label") < F.col("b.label")) & ring.linked(F.col("a.kind"), of("a."), of("b.")))
+    more = across.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    return components(links.union(more)).withColumnRenamed("node", "id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                    max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
+                    max_bits: int = MAX_BITS, segments: int = SEGMENTS, similarity: float | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     Words are runs of anything but the six ASCII white-space characters, A-Z lower-cased; shingles
     count with their repeats. A text of fewer words is one shingle; one without words, or null, has
     fingerprint zero and is linked like any other. component_id is the smallest doc_id reachable;
-    rows that repeat an id get the same class; a null id is reachable but never names a class
-    (null if it is alone). An empty table gives an empty result.
+    rows that repeat an id get the same class if their texts do; a null id never names a class
+    (null if all of its class are). An empty table gives an empty result. With ``similarity``, 256-bit fingerprints
+    link at that similarity instead of ``max_bits`` (64 hex digits).
     """
-    fps = cut(fingerprints(docs, id_col, text_col, words))
-    rooted = fingerprint_components(fps, max_bits, segments)
-    by_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    placed = by_fp.join(rooted, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    ring = Ring(max_bits, segments) if similarity is None else WideRing(similarity)
+    names = [f"f{i}" for i in range(ring.width)]
+    fps = cut(fingerprints(docs, id_col, text_col, words, wide=similarity is not None))
+    # A class of equal fingerprints goes by a number of its own: the fingerprint, or a hash of it.
+    number = F.col("f0") if ring.width == 1 else F.xxhash64(*names)
+    classes = fps.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("id", number)
+    classes = cut(classes)
+    rooted = fingerprint_components(classes.drop("least"), ring)
+    placed = classes.join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = placed.join(named, "root").select(*names, "component_id")
+    hexed = F.concat(*[F.lpad(F.lower(F.hex(n)), 16, "0") for n in names])
+    return fps.join(named, names).select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                     similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their class, with all their columns."""
+    found = near_duplicates(docs, id_col, text_col, words, similarity=similarity)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
