@@ -76,7 +76,7 @@ def _digits(m: Column) -> Column:
 
 def _luhn(m: Column) -> Column:
     doubled = lambda x, i: F.when(i % 2 == 1, F.when(x > 4, 2 * x - 9).otherwise(2 * x)).otherwise(x)
-    each = F.transform(F.split(F.reverse(_digits(m)), "(?!^)"), lambda c, i: doubled(c.cast("int"), i))
+    each = F.transform(F.regexp_extract_all(F.reverse(_digits(m)), F.lit("[0-9]"), F.lit(0)), lambda c, i: doubled(c.cast("int"), i))
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
