@@ -190,8 +190,9 @@ def _as_sql(start: float, trees: list, f: Column) -> Column:
 
 def fit(docs: DataFrame, text_col: str = "text"):
     """(score of a feature array as a Column function, thresholds by kind), from all of ``docs``."""
-    rows = _candidates(base_spans(docs.select(text_of(text_col).alias("text")))).select(F.explode("found").alias("c"))
-    table = rows.groupBy("c.kind", "c.f").agg(F.count("*").alias("n"), F.count_if("c.right").alias("k")).collect()
+    # An outer explode: a plain one adds a filter on its input that would repeat the whole search.
+    rows = _candidates(base_spans(docs.select(text_of(text_col).alias("text")))).select(F.explode_outer("found").alias("c"))
+    table = rows.where("c is not null").groupBy("c.kind", "c.f").agg(F.count("*").alias("n"), F.count_if("c.right").alias("k")).collect()
     if not table:
         return (lambda f: F.lit(0.0)), [float("inf")] * 4
     x = np.array([r["f"] for r in table])
