@@ -21,6 +21,8 @@ from treelake.llm.common import cut, shuffle_partitions, text_of
 
 #: Words in a paragraph's run; cells in each table of the printed sketch; rounds of peeling.
 UNIT, BASE, ROUNDS, RETRIES = 12, 8, 12, 8
+#: Cells in each table of the smallest sketch that is peeled.
+LEAST = 32
 _NULL_KEY = -(1 << 63)
 _PARAGRAPH = r"\S++(?:[^\S\n]++\S++){0,%d}+" % (UNIT - 1)
 
@@ -55,7 +57,7 @@ def _differences(pairs: DataFrame, boost: int) -> DataFrame:
     """``pairs`` (key, a, b, which) to (key, which, total, delta, left): digests of both sides, found in
     one alone, and cells that did not empty."""
     total = F.size("a") + F.size("b")
-    size = F.lit(BASE * boost) * F.pow(F.lit(4.0), F.ceil(F.log(4.0, F.greatest(total / F.lit(2.0 * BASE), F.lit(1.0)))))
+    size = F.lit(LEAST * boost) * F.pow(F.lit(4.0), F.ceil(F.log(4.0, F.greatest(total / F.lit(1.0 * LEAST), F.lit(1.0)))))
     sized = pairs.select("key", "which", "a", "b", total.cast("long").alias("total"), size.cast("int").alias("size"))
     head = F.array(F.struct(F.lit(-2).alias("cell"), F.col("total").alias("n"), F.lit(0).cast("long").alias("x"),
                             F.lit(0).cast("long").alias("c")))
@@ -135,23 +137,32 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     printed = _summed(printed, *by).groupBy(*by[:3]).agg(_printed(held(0)).alias("fingerprint"),
                                                         _printed(held(1)).alias("edited_fingerprint"))
 
-    def pairs(of: DataFrame) -> DataFrame:
-        return of.select("key", F.explode(F.array(
-            F.struct(F.lit(0).alias("which"), F.col("own").alias("a"), F.col("edited").alias("b")),
-            F.struct(F.lit(1).alias("which"), F.col("own").alias("a"), F.col("next").alias("b")))).alias("p")).select("key", "p.*")
-
-    found = cut(_differences(pairs(sets.select("key", "own", "edited", "next")), 1))
+    # One job reads the texts: sketches, differences, and the digests of those few pairs that did not decode.
+    kept = sets.select(F.col("key").alias("__key"), "own", "edited", "next")
+    found = printed.join(_by_document(_differences(_pairs(sets), 1)), "key").join(kept, F.col("key") == F.col("__key")).drop("__key")
+    sides = ("own", "edited", "next")
+    found = cut(found.withColumns({c: F.when(F.col("left") > 0, F.col(c)) for c in sides}))
     boost = 1
-    while (failed := found.where("left > 0")).head(1):
+    while found.where("left > 0").head(1):
         boost *= 4
         if boost > 4**RETRIES:
             raise RuntimeError("a sketch did not decode at any size")
-        again = pairs(sets.select("key", "own", "edited", "next").join(failed.select("key").distinct(), "key", "left_semi"))
-        better = _differences(again.join(failed.select("key", "which"), ["key", "which"], "left_semi"), boost)
+        failed = found.where("left > 0")
+        better = failed.drop("left", "near_edited", "near_next").join(_by_document(_differences(_pairs(failed), boost)), "key")
+        better = better.withColumns({c: F.when(F.col("left") > 0, F.col(c)) for c in sides})
         found = cut(found.where("left = 0").unionByName(better))
+    return found.select(F.nullif(F.col("key"), F.lit(_NULL_KEY)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
+
+
+def _pairs(sets: DataFrame) -> DataFrame:
+    """Each document beside its edited version (0) and beside the next document (1)."""
+    pair = lambda k, other: F.struct(F.lit(k).alias("which"), F.col("own").alias("a"), F.col(other).alias("b"))
+    return sets.select("key", F.explode(F.array(pair(0, "edited"), pair(1, "next"))).alias("p")).select("key", "p.*")
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    """(key, left, near_edited, near_next): likeness from the digests of both sides and those found in one alone."""
     like = lambda k: F.max(F.when(F.col("which") == k, F.when(F.col("total") == 0, 1.0).otherwise(
         (F.col("total") - F.col("delta")) / (F.col("total") + F.col("delta")))))
-    near = found.groupBy("key").agg(like(0).alias("near_edited"), like(1).alias("near_next"))
-    return printed.join(near, "key").select(
-        F.nullif(F.col("key"), F.lit(_NULL_KEY)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint",
-        "edited_fingerprint", "near_edited", "near_next")
+    return found.groupBy("key").agg(F.sum("left").alias("left"), like(0).alias("near_edited"), like(1).alias("near_next"))
