@@ -10,7 +10,7 @@ from treelake.model import XSD
 #: Strftime directives and the date patterns that mean the same.
 _DIRECTIVES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%y": "yy", "%j": "DDD",
                "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%p": "a", "%I": "hh", "%z": "xx", "%%": "%"}
-DATES = ("yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy")
+DATES = ("yyyy-MM-dd", "yyyy/MM/dd")
 TIMES = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm")
 
 

@@ -58,8 +58,8 @@ def concatenate(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(name, i, v, source): the files' rows one after another. Row counts per file (one row each) give the offsets, so no
     window spans all rows."""
     sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
-    later = sizes.select(F.col("file").alias("f"), "n")
-    offsets = sizes.join(later, F.col("f") < F.col("file"), "left").groupBy("file").agg(F.coalesce(F.sum(later["n"]), F.lit(0)).alias("offset"))
+    before = sizes.select(F.col("file").alias("f"), F.col("n").alias("m"))
+    offsets = sizes.join(before, F.col("f") < F.col("file"), "left").groupBy("file").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("offset"))
     placed = rows.join(F.broadcast(offsets), "file").withColumn("i", (F.col("offset") + F.col("at")).cast("int"))
     return placed.unpivot(["i", "source"], columns, "name", "v").select("name", "i", "v", "source")
 
