@@ -1,4 +1,5 @@
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,8 +96,9 @@ def test_documents(spark, cat):
     assert documents.upsert(d.where("k = 2"), d).count() == 2 and documents.upsert(d, d, update=False).count() == 6
     with pytest.raises(Exception, match="no filename"):
         documents.find_documents(spark.createDataFrame([(None, 1)], "filename string, k int"), F.col("k") == 1, spark.createDataFrame([("x",)], "path string")).collect()
-    trees = documents.trees(cat, depth=1).first().tree
-    assert '"name":"grp"' in trees and '"name":"u"' in trees
+    tree = json.loads(documents.trees(cat, depth=1).first().tree)
+    assert [(c["name"], c["kind"], c["children"]) for c in tree["children"]] == [("grp", "group", []), ("u", "dataset", [])]
+    assert tree["children"][1]["/"]["units"] == "m/s"
 
 
 def test_registry(spark):

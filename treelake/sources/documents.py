@@ -82,9 +82,9 @@ def trees(cat: Catalogue, depth: int = 2, ignore: list[str] | None = None) -> Da
         own = nodes.where(F.col("depth") == level)
         if below is not None:
             own = own.join(below, (own["file_id"] == below["__f"]) & (own["name"] == below["__p"]), "left").drop("__f", "__p")
-        children = F.col("children") if below is not None else F.lit(None).cast("array<string>")
-        node = F.to_json(F.struct(F.col("basename").alias("name"), F.col("obj_type").alias("kind"), "ndim", F.col("attrs").alias("/"),
-                                  children.alias("children")))
+        children = F.coalesce("children", F.array()) if below is not None else F.array().cast("array<string>")
+        own_json = F.to_json(F.struct(F.col("basename").alias("name"), F.col("obj_type").alias("kind"), "ndim", F.col("attrs").alias("/")))
+        node = F.concat(F.substring(own_json, F.lit(1), F.length(own_json) - 1), F.lit(',"children":['), F.array_join(children, ","), F.lit("]}"))
         if level == 0:
             return own.select("file_id", node.alias("tree"))
         below = own.select(F.col("file_id").alias("__f"), F.col("parent").alias("__p"), F.struct("basename", node.alias("node")).alias("n"))
