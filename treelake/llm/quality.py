@@ -26,7 +26,7 @@ from treelake.llm.tokens import MEMO, groups
 #: Buckets of words and of shapes, size of the vectors, words on each side, hidden units.
 WORDS, SHAPES, DIM, WINDOW, HIDDEN = 8192, 1024, 32, 2, 24
 #: Bounds of the training sample.
-SAMPLE, LONGEST = 4000, 60_000
+SAMPLE, LONGEST = 3000, 40_000
 _REPEAT = WORDS + SHAPES
 _ROWS = _REPEAT + 2
 _LETTERS = re.compile(r"[^\W\d_]+")
