@@ -305,7 +305,7 @@ _HOOD = f""", e AS (SELECT DISTINCT s, o FROM triples WHERE o_kind = 'iri' AND p
         UNION ALL SELECT s, h1.hops + 1 FROM e JOIN h1 ON h1.node = e.o) WHERE hops <= 2 GROUP BY node)"""
 
 
-@query(_T.rstrip() + _HOOD + " SELECT e.s, e.o FROM e WHERE e.s IN (SELECT node FROM h) AND e.o IN (SELECT node FROM h)")
+@query(_T.rstrip() + _HOOD + " SELECT e.s, e.o FROM e WHERE e.s IN (SELECT node FROM h) AND e.o IN (SELECT node FROM h)", name="neighborhood")
 def neighborhood_of(spark, sf_dir):
     t = entity_triples(spark, sf_dir)
     return neighborhood.around(t, EX + "nation/3", depth=2, direction="both").select("s", "o")

@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the cluster's reliable checkpoint folder (a temporary one only where
-    ``spark.checkpoint.dir`` is unset, as in tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's reliable checkpoint folder; a temporary one only where ``spark.checkpoint.dir`` is unset, as in
+    tests."""
+    sc = spark.sparkContext
+    configured = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="treelake-"))
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="treelake-"))
+    return configured or sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once, in the reliable checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

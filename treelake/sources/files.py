@@ -40,7 +40,8 @@ def verify_checksums(manifest: DataFrame, found: DataFrame) -> DataFrame:
 # --- CSV ----------------------------------------------------------------------------------------------
 
 def read_csvs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Rows of equal CSV files with ``file`` (ordinal in ``paths``), ``at`` (position inside the file) and its name.
+    """Rows of equal CSV files, or folders that hold one each, with ``file`` (ordinal in ``paths``), ``at`` (position inside
+    the file) and its name.
 
     Positions number the rows inside each file by the order in which the reader meets them; files are not
     split for that, so each file is one task's."""
@@ -48,8 +49,10 @@ def read_csvs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     rows = rows.withColumn("source", F.col("_metadata.file_path")).withColumn("__id", F.monotonically_increasing_id())
     name = F.substring_index("source", "/", -1)
     order = F.lit(None).cast("int")
+    place = F.url_decode(F.regexp_replace("source", r"\+", "%2B"))
     for k, p in reversed(list(enumerate(paths))):
-        order = F.when(F.url_decode(F.regexp_replace("source", r"\+", "%2B")).endswith(p.removeprefix("file:")), k).otherwise(order)
+        bare = p.removeprefix("file:").rstrip("/")
+        order = F.when(place.endswith(bare) | place.contains(bare + "/"), k).otherwise(order)
     w = Window.partitionBy("source").orderBy("__id")
     return rows.withColumn("file", order).withColumn("at", (F.row_number().over(w) - 1).cast("int")).withColumn("source", name).drop("__id")
 
