@@ -33,6 +33,8 @@ def test_odd_input():
     assert html_text.main_text("plain text only") == "plain text only"
     assert html_text.main_text("<p>a < b and c</p><p>&lt;tag&gt; &#233; &#x1F600; &am</p>") == "a < b and c\n\n<tag> é 😀 &am"
     assert html_text.main_text("<p>one<p>two<br>three<!-- x --><script>bad") == "one\n\ntwo three"
+    assert html_text.main_text("<p don't title='a>b' data-x=\"c>d\">It's <a href=x'y>here</a> now</p>") == "It's here now"
+    assert html_text.main_text("<p title='hidden gems' data-hidden=1>Kept.</p><p hidden>Not.</p><p aria-hidden='true'>Nor.</p>") == "Kept."
     assert "x" * 100_000 in html_text.main_text("<div>" * 500 + "x" * 100_000)
 
 

@@ -24,8 +24,8 @@ WINDOW, SHARE, LINKS = 3, 0.25, 0.5
 _RAW = re.compile(r"<(script|style|noscript|template|textarea|title|svg|math|select|iframe|object|xmp)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))",
                   re.S | re.I)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))")
-_MARK = re.compile(r"""\b(class|id|role|aria-label|aria-hidden|hidden|style)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*)(?:>|\Z|(?=<))")
+_MARK = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 _DROP = {"nav", "header", "footer", "aside", "form", "button", "head", "menu", "dialog", "label", "input",
          "fieldset", "audio", "video", "canvas", "map", "optgroup", "datalist"}
