@@ -5,7 +5,7 @@ forms, comments and the like, by tag, role or class) leaves a gap of empty lines
 summed over a window sliding along the lines. The sum surges where the article begins and dives to
 nothing at a gap; each stretch between a surge and its dive is a candidate, and its lines are kept
 whole. Where the page marks its article itself, the stretches inside that mark are taken, else
-those whose links hold little of their text and whose sum reaches a share of the densest one's.
+those whose links hold little of their text and that are long enough by themselves or beside the densest one.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a window; least share of the densest stretch; most link text in a stretch.
-WINDOW, SHARE, LINKS = 3, 0.25, 0.5
+#: Lines in a window; share of the densest stretch, or characters, that a stretch needs; most link text in it.
+WINDOW, SHARE, ENOUGH, LINKS = 3, 0.25, 140, 0.5
 
 _RAW = re.compile(r"<(script|style|noscript|template|textarea|title|svg|math|select|iframe|object|xmp)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))",
                   re.S | re.I)
@@ -162,7 +162,7 @@ def main_text(page: str | None) -> str:
     for (a, b), w in zip(stretches, weight, strict=True):
         total = sum(sizes[a:b])
         inside = sum(k for _, k, _ in all_lines[a:b])
-        if w >= SHARE * top and inside <= LINKS * total:
+        if w >= min(SHARE * top, ENOUGH) and inside <= LINKS * total:
             kept += [t for t, k, _ in all_lines[a:b] if t and not (k > LINKS * len(t) and len(t) < 200)]
     return "\n\n".join(kept)
 
