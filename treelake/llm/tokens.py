@@ -280,17 +280,20 @@ def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pad = np.zeros(n_blocks * BLOCK, np.uint64)
     pad[: len(v)] = v
     grid = pad.reshape(n_blocks, BLOCK)
-    at = np.arange(BLOCK, dtype=np.int32)
+    # Bits of each value, and their maxima over windows of 2, 4, ... values; a selector's window is covered by two
+    # of those. (Just below 2**60 a value may seem one bit wider, and is escaped.)
+    widths = {1: np.zeros((n_blocks, BLOCK + 64), np.uint8)}
+    widths[1][:, :BLOCK] = np.frexp(grid.astype(np.float64))[1]
+    for p in (2, 4, 8, 16, 32):
+        half = widths[p // 2]
+        widths[p] = half.copy()
+        np.maximum(half[:, : -p // 2], half[:, p // 2 :], out=widths[p][:, : -p // 2])
     best = np.zeros((n_blocks, BLOCK), np.uint8)
-    top = int(v.max())
     for s in range(len(_BITS), 0, -1):
-        if _BITS[s - 1] >= 60 or top >> _BITS[s - 1]:
-            wide = grid >> np.uint64(_BITS[s - 1]) != 0
-            stop = np.where(wide, at, np.int32(BLOCK + 240))
-            stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-            best[stop - at >= _COUNTS[s - 1]] = s
-        else:
-            best[:] = s
+        count = _COUNTS[s - 1]
+        p = 1 << (count.bit_length() - 1)
+        most = np.maximum(widths[p][:, :BLOCK], widths[p][:, count - p : count - p + BLOCK])
+        best[most <= _BITS[s - 1]] = s
     step = np.array([1, *_COUNTS])[best]
     taken = np.zeros((n_blocks, BLOCK), bool)
     pos, rows = np.zeros(n_blocks, np.int64), np.arange(n_blocks)
