@@ -90,3 +90,17 @@ def test_round_trip_rows(spark):
     got = tokens.bpe_round_trip(docs, BYTES, keep_ids=True).toPandas().sort_values("doc_id")
     assert got["decoded"].tolist() == ["Hello  world", "Hello  world", ""]
     assert got["n_tokens"].tolist()[2] == 0
+
+
+def test_large_ids_beside_nulls(spark, tmp_path):
+    from treelake.llm import html_text, langid, packing, quality, simhash
+
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "some text", "en"), (None, "other text", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(big, 1)], "doc_id long, quality int")
+    out = str(tmp_path / "big")
+    tokens.write_token_files(docs, out, WORDS)
+    for got in (tokens.bpe_round_trip(docs, BYTES), tokens.read_token_files(spark, out), packing.pack_documents(docs, WORDS, 1),
+                simhash.near_duplicates(docs), langid.identify(docs), quality.classify(docs, labels), quality.classify(docs, labels, keep=True),
+                html_text.extract(docs, "doc_id", "lang", "text").withColumnRenamed("page_id", "doc_id")):
+        assert {r.doc_id for r in got.collect()} == {big, None}

@@ -39,6 +39,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def exact_id(name: str) -> Column:
+    """An id as text, the form in which Python tasks pass it on: integers beside nulls would become floats."""
+    return F.col(name).cast("string")
+
+
 def unit_hash(key: Column) -> Column:
     """A number in [0, 1) that depends on ``key`` alone."""
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))

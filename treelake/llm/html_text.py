@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treelake.llm.common import exact_id
+
 #: Lines in a window; share of the densest stretch, or characters, that a stretch needs; most link text in it.
 WINDOW, SHARE, ENOUGH, LINKS = 3, 0.25, 140, 0.5
 
@@ -179,5 +181,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
-                        ).mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+    rows = pages.select(exact_id(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    out = rows.mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast(kind))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm.common import unit_hash
+from treelake.llm.common import exact_id, unit_hash
 from treelake.llm.tokens import groups
 
 #: Hashed features, and the bounds of the training sample.
@@ -221,5 +221,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 at += len(g)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")
-                       ).mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows = docs.select(exact_id(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))

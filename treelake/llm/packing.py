@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treelake.llm.common import cut, shuffle_partitions
+from treelake.llm.common import cut, exact_id, shuffle_partitions
 from treelake.llm.tokens import groups, word_encoder
 
 CAPACITY = 4096
@@ -52,12 +52,11 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id
                         rows.append((*row, np.frombuffer(part, "<u4")) if keep_ids else row)
                 at += len(some)
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                out = pd.DataFrame(rows, columns=[*names, "ids"] if keep_ids else names)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=[*names, "ids"] if keep_ids else names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""))
+    own = docs.select(exact_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
+    return own.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

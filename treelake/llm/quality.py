@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm.common import unit_hash
+from treelake.llm.common import exact_id, unit_hash
 from treelake.llm.tokens import MEMO, groups
 
 #: Buckets of words and of shapes, size of the vectors, words on each side, hidden units.
@@ -191,13 +191,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                                 "predicted": (score >= 0.5).astype(int)})
 
     if keep:
-        from pyspark.sql.types import DoubleType, StructType
-
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Only the text goes to Python; the other columns stay as they are.
+        @F.pandas_udf("double")
+        def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for b in batches:
-                scores = [model.score(g) for g in groups(b[text_col])]
-                yield b.assign(__score=np.concatenate(scores) if scores else np.zeros(0))
+                scores = [model.score(g) for g in groups(b)]
+                yield pd.Series(np.concatenate(scores) if scores else np.zeros(0))
 
-        return docs.mapInPandas(add, StructType([*docs.schema.fields, *StructType().add("__score", DoubleType()).fields]))
-    return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")
-                       ).mapInPandas(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+        return docs.withColumn("__score", score_of(F.col(text_col)))
+    rows = docs.select(exact_id(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))

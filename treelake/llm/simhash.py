@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm.common import components, cut
+from treelake.llm.common import components, cut, exact_id
 
 WORDS, MAX_BITS, SEGMENTS, SEED = 4, 4, 7, 42
 
@@ -78,8 +78,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"doc_id": b["doc_id"], **{n: grid[:, i] for i, n in enumerate(names)}})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    rows = docs.select(exact_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(run, "doc_id string, " + ", ".join(f"{n} long" for n in names))
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 class Ring:

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treelake.llm.common import exact_id
+
 #: Entries a memo may hold before it starts afresh, and characters taken at once.
 MEMO, AT_ONCE = 400_000, 1_000_000
 
@@ -258,8 +260,9 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     more = ", ids array<int>, decoded string" if keep_ids else ""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    rows = docs.select(exact_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(run, f"doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 # --- Simple-8b ----------------------------------------------------------------------------------
@@ -364,7 +367,7 @@ def simple8b_decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarra
 
 FILE_SCHEMA = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("first", T.LongType()),
-    T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.IntegerType())),
+    T.StructField("doc_ids", T.ArrayType(T.StringType())), T.StructField("lengths", T.ArrayType(T.IntegerType())),
     T.StructField("offsets", T.BinaryType()), T.StructField("words", T.BinaryType())])
 #: Ids a file row gathers before it is closed; a document is never split between rows.
 ROW_IDS = 1 << 17
@@ -390,7 +393,7 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int | None =
                                  "offsets": [offsets.astype("<i8").tobytes()], "words": [words.astype("<u8").tobytes()]})
 
         for b in batches:
-            keys = [None if pd.isna(x) else int(x) for x in b["doc_id"]]
+            keys = b["doc_id"].tolist()
             at = 0
             for some in groups(b["text"]):
                 for key, raw in zip(keys[at : at + len(some)], enc.encode(some), strict=True):
@@ -408,7 +411,7 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int | None =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie")
-    rows = rows.sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    rows = rows.sortWithinPartitions("doc_id", "tie").select(exact_id("doc_id").alias("doc_id"), "text")
     rows.mapInPandas(run, FILE_SCHEMA).write.option("compression", "zstd").parquet(out)
 
 
@@ -430,10 +433,9 @@ def read_token_files(spark: SparkSession, out: str, keep_ids: bool = False) -> D
                 ids = simple8b_decode(np.frombuffer(r.words, "<u8"), np.frombuffer(r.offsets, "<i8"),
                                       int(ends[-1])).astype("<u4")
                 own = [ids[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist())]
-                keys = [None if x is None or x != x else int(x) for x in r.doc_ids]
-                got = pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "start": base[r.part] + r.first + ends - lengths,
+                got = pd.DataFrame({"doc_id": list(r.doc_ids), "start": base[r.part] + r.first + ends - lengths,
                                     "n_tokens": lengths, "ids_crc32": [zlib.crc32(x.tobytes()) for x in own]})
                 yield got.assign(ids=own) if keep_ids else got
 
-    return files.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long"
-                             + (", ids array<long>" if keep_ids else ""))
+    out = files.mapInPandas(run, "doc_id string, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if keep_ids else ""))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
