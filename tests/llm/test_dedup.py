@@ -142,3 +142,60 @@ def test_one_of_each_near_group_stays(spark):
     out = simhash.drop_near_copies(table(spark, rows))
     assert out.columns == [c.split()[0] for c in SCHEMA.split(", ")]
     assert sorted(r.doc_id for r in out.collect()) == [10, *range(100, 110)]
+
+
+def shingles_by_hand(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_similarity_links_what_all_pairs_of_shingle_sets_link(spark):
+    rng = random.Random(6)
+    rows, k = [], 0
+
+    def put(words):
+        nonlocal k
+        rows.append((k, " ".join(words)))
+        k += 1
+
+    # 49 words with one changed: exactly 0.8. 204 with four: 0.818, with five: 0.778, with seven: 0.702.
+    for length, changes in [(49, 1)] * 60 + [(204, 4)] * 60 + [(204, 5)] * 60 + [(204, 7)] * 20:
+        base = [f"w{rng.randrange(5000)}" for _ in range(length)]
+        put(base)
+        for c in range(changes):
+            base[10 + 25 * c] = f"new{c}"
+        put(base)
+    for _ in range(3):  # versions, each close to the next alone; and members close to a middle one only
+        base = [f"w{rng.randrange(5000)}" for _ in range(204)]
+        for c in range(15):
+            put(base)
+            base[5 + 13 * c] = "later"
+        base = [f"w{rng.randrange(5000)}" for _ in range(204)]
+        for _ in range(15):
+            copy = list(base)
+            for at in rng.sample(range(5, 200, 6), rng.randrange(5)):
+                copy[at] = f"m{k}"
+            put(copy)
+    rows += [(10_000, None), (10_001, " "), (10_002, "one two"), (10_003, "One  TWO"), (10_004, "a b c d e f " * 50), (10_005, "a b c d e f " * 9)]
+    sets = {i: shingles_by_hand(t) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows), words=5, similarity=0.8).collect()}
+    assert got == components_by_hand(sets, linked)
+    kept = {r.doc_id for r in simhash.drop_near_copies(table(spark, rows)).collect()}
+    assert kept == set(got.values())
+
+
+def test_bands_miss_next_to_no_pair():
+    ring = simhash.Bands(0.8)
+    rng = np.random.default_rng(8)
+    shared = missed = over = equal = 0
+    for _ in range(400):
+        both = rng.integers(0, 1 << 63, 180, np.uint64)
+        x, y = (simhash.minima(np.unique(np.concatenate([both[:160], own]))) for own in rng.integers(0, 1 << 63, (2, 20), np.uint64))
+        same = (x == y)[: ring.rows * ring.bands].reshape(ring.bands, ring.rows).all(1)
+        shared += same.any()
+        missed += not same.any()
+        equal += (x == y).mean() / 400
+        bits = (x * np.uint32(0x9E3779B1) >> np.uint32(31)) != (y * np.uint32(0x9E3779B1) >> np.uint32(31))
+        over += bits.sum() > ring.limit
+    assert (shared, missed, over) == (400, 0, 0) and abs(equal - 0.8) < 0.01

@@ -14,13 +14,19 @@ Buckets are never expanded into all their pairs. First every fingerprint meets o
 of each of its buckets (a count and a minimum, aggregated before the shuffle). Labels spread over those
 links settle almost every large bucket. Only buckets that still hold several labels are joined
 with themselves, and only across labels, which finds every link that is still missing.
+
+A similarity instead of a number of bits compares sets of shingles: MinHash bands are the bucket keys, one bit
+of each minimum makes a sketch that sorts out clearly unlike pairs, and every pair that passes is
+confirmed by the Jaccard likeness of the two texts' own shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
+from functools import lru_cache
 from itertools import combinations
-from math import acos, gcd, pi
+from math import gcd, sqrt
 
 import numpy as np
 import pandas as pd
@@ -33,18 +39,30 @@ from treelake.llm.common import components, cut, exact_id
 WORDS, MAX_BITS, SEGMENTS, SEED = 4, 4, 7, 42
 
 
-def _majority(text: str | None, words: int, size: int, hashes: Callable[[bytes], bytes]) -> bytes:
-    """``size`` bytes: each bit is set if over half of the shingles' hashes have it; zeros without a word."""
+#: Minima of a sketch, and the share of pairs at the similarity itself that its bands may miss.
+MINIMA, MISSED = 256, 1e-5
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 32, (2, MINIMA, 1), np.uint32)
+_MIX[1] |= 1
+
+
+def _shingles(text: str | None, words: int) -> list[bytes]:
+    """Runs of ``words`` words, A-Z lower-cased, with repeats; a shorter text is one; none without a word."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return bytes(size)
+        return []
     joined = b" ".join(parts)
     if len(parts) <= words:
-        raw = [hashes(joined)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[: len(parts) - words + 1].tolist()
-        raw = [hashes(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist())]
+        return [joined]
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(parts) - words + 1].tolist()
+    return [joined[a:b] for a, b in zip(starts, ends[words - 1 :].tolist())]
+
+
+def _majority(text: str | None, words: int, size: int, hashes: Callable[[bytes], bytes]) -> bytes:
+    """``size`` bytes: each bit is set if over half of the shingles' hashes have it; zeros without a word."""
+    raw = [hashes(s) for s in _shingles(text, words)]
+    if not raw:
+        return bytes(size)
     ones = np.zeros(8 * size, np.int64)
     for at in range(0, len(raw), 16384):
         grid = np.frombuffer(b"".join(raw[at : at + 16384]), np.uint8).reshape(-1, size)
@@ -56,8 +74,19 @@ def _xxh64(shingle: bytes) -> bytes:
     return xxhash.xxh64_digest(shingle, SEED)
 
 
-def _wide(shingle: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(shingle, SEED) + xxhash.xxh3_128_digest(shingle, SEED + 1)
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
+    raw = b"".join([xxhash.xxh3_64_digest(s, SEED) for s in _shingles(text, words)])
+    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """``MINIMA`` minima of the set under as many hash functions."""
+    low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 1024):
+        np.minimum(least, ((low[at : at + 1024] ^ _MIX[0]) * _MIX[1]).min(1), out=least)
+    return least
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -65,24 +94,65 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(_majority(text, words, 8, _xxh64), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                 wide: bool = False) -> DataFrame:
-    """(doc_id, f0 long), or f0 to f3 of a 256-bit fingerprint: whole texts, one at a time inside Arrow batches."""
-    size, hashes = (32, _wide) if wide else (8, _xxh64)
-    names = [f"f{i}" for i in range(size // 8)]
-
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """(doc_id, f0 long): whole texts, one at a time inside Arrow batches."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = b"".join([_majority(t, words, size, hashes) for t in b["text"]])
-            grid = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, size // 8)
-            yield pd.DataFrame({"doc_id": b["doc_id"], **{n: grid[:, i] for i, n in enumerate(names)}})
+            raw = b"".join([_majority(t, words, 8, _xxh64) for t in b["text"]])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "f0": np.frombuffer(raw, ">i8").astype(np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(exact_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInPandas(run, "doc_id string, f0 long").withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def sketches(docs: DataFrame, ring: Bands, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc_id, text, id, f0 to f3, size, bands): ``id`` is a hash of the shingle set, f0 to f3 one bit of each minimum."""
+    rows = ring.rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, sizes, bits, bands = [], [], [], []
+            for text in b["text"]:
+                shingles = shingle_set(text, words)
+                least = minima(shingles)
+                ids.append(_signed(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)))
+                sizes.append(len(shingles))
+                bits.append(np.packbits(least * np.uint32(0x9E3779B1) >> np.uint32(31)).tobytes())
+                raw = least.tobytes()
+                bands.append([_signed(xxhash.xxh3_64_intdigest(raw[4 * rows * j : 4 * rows * (j + 1)], j)) for j in range(ring.bands)])
+            grid = np.frombuffer(b"".join(bits), ">i8").astype(np.int64).reshape(-1, 4)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "id": np.array(ids, np.int64),
+                                **{f"f{i}": grid[:, i] for i in range(4)}, "size": np.array(sizes, np.int64), "bands": bands})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    given = docs.select(exact_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = given.mapInPandas(run, "doc_id string, text string, id long, f0 long, f1 long, f2 long, f3 long, size long, bands array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def confirmed(pairs: DataFrame, rows: DataFrame, words: int, similarity: Fraction) -> DataFrame:
+    """The ``pairs`` (u, v: ids of ``rows``) whose texts' shingle sets have that Jaccard likeness or more."""
+    top, bottom = similarity.numerator, similarity.denominator
+    pairs = cut(pairs)
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    texts = cut(rows.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = lru_cache(16)(lambda text: shingle_set(text, words))
+        for b in batches:
+            keep = []
+            for s, t in zip(b["s"], b["t"]):
+                x, y = of(s), of(t)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common * bottom >= top * (len(x) + len(y) - common))
+            yield b.loc[keep, ["u", "v"]]
+
+    both = (pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("s")), "u")
+            .join(texts.select(F.col("id").alias("v"), F.col("text").alias("t")), "v"))
+    return both.select("u", "v", "s", "t").mapInPandas(run, "u long, v long")
+
+
 class Ring:
     """The segments, and for each bucket kind the segments that agree and the chain's start."""
 
@@ -105,7 +175,7 @@ class Ring:
                 return i
         raise AssertionError("the ring has no start")
 
-    width = 1
+    names = ("f0",)
 
     def keys(self, fp: list[Column]) -> Column:
         """An array of (kind, agreeing bits), one for each kind of bucket."""
@@ -124,49 +194,48 @@ class Ring:
         return out
 
 
-class WideRing:
-    """256 bits as a ring of 64 segments of 4 bits, for a similarity rather than a number of bits.
+class Bands:
+    """Buckets for shingle sets of a Jaccard similarity or more.
 
-    Sets of similarity J differ in about ``256 acos(2 J / (1 + J)) / pi`` bits; pairs up to there link. A
-    bucket is a chain of four consecutive segments without a difference, at each of the 64 starts. At
-    J = 0.8 nine of ten such pairs share a chain, above it more; a pair counts only where its chain
-    begins. The widest budget this leaves cannot be searched exactly on any selective key.
+    Each minimum is equal with the sets' likeness J as its chance. A bucket is a band of ``rows`` equal minima, as
+    many as leave at most ``MISSED`` of the pairs at the similarity itself without a common bucket. A pair of a bucket
+    is worth a comparison if the sizes allow the similarity and its one-bit sketches differ in
+    no more than the expected ``MINIMA (1 - J) / 2`` bits and six deviations.
     """
 
-    width = 4
+    names = ("f0", "f1", "f2", "f3", "size")
 
     def __init__(self, similarity: float):
-        self.limit = int(256 * acos(2 * similarity / (1 + similarity)) / pi)
+        self.least = Fraction(str(similarity))
+        fit = [r for r in range(1, 17) if (1 - similarity**r) ** (MINIMA // r) <= MISSED]
+        if not fit:
+            raise ValueError("the similarity is too low to search for")
+        self.rows = max(fit)
+        self.bands = MINIMA // self.rows
+        odds = (1 - similarity) / 2
+        self.limit = int(MINIMA * odds + 6 * sqrt(MINIMA * odds * (1 - odds)))
 
     def keys(self, fp: list[Column]) -> Column:
-        def chain(j: int) -> Column:
-            word, at = divmod(60 - 4 * (j % 16), 64)[1], j // 16
-            if word >= 12:
-                return F.shiftrightunsigned(fp[at], word - 12).bitwiseAND(0xFFFF)
-            low = F.shiftleft(fp[at].bitwiseAND((1 << (word + 4)) - 1), 12 - word)
-            return low.bitwiseOR(F.shiftrightunsigned(fp[(at + 1) % 4], 52 + word)).bitwiseAND(0xFFFF)
-        return F.array(*[F.struct(F.lit(j).alias("kind"), chain(j).alias("bits")) for j in range(64)])
+        return F.transform("bands", lambda b: F.struct(F.lit(0).alias("kind"), b.alias("bits")))
 
     def linked(self, kind: Column, a: list[Column], b: list[Column]) -> Column:
-        x = [p.bitwiseXOR(q) for p, q in zip(a, b)]
-        total = F.bit_count(x[0]) + F.bit_count(x[1]) + F.bit_count(x[2]) + F.bit_count(x[3])
-        before = (kind + 63) % 64
-        segments = [F.lit(15 << (60 - 4 * i) if i else _signed(15 << 60)).cast("long") for i in range(16)]
-        mask = F.element_at(F.array(*segments), before % 16 + 1)
-        begins = F.element_at(F.array(*x), F.floor(before / 16).cast("int") + 1).bitwiseAND(mask) != 0
-        return (total <= self.limit) & begins
+        total = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a[1:4], b[1:4])), F.bit_count(a[0].bitwiseXOR(b[0])))
+        small, large = F.least(a[4], b[4]), F.greatest(a[4], b[4])
+        return (total <= self.limit) & (small * self.least.denominator >= large * self.least.numerator)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_components(fps: DataFrame, ring: Ring | WideRing) -> DataFrame:
+def fingerprint_components(fps: DataFrame, ring: Ring | Bands,
+                           confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, root) for every row of ``fps`` (id long, f0, ...; ids and fingerprints distinct) linked to another.
 
-    ``root`` is the same for two rows if and only if a path of links joins them.
+    ``root`` is the same for two rows if and only if a path of links joins them. With ``confirm``, of the pairs
+    (u, v) that ``ring`` links only those count that it returns.
     """
-    names = [f"f{i}" for i in range(ring.width)]
+    names = list(ring.names)
     of = lambda prefix: [F.col(prefix + n) for n in names]
     keyed = fps.select("id", *names, F.explode(ring.keys(of(""))).alias("k")).select("id", *names, "k.kind", "k.bits")
     hubs = (keyed.groupBy("kind", "bits").agg(F.min("id").alias("hub"), F.count("*").alias("n"),
@@ -174,12 +243,17 @@ def fingerprint_components(fps: DataFrame, ring: Ring | WideRing) -> DataFrame:
             .where("n > 1").drop("n"))
     links = keyed.join(hubs, ["kind", "bits"]).where("id <> hub").where(ring.linked(F.col("kind"), of(""), of("hub_")))
     links = cut(links.select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
+    tried = links
+    if confirm:
+        links = cut(confirm(links))
 
     # Two steps towards the least hub: labels that are equal only inside a component, which is all
     # that pruning needs.
     least = links.groupBy("u").agg(F.min("v").alias("v"))
     above = least.select(F.col("u").alias("v"), F.col("v").alias("top"))
     label = least.join(above, "v", "left").select(F.col("u").alias("id"), F.coalesce("top", "v").alias("label"))
+    if confirm:  # a refused hub leaves more labels; comparing texts costs more than settling them
+        label = components(links).select(F.col("node").alias("id"), F.col("root").alias("label"))
     marked = fps.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     placed = marked.select("id", "label", *names, F.explode(ring.keys(of(""))).alias("k")).select("id", "label", *names, "k.kind", "k.bits")
     open_ = (placed.groupBy("kind", "bits").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -189,6 +263,9 @@ def fingerprint_components(fps: DataFrame, ring: Ring | WideRing) -> DataFrame:
     across = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.bits") == F.col("b.bits"))
                     & (F.col("a.label") < F.col("b.label")) & ring.linked(F.col("a.kind"), of("a."), of("b.")))
     more = across.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    if confirm:
+        more = more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        more = confirm(more.join(tried, ["u", "v"], "left_anti"))
     return components(links.union(more)).withColumnRenamed("node", "id")
 
 
@@ -200,22 +277,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count with their repeats. A text of fewer words is one shingle; one without words, or null, has
     fingerprint zero and is linked like any other. component_id is the smallest doc_id reachable;
     rows that repeat an id get the same class if their texts do; a null id never names a class
-    (null if all of its class are). An empty table gives an empty result. With ``similarity``, 256-bit fingerprints
-    link at that similarity instead of ``max_bits`` (64 hex digits).
+    (null if all of its class are). An empty table gives an empty result. With ``similarity``, texts link whose sets of
+    shingles have that Jaccard likeness instead of by ``max_bits``; texts without words are one class, and
+    ``fingerprint`` is the sketch of 256 bits (64 hex digits).
     """
-    ring = Ring(max_bits, segments) if similarity is None else WideRing(similarity)
-    names = [f"f{i}" for i in range(ring.width)]
-    fps = cut(fingerprints(docs, id_col, text_col, words, wide=similarity is not None))
-    # A class of equal fingerprints goes by a number of its own: the fingerprint, or a hash of it.
-    number = F.col("f0") if ring.width == 1 else F.xxhash64(*names)
-    classes = fps.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("id", number)
+    confirm = None
+    if similarity is None:
+        ring = Ring(max_bits, segments)
+        fps = cut(fingerprints(docs, id_col, text_col, words))
+        classes = fps.groupBy("f0").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("f0"))
+    else:
+        ring = Bands(similarity)
+        fps = cut(sketches(docs, ring, id_col, text_col, words))
+        rest = [F.first(n).alias(n) for n in (*ring.names, "bands")]
+        classes = fps.groupBy("id").agg(F.min("doc_id").alias("least"), *rest)
+        confirm = lambda pairs: confirmed(pairs, fps, words, ring.least)
+    bits = [n for n in ring.names if n != "size"]
     classes = cut(classes)
-    rooted = fingerprint_components(classes.drop("least"), ring)
+    rooted = fingerprint_components(classes.drop("least"), ring, confirm)
     placed = classes.join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(named, "root").select(*names, "component_id")
-    hexed = F.concat(*[F.lpad(F.lower(F.hex(n)), 16, "0") for n in names])
-    return fps.join(named, names).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    own = "f0" if similarity is None else "id"
+    named = placed.join(named, "root").select(own, "component_id")
+    hexed = F.concat(*[F.lpad(F.lower(F.hex(n)), 16, "0") for n in bits])
+    return fps.join(named, own).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
