@@ -1,3 +1,8 @@
+import html
+import re
+import time
+from html.parser import HTMLParser
+
 from treelake.llm import html_text
 
 ARTICLE = "<p>First paragraph &amp; more,\n  spaced   out.</p><p>Short.</p><p>Third <b>bold</b> one&nbsp;here.</p>"
@@ -38,6 +43,72 @@ def test_odd_input():
     assert "x" * 100_000 in html_text.main_text("<div>" * 500 + "x" * 100_000)
 
 
+class Article(HTMLParser):
+    """The blocks of a page's ``article``, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+        self.feed(page)
+        self.close()
+        self.text = "\n\n".join(t for t in (" ".join(b.split()) for b in self.blocks) if t)
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in ("p", "h1"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def neutral(page, *tags):
+    for t in tags:
+        page = re.sub(rf"(</?){t}\b", r"\1div", page)
+    return page.replace('class="ad"', 'class="x1"')
+
+
+def test_all_given_pages_against_the_standard_parser(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    texts = [Article(p).text for p in pages]
+    assert [html_text.main_text(p) for p in pages] == texts
+    # Without any mark of the article, the sums alone find it; without marks of what surrounds it, nearly always.
+    assert [html_text.main_text(neutral(p, "article", "main")) for p in pages] == texts
+    found = [html_text.main_text(neutral(p, "article", "main", "nav", "footer")) for p in pages]
+    assert sum(a == b for a, b in zip(found, texts)) >= 0.98 * len(pages)
+
+
+def test_class_words_on_what_holds_the_text():
+    for kind in ("class='side-by-side'", "id='search'", "class='article-with-sidebar'"):
+        assert html_text.main_text(page(f"<article><div {kind}>{ARTICLE}</div></article>")) == TEXT
+    assert html_text.main_text(page(f"<article><div class='side-by-side'><p>Left and right.</p></div>{ARTICLE}</article>")) == "Left and right.\n\n" + TEXT
+    linked = "<p><a href='/x'>A paragraph of the article that is one link.</a></p>"
+    assert html_text.main_text(page(f"<article>{ARTICLE}{linked}</article>")) == TEXT + "\n\nA paragraph of the article that is one link."
+    assert html_text.main_text(page(f"<div>{NOISE}</div><div>{ARTICLE}{linked}</div>")) == TEXT + "\n\nA paragraph of the article that is one link."
+
+
+def test_surge_and_dive():
+    long = "<p>" + "A sentence of some length in the body of the text. " * 6 + "</p>"
+    text = html.unescape(re.sub("<.?p>", "", long)).strip()
+    got = html_text.main_text(page(f"<div>Buy this now.</div><div><div>{long}</div><div><p>Short.</p></div><div>{long}</div></div><div>Thanks, great read!</div>"))
+    assert got == "\n\n".join([text, "Short.", text])
+
+
+def test_odd_markup_takes_linear_time():
+    for odd in ("<div>" * 90_000 + "</i>" * 90_000, "<script " * 120_000, "<!" * 400_000, "<b>" * 100_000 + "</div>" * 100_000, "<a href=\"" * 90_000):
+        start = time.time()
+        html_text.main_text(odd)
+        assert time.time() - start < 5
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", page(ARTICLE), "z"), (1, "u", page(ARTICLE), "z"), (None, None, None, None)],
                                   "page_id long, url string, html string, text string")

@@ -1,11 +1,11 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-A page becomes lines, one for each block of text; markup that cannot be the article (menus, adverts,
-forms, comments and the like, by tag, role or class) leaves a gap of empty lines. Text lengths are
-summed over a window sliding along the lines. The sum surges where the article begins and dives to
-nothing at a gap; each stretch between a surge and its dive is a candidate, and its lines are kept
-whole. Where the page marks its article itself, the stretches inside that mark are taken, else
-those whose links hold little of their text and that are long enough by themselves or beside the densest one.
+A page becomes lines, one for each block of text, with a gap of empty lines wherever a container (``div``, ``section``
+and the like) begins or ends. A line weighs its characters outside links; markup that surrounds articles (menus,
+adverts, forms, comments, by tag, role or class) weighs nothing, a page's own article mark and its title weigh
+more. Weights are summed over a window that slides along the lines. The sum surges where it reaches a share of the
+page's greatest sum and dives where it comes to nothing; what surges, with the rest of the innermost container it lies
+in, sets the bounds, and the text between the first surge and the last dive is kept.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,152 +22,233 @@ from pyspark.sql import functions as F
 
 from treelake.llm.common import exact_id
 
-#: Lines in a window; share of the densest stretch, or characters, that a stretch needs; most link text in it.
-WINDOW, SHARE, ENOUGH, LINKS = 3, 0.25, 140, 0.5
+#: Lines in a window; share of the page's greatest sum at which a sum surges; share of link text that makes a menu.
+WINDOW, SURGE, LINKS = 3, 0.4, 0.5
+#: How much more a line weighs inside the page's own article mark, and as its title.
+MARKED, TITLE = 20, 10
+#: Share of the page's text above which an element is a wrapper, whatever its class says.
+WRAPPER = 0.5
 
-_RAW = re.compile(r"<(script|style|noscript|template|textarea|title|svg|math|select|iframe|object|xmp)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))",
-                  re.S | re.I)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>", re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*)(?:>|\Z|(?=<))")
+_NEXT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+                   r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*)(?:>|\Z|(?=<))", re.S)
 _MARK = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-_DROP = {"nav", "header", "footer", "aside", "form", "button", "head", "menu", "dialog", "label", "input",
-         "fieldset", "audio", "video", "canvas", "map", "optgroup", "datalist"}
+#: Elements whose content is no markup; it is skipped to the closing tag.
+_RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp")}
+_DROP = {"nav", "header", "footer", "aside", "form", "button", "head", "menu", "dialog", "label", "fieldset", "audio", "video",
+         "canvas", "map", "optgroup", "datalist", "svg", "math", "select", "object"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
-_BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "figcaption",
-          "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table",
-          "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"} | _DROP
-_HOLD = {"article", "main"}
+_CONTAINER = {"article", "main", "section", "div", "td", "th", "details", "center"} | _DROP
+_BLOCK = {"address", "body", "blockquote", "dd", "dl", "dt", "figure", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li",
+          "ol", "p", "pre", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul", "caption"} | _CONTAINER
+_SELF_CLOSING = {"p", "li", "td", "th", "tr", "dt", "dd", "option"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog",
           "menu", "menubar", "toolbar", "tablist"}
 #: Words in a class or id that mark what surrounds an article.
-_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion",
-          "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "nav",
-          "navbar", "navigation", "menu", "menus", "submenu", "breadcrumb", "breadcrumbs", "sidebar", "side", "aside", "widget",
-          "footer", "foot", "header", "masthead", "topbar", "toolbar", "comment", "comments", "commentlist", "disqus",
-          "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "recommendations", "trending",
-          "popular", "newsletter", "subscribe", "subscription", "signup", "login", "search", "pagination", "pager", "tags",
-          "tagcloud", "copyright", "legal", "disclaimer", "skip", "paywall", "teaser", "teasers", "outbrain", "taboola"}
-#: Such a word as part of a longer one counts too.
-_PARTS = re.compile(r"sidebar|cookie|advert|breadcrumb|newsletter|navbar|comments?$|footer$|^nav|^menu|menu$|sponsor")
+_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "cookie",
+          "cookies", "consent", "gdpr", "popup", "modal", "overlay", "nav", "navbar", "navigation", "menu", "menus", "submenu", "breadcrumb",
+          "breadcrumbs", "sidebar", "footer", "masthead", "topbar", "toolbar", "comment", "comments", "commentlist", "disqus", "respond",
+          "replies", "social", "related", "recommended", "recommendations", "newsletter", "subscribe", "subscription", "signup",
+          "login", "pagination", "pager", "tagcloud", "paywall", "outbrain", "taboola"}
+#: Words that mark it only in a class or id made up of such words.
+_WEAK = {"banner", "notice", "notices", "alert", "aside", "side", "widget", "widgets", "foot", "header", "reply", "share", "sharing", "trending",
+         "popular", "search", "tags", "copyright", "legal", "disclaimer", "skip", "teaser", "teasers", "links", "buttons"}
+_FILLER = {"site", "page", "main", "top", "bottom", "left", "right", "box", "bar", "area", "section", "block", "list", "wrap", "wrapper",
+           "container", "inner", "content", "post", "posts", "item", "global"}
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _surrounds(tag: str, attributes: str) -> bool:
-    """Whether the element cannot belong to the article's text."""
-    if tag in _DROP:
-        return True
-    if tag in ("html", "body") or not attributes:
-        return False
-    for name, a, b, c in _MARK.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+def _names_surroundings(value: str) -> bool:
+    for whole in value.split():
+        words = [w.lower() for w in _SPLIT.split(whole) if len(w) > 1]
+        if any(w in _WORDS for w in words):
             return True
-        if name == "role" and value.strip().lower() in _ROLES:
+        if any(w in _WEAK for w in words) and all(w in _WEAK or w in _FILLER for w in words):
             return True
-        if name in ("class", "id") and tag not in ("main",):
-            for whole in value.split():
-                words = [w.lower() for w in _SPLIT.split(whole) if w]
-                if any(w in _WORDS or _PARTS.search(w) for w in words):
-                    return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters of it inside links, inside a marked article) of each line; empty lines for gaps."""
-    page = _COMMENT.sub(" ", _RAW.sub(" ", page))
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []
+def _surrounds(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element is no part of an article for certain, and whether its class says so."""
+    if tag in _DROP:
+        return True, False
+    if tag in ("html", "body") or not attributes.strip():
+        return False, False
+    named = False
+    for name, a, b, c in _MARK.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if (name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value)
+                or name == "role" and value.strip().lower() in _ROLES):
+            return True, False
+        named = named or name in ("class", "id") and _names_surroundings(value)
+    return False, named
+
+
+@dataclass
+class Line:
+    """A block's text, characters of it inside links, its innermost container, mark and shade, or -1 for none; a title."""
+
+    text: str
+    linked: int
+    container: int
+    mark: int
+    shade: int
+    title: bool
+
+
+@dataclass
+class Page:
+    """Lines (None: an empty one), for each container its first line and the line after its last, and for each
+    element that may surround the article (a shade) the shade around it and whether it surely does."""
+
+    lines: list[Line | None] = field(default_factory=list)
+    containers: list[list[int]] = field(default_factory=list)
+    shades: list[tuple[int, bool]] = field(default_factory=list)
+
+
+def read(page: str) -> Page:
+    """The page's lines, in one pass over its markup; every element is opened and closed once."""
+    out = Page()
+    stack: list[tuple[str, int, int, int]] = []  # tag, and the container, mark and shade inside it
+    at_depth: dict[str, list[int]] = {}
     text: list[str] = []
-    linked = dropped = held = links = 0
+    linked = link_depth = at = 0
+    container = mark = shade = -1
+    title = False
 
     def close() -> None:
         nonlocal linked
         line = " ".join(entities.unescape("".join(text)).split())
         if line:
-            out.append((line, min(linked, len(line)), held > 0))
+            out.lines.append(Line(line, min(linked, len(line)), container, mark, shade, title))
         text.clear()
         linked = 0
 
+    def around() -> None:
+        nonlocal container, mark, shade
+        container, mark, shade = stack[-1][1:] if stack else (-1, -1, -1)
+
     def pop() -> None:
-        nonlocal dropped, held, links
-        tag, drops = stack.pop()
-        dropped -= drops
-        held -= tag in _HOLD and not drops
-        links -= tag == "a"
-        if drops and not dropped:
-            out.extend([("", 0, held > 0)] * WINDOW)
-
-    at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at and not dropped:
-            piece = page[at : m.start()]
-            text.append(piece)
-            linked += len(piece) if links else 0
+        nonlocal link_depth, title
+        tag, inside, _, _ = stack.pop()
+        at_depth[tag].pop()
+        if tag in _CONTAINER:
+            out.containers[inside][1] = len(out.lines)
+            out.lines.extend([None] * WINDOW)
+        if len(stack) < link_depth:
+            link_depth = 0
+        title = title and tag != "h1"
+        around()
+
+    while m := _NEXT.search(page, at):
+        if m.start() > at:
+            text.append(page[at : m.start()])
+            linked += m.start() - at if link_depth else 0
         at = m.end()
-        tag = m[2].lower()
-        if tag == "br" and not dropped:
+        if not (tag := (m[2] or "").lower()):
+            continue
+        if tag == "br":
             text.append(" ")
-        if tag in _BLOCK and not dropped:
+        if tag in _BLOCK:
             close()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    while len(stack) > k:
-                        pop()
-                    break
-        elif tag not in _VOID and not m[3].endswith("/"):
-            if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                pop()
-            if tag == "a" and links:
-                while any(s[0] == "a" for s in stack) and stack[-1][0] != "p":
+            if tag == "a":
+                link_depth = 0
+            elif at_depth.get(tag):
+                depth = at_depth[tag][-1]
+                while len(stack) > depth:
                     if stack[-1][0] in _BLOCK:
-                        break
+                        close()
                     pop()
-            drops = _surrounds(tag, m[3])
-            stack.append((tag, drops))
-            dropped += drops
-            held += tag in _HOLD and not drops
-            links += tag == "a"
-    if not dropped:
-        text.append(page[at:])
+        elif tag in _RAW:
+            if not m[3].endswith("/"):
+                end = _RAW[tag].search(page, at)
+                at = end.start() if end else len(page)
+        elif tag == "a":
+            link_depth = len(stack) + 1
+        elif tag not in _VOID and not m[3].endswith("/"):
+            if tag in _SELF_CLOSING and stack and stack[-1][0] == tag:
+                pop()
+            sure, named = _surrounds(tag, m[3])
+            if tag in _CONTAINER:
+                out.lines.extend([None] * WINDOW)
+                container = len(out.containers)
+                out.containers.append([len(out.lines), -1])
+            if tag in ("article", "main") and not (tag == "main" and mark >= 0):
+                mark = container
+            if sure or named:
+                out.shades.append((shade, sure))
+                shade = len(out.shades) - 1
+            title = title or tag == "h1"
+            at_depth.setdefault(tag, []).append(len(stack))
+            stack.append((tag, container, mark, shade))
+    text.append(page[at:])
     close()
+    for c in out.containers:
+        c[1] = len(out.lines) if c[1] < 0 else c[1]
+    return out
+
+
+def _shaded(page: Page) -> list[bool]:
+    """Whether each shade is one: for certain, or by a class on what holds no more than ``WRAPPER`` of the text."""
+    held = [0] * len(page.shades)
+    total = 0
+    for line in page.lines:
+        if line:
+            total += len(line.text)
+            if line.shade >= 0:
+                held[line.shade] += len(line.text)
+    for k in range(len(held) - 1, -1, -1):
+        if page.shades[k][0] >= 0:
+            held[page.shades[k][0]] += held[k]
+    out: list[bool] = []
+    for k, (outer, sure) in enumerate(page.shades):
+        out.append(outer >= 0 and out[outer] or sure or held[k] <= WRAPPER * total)
     return out
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by empty lines; "" if there are none."""
-    all_lines = lines(page or "")
-    sizes = [len(t) for t, _, _ in all_lines]
-    n = len(sizes)
-    sums = [sum(sizes[i : i + WINDOW]) for i in range(n)]
-    stretches: list[tuple[int, int]] = []
+    read_ = read(page or "")
+    shaded = _shaded(read_)
+    lines = [x if x and not (x.shade >= 0 and shaded[x.shade]) else None for x in read_.lines]
+
+    def weight(x: Line | None) -> int:
+        if not x:
+            return 0
+        # Inside a mark, links are as good as other text.
+        return len(x.text) * MARKED * (TITLE if x.title else 1) if x.mark >= 0 else max(0, len(x.text) - 2 * x.linked) * (TITLE if x.title else 1)
+
+    n = len(lines)
+    total = [0, *accumulate(map(weight, lines))]
+    sums = [total[min(i + WINDOW, n)] - total[i] for i in range(n)]
+    top = max(sums, default=0)
+    if not top:
+        return ""
+    first, last, own, around = n, 0, [False] * n, set()
     i = 0
     while i < n:
         if not sums[i]:
             i += 1
             continue
-        begin = i
+        begin, surges = i, False
         while i < n and sums[i]:
+            surges = surges or sums[i] >= SURGE * top
             i += 1
-        stretches.append((begin, i))
-    if not stretches:
-        return ""
-    marked = [any(held for t, _, held in all_lines[a:b] if t) for a, b in stretches]
-    if any(marked):
-        kept = [t for (a, b), m in zip(stretches, marked, strict=True) if m
-                for t, _, held in all_lines[a:b] if t and held]
-        return "\n\n".join(kept)
-    weight = [sum(max(0, len(t) - 2 * k) for t, k, _ in all_lines[a:b]) for a, b in stretches]
-    top = max(weight)
+        if surges:
+            weighty = [k for k in range(begin, i) if total[k + 1] > total[k]]
+            own[weighty[0] : weighty[-1] + 1] = [True] * (weighty[-1] + 1 - weighty[0])
+            first, last = min(first, weighty[0]), max(last, weighty[-1] + 1)
+            for k in weighty:
+                inside = lines[k].mark if lines[k].mark >= 0 else lines[k].container
+                if inside >= 0 and inside not in around:
+                    around.add(inside)
+                    first, last = min(first, read_.containers[inside][0]), max(last, read_.containers[inside][1])
     kept = []
-    for (a, b), w in zip(stretches, weight, strict=True):
-        total = sum(sizes[a:b])
-        inside = sum(k for _, k, _ in all_lines[a:b])
-        if w >= min(SHARE * top, ENOUGH) and inside <= LINKS * total:
-            kept += [t for t, k, _ in all_lines[a:b] if t and not (k > LINKS * len(t) and len(t) < 200)]
+    for x, surged in zip(lines[first:last], own[first:last], strict=True):
+        if x and (surged or x.mark >= 0 or x.container in around or x.linked <= LINKS * len(x.text)):
+            kept.append(x.text)
     return "\n\n".join(kept)
 
 
