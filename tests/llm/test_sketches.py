@@ -33,7 +33,8 @@ def test_against_the_sets_themselves(spark):
 
 
 def test_retries_find_what_a_small_sketch_misses(spark, monkeypatch):
-    monkeypatch.setattr(sketches, "LEAST", 1)
+    monkeypatch.setattr(sketches, "ROOM", 0.1)
+    monkeypatch.setattr(sketches, "BASE", 2)
     monkeypatch.setattr(sketches, "ROUNDS", 4)
     rng = random.Random(8)
     rows = [(k, "\n".join(f"{rng.randrange(60)}" for _ in range(12))) for k in range(30)]

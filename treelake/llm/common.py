@@ -31,6 +31,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once into a reliable checkpoint that keeps its partitioning, so that what is grouped or joined by
+    the same key later needs no exchange. (A plan that may still be changed at run time promises no partitioning.)"""
+    spark = df.sparkSession
+    shared_dir(spark)
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,26 +5,38 @@ most ``UNIT`` words so that a change in a long line stays local. A sketch has th
 cells; each digest goes to one cell of each, which counts it and keeps the XOR of the digests
 and of their checks. Two sketches subtract cell by cell, common digests cancel, and peeling
 recovers the others: a cell of one digest gives it away, it is taken out of its other cells, and
-so on. A table is peeled at once in each round, so no digest is found twice in a round. A pair
+so on. A table is peeled at once in each round, so no digest is found twice in a round.
+
+The fingerprint is the sketch of ``BASE`` cells a table. The counts of two fingerprints' difference
+estimate how many digests differ, as their squares grow with that number alone; the estimate
+sizes the sketch that is peeled, which is the fingerprints' own difference where that is large enough. A pair
 whose cells don't empty is tried again with four times the cells.
 
 All steps after the first exchange are keyed by document: building, subtracting and peeling are
-groupings inside the partitions in which the texts already are.
+groupings inside the partitions in which the texts already are, small enough to be held in memory.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treelake.llm.common import cut, shuffle_partitions, text_of
+from treelake.llm.common import cut, settled, shuffle_partitions, text_of
 
-#: Words in a paragraph's run; cells in each table of the printed sketch; rounds of peeling.
+#: Words in a paragraph's run; cells in each table of a fingerprint (a power of two); rounds of peeling; retries.
 UNIT, BASE, ROUNDS, RETRIES = 12, 8, 12, 8
-#: Cells in each table of the smallest sketch that is peeled.
-LEAST = 32
+#: Cells in all tables for each digest that is thought to differ.
+ROOM = 2.4
+#: Characters of text that one task holds, as long as there are no more than so many tasks.
+TASK_CHARS, MOST_TASKS = 4_000_000, 100_000
 _NULL_KEY = -(1 << 63)
 _PARAGRAPH = r"\S++(?:[^\S\n]++\S++){0,%d}+" % (UNIT - 1)
+#: A slot names a cell of a pair's sketch: the pair, the logarithm of the table's size, and the cell or ``_FOUND``.
+_CELL = 1 << 48
+_FOUND = _CELL - 1
 
 
 def digests(text: Column) -> Column:
@@ -37,70 +49,102 @@ def _check(digest: Column) -> Column:
 
 
 def _cell(digest: Column, table: int, size: Column) -> Column:
-    return (F.pmod(F.xxhash64(digest, F.lit(table)), size.cast("long")) + size * table).cast("int")
+    return F.xxhash64(digest, F.lit(table)).bitwiseAND(size - 1) + size * table
+
+
+def _sketched(sets: DataFrame, *names: str) -> DataFrame:
+    """``sets`` with ``<name>_cells`` for each array of digests ``name``: its fingerprint, an array of (n, x, c)."""
+    size, zero = F.lit(BASE).cast("long"), F.lit(0).cast("long")
+    none = F.struct(zero.alias("n"), zero.alias("x"), zero.alias("c"))
+
+    def cell(name: str, j: int) -> Column:
+        place = f"t{j // BASE}"
+        return F.aggregate(f"{name}_placed", none, lambda acc, e: F.when(e[place] != j, acc).otherwise(F.struct(
+            (acc["n"] + 1).alias("n"), acc["x"].bitwiseXOR(e["d"]).alias("x"), acc["c"].bitwiseXOR(e["c"]).alias("c"))))
+
+    placed = lambda d: F.struct(d.alias("d"), _check(d).alias("c"), *[_cell(d, t, size).alias(f"t{t}") for t in range(3)])
+    sets = sets.withColumns({f"{n}_placed": F.transform(n, placed) for n in names})
+    return sets.withColumns({f"{n}_cells": F.array(*[cell(n, j) for j in range(3 * BASE)]) for n in names}).drop(
+        *[f"{n}_placed" for n in names])
 
 
-def _cells(of: Column, sign: int, size: Column) -> Column:
-    """Entries (cell, n, x, c) of an array of digests."""
-    entry = lambda d, t: F.struct(_cell(d, t, size).alias("cell"), F.lit(sign).cast("long").alias("n"),
-                                  d.alias("x"), _check(d).alias("c"))
-    return F.flatten(F.transform(of, lambda d: F.array(entry(d, 0), entry(d, 1), entry(d, 2))))
+def _size(a: str, b: str) -> Column:
+    """The logarithm of the size of the tables that are to be peeled, from the fingerprints ``a`` and ``b``."""
+    diff = F.zip_with(f"{a}_cells", f"{b}_cells", lambda p, q: p["n"] - q["n"])
+    squares = F.aggregate(diff, F.lit(0).cast("long"), lambda acc, d: acc + d * d) / 3.0
+    apart = F.abs(F.size(a) - F.size(b)).cast("double")
+    # The squares of a table add up to the digests that differ, but for those that share a cell.
+    about = F.greatest((squares - apart * apart / F.lit(float(BASE))) / (1 - 1 / BASE), apart)
+    cells = F.least(about, (F.size(a) + F.size(b)).cast("double")) * ROOM / 3
+    return F.ceil(F.log2(F.greatest(cells, F.lit(float(BASE))))).cast("int")
 
 
-def _summed(cells: DataFrame, *by: str) -> DataFrame:
+def _summed(cells: DataFrame) -> DataFrame:
     """Entries of a cell added up; cells that hold nothing go."""
-    out = cells.groupBy(*by, "cell").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
-    return out.where("cell < 0 or n <> 0 or x <> 0 or c <> 0")
-
-
-def _differences(pairs: DataFrame, boost: int) -> DataFrame:
-    """``pairs`` (key, a, b, which) to (key, which, total, delta, left): digests of both sides, found in
-    one alone, and cells that did not empty."""
-    total = F.size("a") + F.size("b")
-    size = F.lit(LEAST * boost) * F.pow(F.lit(4.0), F.ceil(F.log(4.0, F.greatest(total / F.lit(1.0 * LEAST), F.lit(1.0)))))
-    sized = pairs.select("key", "which", "a", "b", total.cast("long").alias("total"), size.cast("int").alias("size"))
-    head = F.array(F.struct(F.lit(-2).alias("cell"), F.col("total").alias("n"), F.lit(0).cast("long").alias("x"),
-                            F.lit(0).cast("long").alias("c")))
-    entries = F.concat(head, _cells(F.col("a"), 1, F.col("size")), _cells(F.col("b"), -1, F.col("size")))
-    by = ("key", "which", "size")
-    cells = _summed(sized.select(*by, F.explode(entries).alias("e")).select(*by, "e.*"), *by)
+    out = cells.groupBy("key", "slot").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
+    return out.where("n <> 0 or x <> 0 or c <> 0")
+
+
+def _differences(sets: DataFrame, boost: int) -> DataFrame:
+    """``sets`` (key, own, edited, next, log0, log1) to (key, delta0, left0, delta1, left1) of each document and its
+    edited version (0) or the next document (1): digests found in one of the two alone, and cells that did not empty.
+    Tables have 2 to the power of ``log`` and ``boost`` cells. A pair without a difference has nulls or zeros."""
+    def entries(p: Column) -> Column:
+        base = (p["which"].cast("long") * 64 + p["log"]) * F.lit(_CELL)
+        size = F.pow(F.lit(2.0), p["log"]).cast("long")
+        entry = lambda d, sign, t: F.struct((base + _cell(d, t, size)).alias("slot"), F.lit(sign).cast("long").alias("n"),
+                                            d.alias("x"), _check(d).alias("c"))
+        of = lambda side, sign: F.transform(side, lambda d: F.array(*[entry(d, sign, t) for t in range(3)]))
+        return F.flatten(F.concat(of(p["a"], 1), of(p["b"], -1)))
+
+    pair = lambda k, other: F.struct(F.lit(k).alias("which"), (F.col(f"log{k}") + boost).alias("log"), F.col("own").alias("a"),
+                                     F.col(other).alias("b"))
+    rows = sets.select("key", F.explode(F.array(pair(0, "edited"), pair(1, "next"))).alias("p"))
+    rows = rows.select("key", F.explode(entries(F.col("p"))).alias("e"))
+    cells = _summed(rows.select("key", "e.*"))
+    cell = F.pmod(F.col("slot"), F.lit(_CELL))
+    base = F.col("slot") - cell
+    size = F.pow(F.lit(2.0), F.pmod(F.floor(F.col("slot") / F.lit(_CELL)), F.lit(64))).cast("long")
     for k in range(ROUNDS):
         table = k % 3
-        pure = ((F.col("cell") >= F.col("size") * table) & (F.col("cell") < F.col("size") * (table + 1))
-                & (F.abs("n") == 1) & (F.col("c") == _check(F.col("x"))))
-        self_ = F.struct("cell", "n", "x", "c")
-        taken = F.struct(F.lit(-1).alias("cell"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("x"),
-                         F.lit(0).cast("long").alias("c"))
-        others = [F.struct(_cell(F.col("x"), t, F.col("size")).alias("cell"), (-F.col("n")).alias("n"), F.col("x").alias("x"),
+        pure = ((F.col("cell") >= F.col("size") * table) & (F.col("cell") < F.col("size") * (table + 1)) & (F.abs("n") == 1)
+                & (F.col("c") == _check(F.col("x"))))
+        none = F.lit(0).cast("long")
+        taken = F.struct((F.col("base") + _FOUND).alias("slot"), F.lit(1).cast("long").alias("n"), none.alias("x"), none.alias("c"))
+        others = [F.struct((F.col("base") + _cell(F.col("x"), t, F.col("size"))).alias("slot"), (-F.col("n")).alias("n"), F.col("x").alias("x"),
                            F.col("c").alias("c")) for t in range(3) if t != table]
-        peeled = F.when(pure, F.array(taken, *others)).otherwise(F.array(self_))
-        cells = _summed(cells.select(*by, F.explode(peeled).alias("e")).select(*by, "e.*"), *by)
-    found = lambda c: F.coalesce(F.sum(F.when(F.col("cell") == c, F.col("n"))), F.lit(0))
-    return cells.groupBy("key", "which").agg(found(-2).alias("total"), found(-1).alias("delta"),
-                                             F.count_if(F.col("cell") >= 0).alias("left"))
+        peeled = F.when(pure, F.array(taken, *others)).otherwise(F.array(F.struct("slot", "n", "x", "c")))
+        known = cells.select("key", "slot", "n", "x", "c", cell.alias("cell"), base.alias("base"), size.alias("size"))
+        cells = _summed(known.select("key", F.explode(peeled).alias("e")).select("key", "e.*"))
+    found = cell == _FOUND
+    which = F.floor(F.col("slot") / F.lit(64 * _CELL))
+    of = lambda k: [F.sum(F.when(which == k, F.when(found, F.col("n")).otherwise(0))).alias(f"delta{k}"),
+                    F.count_if((which == k) & ~found).alias(f"left{k}")]
+    return cells.groupBy("key").agg(*of(0), *of(1))
 
 
 def _printed(cells: Column) -> Column:
     """A sketch as text: each cell that holds something, in order, as hexadecimal digits."""
     hexed = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
-    return F.concat_ws("", F.transform(F.array_sort(cells), lambda e: F.concat(
-        hexed(e["cell"], 2), hexed(e["n"], 6), hexed(e["x"], 16), hexed(e["c"], 8))))
+    return F.concat_ws("", F.transform(cells, lambda e, j: F.when(e["n"] != 0, F.concat(
+        hexed(j, 2), hexed(e["n"], 6), hexed(e["x"], 16), hexed(e["c"], 8)))))
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
+def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
     """``docs`` (key, tie, n_chars) to (key, user, third): the document that takes this one as its next in
-    descending order, and how many characters of it; the greatest key serves the least."""
+    descending order, and how many characters of it; the greatest key serves the least. And the characters of all."""
     spark = docs.sparkSession
     one = docs.groupBy("key").agg(F.min(F.struct("tie", "n_chars")).alias("s")).select("key", "s.n_chars")
     ranges = cut(one.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
-    heads = [(r["part"], r["h"]["key"], r["h"]["n_chars"]) for r in
-             ranges.groupBy("part").agg(F.min(F.struct("key", "n_chars")).alias("h")).orderBy("part").collect()]
+    parts = ranges.groupBy("part").agg(F.min(F.struct("key", "n_chars")).alias("h"), F.sum("n_chars").alias("n")).orderBy("part").collect()
+    heads = [(r["part"], r["h"]["key"], r["h"]["n_chars"]) for r in parts]
     after = [(p, *heads[(k + 1) % len(heads)][1:]) for k, (p, _, _) in enumerate(heads)]
     following = spark.createDataFrame(after, "part int, after_key long, after_chars int")
     w = Window.partitionBy("part").orderBy("key")
     led = ranges.select("key", "part", F.lead("key").over(w).alias("user"), F.lead("n_chars").over(w).alias("chars"))
-    return led.join(F.broadcast(following), "part").select(
+    led = led.join(F.broadcast(following), "part").select(
         "key", F.coalesce("user", "after_key").alias("user"), F.floor(F.coalesce("chars", "after_chars") / 3).cast("int").alias("third"))
+    return led, sum(r["n"] for r in parts)
 
 
 def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,60 +153,51 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The edited text has its last third replaced by as many first characters of the next document in
     descending order of id (the last one's next is the first). Likeness is the share of paragraphs
     in both among those in either, worked out from the sketches; two texts without a paragraph are
-    alike (1). Null text counts as empty. A null id ranks after all others. An id that repeats counts
-    once, with the text whose hash is least; other columns are ignored; an empty table gives an
+    alike (1). Null text counts as empty. Ids must be whole numbers or null; a null id ranks after all others. An id that
+    repeats counts once, with the text whose hash is least; other columns are ignored; an empty table gives an
     empty result.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_KEY)).alias("key"), text_of(text_col).alias("text"))
-    served = neighbours(rows.select("key", F.xxhash64("text").alias("tie"), F.char_length("text").alias("n_chars")))
+    served, chars = neighbours(rows.select("key", F.xxhash64("text").alias("tie"), F.char_length("text").alias("n_chars")))
+    tasks = max(shuffle_partitions(docs.sparkSession), min(ceil(chars / TASK_CHARS), MOST_TASKS))
     w = Window.partitionBy("key").orderBy(F.xxhash64("text"))
-    single = rows.withColumn("at", F.row_number().over(w)).where("at = 1").drop("at")
+    single = rows.repartition(tasks, "key").withColumn("at", F.row_number().over(w)).where("at = 1").drop("at")
     heads = single.join(served, "key").select(F.col("user").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("third")).alias("head"),
                                               digests(F.col("text")).alias("next"))
     n = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
-    both = single.join(heads, "key").select("key", "text", edited.alias("edited"), "next")
-    sets = both.select("key", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                       digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edited"), "next")
-
-    size = F.lit(BASE)
-    by = ("key", "n_chars", "edited_sha256", "which")
-    mark = F.array(F.struct(F.lit(-1).alias("cell"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("x"),
-                            F.lit(0).cast("long").alias("c")))
-    printed = sets.select(*by[:3], F.explode(F.array(
-        F.struct(F.lit(0).alias("which"), F.concat(mark, _cells(F.col("own"), 1, size)).alias("e")),
-        F.struct(F.lit(1).alias("which"), F.concat(mark, _cells(F.col("edited"), 1, size)).alias("e")))).alias("s"))
-    printed = printed.select(*by[:3], "s.which", F.explode("s.e").alias("e")).select(*by, "e.*")
-    held = lambda k: F.collect_list(F.when((F.col("which") == k) & (F.col("cell") >= 0), F.struct("cell", "n", "x", "c")))
-    printed = _summed(printed, *by).groupBy(*by[:3]).agg(_printed(held(0)).alias("fingerprint"),
-                                                        _printed(held(1)).alias("edited_fingerprint"))
-
-    # One job reads the texts: sketches, differences, and the digests of those few pairs that did not decode.
-    kept = sets.select(F.col("key").alias("__key"), "own", "edited", "next")
-    found = printed.join(_by_document(_differences(_pairs(sets), 1)), "key").join(kept, F.col("key") == F.col("__key")).drop("__key")
-    sides = ("own", "edited", "next")
-    found = cut(found.withColumns({c: F.when(F.col("left") > 0, F.col(c)) for c in sides}))
-    boost = 1
-    while found.where("left > 0").head(1):
-        boost *= 4
-        if boost > 4**RETRIES:
-            raise RuntimeError("a sketch did not decode at any size")
-        failed = found.where("left > 0")
-        better = failed.drop("left", "near_edited", "near_next").join(_by_document(_differences(_pairs(failed), boost)), "key")
-        better = better.withColumns({c: F.when(F.col("left") > 0, F.col(c)) for c in sides})
-        found = cut(found.where("left = 0").unionByName(better))
-    return found.select(F.nullif(F.col("key"), F.lit(_NULL_KEY)).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint",
-                        "edited_fingerprint", "near_edited", "near_next")
-
-
-def _pairs(sets: DataFrame) -> DataFrame:
-    """Each document beside its edited version (0) and beside the next document (1)."""
-    pair = lambda k, other: F.struct(F.lit(k).alias("which"), F.col("own").alias("a"), F.col(other).alias("b"))
-    return sets.select("key", F.explode(F.array(pair(0, "edited"), pair(1, "next"))).alias("p")).select("key", "p.*")
-
-
-def _by_document(found: DataFrame) -> DataFrame:
-    """(key, left, near_edited, near_next): likeness from the digests of both sides and those found in one alone."""
-    like = lambda k: F.max(F.when(F.col("which") == k, F.when(F.col("total") == 0, 1.0).otherwise(
-        (F.col("total") - F.col("delta")) / (F.col("total") + F.col("delta")))))
-    return found.groupBy("key").agg(F.sum("left").alias("left"), like(0).alias("near_edited"), like(1).alias("near_next"))
+    both = single.join(heads.repartition(tasks, "key"), "key").select("key", "text", edited.alias("edited"), "next")
+    # The texts end here; what is kept of them stays partitioned by document.
+    sets = settled(both.select("key", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"),
+                       digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edited"), "next"))
+
+    sized = _sketched(sets.select("key", "own", "edited", "next"), "own", "edited", "next")
+    sized = sized.withColumns({"log0": _size("own", "edited"), "log1": _size("own", "next")})
+    found = settled(_differences(sized, 0))
+    failed = cut(sized.drop("own_cells", "edited_cells", "next_cells").join(_unsolved(found), "key", "left_semi"))
+    solved: list[DataFrame] = []
+    for k in range(1, RETRIES + 1):
+        if failed.isEmpty():
+            break
+        better = cut(_differences(failed, 2 * k))
+        solved.append(better.where("left0 = 0 and left1 = 0"))
+        failed = failed.join(_unsolved(better), "key", "left_semi")
+    else:
+        raise RuntimeError("a sketch did not decode at any size")
+
+    out = _sketched(sets, "own", "edited").join(found.select("key", "delta0", "delta1"), "key", "left")
+    if solved:
+        again = reduce(DataFrame.unionByName, solved).select("key", F.col("delta0").alias("again0"), F.col("delta1").alias("again1"))
+        out = out.join(again, "key", "left").withColumns({f"delta{k}": F.coalesce(f"again{k}", f"delta{k}") for k in (0, 1)})
+
+    def likeness(k: int, other: str) -> Column:
+        total, delta = F.size("own") + F.size(other), F.coalesce(F.col(f"delta{k}"), F.lit(0))
+        return F.when(total == 0, 1.0).otherwise((total - delta) / (total + delta))
+
+    return out.select(F.nullif(F.col("key"), F.lit(_NULL_KEY)).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
+                      _printed(F.col("own_cells")).alias("fingerprint"), _printed(F.col("edited_cells")).alias("edited_fingerprint"),
+                      likeness(0, "edited").alias("near_edited"), likeness(1, "next").alias("near_next"))
+
+
+def _unsolved(found: DataFrame) -> DataFrame:
+    return found.where("left0 > 0 or left1 > 0").select("key")
