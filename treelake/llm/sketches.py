@@ -52,33 +52,44 @@ def _cell(digest: Column, table: int, size: Column) -> Column:
     return F.xxhash64(digest, F.lit(table)).bitwiseAND(size - 1) + size * table
 
 
-def _sketched(sets: DataFrame, *names: str) -> DataFrame:
-    """``sets`` with ``<name>_cells`` for each array of digests ``name``: its fingerprint, an array of (n, x, c)."""
-    size, zero = F.lit(BASE).cast("long"), F.lit(0).cast("long")
-    none = F.struct(zero.alias("n"), zero.alias("x"), zero.alias("c"))
-
-    def cell(name: str, j: int) -> Column:
-        place = f"t{j // BASE}"
-        return F.aggregate(f"{name}_placed", none, lambda acc, e: F.when(e[place] != j, acc).otherwise(F.struct(
-            (acc["n"] + 1).alias("n"), acc["x"].bitwiseXOR(e["d"]).alias("x"), acc["c"].bitwiseXOR(e["c"]).alias("c"))))
-
-    placed = lambda d: F.struct(d.alias("d"), _check(d).alias("c"), *[_cell(d, t, size).alias(f"t{t}") for t in range(3)])
-    sets = sets.withColumns({f"{n}_placed": F.transform(n, placed) for n in names})
-    return sets.withColumns({f"{n}_cells": F.array(*[cell(n, j) for j in range(3 * BASE)]) for n in names}).drop(
-        *[f"{n}_placed" for n in names])
-
-
-def _size(a: str, b: str) -> Column:
-    """The logarithm of the size of the tables that are to be peeled, from the fingerprints ``a`` and ``b``."""
-    diff = F.zip_with(f"{a}_cells", f"{b}_cells", lambda p, q: p["n"] - q["n"])
-    squares = F.aggregate(diff, F.lit(0).cast("long"), lambda acc, d: acc + d * d) / 3.0
+def _placed(digests: DataFrame, size: Column, *by: str) -> DataFrame:
+    """``digests`` (by, d) to one row for each table's cell of a digest: (by, cell, d, c)."""
+    rows = digests.select(*by, "d", _check(F.col("d")).alias("c"), F.array(*[_cell(F.col("d"), t, size) for t in range(3)]).alias("cells"))
+    return rows.select(*by, "d", "c", F.explode("cells").alias("cell"))
+
+
+def _base_cells(sets: DataFrame, *names: str) -> DataFrame:
+    """The fingerprints' cells, (key, side, cell, d, c) for each digest in one, the side being the index of its array."""
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(n).alias("of")) for i, n in enumerate(names)])
+    rows = sets.select("key", F.explode(sides).alias("s")).select("key", "s.side", F.explode("s.of").alias("d"))
+    return _placed(rows, F.lit(BASE).cast("long"), "key", "side")
+
+
+def _squares(sets: DataFrame) -> DataFrame:
+    """(key, squares0, squares1): sums of the squared counts of the difference between the fingerprints of the text and
+    of the edited one, and of the next document."""
+    n = lambda side: F.count_if(F.col("side") == side)
+    counts = _base_cells(sets, "own", "edited", "next").groupBy("key", "cell").agg((n(0) - n(1)).alias("a"), (n(0) - n(2)).alias("b"))
+    return counts.groupBy("key").agg(F.sum(F.col("a") * F.col("a")).alias("squares0"), F.sum(F.col("b") * F.col("b")).alias("squares1"))
+
+
+def _size(squares: str, a: str, b: str) -> Column:
+    """The logarithm of the size of the tables that are to be peeled, from the fingerprints of ``a`` and ``b``."""
     apart = F.abs(F.size(a) - F.size(b)).cast("double")
     # The squares of a table add up to the digests that differ, but for those that share a cell.
-    about = F.greatest((squares - apart * apart / F.lit(float(BASE))) / (1 - 1 / BASE), apart)
+    about = F.greatest((F.coalesce(F.col(squares), F.lit(0)) / 3.0 - apart * apart / F.lit(float(BASE))) / (1 - 1 / BASE), apart)
     cells = F.least(about, (F.size(a) + F.size(b)).cast("double")) * ROOM / 3
     return F.ceil(F.log2(F.greatest(cells, F.lit(float(BASE))))).cast("int")
 
 
+def _prints(sets: DataFrame) -> DataFrame:
+    """(key, fingerprint, edited_fingerprint)."""
+    cells = _base_cells(sets, "own", "edited").groupBy("key", "side", "cell").agg(
+        F.count("*").alias("n"), F.bit_xor("d").alias("x"), F.bit_xor("c").alias("c"))
+    of = lambda side: _printed(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("cell", "n", "x", "c")))))
+    return cells.groupBy("key").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
+
+
 def _summed(cells: DataFrame) -> DataFrame:
     """Entries of a cell added up; cells that hold nothing go."""
     out = cells.groupBy("key", "slot").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("c").alias("c"))
@@ -89,19 +100,13 @@ def _differences(sets: DataFrame, boost: int) -> DataFrame:
     """``sets`` (key, own, edited, next, log0, log1) to (key, delta0, left0, delta1, left1) of each document and its
     edited version (0) or the next document (1): digests found in one of the two alone, and cells that did not empty.
     Tables have 2 to the power of ``log`` and ``boost`` cells. A pair without a difference has nulls or zeros."""
-    def entries(p: Column) -> Column:
-        base = (p["which"].cast("long") * 64 + p["log"]) * F.lit(_CELL)
-        size = F.pow(F.lit(2.0), p["log"]).cast("long")
-        entry = lambda d, sign, t: F.struct((base + _cell(d, t, size)).alias("slot"), F.lit(sign).cast("long").alias("n"),
-                                            d.alias("x"), _check(d).alias("c"))
-        of = lambda side, sign: F.transform(side, lambda d: F.array(*[entry(d, sign, t) for t in range(3)]))
-        return F.flatten(F.concat(of(p["a"], 1), of(p["b"], -1)))
-
-    pair = lambda k, other: F.struct(F.lit(k).alias("which"), (F.col(f"log{k}") + boost).alias("log"), F.col("own").alias("a"),
-                                     F.col(other).alias("b"))
-    rows = sets.select("key", F.explode(F.array(pair(0, "edited"), pair(1, "next"))).alias("p"))
-    rows = rows.select("key", F.explode(entries(F.col("p"))).alias("e"))
-    cells = _summed(rows.select("key", "e.*"))
+    side = lambda k, name, sign: F.struct(
+        F.lit(sign).cast("long").alias("n"), ((F.lit(64 * k) + F.col(f"log{k}") + boost).cast("long") * F.lit(_CELL)).alias("base"),
+        F.pow(F.lit(2.0), F.col(f"log{k}") + boost).cast("long").alias("size"), F.col(name).alias("of"))
+    sides = F.array(side(0, "own", 1), side(0, "edited", -1), side(1, "own", 1), side(1, "next", -1))
+    rows = sets.select("key", F.explode(sides).alias("s")).select("key", "s.n", "s.base", "s.size", F.explode("s.of").alias("d"))
+    rows = _placed(rows, F.col("size"), "key", "n", "base", "size")
+    cells = _summed(rows.select("key", (F.col("base") + F.col("cell")).alias("slot"), "n", F.col("d").alias("x"), "c"))
     cell = F.pmod(F.col("slot"), F.lit(_CELL))
     base = F.col("slot") - cell
     size = F.pow(F.lit(2.0), F.pmod(F.floor(F.col("slot") / F.lit(_CELL)), F.lit(64))).cast("long")
@@ -126,8 +131,7 @@ def _differences(sets: DataFrame, boost: int) -> DataFrame:
 def _printed(cells: Column) -> Column:
     """A sketch as text: each cell that holds something, in order, as hexadecimal digits."""
     hexed = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
-    return F.concat_ws("", F.transform(cells, lambda e, j: F.when(e["n"] != 0, F.concat(
-        hexed(j, 2), hexed(e["n"], 6), hexed(e["x"], 16), hexed(e["c"], 8)))))
+    return F.concat_ws("", F.transform(cells, lambda e: F.concat(hexed(e["cell"], 2), hexed(e["n"], 6), hexed(e["x"], 16), hexed(e["c"], 8))))
 
 
 def neighbours(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -171,10 +175,10 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = settled(both.select("key", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"),
                        digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edited"), "next"))
 
-    sized = _sketched(sets.select("key", "own", "edited", "next"), "own", "edited", "next")
-    sized = sized.withColumns({"log0": _size("own", "edited"), "log1": _size("own", "next")})
+    sized = sets.select("key", "own", "edited", "next").join(_squares(sets), "key", "left")
+    sized = sized.withColumns({"log0": _size("squares0", "own", "edited"), "log1": _size("squares1", "own", "next")})
     found = settled(_differences(sized, 0))
-    failed = cut(sized.drop("own_cells", "edited_cells", "next_cells").join(_unsolved(found), "key", "left_semi"))
+    failed = cut(sized.join(_unsolved(found), "key", "left_semi"))
     solved: list[DataFrame] = []
     for k in range(1, RETRIES + 1):
         if failed.isEmpty():
@@ -185,7 +189,7 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     else:
         raise RuntimeError("a sketch did not decode at any size")
 
-    out = _sketched(sets, "own", "edited").join(found.select("key", "delta0", "delta1"), "key", "left")
+    out = sets.join(_prints(sets), "key", "left").join(found.select("key", "delta0", "delta1"), "key", "left")
     if solved:
         again = reduce(DataFrame.unionByName, solved).select("key", F.col("delta0").alias("again0"), F.col("delta1").alias("again1"))
         out = out.join(again, "key", "left").withColumns({f"delta{k}": F.coalesce(f"again{k}", f"delta{k}") for k in (0, 1)})
@@ -195,7 +199,7 @@ def compare_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return F.when(total == 0, 1.0).otherwise((total - delta) / (total + delta))
 
     return out.select(F.nullif(F.col("key"), F.lit(_NULL_KEY)).alias("doc_id"), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
-                      _printed(F.col("own_cells")).alias("fingerprint"), _printed(F.col("edited_cells")).alias("edited_fingerprint"),
+                      F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
                       likeness(0, "edited").alias("near_edited"), likeness(1, "next").alias("near_next"))
 
 
