@@ -317,10 +317,13 @@ def simple8b_encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for s in np.unique(selector[~raw]):
         own = selector == s
         bits, count = _BITS[s - 1], _COUNTS[s - 1]
-        word = np.full(int(own.sum()), np.uint64(int(s) << 60))
+        at, end = starts[own], ends[own]
+        word = np.full(len(at), np.uint64(int(s) << 60))
+        tail = at + count > end
         for k in range(count):
-            inside = starts[own] + k < ends[own]
-            word |= np.where(inside, flat[starts[own] + k], np.uint64(0)) << np.uint64(k * bits)
+            value = flat[at + k]
+            value[tail & (at + k >= end)] = 0
+            word |= value << np.uint64(k * bits)
         words[place[own]] = word
     block_of = starts // BLOCK
     first = np.searchsorted(block_of, np.arange(n_blocks))
@@ -370,7 +373,7 @@ FILE_SCHEMA = T.StructType([
     T.StructField("doc_ids", T.ArrayType(T.StringType())), T.StructField("lengths", T.ArrayType(T.IntegerType())),
     T.StructField("offsets", T.BinaryType()), T.StructField("words", T.BinaryType())])
 #: Ids a file row gathers before it is closed; a document is never split between rows.
-ROW_IDS = 1 << 17
+ROW_IDS = 1 << 20
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int | None = None,
