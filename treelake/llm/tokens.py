@@ -66,11 +66,11 @@ class WordEncoder:
     def _words(self, text: str) -> tuple[bool, list[str]]:
         """Whether the words are lower-cased, and the words. Plain Latin texts are lower-cased and
         have stops and commas set apart, which leaves the same pieces and far fewer distinct words."""
-        plain = not _UNUSUAL.search(text) and not _PUNCTUATION_RUN.search(text)
-        if plain:
-            text = text.lower() + " "
-            text = text.replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
-        return plain, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        usual = flat.isprintable() if flat.isascii() else not _UNUSUAL.search(text)
+        if usual and not _PUNCTUATION_RUN.search(text):
+            return True, (flat.lower() + " ").replace(". ", " . ").replace(", ", " , ").split(" ")
+        return False, flat.split(" ")
 
     def _learn_letters(self, memo: dict[str, bytes], words: list[str]) -> None:
         """Lower-cased words of letters are one piece each, which the library's model takes directly."""
@@ -359,10 +359,13 @@ def simple8b_decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarra
         own = sel == s
         bits, mask = np.uint64(_BITS[s - 1]), np.uint64((1 << _BITS[s - 1]) - 1)
         w = words[heads[own]]
-        for k in range(_COUNTS[s - 1]):
-            to = start[own] + k
-            inside = to < end[own]
-            out[to[inside]] = (w[inside] >> (np.uint64(k) * bits)) & mask
+        at, last, count_ = start[own], end[own], _COUNTS[s - 1]
+        full = at + count_ <= last
+        for k in range(count_):
+            out[at[full] + k] = (w[full] >> (np.uint64(k) * bits)) & mask
+        for to, until, word in zip(at[~full].tolist(), last[~full].tolist(), w[~full]):
+            for k in range(until - to):
+                out[to + k] = (word >> (np.uint64(k) * bits)) & mask
     return out
 
 
