@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from treelake.model import EX, LABEL, RDFS, SCHEMAS, TYPE, XSD
 from treelake.operators import metrics, neighborhood, shapes
 from treelake.operators import patterns as P
+from treelake.operators.filters import first_per
 
 B = "https://example.org/"
 
@@ -90,10 +91,10 @@ def test_components_against_union_find(spark):
 
 
 def test_literals(spark):
-    g = graph(spark, [("a", "p", "x", "lit"), ("a", "p", "x", "lit"), ("a", "p", " ", "lit", None, "en"), ("a", "p", "1", "lit", XSD + "integer"),
+    g = graph(spark, [("a", "p", "x", "lit"), ("a", "p", "x", "lit"), ("a", "p", " ", "lit", None, "en"), ("a", "p", "1", "lit", XSD + "integer"), ("a", "q", "", "lit"),
                       ("a", "http://www.w3.org/2002/07/owl#sameAs", "b")])
-    assert metrics.literal_quality(g).first().asDict() == {"literals": 4, "untyped": 2, "empty": 1, "same_as": 1, "duplicates": 1}
-    assert {r.label: r.n for r in metrics.literal_distribution(g, "o_dt").collect()} == {"None": 3, "xsd:integer": 1}
+    assert metrics.literal_quality(g).first().asDict() == {"literals": 5, "untyped": 3, "empty": 1, "same_as": 1, "duplicates": 1}
+    assert {r.label: r.n for r in metrics.literal_distribution(g, "o_dt").collect()} == {"None": 4, "xsd:integer": 1}
 
 
 def test_neighborhood(spark):
@@ -103,6 +104,12 @@ def test_neighborhood(spark):
     assert pairs(neighborhood.around(g, "a", 1, "in")) == {("x", "a")}
     assert pairs(neighborhood.around(g, "a", 2)) == {("a", "b"), ("b", "c"), ("x", "a")}
     assert pairs(neighborhood.search(g, "needle")) == {("a", "b"), ("x", "a"), ("a", EX + "C")}
+    assert pairs(neighborhood.search(g, "Z2")) == {("z", "z2")}
+    assert pairs(neighborhood.around(g, "needl", 1, "out")) == {("a", "b")}
+    both = graph(spark, [("hub", "p", "m"), ("hub", "p", "n"), ("m", "p", "n"), ("n", "p", "far")])
+    assert pairs(neighborhood.search(both, "hub")) == {("hub", "m"), ("hub", "n"), ("m", "n")}
+    alone = neighborhood.most_connected(neighborhood.edges(both), nodes=1).collect()
+    assert [(r.s, r.total_nodes, r.total_edges, r.truncated) for r in alone] == [(None, 4, 4, True)]
     e = neighborhood.edges(g, with_terms=False)
     top = neighborhood.most_connected(e, nodes=3, edges=1).collect()
     assert len(top) == 1 and top[0].truncated and top[0].total_nodes == 7 and top[0].total_edges == 5
@@ -110,6 +117,34 @@ def test_neighborhood(spark):
     assert nodes["a"]["class"] == "C" and (nodes["a"].degree, nodes["a"].shown, nodes["a"].hidden) == (2, 1, 1)
 
 
+def test_all_measures_in_one_row(spark):
+    g = graph(spark, [(B + "a", TYPE, B + "Class"), (B + "a", LABEL, "A", "lit"), (B + "a", B + "linksTo", B + "b"), (B + "c", B + "note", "", "lit"),
+                      (B + "c", "http://www.w3.org/2002/07/owl#sameAs", B + "c"), (B + "c", B + "note", "", "lit")])
+    got = metrics.graph_metrics(g, B).first().asDict()
+    assert {k: got[k] for k in ("triples", "subjects", "predicates", "objects", "iri_count", "literals", "classes", "subjects_without_type")} == {
+        "triples": 6, "subjects": 2, "predicates": 5, "objects": 5, "iri_count": 9, "literals": 3, "classes": 1, "subjects_without_type": 1}
+    assert (got["duplicate_triples"], got["same_as_count"], got["empty_literals"], got["label_coverage"]) == (1, 1, 2, 50.0)
+    assert (got["components"], got["largest_component"], got["largest_distance"], got["external_iri_count"]) == (2, 3, 2, 3)
+    assert (got["resource_nodes"], got["weakly_connected_nodes"], got["avg_out_degree"]) == (4, 2, 0.75)
+    empty = metrics.graph_metrics(g.limit(0)).first()
+    assert (empty.triples, empty.components, empty.largest_component, empty.label_coverage, empty.avg_out_degree) == (0, 0, 0, 0.0, 0.0)
+
+
+def test_first_of_each_key(spark):
+    df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 3, "z")], "k string, at int, v string")
+    assert {(r.k, r.v) for r in first_per(df, ["k"], ["at"]).collect()} == {("a", "x"), ("b", "z")}
+
+
+def test_messages_and_conformity(spark):
+    g = graph(spark, [("q", B + "unit", "m")])
+    shape = shapes.Shape("q", subjects_of=B + "unit", properties=[shapes.Property(B + "title", 1, message="A title is needed."), shapes.Property(B + "unit", max_count=1)],
+                         not_exists=B + "unit", message="No unit here.")
+    found = shapes.validate(g, [shape])
+    assert {(r.component, r.message) for r in found.collect()} == {("minCount", "A title is needed."), ("notExists", "No unit here.")}
+    assert shapes.conforms(found).first().conforms is False
+    assert shapes.conforms(shapes.validate(g, [shapes.Shape("e", target_nodes=["q"])])).first().conforms is True
+
+
 def test_shapes_with_subclasses(spark):
     unit = graph(spark, [("m", TYPE, B + "LengthUnit"), ("q", B + "unit", "m"), ("q", B + "created", "2024", "lit", XSD + "string")])
     shape = shapes.Shape("q", target_nodes=["q"], properties=[shapes.Property(B + "unit", of_class=B + "Unit", node_kind="iri", min_count=1)])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_filters import attributes, objects
 
 from treelake.model import SCHEMAS, Catalogue
+from treelake.operators import arrays
 from treelake.operators import triples as T
 from treelake.sources import documents, files
 from treelake.streaming import ingest
@@ -137,3 +138,26 @@ def test_contextual(spark, cat):
     rows = {(r.s, r.p, r.o, r.o_kind) for r in T.contextual(cat.objects, cat.attributes, notes).collect()}
     assert ("http://s", "http://p", "m/s", "lit") in rows and ("https://example.org/f/u", T.SCHEMA_ABOUT, "http://s", "iri") in rows
     assert ("https://example.org/f/grp", T.RDF_VALUE, "a group", "lit") in rows and len(rows) == 4
+
+
+def test_escapes_and_rejected_lines(spark):
+    lines = spark.createDataFrame([(r'<http://a/\u00e9> <http://p> "t\tb\b n\n \\ \" \' \u00E9 \U0001F600 \\u0041" .',), ("# a comment",), ("",), ("no triple",), ("<a> <b>",)], "value string")
+    got = files.parse_ntriples(lines).collect()
+    assert [(r.s, r.o) for r in got] == [("http://a/é", "t\tb\b n\n \\ \" ' é 😀 \\u0041")]
+    assert files.rejected(lines).first().n == 2
+
+
+def test_rows_of_trees_reach_every_depth(spark, cat):
+    rows = {(r.file_id, r.name): json.loads(r.node) for r in documents.tree_rows(cat).collect()}
+    assert len(rows) == cat.objects.count() and all(n["kind"] in ("group", "dataset") for n in rows.values())
+
+
+def test_conflicting_coordinates(spark):
+    grid = spark.createDataFrame([(1.0, 5.0, 6.0), (2.0, 7.0, 8.0)], "x double, u double, v double")
+    own = lambda *values: spark.createDataFrame([("x", i, v) for i, v in enumerate(values)], "name string, index long, v double")
+    assert {(r.x, r.name, r.v) for r in arrays.to_datasets(grid, ["x"], ["u", "v"], own(1.0, 2.0)).collect()} == {
+        (1.0, "u", 5.0), (1.0, "v", 6.0), (2.0, "u", 7.0), (2.0, "v", 8.0)}
+    with pytest.raises(Exception, match="a coordinate exists with other values: x"):
+        arrays.to_datasets(grid, ["x"], ["u"], own(1.0, 3.0)).collect()
+    twice = lambda df: df.withColumn("v", F.col("v") * 2)
+    assert arrays.decode_all(arrays.to_datasets(grid, ["x"], ["u"]), [twice, twice]).agg(F.max("v")).first()[0] == 28.0

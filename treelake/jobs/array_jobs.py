@@ -44,24 +44,24 @@ def _indexed(spark, sf_dir):
 
 
 @query(views("series") + """, s AS (SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY coord) - 1 AS BIGINT) AS i, CAST(coord AS DOUBLE) AS coord FROM series),
-  q AS (SELECT DISTINCT dataset, CAST(coord + 1800 AS DOUBLE) AS request FROM series WHERE coord % 10 = 3)
+  q AS (SELECT DISTINCT dataset, CAST(coord + 1800 AS DOUBLE) AS request FROM series)
   SELECT dataset, request, i, coord FROM (SELECT q.dataset, request, i, coord, row_number() OVER (PARTITION BY q.dataset, request ORDER BY abs(coord - request), i) AS n
     FROM q JOIN s ON s.dataset = q.dataset) WHERE n = 1""")
 def nearest_join(spark, sf_dir):
-    requests = user_series(spark, sf_dir).where("coord % 10 = 3").select("dataset", (F.col("coord") + 1800).cast("double").alias("request")).distinct()
+    requests = user_series(spark, sf_dir).select("dataset", (F.col("coord") + 1800).cast("double").alias("request")).distinct()
     return arrays.nearest_join(requests, _indexed(spark, sf_dir), ["dataset"])
 
 
-@query(views("emb") + "SELECT i0, i1, round(v, 6) AS v, label FROM emb WHERE i1 < 4")
+@query(views("emb") + "SELECT i0, i1, round(v, 6) AS v, label FROM emb")
 def attach_coords(spark, sf_dir):
-    values = arrays.isel(embedding_values(spark, sf_dir), i1=slice(0, 4))
+    values = embedding_values(spark, sf_dir)
     scale = table(spark, sf_dir, "embeddings").select(F.lit("emb").alias("file_id"), F.col("vec_id").cast("int").alias("i"), F.col("label").alias("coord"))
     return arrays.attach_coords(values, scale, "i0", "label").select("i0", "i1", F.round("v", 6).alias("v"), "label")
 
 
-@query(views("emb") + "SELECT i0, i1, round(v, 6) AS v, CASE WHEN (i0 + i1) % 2 = 0 THEN i0 % 7 END AS flag FROM emb WHERE i1 < 2")
+@query(views("emb") + "SELECT i0, i1, round(v, 6) AS v, CASE WHEN (i0 + i1) % 2 = 0 THEN i0 % 7 END AS flag FROM emb")
 def attach_flags(spark, sf_dir):
-    values = arrays.isel(embedding_values(spark, sf_dir), i1=slice(0, 2))
+    values = embedding_values(spark, sf_dir)
     flags = values.where("(i0 + i1) % 2 = 0").select("file_id", "i0", "i1", (F.col("i0") % 7).alias("flag"))
     return arrays.attach_flags(values, flags, ["file_id", "i0", "i1"]).select("i0", "i1", F.round("v", 6).alias("v"), "flag")
 
@@ -118,4 +118,5 @@ def stack_arrays(spark, sf_dir):
 @query("SELECT s_suppkey AS key, 'balance' AS name, round(s_acctbal, 6) AS v FROM supplier UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS DOUBLE) FROM supplier")
 def unpivot_grid(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.round("s_acctbal", 6).alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
-    return s.unpivot(["key"], ["balance", "nation"], "name", "v")
+    scale = table(spark, sf_dir, "supplier").select(F.lit("key").alias("name"), F.col("s_suppkey").alias("index"), F.col("s_suppkey").cast("double").alias("v"))
+    return arrays.to_datasets(s, ["key"], ["balance", "nation"], existing=scale)

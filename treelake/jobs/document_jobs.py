@@ -96,8 +96,8 @@ def verify_checksums(spark, sf_dir):
 
 @query("""SELECT doc_id, md5(coalesce(text, '')) AS md5, octet_length(encode(coalesce(text, ''))) AS length FROM documents""")
 def checksum(spark, sf_dir):
-    text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("md5"), F.octet_length(text).cast("long").alias("length"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    return files.with_checksums(d).select("doc_id", "md5", "length")
 
 
 _TYPES = ("click", "error", "purchase", "signup", "view")

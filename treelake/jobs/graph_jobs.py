@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from treelake.functions import paths
 from treelake.jobs.registry import query
 from treelake.jobs.views_sql import views
-from treelake.model import EX, LABEL, TYPE, XSD, containment, entity_triples, table, text_triples
+from treelake.model import EX, LABEL, OWL, TYPE, XSD, contact_triples, containment, entity_triples, table, text_triples
 from treelake.operators import metrics, neighborhood
 from treelake.operators import patterns as P
+from treelake.operators.filters import first_per
 
 _T = views("triples")
+_LINKED = views("triples", "contacts", "linked")
 #: The label of an IRI of the entity graph, in DuckDB.
 _LABEL = (f"CASE WHEN {{0}} = '{TYPE}' THEN 'rdf:type' WHEN {{0}} = '{LABEL}' THEN 'rdfs:label' "
           f"WHEN starts_with({{0}}, '{XSD}') THEN 'xsd:' || substr({{0}}, {len(XSD) + 1}) "
@@ -19,6 +21,11 @@ _LABEL = (f"CASE WHEN {{0}} = '{TYPE}' THEN 'rdf:type' WHEN {{0}} = '{LABEL}' TH
           "ELSE regexp_extract(regexp_extract({0}, '([^#]*)$', 1), '([^/]*)$', 1) END")
 
 
+def _linked(spark, sf_dir):
+    """The entity graph and what other sources add to it: blank nodes, sameAs statements, empty literals."""
+    return entity_triples(spark, sf_dir).unionByName(contact_triples(spark, sf_dir))
+
+
 def _label(c: str) -> str:
     return _LABEL.format(c)
 
@@ -49,10 +56,13 @@ def bgp_optional(spark, sf_dir):
 
 
 @query(_T + f"""SELECT s AS customer FROM triples a WHERE p = '{TYPE}' AND o = '{EX}class/customer'
-  AND NOT EXISTS (SELECT 1 FROM triples b WHERE b.p = '{EX}by' AND b.o = a.s)""")
+  AND NOT EXISTS (SELECT 1 FROM triples b JOIN triples c ON c.s = b.s AND c.p = '{EX}total' AND CAST(c.o AS DOUBLE) > 400000
+    WHERE b.p = '{EX}by' AND b.o = a.s)""")
 def bgp_not_exists(spark, sf_dir):
     t = entity_triples(spark, sf_dir)
-    return P.without(P.match(t, ("?customer", TYPE, EX + "class/customer")), P.match(t, ("?order", EX + "by", "?customer")))
+    large = P.match(t, ("?order", EX + "total", "?total")).where(F.col("total").try_cast("double") > 400000)
+    orders = P.join(P.match(t, ("?order", EX + "by", "?customer")), large)
+    return P.without(P.match(t, ("?customer", TYPE, EX + "class/customer")), orders.select("customer"))
 
 
 @query(_T + f"""SELECT s AS part, o AS name, EXISTS (SELECT 1 FROM triples WHERE p = '{EX}name' AND o = 'small ring') AS asked FROM triples a
@@ -178,18 +188,49 @@ def graph_counts(spark, sf_dir):
     return metrics.graph_counts(entity_triples(spark, sf_dir))
 
 
-@query(_T + """SELECT count(DISTINCT t) AS iri_count, CAST(0 AS BIGINT) AS blank_nodes FROM (
-  SELECT s AS t FROM triples UNION ALL SELECT p FROM triples UNION ALL SELECT o FROM triples WHERE o_kind = 'iri')""")
+@query(_LINKED + """SELECT count(DISTINCT t) FILTER (k = 'iri') AS iri_count, count(DISTINCT t) FILTER (k = 'bnode') AS blank_nodes FROM (
+  SELECT s AS t, s_kind AS k FROM linked UNION ALL SELECT p, 'iri' FROM linked UNION ALL SELECT o, o_kind FROM linked)""")
 def graph_terms(spark, sf_dir):
-    return metrics.graph_terms(entity_triples(spark, sf_dir))
-
-
-@query(views("triples", "texts") + """, x AS (SELECT * FROM triples UNION ALL SELECT * FROM texts)
+    return metrics.graph_terms(_linked(spark, sf_dir))
+
+
+_METRICS = _LINKED.rstrip() + f""", t AS (SELECT s AS term, s_kind AS kind, NULL AS dt, NULL AS lang, 1 AS su, 0 AS pr, 0 AS ob, CAST(o_kind <> 'lit' AS INT) AS e_out, 0 AS e_in,
+    CAST(p = '{TYPE}' AS INT) AS ty, CAST(p = '{LABEL}' AS INT) AS la FROM linked
+  UNION ALL SELECT p, 'iri', NULL, NULL, 0, 1, 0, 0, 0, 0, 0 FROM linked
+  UNION ALL SELECT o, o_kind, o_dt, o_lang, 0, 0, 1, 0, CAST(o_kind <> 'lit' AS INT), 0, 0 FROM linked),
+  g AS (SELECT term, kind, dt, lang, sum(su) AS su, sum(pr) AS pr, sum(ob) AS ob, sum(e_out) AS e_out, sum(e_in) AS e_in, sum(ty) AS ty, sum(la) AS la
+    FROM t GROUP BY ALL),
+  n AS (SELECT count(*) FILTER (su > 0) AS subjects, count(*) FILTER (su > 0 OR (ob > 0 AND kind <> 'lit')) AS nodes FROM g)
+"""
+
+
+@query(_METRICS + f"""SELECT CAST(sum(su) AS BIGINT) AS triples, any_value(n.subjects) AS subjects, count(*) FILTER (pr > 0) AS predicates, count(*) FILTER (ob > 0) AS objects,
+  count(*) FILTER (kind = 'iri') AS iri_count, count(*) FILTER (kind = 'bnode') AS blank_nodes, CAST(sum(ob) FILTER (kind = 'lit') AS BIGINT) AS literals,
+  CAST(sum(ob) FILTER (kind = 'lit' AND dt IS NULL AND lang IS NULL) AS BIGINT) AS untyped_literals,
+  CAST(sum(ob) FILTER (kind = 'lit' AND term = '') AS BIGINT) AS empty_literals, round(CAST(sum(su) AS DOUBLE) / any_value(n.subjects), 6) AS avg_triples_per_subject,
+  (SELECT count(DISTINCT {_label('o')}) FROM linked WHERE p = '{TYPE}') AS classes, count(*) FILTER (su > 0 AND ty = 0) AS subjects_without_type,
+  count(*) FILTER (su > 0 AND la > 0) AS subjects_with_labels, count(*) FILTER (su > 0 AND la = 0) AS subjects_missing_labels,
+  round(100.0 * count(*) FILTER (su > 0 AND la > 0) / any_value(n.subjects), 6) AS label_coverage, count(*) FILTER (su = 1) AS subjects_with_one_triple,
+  any_value(n.nodes) AS resource_nodes, round(CAST(sum(e_out) AS DOUBLE) / any_value(n.nodes), 6) AS avg_out_degree,
+  round(CAST(sum(e_in) AS DOUBLE) / any_value(n.nodes), 6) AS avg_in_degree,
+  count(*) FILTER ((su > 0 OR (ob > 0 AND kind <> 'lit')) AND e_in + e_out <= 1) AS weakly_connected_nodes,
+  round(100.0 * count(*) FILTER (kind = 'bnode') / any_value(n.nodes), 6) AS blank_node_percentage,
+  CAST(sum(pr) FILTER (term = '{OWL}sameAs') AS BIGINT) AS same_as_count,
+  CAST(sum(su + pr + ob) FILTER (kind = 'iri' AND NOT starts_with(term, '{EX}')) AS BIGINT) AS external_iri_count,
+  (SELECT count(*) FROM linked) - (SELECT count(*) FROM (SELECT DISTINCT s, p, o, s_kind, o_kind, o_dt, o_lang FROM linked)) AS duplicate_triples,
+  CAST(1 AS BIGINT) AS components, any_value(n.nodes) AS largest_component, CAST(NULL AS BIGINT) AS largest_distance, false AS largest_distance_computed FROM g, n""")
+def graph_metrics(spark, sf_dir):
+    """Every measure in one row. The SQL takes for granted that the graph hangs together, which the query works out."""
+    return metrics.graph_metrics(_linked(spark, sf_dir), EX)
+
+
+@query(views("triples", "texts", "contacts") + f""", x AS (SELECT graph, s, p, o, o_kind, o_dt, o_lang FROM triples UNION ALL SELECT * FROM texts
+    UNION ALL SELECT graph, s, p, o, o_kind, o_dt, o_lang FROM contacts)
   SELECT count(*) FILTER (o_kind = 'lit') AS literals, count(*) FILTER (o_kind = 'lit' AND o_dt IS NULL AND o_lang IS NULL) AS untyped,
-  count(*) FILTER (o_kind = 'lit' AND trim(o) = '') AS empty, CAST(0 AS BIGINT) AS same_as,
+  count(*) FILTER (o_kind = 'lit' AND o = '') AS empty, count(*) FILTER (p = '{OWL}sameAs') AS same_as,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT s, p, o, o_kind, o_dt, o_lang FROM x)) AS duplicates FROM x""")
 def literal_quality(spark, sf_dir):
-    return metrics.literal_quality(entity_triples(spark, sf_dir).unionByName(text_triples(spark, sf_dir)))
+    return metrics.literal_quality(_linked(spark, sf_dir).unionByName(text_triples(spark, sf_dir)))
 
 
 @query(_T + """, c AS (SELECT s, count(*) AS n FROM triples GROUP BY s)
@@ -236,49 +277,44 @@ def external_namespaces(spark, sf_dir):
     return metrics.external_namespaces(entity_triples(spark, sf_dir), EX + "order/")
 
 
-_DEGREES = """, e AS (SELECT s, o FROM triples WHERE o_kind = 'iri'), nodes AS (SELECT s AS node FROM triples UNION SELECT o FROM e),
+_DEGREES = """, m AS (SELECT CASE s_kind WHEN 'bnode' THEN '_:' || s ELSE s END AS s, CASE o_kind WHEN 'bnode' THEN '_:' || o ELSE o END AS o, o_kind FROM linked),
+  e AS (SELECT s, o FROM m WHERE o_kind <> 'lit'), nodes AS (SELECT s AS node FROM m UNION SELECT o FROM e),
   d AS (SELECT node, coalesce(b.n, 0) AS out_degree, coalesce(a.n, 0) AS in_degree FROM nodes
     LEFT JOIN (SELECT s, count(*) AS n FROM e GROUP BY s) b ON b.s = node LEFT JOIN (SELECT o, count(*) AS n FROM e GROUP BY o) a ON a.o = node)"""
 
 
-@query(_T.rstrip() + _DEGREES + "SELECT node, out_degree, in_degree FROM d")
+@query(_LINKED.rstrip() + _DEGREES + "SELECT node, out_degree, in_degree FROM d")
 def degrees(spark, sf_dir):
-    return metrics.degrees(entity_triples(spark, sf_dir))
+    return metrics.degrees(_linked(spark, sf_dir))
 
 
-@query(_T.rstrip() + _DEGREES + """SELECT count(*) AS resource_nodes, CAST(0 AS BIGINT) AS blank_nodes, CAST(0 AS DOUBLE) AS blank_percent,
+@query(_LINKED.rstrip() + _DEGREES + """SELECT count(*) AS resource_nodes, count(*) FILTER (starts_with(node, '_:')) AS blank_nodes,
+  round(100.0 * count(*) FILTER (starts_with(node, '_:')) / count(*), 6) AS blank_percent,
   round(CAST(sum(out_degree) AS DOUBLE) / count(*), 6) AS avg_out, round(CAST(sum(in_degree) AS DOUBLE) / count(*), 6) AS avg_in,
   count(*) FILTER (out_degree + in_degree <= 1) AS weakly_connected FROM d""")
 def degree_summary(spark, sf_dir):
-    return metrics.degree_summary(entity_triples(spark, sf_dir))
+    return metrics.degree_summary(_linked(spark, sf_dir))
 
 
-@query("WITH RECURSIVE " + views("triples").removeprefix("WITH ") + f""", n AS (SELECT DISTINCT s, o FROM triples WHERE p = '{EX}inRegion'),
-  root AS (SELECT s AS node, o AS root FROM n UNION SELECT o, o FROM n),
-  c AS (SELECT t.s AS node, r.root FROM triples t JOIN root r ON r.node = t.o WHERE t.p = '{EX}inNation' AND t.s LIKE '{EX}customer/%')
-  SELECT node, min(root) OVER (PARTITION BY root) AS grp FROM (SELECT * FROM root UNION SELECT * FROM c)""")
+@query("WITH RECURSIVE " + views("triples").removeprefix("WITH ") + """, e AS MATERIALIZED (SELECT s AS a, o AS b FROM triples WHERE o_kind = 'iri'
+    UNION SELECT o, s FROM triples WHERE o_kind = 'iri'), least AS (SELECT min(a) AS node FROM e),
+  reach AS (SELECT node FROM least UNION SELECT e.b FROM reach JOIN e ON e.a = reach.node)
+  SELECT a AS node, CASE WHEN a IN (SELECT node FROM reach) THEN (SELECT node FROM least) END AS root FROM (SELECT DISTINCT a FROM e)""")
 def components(spark, sf_dir):
-    """Customers, nations and regions: a component for each region, named by that region here."""
-    t = entity_triples(spark, sf_dir)
-    edges = t.where((F.col("p") == EX + "inRegion") | ((F.col("p") == EX + "inNation") & F.col("s").startswith(EX + "customer/"))).select("s", "o")
-    found = metrics.components(edges)
-    named = found.where(F.col("node").startswith(EX + "region/")).select("root", F.col("node").alias("grp"))
-    return found.join(named, "root").select("node", "grp")
+    """All resources of the graph. The SQL names the least node's component and leaves the roots of others null."""
+    return metrics.components(metrics.resource_edges(entity_triples(spark, sf_dir)))
 
 
-@query("""SELECT CAST(4 AS BIGINT) AS largest_distance, true AS computed,
-  (SELECT count(DISTINCT n_regionkey) FROM nation) + count(*) AS resource_nodes FROM nation""")
+@query(_T + """SELECT CAST(NULL AS BIGINT) AS largest_distance, false AS computed, count(*) AS resource_nodes
+  FROM (SELECT s FROM triples UNION SELECT o FROM triples WHERE o_kind = 'iri')""")
 def largest_distance(spark, sf_dir):
-    """Of each region's tree of nations: two nations are two steps apart; joined by one planet it is four."""
-    t = entity_triples(spark, sf_dir).where(F.col("p") == EX + "inRegion")
-    planet = t.select("graph", F.col("o").alias("s"), "s_kind", F.lit(EX + "on").alias("p"), F.lit(EX + "earth").alias("o"), "o_kind", "o_dt", "o_lang")
-    out = metrics.largest_distance(t.unionByName(planet.distinct()))
-    return out.select("largest_distance", "computed", (F.col("resource_nodes") - 1).alias("resource_nodes"))
+    """Of the whole graph, which is above the limit of nodes: counted and not computed."""
+    return metrics.largest_distance(entity_triples(spark, sf_dir))
 
 
 @query(_T + "SELECT graph, count(*) AS n FROM triples GROUP BY graph")
 def count_triples(spark, sf_dir):
-    return entity_triples(spark, sf_dir).groupBy("graph").agg(F.count("*").alias("n"))
+    return metrics.triple_counts(entity_triples(spark, sf_dir))
 
 
 @query(_T + f""", c AS (SELECT graph, {_label('p')} AS label, count(*) AS n FROM triples GROUP BY 1, 2)
@@ -292,8 +328,7 @@ def topn_per_graph(spark, sf_dir):
 @query("""SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY user_id""")
 def first_subject(spark, sf_dir):
     """The first graph, in load order, that defines a subject."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("event_type"), F.min("event_id").alias("event_id"))
+    return first_per(table(spark, sf_dir, "events"), ["user_id"], ["event_id"]).select("user_id", "event_type", "event_id")
 
 
 # --- neighbourhoods ---------------------------------------------------------------------------------
@@ -311,9 +346,10 @@ def neighborhood_of(spark, sf_dir):
     return neighborhood.around(t, EX + "nation/3", depth=2, direction="both").select("s", "o")
 
 
-@query(_T + f""", e AS (SELECT DISTINCT s, p, o FROM triples WHERE o_kind = 'iri'), hit AS (SELECT DISTINCT s AS node FROM triples
-    WHERE p = '{LABEL}' AND contains(lower(o), 'nation_7'))
-  SELECT s, p, o FROM e WHERE s IN (SELECT node FROM hit) OR o IN (SELECT node FROM hit)""")
+@query(_T + f""", e AS (SELECT DISTINCT s, p, o FROM triples WHERE o_kind = 'iri'), hit AS (SELECT s AS node FROM triples
+    WHERE contains(lower(s), 'nation_7') OR (p = '{LABEL}' AND contains(lower(o), 'nation_7')) UNION SELECT o FROM e WHERE contains(lower(o), 'nation_7')),
+  near AS (SELECT node FROM hit UNION SELECT o FROM e JOIN hit ON hit.node = e.s UNION SELECT s FROM e JOIN hit ON hit.node = e.o)
+  SELECT s, p, o FROM e WHERE s IN (SELECT node FROM near) AND o IN (SELECT node FROM near)""")
 def neighborhood_search(spark, sf_dir):
     return neighborhood.search(entity_triples(spark, sf_dir), "Nation_7").select("s", "p", "o")
 
@@ -329,9 +365,9 @@ def node_table(spark, sf_dir):
 
 @query(_T + f""", e AS (SELECT DISTINCT s, o FROM triples WHERE o_kind = 'iri' AND p <> '{TYPE}'),
   d AS (SELECT node, count(*) AS degree FROM (SELECT s AS node FROM e UNION ALL SELECT o FROM e) GROUP BY node),
-  top AS (SELECT node FROM d ORDER BY degree DESC, {_label('node')}, node LIMIT 100),
+  top AS (SELECT node FROM d ORDER BY degree DESC, {_label('node')}, node LIMIT 200),
   kept AS (SELECT s, o FROM e WHERE s IN (SELECT node FROM top) AND o IN (SELECT node FROM top))
   SELECT s, o, (SELECT count(*) FROM d) AS total_nodes, (SELECT count(*) FROM e) AS total_edges, true AS truncated FROM kept""")
 def subgraph_top(spark, sf_dir):
     t = entity_triples(spark, sf_dir)
-    return neighborhood.most_connected(neighborhood.edges(t, with_terms=False), nodes=100, edges=100_000)
+    return neighborhood.most_connected(neighborhood.edges(t, with_terms=False), nodes=200, edges=100_000)

@@ -91,12 +91,12 @@ def shacl_validate(spark, sf_dir):
     return found.drop("message")
 
 
-@query(views("triples") + f""", t AS (SELECT DISTINCT s, p, o, o_kind FROM triples WHERE graph IN ('nation', 'customer'))
+@query(views("triples") + f""", t AS (SELECT DISTINCT s, p, o, o_kind FROM triples)
   SELECT s, p, o, o_kind FROM t UNION SELECT s, '{EX}within', o, o_kind FROM t WHERE p IN ('{EX}inNation', '{EX}inRegion')
   UNION SELECT s, '{TYPE}', x, 'iri' FROM t, (SELECT unnest(['{EX}class/party', '{EX}class/thing']) AS x) WHERE p = '{TYPE}' AND o = '{EX}class/customer'
   UNION SELECT o, '{TYPE}', x, 'iri' FROM t, (SELECT unnest(['{EX}class/area', '{EX}class/thing']) AS x) WHERE p IN ('{EX}inNation', '{EX}inRegion')""")
 def rdfs_closure(spark, sf_dir):
-    t = entity_triples(spark, sf_dir).where("graph in ('nation', 'customer')")
+    t = entity_triples(spark, sf_dir)
     rows = [(f"{EX}class/customer", RDFS + "subClassOf", f"{EX}class/party"), (f"{EX}class/party", RDFS + "subClassOf", f"{EX}class/thing"),
             (f"{EX}class/area", RDFS + "subClassOf", f"{EX}class/thing"), (EX + "inNation", RDFS + "subPropertyOf", EX + "within"),
             (EX + "inRegion", RDFS + "subPropertyOf", EX + "within"), (EX + "within", RDFS + "range", f"{EX}class/area")]

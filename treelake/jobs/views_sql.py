@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treelake.model import EX, LABEL, TYPE, XSD
+from treelake.model import EX, LABEL, OWL, TYPE, XSD
 
 _FILE = "'user_' || CAST(user_id AS VARCHAR)"
 _NAME = "'/' || event_type || '/e' || CAST(event_id AS VARCHAR)"
@@ -47,6 +47,15 @@ CTES = {
   UNION ALL SELECT 'order', '{EX}order/' || o_orderkey, '{EX}date', strftime(o_orderdate, '%Y-%m-%d'), 'lit', '{XSD}date', NULL FROM orders
   UNION ALL SELECT DISTINCT 'order', '{EX}order/' || l_orderkey, '{EX}hasPart', '{EX}part/' || l_partkey, 'iri', NULL, NULL FROM lineitem
   UNION ALL SELECT DISTINCT 'order', '{EX}order/' || l_orderkey, '{EX}fromSupplier', '{EX}supplier/' || l_suppkey, 'iri', NULL, NULL FROM lineitem)""",
+    "contacts": f"""contacts AS (
+  SELECT 'contacts' AS graph, '{EX}supplier/' || s_suppkey AS s, 'iri' AS s_kind, '{EX}contact' AS p, 'c' || s_suppkey AS o, 'bnode' AS o_kind,
+         CAST(NULL AS VARCHAR) AS o_dt, CAST(NULL AS VARCHAR) AS o_lang FROM supplier
+  UNION ALL SELECT 'contacts', 'c' || s_suppkey, 'bnode', '{EX}name', s_name, 'lit', NULL, NULL FROM supplier
+  UNION ALL SELECT 'contacts', 'c' || s_suppkey, 'bnode', '{EX}phone', CASE WHEN s_acctbal >= 0 THEN CAST(s_suppkey AS VARCHAR) ELSE '' END, 'lit', NULL, NULL FROM supplier
+  UNION ALL SELECT 'contacts', '{EX}supplier/' || s_suppkey, 'iri', '{OWL}sameAs', 'https://register.example.net/s#' || s_suppkey, 'iri', NULL, NULL
+    FROM supplier WHERE s_acctbal >= 0)""",
+    "linked": """linked AS (
+  SELECT graph, s, 'iri' AS s_kind, p, o, o_kind, o_dt, o_lang FROM triples UNION ALL SELECT graph, s, s_kind, p, o, o_kind, o_dt, o_lang FROM contacts)""",
     "member": f"""member AS (
   SELECT '{EX}region/' || n_regionkey AS s, '{EX}nation/' || n_nationkey AS o FROM nation
   UNION ALL SELECT '{EX}nation/' || c_nationkey, '{EX}customer/' || c_custkey FROM customer
@@ -66,4 +75,4 @@ CTES = {
 
 
 def views(*names: str) -> str:
-    return "WITH " + ",\n".join(CTES[n] for n in names) + "\n"
+    return "WITH " + ",\n".join(CTES[n].replace(" AS (", " AS MATERIALIZED (", 1) for n in names) + "\n"

@@ -6,18 +6,30 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's reliable checkpoint folder; a temporary one only where ``spark.checkpoint.dir`` is unset, as in
-    tests."""
+    """The cluster's reliable checkpoint folder; a temporary one only where ``spark.checkpoint.dir`` is unset and
+    all runs in one process, as in tests."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="treelake-"))
     return configured or sc.getCheckpointDir()
 
 
+def by_predicate(triples: DataFrame) -> DataFrame:
+    """``triples`` computed once, in Parquet with a folder for each predicate, so that a pattern reads its predicate alone."""
+    path = new_folder(triples.sparkSession, "triples")
+    fields = [c for c in triples.columns if c != "p"]
+    triples.withColumn("predicate", F.col("p")).write.partitionBy("predicate").option("compression", "zstd").parquet(path)
+    read = triples.sparkSession.read.schema(triples.select(*fields).schema.add("predicate", "string")).parquet(path)
+    return read.withColumn("p", F.col("predicate")).select(*triples.columns)
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
 

@@ -8,6 +8,7 @@ tables as an entity graph, embeddings as an array, prices as scaled data.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,44 +131,56 @@ def _iri(kind: str, key: str | Column) -> Column:
     return F.concat(F.lit(f"{EX}{kind}/"), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
-def _triple(s: Column, p: str, o: Column, kind: str, datatype: str | None = None, lang: Column | None = None) -> Column:
-    return F.struct(s.alias("s"), F.lit("iri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"),
-                    F.lit(datatype).cast("string").alias("o_dt"), (F.lit(None) if lang is None else lang).cast("string").alias("o_lang"))
+def _triples(df: DataFrame, graph: str, s: Column, p: str, o: Column, kind: str, datatype: str | None = None,
+             lang: Column | None = None, s_kind: str = "iri") -> DataFrame:
+    """One triple a row. Graph, predicate and kinds are literals, so a pattern drops all branches of a union but its own."""
+    return df.select(F.lit(graph).alias("graph"), s.alias("s"), F.lit(s_kind).alias("s_kind"), F.lit(p).alias("p"), o.alias("o"),
+                     F.lit(kind).alias("o_kind"), F.lit(datatype).cast("string").alias("o_dt"),
+                     (F.lit(None) if lang is None else lang).cast("string").alias("o_lang"))
 
 
 def entity_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types, labels, references, prices and dates of all business tables; one narrow pass for each table,
-    only the references of order lines are made distinct."""
+    """Types, labels, references, prices and dates of all business tables; a narrow pass for each predicate of a table, with the
+    columns it needs; only the references of order lines are made distinct."""
     t = lambda name: table(spark, sf_dir, name)
     rows: list[DataFrame] = []
 
-    def add(df: DataFrame, graph: str, *triples: Column) -> None:
-        rows.append(df.select(F.lit(graph).alias("graph"), F.explode(F.array(*triples)).alias("t")).select("graph", "t.*"))
-
-    def typed(kind: str, key: str) -> Column:
-        return _triple(_iri(kind, key), TYPE, F.lit(f"{EX}class/{kind}"), "iri")
-
-    r, n, c, s, p, o = (_iri(k, v) for k, v in (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"),
-                                               ("supplier", "s_suppkey"), ("part", "p_partkey"), ("order", "o_orderkey")))
-    double = XSD + "double"
-    add(t("region"), "region", typed("region", "r_regionkey"), _triple(r, LABEL, F.col("r_name"), "lit"))
-    add(t("nation"), "nation", typed("nation", "n_nationkey"), _triple(n, LABEL, F.col("n_name"), "lit"),
-        _triple(n, EX + "inRegion", _iri("region", "n_regionkey"), "iri"))
-    add(t("customer"), "customer", typed("customer", "c_custkey"), _triple(c, EX + "inNation", _iri("nation", "c_nationkey"), "iri"),
-        _triple(c, EX + "balance", F.col("c_acctbal").cast("decimal(18,2)").cast("string"), "lit", double))
-    add(t("supplier"), "supplier", typed("supplier", "s_suppkey"), _triple(s, EX + "inNation", _iri("nation", "s_nationkey"), "iri"))
-    add(t("part"), "part", typed("part", "p_partkey"), _triple(p, EX + "name", F.col("p_name"), "lit"))
-    add(t("orders"), "order", typed("order", "o_orderkey"), _triple(o, EX + "by", _iri("customer", "o_custkey"), "iri"),
-        _triple(o, EX + "total", F.col("o_totalprice").cast("decimal(18,2)").cast("string"), "lit", double),
-        _triple(o, EX + "date", F.date_format("o_orderdate", "yyyy-MM-dd"), "lit", XSD + "date"))
-    line = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    o = _iri("order", "l_orderkey")
-    add(line.select("l_orderkey", "l_partkey").distinct(), "order", _triple(o, EX + "hasPart", _iri("part", "l_partkey"), "iri"))
-    add(line.select("l_orderkey", "l_suppkey").distinct(), "order", _triple(o, EX + "fromSupplier", _iri("supplier", "l_suppkey"), "iri"))
-    out = rows[0]
-    for x in rows[1:]:
-        out = out.unionByName(x)
-    return out
+    def add(name: str, graph: str, s: Column, p: str, o: Column, kind: str = "iri", datatype: str | None = None) -> None:
+        rows.append(_triples(t(name), graph, s, p, o, kind, datatype))
+
+    keys = (("region", "region", "r_regionkey"), ("nation", "nation", "n_nationkey"), ("customer", "customer", "c_custkey"),
+            ("supplier", "supplier", "s_suppkey"), ("part", "part", "p_partkey"), ("orders", "order", "o_orderkey"))
+    for name, kind, key in keys:
+        add(name, kind, _iri(kind, key), TYPE, F.lit(f"{EX}class/{kind}"))
+    r, n, c, s, p, o = (_iri(kind, key) for _, kind, key in keys)
+    money = lambda name: F.col(name).cast("decimal(18,2)").cast("string")
+    add("region", "region", r, LABEL, F.col("r_name"), "lit")
+    add("nation", "nation", n, LABEL, F.col("n_name"), "lit")
+    add("nation", "nation", n, EX + "inRegion", _iri("region", "n_regionkey"))
+    add("customer", "customer", c, EX + "inNation", _iri("nation", "c_nationkey"))
+    add("customer", "customer", c, EX + "balance", money("c_acctbal"), "lit", XSD + "double")
+    add("supplier", "supplier", s, EX + "inNation", _iri("nation", "s_nationkey"))
+    add("part", "part", p, EX + "name", F.col("p_name"), "lit")
+    add("orders", "order", o, EX + "by", _iri("customer", "o_custkey"))
+    add("orders", "order", o, EX + "total", money("o_totalprice"), "lit", XSD + "double")
+    add("orders", "order", o, EX + "date", F.date_format("o_orderdate", "yyyy-MM-dd"), "lit", XSD + "date")
+    for p, kind, key in ((EX + "hasPart", "part", "l_partkey"), (EX + "fromSupplier", "supplier", "l_suppkey")):
+        line = t("lineitem").select("l_orderkey", key).distinct()
+        rows.append(_triples(line, "order", _iri("order", "l_orderkey"), p, _iri(kind, key), "iri"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def contact_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What other sources say of suppliers: a blank contact node with a name and a telephone number that may be empty, and
+    the same supplier in a register of the solvent ones."""
+    t = table(spark, sf_dir, "supplier")
+    s = _iri("supplier", "s_suppkey")
+    node = F.concat(F.lit("c"), F.col("s_suppkey").cast("string"))
+    phone = F.when(F.col("s_acctbal") >= 0, F.col("s_suppkey").cast("string")).otherwise("")
+    return reduce(DataFrame.unionByName, [
+        _triples(t, "contacts", s, EX + "contact", node, "bnode"), _triples(t, "contacts", node, EX + "name", F.col("s_name"), "lit", s_kind="bnode"),
+        _triples(t, "contacts", node, EX + "phone", phone, "lit", s_kind="bnode"),
+        _triples(t.where("s_acctbal >= 0"), "contacts", s, OWL + "sameAs", F.concat(F.lit("https://register.example.net/s#"), F.col("s_suppkey").cast("string")), "iri")])
 
 
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +195,8 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as described resources, the text tagged with its language."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.lit("documents").alias("graph"), _triple(
-        _iri("document", "doc_id"), "http://purl.org/dc/terms/description", F.coalesce("text", F.lit("")), "lit", None, F.col("lang")).alias("t")
-    ).select("graph", "t.*")
+    return _triples(d, "documents", _iri("document", "doc_id"), "http://purl.org/dc/terms/description", F.coalesce("text", F.lit("")), "lit",
+                    None, F.col("lang"))
 
 
 # --- arrays -----------------------------------------------------------------------------------------

@@ -100,6 +100,31 @@ def align(series: DataFrame, coords: list[str], names: list[str], value: str = "
     return series.where(F.col("name").isin(*names)).groupBy(*coords).agg(*cols)
 
 
+def to_datasets(grid: DataFrame, coords: list[str], names: list[str], existing: DataFrame | None = None) -> DataFrame:
+    """(coords, name, v): each variable of a wide table as a dataset over its coordinates. ``existing`` (name, index long, v)
+    holds coordinates that are there already: the distinct values of a coordinate, in order, must equal them, else
+    the job fails and names the coordinate."""
+    cells = grid.unpivot(coords, names, "name", "v")
+    if existing is None:
+        return cells
+    values = grid.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in coords])).alias("x")).select("x.*")
+    w = Window.partitionBy("name").orderBy("v")
+    placed = values.distinct().withColumn("index", (F.row_number().over(w) - 1).cast("long"))
+    known = existing.join(placed.select("name").distinct(), "name", "left_semi").select("name", "index", F.col("v").alias("known"))
+    checked = known.select("name").distinct()
+    wrong = placed.join(checked, "name", "left_semi").join(known, ["name", "index"], "full_outer").where(~F.col("v").eqNullSafe(F.col("known")))
+    found = wrong.agg(F.min("name").alias("__wrong"))
+    guard = F.when(F.col("__wrong").isNotNull(), F.raise_error(F.concat(F.lit("a coordinate exists with other values: "), F.col("__wrong")))).otherwise(F.lit(True))
+    return cells.crossJoin(F.broadcast(found)).where(guard).drop("__wrong")
+
+
+def decode_all(values: DataFrame, decoders: list) -> DataFrame:
+    """``values`` through functions of a DataFrame, in the order of registration."""
+    for d in decoders:
+        values = values.transform(d)
+    return values
+
+
 def magnitude(table: DataFrame, names: list[str]) -> DataFrame:
     """Root of the sum of squares of two columns or more, named after them; null where one is."""
     if len(names) < 2:

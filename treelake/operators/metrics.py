@@ -13,10 +13,6 @@ from treelake.model import LABEL, OWL, TYPE
 DISTANCE_LIMIT = 2000
 
 
-def _object_key() -> Column:
-    return F.struct("o", "o_kind", "o_dt", "o_lang")
-
-
 def _is_resource() -> Column:
     return F.col("o_kind").isin("iri", "bnode")
 
@@ -34,8 +30,64 @@ def terms(triples: DataFrame) -> DataFrame:
 
 
 def graph_counts(triples: DataFrame) -> DataFrame:
-    return triples.agg(F.count("*").alias("triples"), F.countDistinct("s_kind", "s").alias("subjects"), F.countDistinct("p").alias("predicates"),
-                       F.count_distinct(_object_key()).alias("objects"))
+    """Triples and the distinct terms of each place: one grouping by term."""
+    return _by_term(triples).agg(*[c.alias(n) for n, c in _term_counts().items() if n in ("triples", "subjects", "predicates", "objects")])
+
+
+def _by_term(triples: DataFrame) -> DataFrame:
+    """(kind, term, dt, lang) of each distinct term with what is counted of it; counts are pre-added before the shuffle."""
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    edge, is_ = _is_resource(), lambda p: (F.col("p") == p).cast("long")
+    counts = ("subject", "predicate", "object", "out", "in_", "typed", "named", "class_")
+
+    def place(term: Column, kind: Column, dt: Column = none, lang: Column = none, **n: Column) -> Column:
+        return F.struct(term.alias("term"), kind.alias("kind"), dt.alias("dt"), lang.alias("lang"),
+                        *[n.get(c, zero).cast("long").alias(c) for c in counts])
+
+    one = F.lit(1)
+    rows = F.array(place(F.col("s"), F.col("s_kind"), subject=one, out=edge, typed=is_(TYPE), named=is_(LABEL)),
+                   place(F.col("p"), F.lit("iri"), predicate=one),
+                   place(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang"), object=one, in_=edge, class_=is_(TYPE)))
+    return triples.select(F.explode(rows).alias("x")).select("x.*").groupBy("kind", "term", "dt", "lang").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def _term_counts(base: str | None = None) -> dict[str, Column]:
+    """Aggregates over :func:`_by_term`."""
+    n = lambda test: F.count_if(test)
+    total = lambda c, test=None: F.coalesce(F.sum(F.col(c) if test is None else F.when(test, F.col(c))), F.lit(0))
+    kind, subject = F.col("kind"), F.col("subject") > 0
+    lit, resource = kind == "lit", subject | ((F.col("object") > 0) & (kind != "lit"))
+    subjects, nodes = n(subject), n(resource)
+    outside = (kind == "iri") & (F.lit(True) if base is None else ~F.col("term").startswith(base))
+    return {
+        "triples": total("subject"), "subjects": subjects, "predicates": n(F.col("predicate") > 0), "objects": n(F.col("object") > 0),
+        "iri_count": n(kind == "iri"), "blank_nodes": n(kind == "bnode"), "literals": total("object", lit),
+        "untyped_literals": total("object", lit & F.col("dt").isNull() & F.col("lang").isNull()), "empty_literals": total("object", lit & (F.col("term") == "")),
+        "avg_triples_per_subject": F.round(F.coalesce(total("subject") / F.nullif(subjects, F.lit(0)), F.lit(0.0)), 6),
+        "classes": F.count_distinct(F.when(F.col("class_") > 0, term_label(F.col("term"), kind))),
+        "subjects_without_type": n(subject & (F.col("typed") == 0)), "subjects_with_labels": n(subject & (F.col("named") > 0)),
+        "subjects_missing_labels": n(subject & (F.col("named") == 0)), "label_coverage": _share(n(subject & (F.col("named") > 0)), subjects),
+        "subjects_with_one_triple": n(F.col("subject") == 1), "resource_nodes": nodes,
+        "avg_out_degree": F.round(F.coalesce(total("out") / F.nullif(nodes, F.lit(0)), F.lit(0.0)), 6),
+        "avg_in_degree": F.round(F.coalesce(total("in_") / F.nullif(nodes, F.lit(0)), F.lit(0.0)), 6),
+        "weakly_connected_nodes": n(resource & (F.col("in_") + F.col("out") <= 1)), "blank_node_percentage": _share(n(kind == "bnode"), nodes),
+        "same_as_count": total("predicate", F.col("term") == OWL + "sameAs"),
+        "external_iri_count": F.coalesce(F.sum(F.when(outside, F.col("subject") + F.col("predicate") + F.col("object"))), F.lit(0)),
+    }
+
+
+def graph_metrics(triples: DataFrame, base: str | None = None, distance_limit: int = DISTANCE_LIMIT) -> DataFrame:
+    """One row with every measure: one grouping by term for the counts, one of whole triples for repeated ones, and the
+    components and (up to ``distance_limit`` nodes) the largest distance of the edges."""
+    triples = settle(triples)
+    counts = _by_term(triples).agg(*[c.alias(n) for n, c in _term_counts(base).items()])
+    twice = triples.groupBy("s_kind", "s", "p", "o", "o_kind", "o_dt", "o_lang").agg((F.count("*") - 1).alias("n"))
+    twice = twice.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_triples"))
+    sizes = components(resource_nodes(triples).select(F.col("node").alias("s"), F.col("node").alias("o")).union(resource_edges(triples)))
+    sizes = sizes.groupBy("root").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_component"))
+    far = largest_distance(triples, distance_limit).select("largest_distance", F.col("computed").alias("largest_distance_computed"))
+    # Each side is one row.
+    return counts.crossJoin(twice).crossJoin(sizes).crossJoin(far)
 
 
 def graph_terms(triples: DataFrame) -> DataFrame:
@@ -49,10 +101,15 @@ def literal_quality(triples: DataFrame) -> DataFrame:
     lit, n = F.col("o_kind") == "lit", F.col("n")
     total = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
     return once.agg(total(lit).alias("literals"), total(lit & F.col("o_dt").isNull() & F.col("o_lang").isNull()).alias("untyped"),
-                    total(lit & (F.trim("o") == "")).alias("empty"), total(F.col("p") == OWL + "sameAs").alias("same_as"),
+                    total(lit & (F.col("o") == "")).alias("empty"), total(F.col("p") == OWL + "sameAs").alias("same_as"),
                     F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"))
 
 
+def triple_counts(triples: DataFrame) -> DataFrame:
+    """(graph, n)."""
+    return triples.groupBy("graph").agg(F.count("*").alias("n"))
+
+
 def subject_stats(triples: DataFrame) -> DataFrame:
     per = triples.groupBy("s_kind", "s").agg(F.count("*").alias("n"))
     return per.agg(F.round(F.coalesce(F.sum("n") / F.count("*"), F.lit(0.0)), 6).alias("avg_triples_per_subject"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelake.functions.paths import term_label
+from treelake.lineage import settle
 from treelake.model import LABEL, RDF, RDFS, OWL, TYPE
 
 
@@ -19,24 +20,38 @@ def edges(triples: DataFrame, with_terms: bool = True) -> DataFrame:
 
 
 def around(triples: DataFrame, focus: str, depth: int = 1, direction: str = "both", with_terms: bool = False) -> DataFrame:
-    """Edges between the nodes within ``depth`` (1 or 2) steps of ``focus``; literals are no nodes."""
+    """Edges between the nodes within ``depth`` (1 or 2) steps of ``focus``, an IRI or a part of one or of a label; literals
+    are no nodes."""
     if depth not in (1, 2) or direction not in ("both", "out", "in"):
         raise ValueError("depth is 1 or 2, direction is both, out or in")
     e = edges(triples, with_terms)
     out, back = e.select(F.col("s").alias("a"), F.col("o").alias("b")), e.select(F.col("o").alias("a"), F.col("s").alias("b"))
     steps = {"both": out.union(back), "out": out, "in": back}[direction]
-    first = steps.where(F.col("a") == focus).select(F.col("b").alias("node"))
-    nodes = first.union(triples.sparkSession.createDataFrame([(focus,)], "node string")).distinct()
+    if "://" not in focus and triples.where(F.col("s") == focus).isEmpty():
+        start = settle(matches(triples, focus))
+    else:
+        start = triples.sparkSession.createDataFrame([(focus,)], "node string")
+    nodes = steps.join(start, steps["a"] == start["node"], "left_semi").select(F.col("b").alias("node")).union(start).distinct()
     if depth == 2:
         nodes = steps.join(nodes, steps["a"] == nodes["node"], "left_semi").select(F.col("b").alias("node")).union(nodes).distinct()
     return e.join(nodes, e["s"] == nodes["node"], "left_semi").join(nodes, e["o"] == nodes["node"], "left_semi")
 
 
+def matches(triples: DataFrame, text: str) -> DataFrame:
+    """(node): resources whose IRI or label contains ``text``, in any case."""
+    has = lambda c: F.lower(c).contains(text.lower())
+    hit = F.array(F.when(has("s") | ((F.col("p") == LABEL) & has("o")), F.col("s")), F.when((F.col("o_kind") != "lit") & has("o"), F.col("o")))
+    return triples.select(F.explode(hit).alias("node")).where("node is not null").distinct()
+
+
 def search(triples: DataFrame, text: str) -> DataFrame:
-    """Edges (s, p, o) that touch a node whose label contains ``text``, in any case."""
-    hits = triples.where((F.col("p") == LABEL) & F.lower("o").contains(text.lower())).select(F.col("s").alias("node")).distinct()
-    e = triples.where("o_kind in ('iri', 'bnode')").select("s", "p", "o").distinct()
-    return e.join(hits, e["s"] == hits["node"], "left_semi").union(e.join(hits, e["o"] == hits["node"], "left_semi")).distinct()
+    """Edges (s, p, o) among the nodes whose IRI or label contains ``text``, in any case, and their neighbours."""
+    hits = settle(matches(triples, text))
+    e = settle(triples.where("o_kind in ('iri', 'bnode')").select("s", "p", "o").distinct())
+    out = e.join(hits, e["s"] == hits["node"], "left_semi").select(F.col("o").alias("node"))
+    back = e.join(hits, e["o"] == hits["node"], "left_semi").select(F.col("s").alias("node"))
+    nodes = settle(hits.union(out).union(back).distinct())
+    return e.join(nodes, e["s"] == nodes["node"], "left_semi").join(nodes, e["o"] == nodes["node"], "left_semi")
 
 
 def node_table(triples: DataFrame, of: DataFrame, shown: DataFrame | None = None) -> DataFrame:
@@ -59,6 +74,7 @@ def most_connected(e: DataFrame, nodes: int = 1000, edges: int = 2000) -> DataFr
     inner = e.join(kept, e["s"] == kept["node"], "left_semi").join(kept, e["o"] == kept["node"], "left_semi")
     totals = degree.agg(F.count("*").alias("total_nodes")).join(e.agg(F.count("*").alias("total_edges")))
     found = inner.agg(F.count("*").alias("__inner"))
-    out = inner.orderBy("s", "o").limit(edges).join(F.broadcast(totals)).join(F.broadcast(found))
+    # The one row of totals stays where no edge lies inside.
+    out = totals.crossJoin(found).join(inner.orderBy("s", "o").limit(edges), F.lit(True), "left")
     cut = (F.col("total_nodes") > nodes) | (F.col("__inner") > edges)
-    return out.withColumn("truncated", cut).drop("__inner")
+    return out.select("s", "o", "total_nodes", "total_edges", cut.alias("truncated"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.lineage import settle
+from treelake.lineage import by_predicate, settle
 from treelake.model import RDFS, TYPE
 
 SUBCLASS, SUBPROPERTY, DOMAIN, RANGE = (RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range"))
@@ -25,6 +25,7 @@ class Property:
     of_class: str | None = None
     node_kind: str | None = None
     node: Shape | None = None
+    message: str | None = None
 
 
 @dataclass
@@ -37,6 +38,7 @@ class Shape:
     subjects_of: str | None = None
     properties: list[Property] = field(default_factory=list)
     not_exists: str | None = None
+    message: str | None = None
 
 
 def _transitive(pairs: DataFrame, max_rounds: int = 30) -> DataFrame:
@@ -82,48 +84,89 @@ def _focus(triples: DataFrame, shape: Shape) -> DataFrame:
     return reduce(lambda a, b: a.union(b), parts).distinct()
 
 
-def _violations(triples: DataFrame, shape: Shape, focus: DataFrame) -> list[DataFrame]:
-    out = []
+def _row(shape: Shape, path: str, value: Column, component: str, test: Column, message: str | None) -> Column:
+    """A violation if ``test`` holds, else null."""
+    said = F.lit(message or f"violates {component} of {path}")
+    return F.when(test, F.struct(F.lit(shape.id).alias("shape"), F.col("focus"), F.lit(path).alias("path"), value.cast("string").alias("value"),
+                                 F.lit(component).alias("component"), said.alias("message")))
 
-    def report(df: DataFrame, path: str, value, component: str) -> None:
-        out.append(df.select(F.lit(shape.id).alias("shape"), "focus", F.lit(path).alias("path"), value.cast("string").alias("value"),
-                             F.lit(component).alias("component")))
 
-    for c in shape.properties:
-        values = triples.where(F.col("p") == c.path).join(focus, F.col("s") == F.col("focus"), "left_semi").select(
-            F.col("s").alias("focus"), "o", "o_kind", "o_dt")
-        if c.min_count is not None or c.max_count is not None:
-            counts = focus.join(values.groupBy("focus").agg(F.count("*").alias("n")), "focus", "left").fillna(0, ["n"])
+def _reported(df: DataFrame, rows: list[Column]) -> DataFrame:
+    return df.select(F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("r.*")
+
+
+def _violations(triples: DataFrame, shape: Shape, focus: DataFrame) -> list[DataFrame]:
+    """Violations of one shape: one grouping by focus node for all counts and absences, one pass over the values
+    for what a value itself must be, and a join for each class or nested shape."""
+    out, paths = [], [c.path for c in shape.properties]
+    values = triples.where(F.col("p").isin(*paths)).select(F.col("s").alias("focus"), "p", "o", "o_kind", "o_dt").join(
+        focus, "focus", "left_semi")
+    counted = [c for c in shape.properties if c.min_count is not None or c.max_count is not None]
+    if counted or shape.not_exists:
+        looked = {c.path for c in counted} | ({shape.not_exists} if shape.not_exists else set())
+        held = triples.where(F.col("p").isin(*sorted(looked))).select(F.col("s").alias("focus"), "p")
+        # Focus nodes are marked by a row without predicate, so that those without a value are counted as well.
+        both = held.unionByName(focus.select("focus", F.lit(None).cast("string").alias("p")))
+        names = {p: f"n{i}" for i, p in enumerate(sorted(looked))}
+        counts = both.groupBy("focus").agg(F.count_if(F.col("p").isNull()).alias("own"), *[
+            F.count_if(F.col("p") == p).alias(n) for p, n in names.items()]).where("own > 0")
+        rows = []
+        for c in counted:
+            n = F.col(names[c.path])
             if c.min_count is not None:
-                report(counts.where(F.col("n") < c.min_count), c.path, F.col("n"), "minCount")
+                rows.append(_row(shape, c.path, n, "minCount", n < c.min_count, c.message))
             if c.max_count is not None:
-                report(counts.where(F.col("n") > c.max_count), c.path, F.col("n"), "maxCount")
+                rows.append(_row(shape, c.path, n, "maxCount", n > c.max_count, c.message))
+        if shape.not_exists:
+            rows.append(_row(shape, shape.not_exists, F.lit(None), "notExists", F.col(names[shape.not_exists]) > 0, shape.message))
+        out.append(_reported(counts, rows))
+    rows = []
+    for c in shape.properties:
+        own = F.col("p") == c.path
         if c.datatype:
-            report(values.where((F.col("o_kind") != "lit") | ~F.col("o_dt").eqNullSafe(c.datatype)), c.path, F.col("o"), "datatype")
+            rows.append(_row(shape, c.path, F.col("o"), "datatype", own & ((F.col("o_kind") != "lit") | ~F.col("o_dt").eqNullSafe(c.datatype)), c.message))
         if c.node_kind:
-            report(values.where(F.col("o_kind") != c.node_kind), c.path, F.col("o"), "nodeKind")
+            rows.append(_row(shape, c.path, F.col("o"), "nodeKind", own & (F.col("o_kind") != c.node_kind), c.message))
+    if rows:
+        out.append(_reported(values, rows))
+    for c in shape.properties:
+        at_path = values.where(F.col("p") == c.path)
         if c.of_class:
             members = triples.where((F.col("p") == TYPE) & (F.col("o") == c.of_class)).select(F.col("s").alias("o"))
-            report(values.join(members, "o", "left_anti"), c.path, F.col("o"), "class")
+            out.append(_reported(at_path.join(members, "o", "left_anti"), [_row(shape, c.path, F.col("o"), "class", F.lit(True), c.message)]))
         if c.node:
-            nested = values.select(F.col("o").alias("focus")).distinct()
-            bad = reduce(lambda a, b: a.unionByName(b), _violations(triples, c.node, nested)).select(F.col("focus").alias("o")).distinct()
-            report(values.join(bad, "o", "left_semi"), c.path, F.col("o"), "node")
-    if shape.not_exists:
-        report(focus.join(triples.where(F.col("p") == shape.not_exists).select(F.col("s").alias("focus")), "focus", "left_semi"),
-               shape.not_exists, F.lit(None), "notExists")
+            nested = settle(at_path.select(F.col("o").alias("focus")).distinct())
+            found = _violations(triples, c.node, nested)
+            if found:
+                bad = reduce(DataFrame.unionByName, found).select(F.col("focus").alias("o")).distinct()
+                out.append(_reported(at_path.join(bad, "o", "left_semi"), [_row(shape, c.path, F.col("o"), "node", F.lit(True), c.message)]))
     return out
 
 
+def _predicates(shape: Shape) -> set[str]:
+    own = {c.path for c in shape.properties} | {p for p in (shape.subjects_of, shape.not_exists) if p}
+    return own.union(*[_predicates(c.node) for c in shape.properties if c.node])
+
+
 def validate(triples: DataFrame, shapes: list[Shape], ontology: DataFrame | None = None) -> DataFrame:
     """(shape, focus, path, value, component, message) of every violation; none means that the graph conforms.
-    Subclasses count as their classes where an ontology is given."""
+    Subclasses count as their classes where an ontology is given. The triples that the shapes look at are computed once, by
+    predicate, and the focus nodes of each shape once."""
     if ontology is not None:
         more = rdfs_closure(triples, ontology)
         triples = triples.select("s", "p", "o", "o_kind", "o_dt").unionByName(
             more.withColumn("o_dt", F.lit(None).cast("string")).join(triples.select("s", "p", "o", "o_kind"), ["s", "p", "o", "o_kind"], "left_anti"))
-    found = reduce(lambda a, b: a.unionByName(b), [x for s in shapes for x in _violations(triples, s, _focus(triples, s))])
-    return found.withColumn("message", F.concat_ws(" ", F.lit("violates"), "component", F.lit("of"), "path"))
+    needed = {TYPE}.union(*map(_predicates, shapes))
+    triples = by_predicate(triples.where(F.col("p").isin(*sorted(needed))).select("s", "p", "o", "o_kind", "o_dt"))
+    found = [x for s in shapes for x in _violations(triples, s, settle(_focus(triples, s)))]
+    if not found:
+        return triples.sparkSession.createDataFrame([], "shape string, focus string, path string, value string, component string, message string")
+    return reduce(DataFrame.unionByName, found)
+
+
+def conforms(violations: DataFrame) -> DataFrame:
+    """One row: whether there is no violation."""
+    return violations.limit(1).agg((F.count("*") == 0).alias("conforms"))
 
 
 def validated_load(triples: DataFrame, shapes: list[Shape]) -> DataFrame:

@@ -73,9 +73,20 @@ def register_files(registry: DataFrame, files: DataFrame) -> DataFrame:
     return registry.unionByName(new.select(F.sha2("path", 256).alias("id"), "path", F.current_timestamp().alias("created"), "metadata"))
 
 
-def trees(cat: Catalogue, depth: int = 2, ignore: list[str] | None = None) -> DataFrame:
-    """(file_id, tree): a JSON tree per file up to a depth, folded from the deepest level up: a node is its kind, its
-    attributes under ``/`` and its children, in the order of their names."""
+def tree_rows(cat: Catalogue, ignore: list[str] | None = None) -> DataFrame:
+    """(file_id, name, parent, depth, node): every object of a file as a JSON node of its kind and its attributes under ``/``;
+    sorted by name within a file, the rows are the tree, for files too large for one string."""
+    nodes = cat.objects.join(attribute_maps(cat.attributes, ignore), KEY, "left")
+    return nodes.select(*KEY, "parent", "depth", F.to_json(F.struct(
+        F.col("basename").alias("name"), F.col("obj_type").alias("kind"), "ndim", F.col("attrs").alias("/"))).alias("node"))
+
+
+def trees(cat: Catalogue, depth: int | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """(file_id, tree): a JSON tree per file, down to its deepest object or to ``depth``, folded from the deepest level up: a
+    node is its kind, its attributes under ``/`` and its children, in the order of their names. A tree is one string; see
+    :func:`tree_rows` for files of any size."""
+    if depth is None:
+        depth = cat.objects.agg(F.max("depth")).first()[0] or 0
     nodes = cat.objects.where(F.col("depth") <= depth).join(attribute_maps(cat.attributes, ignore), KEY, "left")
     below = None
     for level in range(depth, -1, -1):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Files whose offsets one task sums.
+_BUCKET = 10_000
 SUFFIXES = (".hdf", ".hdf5", ".h5", ".nc")
 #: The line format. A line is subject, predicate, object and a dot.
 _TERM = r"(<[^>]*>|_:\S+)"
@@ -22,10 +26,16 @@ def discover(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFI
     return files.where(test).select("path", "length", F.col("modificationTime").alias("modified")).distinct().orderBy(F.lower("path"))
 
 
+def with_checksums(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with the length in bytes and the MD5 of a binary or text column in its place."""
+    kept = [c for c in files.columns if c not in (content, "length", "md5")]
+    return files.select(*kept, F.octet_length(content).cast("long").alias("length"), F.md5(F.col(content).cast("binary")).alias("md5"))
+
+
 def checksums(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, length, md5)."""
+    """(path, length, md5). The reader takes files of up to 2 GB."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length", F.md5("content").alias("md5"))
+    return with_checksums(files.select("path", "content"))
 
 
 def verify_checksums(manifest: DataFrame, found: DataFrame) -> DataFrame:
@@ -48,22 +58,27 @@ def read_csvs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     rows = spark.read.option("header", "true").option("multiLine", "true").schema(schema).csv(paths)
     rows = rows.withColumn("source", F.col("_metadata.file_path")).withColumn("__id", F.monotonically_increasing_id())
     name = F.substring_index("source", "/", -1)
-    order = F.lit(None).cast("int")
-    place = F.url_decode(F.regexp_replace("source", r"\+", "%2B"))
-    for k, p in reversed(list(enumerate(paths))):
-        bare = p.removeprefix("file:").rstrip("/")
-        order = F.when(place.endswith(bare) | place.contains(bare + "/"), k).otherwise(order)
+    place = F.regexp_replace(F.url_decode(F.regexp_replace("source", r"\+", "%2B")), "^[a-z0-9]+:/+", "/")
+    bare = [("/" + re.sub("^[a-z0-9]+:/+", "/", p).strip("/"), k) for k, p in enumerate(paths)]
+    order = spark.createDataFrame(bare, "__path string, file int")
+    # A file is found by its own path or that of its folder.
+    rows = rows.withColumn("__own", F.explode(F.array(place, F.regexp_replace(place, "/[^/]*$", ""))))
     w = Window.partitionBy("source").orderBy("__id")
-    return rows.withColumn("file", order).withColumn("at", (F.row_number().over(w) - 1).cast("int")).withColumn("source", name).drop("__id")
+    rows = rows.join(order, F.col("__own") == F.col("__path"))
+    return rows.withColumn("at", (F.row_number().over(w) - 1).cast("int")).withColumn("source", name).drop("__id", "__own", "__path")
 
 
 def concatenate(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(name, i, v, source): the files' rows one after another. Row counts per file (one row each) give the offsets, so no
     window spans all rows."""
-    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
-    before = sizes.select(F.col("file").alias("f"), F.col("n").alias("m"))
-    offsets = sizes.join(before, F.col("f") < F.col("file"), "left").groupBy("file").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("offset"))
-    placed = rows.join(F.broadcast(offsets), "file").withColumn("i", (F.col("offset") + F.col("at")).cast("int"))
+    bucket = F.floor(F.col("file") / _BUCKET)
+    sizes = rows.groupBy("file").agg(F.count("*").alias("n")).withColumn("bucket", bucket)
+    # Sums inside a bucket of files, and over the few buckets before it.
+    inside = Window.partitionBy("bucket").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sizes.groupBy("bucket").agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("totals"))
+    earlier = F.aggregate(F.filter("totals", lambda t: t["bucket"] < F.col("bucket")), F.lit(0).cast("long"), lambda a, t: a + t["n"])
+    offsets = sizes.crossJoin(F.broadcast(totals)).select("file", (F.coalesce(F.sum("n").over(inside), F.lit(0)) + earlier).alias("offset"))
+    placed = rows.join(offsets, "file").withColumn("i", (F.col("offset") + F.col("at")).cast("int"))
     return placed.unpivot(["i", "source"], columns, "name", "v").select("name", "i", "v", "source")
 
 
@@ -82,21 +97,34 @@ def stacked(rows: DataFrame, columns: list[str], axis: int = 0, shape: list[int]
 
 # --- N-Triples ----------------------------------------------------------------------------------------
 
-_ESCAPES = ((r"\\", "\u0000"), (r"\"", '"'), (r"\n", "\n"), (r"\r", "\r"), (r"\t", "\t"), ("\u0000", "\\"))
+#: Escapes of one letter.
+_ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
+def _unescaped(text: Column) -> Column:
+    """``text`` with its escapes, by letter or by the number of a character, resolved."""
+    one = lambda t: F.when(t.rlike(r"^\\[uU]"), F.decode(F.unhex(F.lpad(F.substring(t, 3, 8), 8, "0")), "UTF-32")).when(
+        t.startswith("\\"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _ESCAPES.items() for x in kv]), F.substring(t, 2, 1)), t)).otherwise(t)
+    parts = F.regexp_extract_all(text, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]++"), F.lit(0))
+    return F.when(text.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def rejected(lines: DataFrame) -> DataFrame:
+    """One row (n): how many lines are neither triples, comments nor empty."""
+    return lines.where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(?:#.*)?$")).agg(F.count("*").alias("n"))
 
 
 def parse_ntriples(lines: DataFrame, graph: Column | None = None, bnode_base: str = "https://example.org/") -> DataFrame:
-    """Lines (value) to triples. Blank nodes become IRIs under ``bnode_base``; lines that are no triple are left out."""
+    """Lines (value) to triples. Blank nodes become IRIs under ``bnode_base``; lines that are no triple are left out
+    (:func:`rejected` counts them)."""
     part = lambda k: F.regexp_extract("value", _LINE, k)
-    node = lambda c: F.when(c.startswith("_:"), F.concat(F.lit(bnode_base), F.substring(c, 3, 1 << 20))).otherwise(
-        F.regexp_replace(c, "^<|>$", ""))
+    node = lambda c: F.when(c.startswith("_:"), F.concat(F.lit(bnode_base), F.regexp_replace(c, "^_:", ""))).otherwise(
+        _unescaped(F.regexp_replace(c, "^<|>$", "")))
     rows = lines.select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), (graph if graph is not None else F.lit("default")).alias("graph"))
     rows = rows.where("s <> ''")
     literal = F.col("o").startswith('"')
-    text = F.regexp_extract("o", r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)
-    for a, b in _ESCAPES:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return rows.select("graph", node(F.col("s")).alias("s"), F.lit("iri").alias("s_kind"), "p",
+    text = _unescaped(F.regexp_extract("o", r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1))
+    return rows.select("graph", node(F.col("s")).alias("s"), F.lit("iri").alias("s_kind"), _unescaped(F.col("p")).alias("p"),
                        F.when(literal, text).otherwise(node(F.col("o"))).alias("o"), F.when(literal, "lit").otherwise("iri").alias("o_kind"),
                        F.when(literal, F.nullif(F.regexp_extract("o", r"\^\^<([^>]*)>$", 1), F.lit(""))).alias("o_dt"),
                        F.when(literal, F.nullif(F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1), F.lit(""))).alias("o_lang"))
