@@ -1,3 +1,4 @@
+import math
 import os
 import zlib
 
@@ -31,6 +32,48 @@ def test_language_of_odd_texts(spark):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_against_a_plain_vote(spark):
+    """The same machines, a text at a time: duels between families, then between the languages of the winning one."""
+    texts = ["the cat and the dog were here with them", "le chat et le chien sont dans la maison", "der Hund und die Katze sind nicht im Haus", "el perro y el gato no son de la casa"]
+    docs = spark.createDataFrame([(i, f"{texts[i % 4]} {i}", ("en", "fr", "de", "es")[i % 4]) for i in range(120)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+
+    def plain(text):
+        h, _, n = langid.trigrams([text])
+        margins = model.weights[h].sum(0) / max(1, n[0]) + model.bias if len(h) else model.bias
+
+        def winner(names, pairs, at):
+            votes = {v: (0, 0.0) for v in names}
+            for k, (a, b) in enumerate(pairs):
+                m = margins[at + k]
+                for v, s in ((a, m), (b, -m)):
+                    votes[v] = (votes[v][0] + (s >= 0 if v == a else s > 0), votes[v][1] + s)
+            return max(names, key=lambda v: votes[v])
+
+        family, at = winner(sorted(model.families), model.between, 0), len(model.between)
+        for f in sorted(model.families):
+            if f == family:
+                return winner(model.families[f], model.within[f], at)
+            at += len(model.within[f])
+
+    own = [f"{t} und le" for t in texts] + texts + ["haus und hof", "la maison", "gato"]
+    assert model.predict(own)[0] == [plain(t) for t in own]
+    empty = langid.fit(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert empty.predict(["some text", ""])[0] == ["und", "und"] and empty.predict(["some text", ""])[1].tolist() == [0.0, 0.0]
+
+
+@needs_data
+def test_quality_against_plain_arithmetic(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.fit(docs, labels)
+    for text in ["", "A plain sentence of some words.", "BUY NOW!!! BUY NOW!!!", "a a a a b " * 50]:
+        x = (quality.pooled(quality.token_rows(text), model.vectors) - model.mean) * model.scale
+        first, bias, second, last = model.layers
+        hidden = [max(0.0, sum(x[i] * first[i, j] for i in range(len(x))) + bias[j]) for j in range(len(bias))]
+        logit = sum(h * w for h, w in zip(hidden, second)) + last
+        assert model.score([text])[0] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit / model.temperature)))), abs=1e-6)
+
+
 @needs_data
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")

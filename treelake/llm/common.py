@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="treelake-"))
     return sc.getCheckpointDir()
 
@@ -28,7 +30,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table that :func:`cut` wrote for ``df``, once nothing reads it any more."""
+    jvm, path = df.sparkSession._jvm, getattr(df, "_cut_path", None)
+    if path:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -76,7 +88,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .where("u <> v").distinct())
     state = None
     for _ in range(max_rounds):
-        e = cut(_star(_star(e, large=True), large=False))
+        before, e = e, cut(_star(_star(e, large=True), large=False))
+        forget(before)
         now = e.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")),
                     F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:

@@ -120,7 +120,9 @@ class Model:
                     out[r] = lang
                 score[rows] = score[rows] * p
             column += len(self.within[family])
-        return [o if k else "und" for o, k in zip(out, n.tolist())], np.where(n > 0, score, 0.0)
+        # A model without a language knows nothing of any text.
+        learned = (n > 0) & bool(self.weights.size or len(self.families) > 1 or list(self.families.values()) != [["und"]])
+        return [o if k else "und" for o, k in zip(out, n.tolist())], np.where(learned, score, 0.0)
 
 
 def _one_versus_one(margins: np.ndarray, names: list[str], pairs: list[tuple[str, str]],

@@ -24,9 +24,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import gcd, sqrt
+from operator import add, and_, or_
 
 import numpy as np
 import pandas as pd
@@ -200,7 +201,8 @@ class Bands:
     Each minimum is equal with the sets' likeness J as its chance. A bucket is a band of ``rows`` equal minima, as
     many as leave at most ``MISSED`` of the pairs at the similarity itself without a common bucket. A pair of a bucket
     is worth a comparison if the sizes allow the similarity and its one-bit sketches differ in
-    no more than the expected ``MINIMA (1 - J) / 2`` bits and six deviations.
+    no more than the expected ``MINIMA (1 - J) / 2`` bits and six deviations, which some chain of segments on their ring shows
+    at every length.
     """
 
     names = ("f0", "f1", "f2", "f3", "size")
@@ -219,9 +221,15 @@ class Bands:
         return F.transform("bands", lambda b: F.struct(F.lit(0).alias("kind"), b.alias("bits")))
 
     def linked(self, kind: Column, a: list[Column], b: list[Column]) -> Column:
-        total = sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a[1:4], b[1:4])), F.bit_count(a[0].bitwiseXOR(b[0])))
+        apart = [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a[:4], b[:4])]
         small, large = F.least(a[4], b[4]), F.greatest(a[4], b[4])
-        return (total <= self.limit) & (small * self.least.denominator >= large * self.least.numerator)
+
+        def chain(start: int) -> Column:
+            """Every chain of segments from ``start`` on stays within its share of the limit."""
+            sums = [reduce(add, [apart[(start + k) % 4] for k in range(n)]) for n in range(1, 5)]
+            return reduce(and_, [s * 4 <= n * self.limit for n, s in enumerate(sums, 1)])
+
+        return reduce(or_, [chain(i) for i in range(4)]) & (small * self.least.denominator >= large * self.least.numerator)
 
 
 def _signed(x: int) -> int:
