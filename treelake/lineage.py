@@ -35,6 +35,17 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the reliable checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once, as Parquet in the shared folder, where it survives the loss of any executor."""
+    path = new_folder(df.sparkSession, "tables")
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what :func:`settle` wrote for ``df``, once nothing reads it any more."""
+    jvm, path = df.sparkSession._jvm, getattr(df, "_settled_path", None)
+    if path:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelake.functions.paths import namespace, term_label
-from treelake.lineage import settle
+from treelake.lineage import forget, settle
 from treelake.model import LABEL, OWL, TYPE
 
 #: Nodes up to which exact distances are computed unless the caller says otherwise.
@@ -203,7 +203,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(rest.union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, e = e, settle(rest.union(least.select("u", F.col("m").alias("v"))).distinct())
+        forget(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("root"))
