@@ -111,3 +111,10 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     linked = e.join(least, "u")
     own = least.select("u", F.col("m").alias("v"))
     return linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own).distinct()
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's lack of crc32, made good: the unsigned crc32 of an ASCII text expression, bit by bit."""
+    bit = "list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))"
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))), "
+            f"lambda a, b: {bit}), CAST(4294967295 AS BIGINT))")
