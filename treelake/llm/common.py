@@ -113,6 +113,17 @@ def _star(e: DataFrame, large: bool) -> DataFrame:
     return linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own).distinct()
 
 
+def hot_join(rows: DataFrame, unique: DataFrame, key: str, count: str, parts: int) -> DataFrame:
+    """``rows`` joined with ``unique`` (a row per ``key``, which says in ``count`` how many of ``rows`` have that key). Keys with more
+    rows than an average partition, of which there are at most ``parts``, are broadcast; only the others are shuffled."""
+    total = unique.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * parts > total
+    large = unique.where(hot)
+    some = rows.join(F.broadcast(large), key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(unique.where(~hot), key)
+    return some.unionByName(rest)
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB's lack of crc32, made good: the unsigned crc32 of an ASCII text expression, bit by bit."""
     bit = "list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))"
