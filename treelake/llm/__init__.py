@@ -1 +1 @@
-"""Training-data operators: deduplication, privacy, language, quality, tokens, packing, HTML."""
+"""Training-data operators: deduplication, privacy, language, quality, tokens, packing, HTML, toxicity, tries, manifests."""

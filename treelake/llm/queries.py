@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from treelake.llm import exact_dedup, html_text, langid, merkle, packing, privacy, quality, simhash, sketches, tokens, trie
+from treelake.llm import exact_dedup, html_text, langid, merkle, packing, privacy, quality, simhash, sketches, tokens, toxicity, trie
 from treelake.llm.common import shared_dir
 
 
@@ -58,6 +58,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -68,6 +72,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_pii, op3_language_id, op4_simhash_near_dedup, op5_document_fingerprints, op6_bpe_round_trip,
-    op7_quality_classifier, op8_token_files, op9_best_fit_packing, op10_html_extraction, op12_conversation_trie, op13_merkle_manifest)}
+    op7_quality_classifier, op8_token_files, op9_best_fit_packing, op10_html_extraction, op11_toxicity, op12_conversation_trie, op13_merkle_manifest)}
 #: The other operators' results are models' or another library's; tests hold those against brute force.
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op12_conversation_trie": trie.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
