@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from treelake import ranges
 from treelake.jobs.registry import query
 from treelake.jobs.views_sql import views
 from treelake.model import component_series, embedding_values, table, user_series
@@ -37,10 +38,7 @@ def sel_nearest(spark, sf_dir):
 
 
 def _indexed(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("dataset").orderBy("coord")
-    return user_series(spark, sf_dir).select("dataset", (F.row_number().over(w) - 1).cast("long").alias("i"), "coord")
+    return ranges.numbered(user_series(spark, sf_dir).select("dataset", "coord"), ["dataset"], ["coord"], "i").select("dataset", "i", "coord")
 
 
 @query(views("series") + """, s AS (SELECT dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY coord) - 1 AS BIGINT) AS i, CAST(coord AS DOUBLE) AS coord FROM series),

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treelake import ranges
+
 
 def isel(values: DataFrame, sizes: dict[str, int] | None = None, **at: int | slice | list[int]) -> DataFrame:
     """Cells by index: an int, a slice, or a list (made unique). Negative bounds count from ``sizes``."""
@@ -52,22 +54,21 @@ def sel_nearest(coords: DataFrame, requests: list[float], keys: list[str]) -> Da
         *keys, "request", F.col("x.i").alias("i"), F.col("x.coord").alias("coord"))
 
 
-def nearest_join(requests: DataFrame, coords: DataFrame, keys: list[str], bucket: float | None = None) -> DataFrame:
-    """``requests`` (keys, request) with (i, coord) of the nearest of ``coords`` (keys, i, coord), for many requests. Both
-    sides are merged in one sorted pass per key: the last coordinate before and the first one after, the
-    closer wins, the first on ties."""
+def nearest_join(requests: DataFrame, coords: DataFrame, keys: list[str]) -> DataFrame:
+    """``requests`` (keys, request) with (i, coord) of the nearest of ``coords`` (keys, i, coord), for many requests: the last
+    coordinate before and the first one after, the closer wins, the first index on ties. Both sides are merged in sorted ranges, so no
+    task holds a key. Null coordinates are near to nothing; requests of a key without coordinates get null."""
     none = F.lit(None)
-    both = coords.select(*keys, F.col("coord").alias("at"), F.struct(F.col("coord").cast("double").alias("coord"), F.col("i").cast("long").alias("i")).alias("c"),
-                         none.cast("double").alias("request"), F.lit(0).alias("side"))
-    both = both.unionByName(requests.select(*keys, F.col("request").alias("at"), none.cast("struct<coord:double,i:bigint>").alias("c"),
+    known = coords.where("coord is not null").groupBy(*keys, F.col("coord").cast("double").alias("at")).agg(F.min("i").cast("long").alias("i"))
+    both = known.select(*keys, "at", "i", none.cast("double").alias("request"), F.lit(0).alias("side"))
+    both = both.unionByName(requests.select(*keys, F.col("request").cast("double").alias("at"), none.cast("long").alias("i"),
                                             F.col("request").cast("double").alias("request"), F.lit(1).alias("side")))
-    before = Window.partitionBy(*keys).orderBy("at", "side", F.col("c.i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("side").asc(), F.col("c.i").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.select(*keys, "request", "side", F.last("c", ignorenulls=True).over(before).alias("lo"), F.last("c", ignorenulls=True).over(after).alias("hi"))
+    cell = F.when(F.col("side") == 0, F.struct(F.col("at").alias("coord"), F.col("i").alias("i")))
+    seen = ranges.around(both, keys, ["at", "side"], cell, "lo", "hi").where("side = 1")
     far = lambda s: F.abs(F.col(s)["coord"] - F.col("request"))
     lower = F.col("hi").isNull() | (F.col("lo").isNotNull() & ((far("lo") < far("hi")) | ((far("lo") == far("hi")) & (F.col("lo.i") <= F.col("hi.i")))))
-    pick = F.when(lower, F.col("lo")).otherwise(F.col("hi"))
-    return seen.where("side = 1").select(*keys, "request", pick["i"].alias("i"), pick["coord"].alias("coord"))
+    pick = F.when(F.col("request").isNotNull(), F.when(lower, F.col("lo")).otherwise(F.col("hi")))
+    return seen.select(*keys, "request", pick["i"].alias("i"), pick["coord"].alias("coord"))
 
 
 def attach_coords(values: DataFrame, scales: DataFrame, axis: str, name: str) -> DataFrame:
@@ -108,8 +109,7 @@ def to_datasets(grid: DataFrame, coords: list[str], names: list[str], existing:
     if existing is None:
         return cells
     values = grid.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in coords])).alias("x")).select("x.*")
-    w = Window.partitionBy("name").orderBy("v")
-    placed = values.distinct().withColumn("index", (F.row_number().over(w) - 1).cast("long"))
+    placed = ranges.numbered(values.distinct(), ["name"], ["v"], "index")
     known = existing.join(placed.select("name").distinct(), "name", "left_semi").select("name", "index", F.col("v").alias("known"))
     checked = known.select("name").distinct()
     wrong = placed.join(checked, "name", "left_semi").join(known, ["name", "index"], "full_outer").where(~F.col("v").eqNullSafe(F.col("known")))
@@ -138,9 +138,9 @@ def dataset_stats(values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rolling_mean(series: DataFrame, keys: list[str], coord: str, size: int, value: str = "v") -> DataFrame:
-    """The mean of the last ``size`` rows along a coordinate; null until there are so many."""
-    w = Window.partitionBy(*keys).orderBy(coord).rowsBetween(1 - size, 0)
-    return series.withColumn("rolling", F.when(F.count(value).over(w) == size, F.avg(value).over(w)))
+    """The mean of the last ``size`` rows along a coordinate; null until there are so many. Long series are windowed in ranges
+    that borrow the rows before them."""
+    return ranges.rolling(series, keys, [coord], size, rolling=lambda w: F.when(F.count(value).over(w) == size, F.avg(value).over(w)))
 
 
 def where_index(values: DataFrame, condition: Column, index: list[str], other: DataFrame | None = None) -> DataFrame:
