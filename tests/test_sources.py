@@ -48,6 +48,30 @@ def test_csv(spark, tmp_path):
     assert cube[(0, 1, 1)] == 11.5 and len(cube) == 8
 
 
+def test_csv_is_numbered_by_splits(spark, tmp_path):
+    """Large files are read by many tasks, and a folder's parts count on from one another."""
+    big, folder = tmp_path / "big.csv", tmp_path / "many parts"
+    big.write_text("x\n" + "".join(f"{i}\n" for i in range(3000)))
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"part-{k}.csv").write_text("x\n" + "".join(f"{10_000 + k * 700 + i}\n" for i in range(700)))
+    (tmp_path / "none.csv").write_text("x\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        rows = files.read_csvs(spark, [str(folder), str(tmp_path / "none.csv"), str(big)], "x long").cache()
+        got = [(r.file, r.at, r.x) for r in rows.orderBy("file", "at").collect()]
+        splits = spark.read.option("header", "true").csv(str(big)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert splits > 5
+    assert got == [(0, i, 10_000 + i) for i in range(2100)] + [(2, i, i) for i in range(3000)]
+    assert [r.i for r in files.concatenate(rows, ["x"]).orderBy("i").collect()] == list(range(5100))
+    quoted = tmp_path / "quoted.csv"
+    quoted.write_text('x\n"a\nb"\nc\n')
+    assert [(r.at, r.x) for r in files.read_csvs(spark, [str(quoted)], "x string", quoted_breaks=True).orderBy("at").collect()] == [(0, "a\nb"), (1, "c")]
+
+
 LINES = ['<http://a> <http://p> <http://b> .', '_:n1 <http://p> "x \\"y\\" \\n \\\\"@en .', '<http://a> <http://p> "5"^^<http://www.w3.org/2001/XMLSchema#integer> . # note', "# comment", "",
          '<http://a> <http://p> <http://b> .']
 

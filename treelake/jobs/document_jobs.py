@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from treelake.jobs.registry import query
 from treelake.jobs.views_sql import views
-from treelake.lineage import new_folder
+from treelake.lineage import new_folder, remove
 from treelake.model import EX, Catalogue, entity_triples, event_attributes, event_catalogue, event_objects, event_values, table, text_triples
 from treelake.operators import triples as T
 from treelake.sources import documents, files
@@ -107,21 +107,23 @@ _ROWS = """WITH e AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER
 
 
 def _csv_rows(spark, sf_dir):
-    """The events written as one CSV folder per type, and read back."""
+    """The events written as one CSV folder per type, each in as many parts as it fills, and read back."""
     out = new_folder(spark, "csv")
     e = table(spark, sf_dir, "events").select("event_type", "event_id", "value", F.col("user_id").cast("double").alias("user"))
-    (e.repartition("event_type").sortWithinPartitions("event_type", "event_id").drop("event_id")
+    (e.repartitionByRange("event_type", "event_id").sortWithinPartitions("event_type", "event_id").drop("event_id")
      .write.partitionBy("event_type").option("header", "true").csv(out))
-    return files.read_csvs(spark, [f"{out}/event_type={t}" for t in _TYPES], "value double, user double")
+    rows = files.read_csvs(spark, [f"{out}/event_type={t}" for t in _TYPES], "value double, user double")
+    remove(spark, out)
+    return rows
 
 
-@query(_ROWS + """SELECT 'value' AS name, CAST(run AS INTEGER) AS i, value AS v FROM e
-  UNION ALL SELECT 'user', CAST(run AS INTEGER), CAST(user_id AS DOUBLE) FROM e""")
+@query(_ROWS + """SELECT 'value' AS name, run AS i, value AS v FROM e
+  UNION ALL SELECT 'user', run, CAST(user_id AS DOUBLE) FROM e""")
 def csv_concat(spark, sf_dir):
     return files.concatenate(_csv_rows(spark, sf_dir), ["value", "user"]).select("name", "i", "v")
 
 
-@query(_ROWS + """SELECT 'value' AS name, CAST(pos AS INTEGER) AS i0, CAST(file AS INTEGER) AS i1, value AS v FROM e""")
+@query(_ROWS + """SELECT 'value' AS name, pos AS i0, CAST(file AS INTEGER) AS i1, value AS v FROM e""")
 def csv_stack(spark, sf_dir):
     return files.stacked(_csv_rows(spark, sf_dir), ["value"], axis=-1).select("name", "i0", "i1", "v")
 

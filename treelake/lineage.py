@@ -43,9 +43,15 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes what :func:`settle` wrote for ``df``, once nothing reads it any more."""
-    jvm, path = df.sparkSession._jvm, getattr(df, "_settled_path", None)
-    if path:
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes what :func:`settle` wrote for each of ``tables``, once nothing reads it any more."""
+    for df in tables:
+        path = getattr(df, "_settled_path", None)
+        if path:
+            remove(df.sparkSession, path)

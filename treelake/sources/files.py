@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treelake.lineage import settle
+
 #: Files whose offsets one task sums.
 _BUCKET = 10_000
 SUFFIXES = (".hdf", ".hdf5", ".h5", ".nc")
@@ -49,23 +51,27 @@ def verify_checksums(manifest: DataFrame, found: DataFrame) -> DataFrame:
 
 # --- CSV ----------------------------------------------------------------------------------------------
 
-def read_csvs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Rows of equal CSV files, or folders that hold one each, with ``file`` (ordinal in ``paths``), ``at`` (position inside
-    the file) and its name.
+def read_csvs(spark: SparkSession, paths: list[str], schema: str, quoted_breaks: bool = False) -> DataFrame:
+    """Rows of equal CSV files, or of folders that hold one each in parts, with ``file`` (ordinal in ``paths``), ``at`` (position inside the
+    file, through its parts in the order of their names) and the name of the part.
 
-    Positions number the rows inside each file by the order in which the reader meets them; files are not
-    split for that, so each file is one task's."""
-    rows = spark.read.option("header", "true").option("multiLine", "true").schema(schema).csv(paths)
-    rows = rows.withColumn("source", F.col("_metadata.file_path")).withColumn("__id", F.monotonically_increasing_id())
-    name = F.substring_index("source", "/", -1)
-    place = F.regexp_replace(F.url_decode(F.regexp_replace("source", r"\+", "%2B")), "^[a-z0-9]+:/+", "/")
+    The reader splits files, so rows are numbered by splits: a task meets a split's rows one after another, and a split's first
+    row comes after all rows of the splits before it. ``quoted_breaks`` allows line breaks inside quotes; files are then not split."""
+    rows = spark.read.option("header", "true").option("multiLine", str(quoted_breaks).lower()).schema(schema).csv(paths)
+    # Written once: another reading might number the rows otherwise.
+    rows = settle(rows.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__split"),
+                              F.monotonically_increasing_id().alias("__id")))
     bare = [("/" + re.sub("^[a-z0-9]+:/+", "/", p).strip("/"), k) for k, p in enumerate(paths)]
-    order = spark.createDataFrame(bare, "__path string, file int")
+    order = spark.createDataFrame(bare, "__own string, file int")
+    splits = rows.groupBy("__path", "__split").agg(F.min("__id").alias("__first"), F.count("*").alias("n"))
+    place = F.regexp_replace(F.url_decode(F.regexp_replace("__path", r"\+", "%2B")), "^[a-z0-9]+:/+", "/")
     # A file is found by its own path or that of its folder.
-    rows = rows.withColumn("__own", F.explode(F.array(place, F.regexp_replace(place, "/[^/]*$", ""))))
-    w = Window.partitionBy("source").orderBy("__id")
-    rows = rows.join(order, F.col("__own") == F.col("__path"))
-    return rows.withColumn("at", (F.row_number().over(w) - 1).cast("int")).withColumn("source", name).drop("__id", "__own", "__path")
+    splits = splits.withColumn("__own", F.explode(F.array(place, F.regexp_replace(place, "/[^/]*$", "")))).join(order, "__own")
+    before = Window.partitionBy("file").orderBy("__path", "__split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    splits = splits.select("file", "__path", "__split", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    at = F.col("__id") - F.col("__first") + F.col("__before")
+    return rows.join(splits, ["__path", "__split"]).withColumn("at", at).withColumn("source", F.substring_index("__path", "/", -1)).drop(
+        "__path", "__split", "__id", "__first", "__before")
 
 
 def concatenate(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,7 +84,7 @@ def concatenate(rows: DataFrame, columns: list[str]) -> DataFrame:
     totals = sizes.groupBy("bucket").agg(F.sum("n").alias("n")).agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("totals"))
     earlier = F.aggregate(F.filter("totals", lambda t: t["bucket"] < F.col("bucket")), F.lit(0).cast("long"), lambda a, t: a + t["n"])
     offsets = sizes.crossJoin(F.broadcast(totals)).select("file", (F.coalesce(F.sum("n").over(inside), F.lit(0)) + earlier).alias("offset"))
-    placed = rows.join(offsets, "file").withColumn("i", (F.col("offset") + F.col("at")).cast("int"))
+    placed = rows.join(offsets, "file").withColumn("i", F.col("offset") + F.col("at"))
     return placed.unpivot(["i", "source"], columns, "name", "v").select("name", "i", "v", "source")
 
 
@@ -88,7 +94,7 @@ def stacked(rows: DataFrame, columns: list[str], axis: int = 0, shape: list[int]
     inner: list[Column] = []
     rest = 1
     for n in reversed(shape or []):
-        inner.insert(0, (F.floor(F.col("at") / rest) % n).cast("int"))
+        inner.insert(0, F.floor(F.col("at") / rest) % n)
         rest *= n
     inner = inner or [F.col("at")]
     index = [F.col("file"), *inner] if axis == 0 else [*inner, F.col("file")]
