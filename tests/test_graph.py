@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from treelake.model import EX, LABEL, RDFS, SCHEMAS, TYPE, XSD
-from treelake.operators import metrics, neighborhood, shapes
+from treelake.operators import connectivity, metrics, neighborhood, shapes
 from treelake.operators import patterns as P
 from treelake.operators.filters import first_per
 
@@ -90,6 +91,61 @@ def test_components_against_union_find(spark):
     assert {r.node: r.root for r in got.collect()} == {x: find(x) for e in edges for x in e}
 
 
+def test_components_of_each_graph_with_hubs(spark):
+    """The same names in several graphs; a hub, a long chain, loops and nodes without edges."""
+    edges = [("g", "hub", f"x{i}") for i in range(300)] + [("h", f"x{i}", f"x{i + 1}") for i in range(0, 60, 2)] + [("h", f"c{i:03}", f"c{i + 1:03}") for i in range(100)]
+    edges += [("g", "self", "self"), ("h", "x1", "x1")]
+    df = spark.createDataFrame(edges, "graph string, s string, o string")
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for g, a, b in edges:
+        a, b = find((g, a)), find((g, b))
+        root[max(a, b)] = min(a, b)
+    got = {(r.graph, r.node): (r.graph, r.root) for r in connectivity.components(df, "graph").collect()}
+    assert got == {(g, x): find((g, x)) for g, *e in edges for x in e}
+    alone = spark.createDataFrame([("n", "q", 1), ("n", "p", 1), ("n", "lone", 0)], "graph string, node string, n long")
+    some = connectivity.components(spark.createDataFrame([("n", "p", "q")], "graph string, s string, o string"), "graph", alone)
+    assert {(r.node, r.root) for r in some.collect()} == {("p", "p"), ("q", "p"), ("lone", "lone")}
+
+
+def test_diameter_against_all_searches():
+    rng = random.Random(4)
+    for _ in range(60):
+        edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(rng.randrange(1, 70))] + [(100 + i, 101 + i) for i in range(rng.randrange(1, 9))]
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        longest = 0
+        for start in near:
+            dist, queue = {start: 0}, [start]
+            for x in queue:
+                for y in near[x]:
+                    if y not in dist:
+                        dist[y] = dist[x] + 1
+                        queue.append(y)
+            longest = max(longest, *dist.values())
+        s, o = (np.array([str(e[k]) for e in edges if e[0] != e[1]]) for k in (0, 1))
+        assert connectivity.diameter(s, o) == longest
+
+
+def test_measures_of_each_graph(spark):
+    a = graph(spark, [(B + "a", TYPE, B + "Class"), (B + "b", TYPE, B + "Class"), (B + "a", B + "next", B + "b"), (B + "x", B + "next", B + "y")])
+    b = graph(spark, [(B + "a", LABEL, "A", "lit", None, "en"), (B + "a", LABEL, "B", "lit", XSD + "string")])
+    both = a.withColumn("graph", F.lit("one")).unionByName(b.withColumn("graph", F.lit("two")))
+    got = {r.graph: r for r in metrics.graph_metrics(both, B, per_graph=True, distance_limit=4).collect()}
+    assert (got["one"].triples, got["one"].components, got["one"].largest_component, got["one"].largest_distance) == (4, 2, 3, None)
+    assert (got["two"].triples, got["two"].components, got["two"].largest_distance, got["two"].label_coverage) == (2, 1, 0, 100.0)
+    assert [tuple(x) for x in got["one"].top_in_degree] == [("Class", 2), ("b", 1), ("y", 1)]
+    assert [tuple(x) for x in got["one"].top_classes] == [("Class", 2)] and got["two"].top_out_degree == []
+    lists = {(r.graph, r.list, r.place): (r.label, r.n) for r in metrics.graph_lists(both, B).collect()}
+    assert lists["two", "languages", 1] == ("None", 1) and lists["two", "languages", 2] == ("en", 1) and lists["two", "datatypes", 2] == ("xsd:string", 1)
+    assert lists["one", "rare_predicates", 1] == ("next", 2) and lists["one", "top_external_namespaces", 1] == (TYPE[:-4], 2)
+    # Above the limit there is no answer, whatever a caller sets.
+    chain = graph(spark, [(f"{B}{i}", B + "next", f"{B}{i + 1}") for i in range(12)])
+    assert metrics.largest_distance(chain, limit=12).first().largest_distance is None and metrics.largest_distance(chain, limit=13).first().largest_distance == 12
+
+
 def test_literals(spark):
     g = graph(spark, [("a", "p", "x", "lit"), ("a", "p", "x", "lit"), ("a", "p", " ", "lit", None, "en"), ("a", "p", "1", "lit", XSD + "integer"), ("a", "q", "", "lit"),
                       ("a", "http://www.w3.org/2002/07/owl#sameAs", "b")])

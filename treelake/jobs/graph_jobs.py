@@ -16,7 +16,7 @@ _T = views("triples")
 _LINKED = views("triples", "contacts", "linked")
 #: The label of an IRI of the entity graph, in DuckDB.
 _LABEL = (f"CASE WHEN {{0}} = '{TYPE}' THEN 'rdf:type' WHEN {{0}} = '{LABEL}' THEN 'rdfs:label' "
-          f"WHEN starts_with({{0}}, '{XSD}') THEN 'xsd:' || substr({{0}}, {len(XSD) + 1}) "
+          f"WHEN starts_with({{0}}, '{XSD}') THEN 'xsd:' || substr({{0}}, {len(XSD) + 1}) WHEN {{0}} = '{OWL}sameAs' THEN 'owl:sameAs' "
           "WHEN regexp_extract(regexp_extract({0}, '([^#]*)$', 1), '([^/]*)$', 1) = '' THEN {0} "
           "ELSE regexp_extract(regexp_extract({0}, '([^#]*)$', 1), '([^/]*)$', 1) END")
 
@@ -194,34 +194,97 @@ def graph_terms(spark, sf_dir):
     return metrics.graph_terms(_linked(spark, sf_dir))
 
 
-_METRICS = _LINKED.rstrip() + f""", t AS (SELECT s AS term, s_kind AS kind, NULL AS dt, NULL AS lang, 1 AS su, 0 AS pr, 0 AS ob, CAST(o_kind <> 'lit' AS INT) AS e_out, 0 AS e_in,
-    CAST(p = '{TYPE}' AS INT) AS ty, CAST(p = '{LABEL}' AS INT) AS la FROM linked
-  UNION ALL SELECT p, 'iri', NULL, NULL, 0, 1, 0, 0, 0, 0, 0 FROM linked
-  UNION ALL SELECT o, o_kind, o_dt, o_lang, 0, 0, 1, 0, CAST(o_kind <> 'lit' AS INT), 0, 0 FROM linked),
-  g AS (SELECT term, kind, dt, lang, sum(su) AS su, sum(pr) AS pr, sum(ob) AS ob, sum(e_out) AS e_out, sum(e_in) AS e_in, sum(ty) AS ty, sum(la) AS la
+def _metrics_sql(graph: str, extra: str = "") -> str:
+    """Every measure of the linked graph in DuckDB, grouped by an expression for the graph. Components by least labels that spread
+    along edges; distances by a search from every node of a graph within the limit."""
+    return "WITH RECURSIVE " + _LINKED.rstrip().removeprefix("WITH ") + f""", x AS MATERIALIZED (SELECT {graph} AS g, s, s_kind, p, o, o_kind, o_dt, o_lang FROM linked),
+  t AS (SELECT g, s AS term, s_kind AS kind, CAST(NULL AS VARCHAR) AS dt, CAST(NULL AS VARCHAR) AS lang, 1 AS su, 0 AS pr, 0 AS ob, CAST(o_kind <> 'lit' AS INT) AS e_out, 0 AS e_in,
+    CAST(p = '{TYPE}' AS INT) AS ty, CAST(p = '{LABEL}' AS INT) AS la FROM x
+  UNION ALL SELECT g, p, 'iri', NULL, NULL, 0, 1, 0, 0, 0, 0, 0 FROM x
+  UNION ALL SELECT g, o, o_kind, o_dt, o_lang, 0, 0, 1, 0, CAST(o_kind <> 'lit' AS INT), 0, 0 FROM x),
+  terms AS MATERIALIZED (SELECT g, term, kind, dt, lang, sum(su) AS su, sum(pr) AS pr, sum(ob) AS ob, sum(e_out) AS e_out, sum(e_in) AS e_in, sum(ty) AS ty, sum(la) AS la
     FROM t GROUP BY ALL),
-  n AS (SELECT count(*) FILTER (su > 0) AS subjects, count(*) FILTER (su > 0 OR (ob > 0 AND kind <> 'lit')) AS nodes FROM g)
-"""
-
-
-@query(_METRICS + f"""SELECT CAST(sum(su) AS BIGINT) AS triples, any_value(n.subjects) AS subjects, count(*) FILTER (pr > 0) AS predicates, count(*) FILTER (ob > 0) AS objects,
-  count(*) FILTER (kind = 'iri') AS iri_count, count(*) FILTER (kind = 'bnode') AS blank_nodes, CAST(sum(ob) FILTER (kind = 'lit') AS BIGINT) AS literals,
-  CAST(sum(ob) FILTER (kind = 'lit' AND dt IS NULL AND lang IS NULL) AS BIGINT) AS untyped_literals,
-  CAST(sum(ob) FILTER (kind = 'lit' AND term = '') AS BIGINT) AS empty_literals, round(CAST(sum(su) AS DOUBLE) / any_value(n.subjects), 6) AS avg_triples_per_subject,
-  (SELECT count(DISTINCT {_label('o')}) FROM linked WHERE p = '{TYPE}') AS classes, count(*) FILTER (su > 0 AND ty = 0) AS subjects_without_type,
+  n AS MATERIALIZED (SELECT g, count(*) FILTER (su > 0) AS subjects, count(*) FILTER (su > 0 OR (ob > 0 AND kind <> 'lit')) AS nodes FROM terms GROUP BY g),
+  nodes AS MATERIALIZED (SELECT g, CASE kind WHEN 'bnode' THEN '_:' || term ELSE term END AS node, row_number() OVER (ORDER BY g, CASE kind WHEN 'bnode' THEN '_:' || term ELSE term END) AS id
+    FROM terms WHERE su > 0 OR (ob > 0 AND kind <> 'lit')),
+  m AS (SELECT DISTINCT g, CASE s_kind WHEN 'bnode' THEN '_:' || s ELSE s END AS a, CASE o_kind WHEN 'bnode' THEN '_:' || o ELSE o END AS b FROM x WHERE o_kind <> 'lit'),
+  ids AS MATERIALIZED (SELECT u.id AS a, v.id AS b FROM m JOIN nodes AS u ON u.g = m.g AND u.node = m.a JOIN nodes AS v ON v.g = m.g AND v.node = m.b),
+  e AS MATERIALIZED (SELECT a, b FROM ids UNION SELECT b, a FROM ids),
+  cc(id, root) USING KEY (id) AS (
+    SELECT id, id FROM nodes
+    UNION (SELECT e.a, min(v.root) FROM cc AS v JOIN e ON e.b = v.id JOIN recurring.cc AS u ON u.id = e.a WHERE v.root < u.root GROUP BY e.a)),
+  comp AS MATERIALIZED (SELECT nodes.g, nodes.node, r.node AS root FROM cc JOIN nodes USING (id) JOIN nodes AS r ON r.id = cc.root),
+  dist(start, node, d) USING KEY (start, node) AS (
+    SELECT id, id, 0 FROM nodes JOIN n ON n.g = nodes.g AND n.nodes <= 2000
+    UNION (SELECT dist.start, e.b, min(dist.d) + 1 FROM dist JOIN e ON e.a = dist.node LEFT JOIN recurring.dist AS u ON u.start = dist.start AND u.node = e.b
+           WHERE u.node IS NULL GROUP BY dist.start, e.b)),
+  far AS MATERIALIZED (SELECT g, CAST(max(d) AS BIGINT) AS d FROM dist JOIN nodes ON nodes.id = dist.start GROUP BY g),
+  cls AS MATERIALIZED (SELECT g, count(DISTINCT {_label('o')}) AS k FROM x WHERE p = '{TYPE}' GROUP BY g),
+  dup AS MATERIALIZED (SELECT g, CAST(sum(k - 1) AS BIGINT) AS k FROM (SELECT g, count(*) AS k FROM x GROUP BY g, s, p, o, s_kind, o_kind, o_dt, o_lang) GROUP BY g),
+  parts AS MATERIALIZED (SELECT g, count(*) AS k, max(k) AS most FROM (SELECT g, root, count(*) AS k FROM comp GROUP BY ALL) GROUP BY g){extra}"""
+
+
+_NUMBERS = f"""CAST(sum(su) AS BIGINT) AS triples, any_value(n.subjects) AS subjects, count(*) FILTER (pr > 0) AS predicates, count(*) FILTER (ob > 0) AS objects,
+  count(*) FILTER (kind = 'iri') AS iri_count, count(*) FILTER (kind = 'bnode') AS blank_nodes, CAST(coalesce(sum(ob) FILTER (kind = 'lit'), 0) AS BIGINT) AS literals,
+  CAST(coalesce(sum(ob) FILTER (kind = 'lit' AND dt IS NULL AND lang IS NULL), 0) AS BIGINT) AS untyped_literals,
+  CAST(coalesce(sum(ob) FILTER (kind = 'lit' AND term = ''), 0) AS BIGINT) AS empty_literals, round(CAST(sum(su) AS DOUBLE) / any_value(n.subjects), 6) AS avg_triples_per_subject,
+  coalesce(any_value(cls.k), 0) AS classes, count(*) FILTER (su > 0 AND ty = 0) AS subjects_without_type,
   count(*) FILTER (su > 0 AND la > 0) AS subjects_with_labels, count(*) FILTER (su > 0 AND la = 0) AS subjects_missing_labels,
   round(100.0 * count(*) FILTER (su > 0 AND la > 0) / any_value(n.subjects), 6) AS label_coverage, count(*) FILTER (su = 1) AS subjects_with_one_triple,
   any_value(n.nodes) AS resource_nodes, round(CAST(sum(e_out) AS DOUBLE) / any_value(n.nodes), 6) AS avg_out_degree,
   round(CAST(sum(e_in) AS DOUBLE) / any_value(n.nodes), 6) AS avg_in_degree,
   count(*) FILTER ((su > 0 OR (ob > 0 AND kind <> 'lit')) AND e_in + e_out <= 1) AS weakly_connected_nodes,
   round(100.0 * count(*) FILTER (kind = 'bnode') / any_value(n.nodes), 6) AS blank_node_percentage,
-  CAST(sum(pr) FILTER (term = '{OWL}sameAs') AS BIGINT) AS same_as_count,
-  CAST(sum(su + pr + ob) FILTER (kind = 'iri' AND NOT starts_with(term, '{EX}')) AS BIGINT) AS external_iri_count,
-  (SELECT count(*) FROM linked) - (SELECT count(*) FROM (SELECT DISTINCT s, p, o, s_kind, o_kind, o_dt, o_lang FROM linked)) AS duplicate_triples,
-  CAST(1 AS BIGINT) AS components, any_value(n.nodes) AS largest_component, CAST(NULL AS BIGINT) AS largest_distance, false AS largest_distance_computed FROM g, n""")
+  CAST(coalesce(sum(pr) FILTER (term = '{OWL}sameAs'), 0) AS BIGINT) AS same_as_count,
+  CAST(coalesce(sum(su + pr + ob) FILTER (kind = 'iri' AND NOT starts_with(term, '{EX}')), 0) AS BIGINT) AS external_iri_count,
+  any_value(dup.k) AS duplicate_triples, any_value(parts.k) AS components, any_value(parts.most) AS largest_component, any_value(far.d) AS largest_distance,
+  any_value(n.nodes) <= 2000 AS largest_distance_computed"""
+
+_LISTS = f""", pl AS (SELECT g, {_label('term')} AS label, CAST(sum(pr) AS BIGINT) AS n FROM terms WHERE pr > 0 GROUP BY ALL),
+  dl AS (SELECT g, coalesce({_label('dt')}, 'None') AS label, CAST(sum(ob) AS BIGINT) AS n FROM terms WHERE kind = 'lit' AND ob > 0 GROUP BY ALL),
+  ll AS (SELECT g, coalesce(lang, 'None') AS label, CAST(sum(ob) AS BIGINT) AS n FROM terms WHERE kind = 'lit' AND ob > 0 GROUP BY ALL),
+  cl AS (SELECT g, label, count(*) AS n FROM (SELECT DISTINCT g, s_kind, s, {_label('o')} AS label FROM x WHERE p = '{TYPE}') GROUP BY ALL),
+  nl AS (SELECT g, CASE WHEN contains(term, '#') THEN regexp_extract(term, '^(.*#)', 1) ELSE regexp_extract(term, '^(.*/)', 1) END AS label, CAST(sum(su + pr + ob) AS BIGINT) AS n
+    FROM terms WHERE kind = 'iri' AND NOT starts_with(term, '{EX}') GROUP BY ALL),
+  ol AS (SELECT g, {_label('term')} AS label, term, CAST(e_out AS BIGINT) AS n FROM terms WHERE e_out > 0),
+  il AS (SELECT g, {_label('term')} AS label, term, CAST(e_in AS BIGINT) AS n FROM terms WHERE e_in > 0),
+  lists AS (SELECT g AS graph, 'predicates' AS list, row_number() OVER (PARTITION BY g ORDER BY n DESC, label) AS place, label, n FROM pl
+    UNION ALL SELECT g, 'datatypes', row_number() OVER (PARTITION BY g ORDER BY n DESC, label), label, n FROM dl
+    UNION ALL SELECT g, 'languages', row_number() OVER (PARTITION BY g ORDER BY n DESC, label), label, n FROM ll
+    UNION ALL SELECT g, 'top_predicates', row_number() OVER (PARTITION BY g ORDER BY n DESC, label) AS r, label, n FROM pl QUALIFY r <= 10
+    UNION ALL SELECT g, 'rare_predicates', row_number() OVER (PARTITION BY g ORDER BY n, label) AS r, label, n FROM pl QUALIFY r <= 10
+    UNION ALL SELECT g, 'top_classes', row_number() OVER (PARTITION BY g ORDER BY n DESC, label) AS r, label, n FROM cl QUALIFY r <= 10
+    UNION ALL SELECT g, 'top_external_namespaces', row_number() OVER (PARTITION BY g ORDER BY n DESC, label) AS r, label, n FROM nl QUALIFY r <= 10
+    UNION ALL SELECT g, 'top_out_degree', row_number() OVER (PARTITION BY g ORDER BY n DESC, label, term) AS r, label, n FROM ol QUALIFY r <= 10
+    UNION ALL SELECT g, 'top_in_degree', row_number() OVER (PARTITION BY g ORDER BY n DESC, label, term) AS r, label, n FROM il QUALIFY r <= 10)"""
+_TEXTS = ", ".join(f"any_value(texts.{t}) AS {t}" for t in metrics.TOPS)
+_LISTS += ", texts AS MATERIALIZED (SELECT graph AS g, " + ", ".join(
+    f"string_agg(label || '=' || n, ';' ORDER BY place) FILTER (list = '{t}') AS {t}" for t in metrics.TOPS) + " FROM lists GROUP BY graph)"
+_FROM = "FROM terms JOIN n USING (g) JOIN dup USING (g) JOIN parts USING (g) LEFT JOIN cls USING (g) LEFT JOIN far USING (g) JOIN texts USING (g) GROUP BY terms.g"
+
+
+def _flat(rows):
+    """Lists as text."""
+    one = lambda t: F.when(F.size(t) > 0, F.array_join(F.transform(t, lambda x: F.concat(x["label"], F.lit("="), x["n"].cast("string"))), ";"))
+    return rows.withColumns({t: one(t) for t in metrics.TOPS})
+
+
+@query(_metrics_sql("'*'", _LISTS) + f"SELECT {_NUMBERS}, {_TEXTS} {_FROM}")
 def graph_metrics(spark, sf_dir):
-    """Every measure in one row. The SQL takes for granted that the graph hangs together, which the query works out."""
-    return metrics.graph_metrics(_linked(spark, sf_dir), EX)
+    """Every measure of all graphs taken together, in one row."""
+    return _flat(metrics.graph_metrics(_linked(spark, sf_dir), EX))
+
+
+@query(_metrics_sql("graph", _LISTS) + f"SELECT terms.g AS graph, {_NUMBERS}, {_TEXTS} {_FROM}")
+def graph_metrics_per_graph(spark, sf_dir):
+    """Every measure of each graph: several components, and distances of those within the limit."""
+    return _flat(metrics.graph_metrics(_linked(spark, sf_dir), EX, per_graph=True))
+
+
+@query(_metrics_sql("graph", _LISTS) + "SELECT graph, list, place, label, n FROM lists")
+def graph_lists(spark, sf_dir):
+    """Whole distributions and heads of lists, of each graph."""
+    return metrics.graph_lists(_linked(spark, sf_dir), EX).select("graph", "list", F.col("place").cast("long").alias("place"), "label", "n")
 
 
 @query(views("triples", "texts", "contacts") + f""", x AS (SELECT graph, s, p, o, o_kind, o_dt, o_lang FROM triples UNION ALL SELECT * FROM texts
@@ -296,20 +359,23 @@ def degree_summary(spark, sf_dir):
     return metrics.degree_summary(_linked(spark, sf_dir))
 
 
-@query("WITH RECURSIVE " + views("triples").removeprefix("WITH ") + """, e AS MATERIALIZED (SELECT s AS a, o AS b FROM triples WHERE o_kind = 'iri'
-    UNION SELECT o, s FROM triples WHERE o_kind = 'iri'), least AS (SELECT min(a) AS node FROM e),
-  reach AS (SELECT node FROM least UNION SELECT e.b FROM reach JOIN e ON e.a = reach.node)
-  SELECT a AS node, CASE WHEN a IN (SELECT node FROM reach) THEN (SELECT node FROM least) END AS root FROM (SELECT DISTINCT a FROM e)""")
+@query(_metrics_sql("'*'") + "SELECT node, root FROM comp WHERE node IN (SELECT a FROM m UNION SELECT b FROM m)")
 def components(spark, sf_dir):
-    """All resources of the graph. The SQL names the least node's component and leaves the roots of others null."""
-    return metrics.components(metrics.resource_edges(entity_triples(spark, sf_dir)))
+    """All resources of the graph and what it is linked to."""
+    return metrics.components(metrics.resource_edges(_linked(spark, sf_dir)))
+
+
+@query(_metrics_sql("graph") + "SELECT g AS graph, node, root FROM comp WHERE (g, node) IN (SELECT (g, a) FROM m UNION SELECT (g, b) FROM m)")
+def components_per_graph(spark, sf_dir):
+    """Components inside each graph: one per supplier in the graph of contacts."""
+    rows = metrics.components(metrics.resource_edges(_linked(spark, sf_dir), "graph"), "graph")
+    return rows.select("graph", "node", "root")
 
 
-@query(_T + """SELECT CAST(NULL AS BIGINT) AS largest_distance, false AS computed, count(*) AS resource_nodes
-  FROM (SELECT s FROM triples UNION SELECT o FROM triples WHERE o_kind = 'iri')""")
+@query(_metrics_sql("graph") + "SELECT g AS graph, nodes AS resource_nodes, d AS largest_distance, nodes <= 2000 AS computed FROM n LEFT JOIN far USING (g)")
 def largest_distance(spark, sf_dir):
-    """Of the whole graph, which is above the limit of nodes: counted and not computed."""
-    return metrics.largest_distance(entity_triples(spark, sf_dir))
+    """Of each graph: those above the limit of nodes are counted and not computed."""
+    return metrics.largest_distance(_linked(spark, sf_dir), per_graph=True)
 
 
 @query(_T + "SELECT graph, count(*) AS n FROM triples GROUP BY graph")

@@ -34,6 +34,10 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once, as Parquet in the shared folder, where it survives the loss of any executor."""
     path = new_folder(df.sparkSession, "tables")

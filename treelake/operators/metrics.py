@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treelake.functions.paths import namespace, term_label
-from treelake.lineage import forget, settle
+from treelake.lineage import settle
 from treelake.model import LABEL, OWL, TYPE
-
-#: Nodes up to which exact distances are computed unless the caller says otherwise.
-DISTANCE_LIMIT = 2000
+from treelake.operators.connectivity import DISTANCE_LIMIT, components, distances
 
 
 def _is_resource() -> Column:
@@ -34,11 +34,13 @@ def graph_counts(triples: DataFrame) -> DataFrame:
     return _by_term(triples).agg(*[c.alias(n) for n, c in _term_counts().items() if n in ("triples", "subjects", "predicates", "objects")])
 
 
-def _by_term(triples: DataFrame) -> DataFrame:
-    """(kind, term, dt, lang) of each distinct term with what is counted of it; counts are pre-added before the shuffle."""
+def _by_term(triples: DataFrame, by: str | None = None) -> DataFrame:
+    """(kind, term, dt, lang) of each distinct term, in each graph if asked for, with what is counted of it; counts are pre-added
+    before the shuffle."""
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
     edge, is_ = _is_resource(), lambda p: (F.col("p") == p).cast("long")
     counts = ("subject", "predicate", "object", "out", "in_", "typed", "named", "class_")
+    key = [by] if by else []
 
     def place(term: Column, kind: Column, dt: Column = none, lang: Column = none, **n: Column) -> Column:
         return F.struct(term.alias("term"), kind.alias("kind"), dt.alias("dt"), lang.alias("lang"),
@@ -48,7 +50,12 @@ def _by_term(triples: DataFrame) -> DataFrame:
     rows = F.array(place(F.col("s"), F.col("s_kind"), subject=one, out=edge, typed=is_(TYPE), named=is_(LABEL)),
                    place(F.col("p"), F.lit("iri"), predicate=one),
                    place(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang"), object=one, in_=edge, class_=is_(TYPE)))
-    return triples.select(F.explode(rows).alias("x")).select("x.*").groupBy("kind", "term", "dt", "lang").agg(*[F.sum(c).alias(c) for c in counts])
+    return triples.select(*key, F.explode(rows).alias("x")).select(*key, "x.*").groupBy(*key, "kind", "term", "dt", "lang").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def _resource() -> Column:
+    """Of a row by term: whether it is a node of the graph."""
+    return (F.col("subject") > 0) | ((F.col("object") > 0) & (F.col("kind") != "lit"))
 
 
 def _term_counts(base: str | None = None) -> dict[str, Column]:
@@ -56,9 +63,8 @@ def _term_counts(base: str | None = None) -> dict[str, Column]:
     n = lambda test: F.count_if(test)
     total = lambda c, test=None: F.coalesce(F.sum(F.col(c) if test is None else F.when(test, F.col(c))), F.lit(0))
     kind, subject = F.col("kind"), F.col("subject") > 0
-    lit, resource = kind == "lit", subject | ((F.col("object") > 0) & (kind != "lit"))
+    lit, resource = kind == "lit", _resource()
     subjects, nodes = n(subject), n(resource)
-    outside = (kind == "iri") & (F.lit(True) if base is None else ~F.col("term").startswith(base))
     return {
         "triples": total("subject"), "subjects": subjects, "predicates": n(F.col("predicate") > 0), "objects": n(F.col("object") > 0),
         "iri_count": n(kind == "iri"), "blank_nodes": n(kind == "bnode"), "literals": total("object", lit),
@@ -72,22 +78,79 @@ def _term_counts(base: str | None = None) -> dict[str, Column]:
         "avg_in_degree": F.round(F.coalesce(total("in_") / F.nullif(nodes, F.lit(0)), F.lit(0.0)), 6),
         "weakly_connected_nodes": n(resource & (F.col("in_") + F.col("out") <= 1)), "blank_node_percentage": _share(n(kind == "bnode"), nodes),
         "same_as_count": total("predicate", F.col("term") == OWL + "sameAs"),
-        "external_iri_count": F.coalesce(F.sum(F.when(outside, F.col("subject") + F.col("predicate") + F.col("object"))), F.lit(0)),
+        "external_iri_count": F.coalesce(F.sum(F.when(_outside(base), F.col("subject") + F.col("predicate") + F.col("object"))), F.lit(0)),
     }
 
 
-def graph_metrics(triples: DataFrame, base: str | None = None, distance_limit: int = DISTANCE_LIMIT) -> DataFrame:
-    """One row with every measure: one grouping by term for the counts, one of whole triples for repeated ones, and the
-    components and (up to ``distance_limit`` nodes) the largest distance of the edges."""
+def _outside(base: str | None) -> Column:
+    return (F.col("kind") == "iri") & (F.lit(True) if base is None else ~F.col("term").startswith(base))
+
+
+#: Lists that name the whole distribution, and those that name its greatest or least ten.
+DISTRIBUTIONS = ("predicates", "datatypes", "languages")
+TOPS = ("top_predicates", "rare_predicates", "top_classes", "top_external_namespaces", "top_out_degree", "top_in_degree")
+
+
+def graph_lists(triples: DataFrame, base: str | None = None, per_graph: bool = True, terms: DataFrame | None = None, n: int = 10) -> DataFrame:
+    """(graph, list, place, label, n): the distributions of predicates, datatypes and languages, and the ``n`` most frequent (rarest)
+    predicates, classes by their instances, namespaces outside ``base``, and nodes by degree; ties by label, of nodes by their
+    name too. Without ``per_graph`` all graphs are one, called ``*``. Heads of lists are taken before the shuffle, so no task
+    sorts all nodes of a graph."""
+    if not per_graph:
+        triples = triples.withColumn("graph", F.lit("*"))
+    if terms is None:
+        terms = settle(_by_term(triples, "graph"))
+    label = term_label(F.col("term"), F.col("kind"))
+    entry = lambda df, name, label, count, tie=F.lit(None): df.select("graph", F.lit(name).alias("list"), label.alias("label"), count.alias("n"), tie.cast("string").alias("tie"))
+    add = lambda df: df.groupBy("graph", "list", "label", "tie").agg(F.sum("n").alias("n"))
+    predicates = add(entry(terms.where("predicate > 0"), "predicates", label, F.col("predicate")))
+    lit = terms.where("kind = 'lit' and object > 0")
+    datatypes = add(entry(lit, "datatypes", F.coalesce(term_label(F.col("dt"), F.lit("iri")), F.lit("None")), F.col("object")))
+    languages = add(entry(lit, "languages", F.coalesce("lang", F.lit("None")), F.col("object")))
+    typed = triples.where(F.col("p") == TYPE).select("graph", "s_kind", "s", term_label(F.col("o"), F.col("o_kind")).alias("label")).distinct()
+    classes = add(entry(typed, "top_classes", F.col("label"), F.lit(1)))
+    spaces = add(entry(terms.where(_outside(base)), "top_external_namespaces", namespace(F.col("term")), F.col("subject") + F.col("predicate") + F.col("object")))
+    nodes = terms.where(_resource())
+    degrees = entry(nodes.where("out > 0"), "top_out_degree", label, F.col("out"), F.col("term")).unionByName(
+        entry(nodes.where("in_ > 0"), "top_in_degree", label, F.col("in_"), F.col("term")))
+    renamed = lambda df, name: df.withColumn("list", F.lit(name))
+    most = reduce(DataFrame.unionByName, [renamed(predicates, "top_predicates"), classes, spaces, degrees])
+    heads = Window.partitionBy("graph", "list").orderBy(F.col("n").desc(), "label", "tie")
+    rare = Window.partitionBy("graph", "list").orderBy("n", "label", "tie")
+    whole = reduce(DataFrame.unionByName, [predicates, datatypes, languages]).withColumn("place", F.row_number().over(heads))
+    first = lambda df, w: df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+    out = whole.unionByName(first(most, heads)).unionByName(first(renamed(predicates, "rare_predicates"), rare))
+    return out.select("graph", "list", "place", "label", "n")
+
+
+def graph_metrics(triples: DataFrame, base: str | None = None, distance_limit: int = DISTANCE_LIMIT, per_graph: bool = False) -> DataFrame:
+    """One row with every measure of all graphs taken together, or with ``per_graph`` one row for each graph, all in
+    the same jobs. One grouping by term gives the counts, the nodes and the lists' entries; one of whole triples finds repeated ones;
+    components and (up to ``distance_limit`` nodes) the largest distance come from the edges.
+
+    Beside numbers a row has the lists of :data:`TOPS` as arrays of (label, n); whole distributions, which have no bound, are rows
+    of :func:`graph_lists`. Repeated triples count as often as they stand; ``duplicate_triples`` tells how many are repeats."""
+    if not per_graph:
+        triples = triples.withColumn("graph", F.lit("*"))
     triples = settle(triples)
-    counts = _by_term(triples).agg(*[c.alias(n) for n, c in _term_counts(base).items()])
-    twice = triples.groupBy("s_kind", "s", "p", "o", "o_kind", "o_dt", "o_lang").agg((F.count("*") - 1).alias("n"))
-    twice = twice.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_triples"))
-    sizes = components(resource_nodes(triples).select(F.col("node").alias("s"), F.col("node").alias("o")).union(resource_edges(triples)))
-    sizes = sizes.groupBy("root").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_component"))
-    far = largest_distance(triples, distance_limit).select("largest_distance", F.col("computed").alias("largest_distance_computed"))
-    # Each side is one row.
-    return counts.crossJoin(twice).crossJoin(sizes).crossJoin(far)
+    terms = settle(_by_term(triples, "graph"))
+    numbers = [c.alias(n) for n, c in _term_counts(base).items()]
+    # Without triples there is still a row for all graphs together.
+    counts = terms.groupBy("graph").agg(*numbers) if per_graph else terms.agg(*numbers).withColumn("graph", F.lit("*"))
+    twice = triples.groupBy("graph", "s_kind", "s", "p", "o", "o_kind", "o_dt", "o_lang").agg((F.count("*") - 1).alias("n"))
+    twice = twice.groupBy("graph").agg(F.sum("n").alias("duplicate_triples"))
+    marked = F.when(F.col("kind") == "bnode", F.concat(F.lit("_:"), "term")).otherwise(F.col("term"))
+    nodes = terms.where(_resource()).select("graph", marked.alias("node"))
+    edges = resource_edges(triples, "graph")
+    sizes = components(edges, "graph", nodes).groupBy("graph", "root").agg(F.count("*").alias("n")).groupBy("graph").agg(
+        F.count("*").alias("components"), F.max("n").alias("largest_component"))
+    far = distances(edges, counts.select("graph", "resource_nodes"), "graph", distance_limit).select(
+        "graph", "largest_distance", F.col("computed").alias("largest_distance_computed"))
+    lists = graph_lists(triples, base, True, terms).where(F.col("list").isin(*TOPS)).groupBy("graph").agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == t, F.struct("place", "label", "n")))), lambda x: F.struct(x["label"].alias("label"), x["n"].alias("n"))).alias(t)
+        for t in TOPS])
+    out = reduce(lambda a, b: a.join(b, "graph", "left"), [counts, twice, sizes, far, lists]).fillna(0, ["duplicate_triples", "components", "largest_component"])
+    return out if per_graph else out.drop("graph")
 
 
 def graph_terms(triples: DataFrame) -> DataFrame:
@@ -153,10 +216,10 @@ def external_namespaces(triples: DataFrame, base: str) -> DataFrame:
     return per.groupBy(namespace(F.col("term")).alias("label")).agg(F.sum("n").alias("n"))
 
 
-def resource_edges(triples: DataFrame) -> DataFrame:
-    """(s, o) between resources; blank nodes are told apart from IRIs by their mark."""
+def resource_edges(triples: DataFrame, by: str | None = None) -> DataFrame:
+    """(by, s, o) between resources; blank nodes are told apart from IRIs by their mark."""
     mark = lambda c, k: F.when(F.col(k) == "bnode", F.concat(F.lit("_:"), F.col(c))).otherwise(F.col(c))
-    return triples.where(_is_resource()).select(mark("s", "s_kind").alias("s"), mark("o", "o_kind").alias("o"))
+    return triples.where(_is_resource()).select(*([by] if by else []), mark("s", "s_kind").alias("s"), mark("o", "o_kind").alias("o"))
 
 
 def resource_nodes(triples: DataFrame) -> DataFrame:
@@ -187,51 +250,17 @@ def degree_summary(triples: DataFrame) -> DataFrame:
         F.count_if(total <= 1).alias("weakly_connected"))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, root): connected components of (s, o) edges, root the least node.
-
-    Stars shrink: a round gives each node's greater neighbours its least neighbour, and then its smaller
-    ones, so hubs cost their edges and long chains a logarithm of their length in rounds. No neighbourhood
-    is ever gathered; minima are taken before the shuffle.
-    """
-    nodes = settle(edges.select(F.explode(F.array("s", "o")).alias("node")).distinct())
-    e = settle(edges.select(F.greatest("s", "o").alias("u"), F.least("s", "o").alias("v")).where("u <> v").distinct())
-    state = None
-    for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, e = e, settle(rest.union(least.select("u", F.col("m").alias("v"))).distinct())
-        forget(before)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("root"))
-        state = now
-    raise RuntimeError("components did not settle")
-
-
-def largest_distance(triples: DataFrame, limit: int = DISTANCE_LIMIT, max_steps: int = 10_000) -> DataFrame:
-    """One row (largest_distance, computed, resource_nodes): the longest of the shortest undirected paths, by
-    breadth-first steps from all nodes at once. Above ``limit`` nodes it is null and not computed."""
-    nodes = settle(resource_nodes(triples))
-    n = nodes.count()
-    spark = triples.sparkSession
-    schema = "largest_distance long, computed boolean, resource_nodes long"
-    if n > limit:
-        return spark.createDataFrame([(None, False, n)], schema)
-    e = resource_edges(triples).where("s <> o")
-    e = settle(e.union(e.select(F.col("o"), F.col("s"))).distinct())
-    seen = frontier = nodes.select(F.col("node").alias("start"), "node")
-    steps = 0
-    for steps in range(max_steps):
-        step = frontier.join(e, frontier["node"] == e["s"]).select("start", F.col("o").alias("node")).distinct()
-        frontier = settle(step.join(seen, ["start", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = settle(seen.union(frontier))
-    return spark.createDataFrame([(steps if n else 0, True, n)], schema)
+def largest_distance(triples: DataFrame, limit: int = DISTANCE_LIMIT, per_graph: bool = False) -> DataFrame:
+    """(largest_distance, computed, resource_nodes) of all graphs taken together, or (with graph) of each: the longest of the
+    shortest undirected paths. Null and not computed above ``limit`` nodes."""
+    if not per_graph:
+        triples = triples.withColumn("graph", F.lit("*"))
+    ends = F.array(F.struct(F.col("s_kind").alias("k"), F.col("s").alias("t")), F.when(_is_resource(), F.struct(F.col("o_kind").alias("k"), F.col("o").alias("t"))))
+    nodes = triples.select("graph", F.explode(ends).alias("x")).where("x is not null").distinct()
+    n = F.count("*").alias("resource_nodes")
+    sizes = nodes.groupBy("graph").agg(n) if per_graph else nodes.agg(n).select(F.lit("*").alias("graph"), "resource_nodes")
+    out = distances(resource_edges(triples, "graph"), sizes, "graph", limit)
+    return out if per_graph else out.drop("graph")
 
 
 def top_per_graph(counts: DataFrame, n: int = 3) -> DataFrame:
