@@ -15,6 +15,7 @@ object in scope that lacks the attribute.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -121,50 +122,91 @@ def _by_value(values: DataFrame, op: str, x: Any, transform: str | None = None)
     return scalars.where(compare(op, x, F.col("sv"), F.col("v"))).select(*KEY)
 
 
-def find(cat: Catalogue, flt: Mapping[str, Any] | str | list[str], objfilter: str | None = None, base: str = "/",
-         recursive: bool = True, match: str = "any") -> DataFrame:
-    """The objects that match. ``{}`` matches all in scope; a string or list of strings asks for attributes."""
+@dataclass
+class _Compiled:
+    """A filter in parts: a condition on objects, tests of values, flags of attribute rows and the condition on them."""
+
+    own: Column
+    values: list[tuple[str, Any, str | None]]
+    flags: dict[str, Column]
+    names: set[str]
+    absent: list[str]
+    wanted: Column
+
+
+def _compile(flt: Mapping[str, Any] | str | list[str], match: str = "any", prefix: str = "f") -> _Compiled:
     if isinstance(flt, str):
         flt = {flt: {"$exists": True}}
     elif isinstance(flt, list):
         flt = {k: {"$exists": True} for k in flt}
-    out = in_scope(cat.objects, base, recursive, objfilter)
-    flags: dict[str, Column] = {}
-    names: set[str] = set()
-    absent: list[str] = []
-    wanted = F.lit(True)
+    out = _Compiled(F.lit(True), [], {}, set(), [], F.lit(True))
     for k, (key, condition) in enumerate(flt.items()):
         if key in _VALUE_OPS:
-            op, x, how = (key, condition, None) if key != "$mean" else (*next(iter(_operators(condition).items())), "mean")
-            out = out.join(_by_value(cat.values, op, x, how), KEY, "left_semi")
+            out.values.append((key, condition, None) if key != "$mean" else (*next(iter(_operators(condition).items())), "mean"))
         elif key == "$basename":
-            out = out.where(F.col("name").rlike(f"^.*/{condition}$"))
+            out.own = out.own & F.col("name").rlike(f"^.*/{condition}$")
         elif key.startswith("$"):
-            out = out.where(_property(key, condition, match))
+            out.own = out.own & _property(key, condition, match)
         else:
-            names |= {key, key.partition(".")[0]}
+            out.names |= {key, key.partition(".")[0]}
             tests = []
             for j, (op, x) in enumerate(_operators(condition).items()):
-                flag = f"f{k}_{j}"
+                flag = f"{prefix}{k}_{j}"
                 if op == "$exists":
-                    flags[flag] = F.col("attr") == key
+                    out.flags[flag] = F.col("attr") == key
                     tests.append(F.col(flag) if x else ~F.col(flag))
-                    absent += [] if x else [flag]
+                    out.absent += [] if x else [flag]
                 else:
-                    flags[flag] = _attribute_test(key, op, x)
+                    out.flags[flag] = _attribute_test(key, op, x)
                     tests.append(F.col(flag))
-            wanted = wanted & _combine(tests, match)
-    if not flags:
+            out.wanted = out.wanted & _combine(tests, match)
+    return out
+
+
+def _seen(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    return rows.groupBy(*KEY).agg(*[F.bool_or(F.coalesce(t, F.lit(False))).alias(f) for f, t in flags.items()])
+
+
+def find(cat: Catalogue, flt: Mapping[str, Any] | str | list[str], objfilter: str | None = None, base: str = "/",
+         recursive: bool = True, match: str = "any") -> DataFrame:
+    """The objects that match. ``{}`` matches all in scope; a string or list of strings asks for attributes."""
+    c = _compile(flt, match)
+    out = in_scope(cat.objects, base, recursive, objfilter).where(c.own)
+    for op, x, how in c.values:
+        out = out.join(_by_value(cat.values, op, x, how), KEY, "left_semi")
+    if not c.flags:
         return out
-    rows = cat.attributes.where(F.col("attr").isin(*sorted(names)))
-    if len(flags) == 1:
-        (flag, test), = flags.items()
-        return out.join(rows.where(test).select(*KEY), KEY, "left_anti" if absent else "left_semi")
-    seen = rows.groupBy(*KEY).agg(*[F.bool_or(F.coalesce(t, F.lit(False))).alias(f) for f, t in flags.items()])
-    if not absent:
-        return out.join(seen.where(wanted).select(*KEY), KEY, "left_semi")
-    filled = out.join(seen, KEY, "left").fillna(False, list(flags))
-    return filled.where(wanted).select(*out.columns)
+    rows = cat.attributes.where(F.col("attr").isin(*sorted(c.names)))
+    if len(c.flags) == 1:
+        (flag, test), = c.flags.items()
+        return out.join(rows.where(test).select(*KEY), KEY, "left_anti" if c.absent else "left_semi")
+    seen = _seen(rows, c.flags)
+    if not c.absent:
+        return out.join(seen.where(c.wanted).select(*KEY), KEY, "left_semi")
+    filled = out.join(seen, KEY, "left").fillna(False, list(c.flags))
+    return filled.where(c.wanted).select(*out.columns)
+
+
+def find_all(cat: Catalogue, filters: list[tuple[Any, str | None]], names: list[str], match: str = "any") -> DataFrame:
+    """(file_id, name, parent) of all objects with a boolean column, named in ``names``, for each of the filters (filter, object
+    kind): all of them by one scan of the objects, one of the attributes pruned to the names in question, and one grouping."""
+    compiled = [_compile(flt, match, f"f{k}_") for k, (flt, _) in enumerate(filters)]
+    flags = {f: t for c in compiled for f, t in c.flags.items()}
+    out = cat.objects
+    if flags:
+        rows = cat.attributes.where(F.col("attr").isin(*sorted({n for c in compiled for n in c.names})))
+        out = out.join(_seen(rows, flags), KEY, "left").fillna(False, list(flags))
+    columns = []
+    for k, (c, (_, kind), name) in enumerate(zip(compiled, filters, names, strict=True)):
+        test = F.coalesce(c.own, F.lit(False)) & c.wanted
+        if kind is not None:
+            test = test & (F.col("obj_type") == kind_of(kind))
+        for j, (op, x, how) in enumerate(c.values):
+            held = f"v{k}_{j}"
+            out = out.join(_by_value(cat.values, op, x, how).distinct().withColumn(held, F.lit(True)), KEY, "left")
+            test = test & F.col(held).isNotNull()
+        columns.append(test.alias(name))
+    return out.select(*KEY, "parent", *columns)
 
 
 def find_one(cat: Catalogue, flt: Any, per_file: bool = False, **scope: Any) -> DataFrame:
