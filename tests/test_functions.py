@@ -73,3 +73,10 @@ def test_orcid_against_a_loop(spark):
         return "0123456789X"[(12 - total % 11) % 11] == d[-1]
 
     assert apply(spark, identifiers.orcid_valid, texts) == [loop(t) for t in texts]
+
+
+def test_long_terms_are_whole(spark):
+    long = "https://doi.org/10.1234/" + "x" * (1 << 20)
+    df = spark.createDataFrame([(long,), ("_:" + "b" * (1 << 20),)], "t string")
+    rows = df.select(F.length(paths.term_label(F.col("t"), F.lit("iri"))).alias("label"), F.length(paths.to_iri(F.col("t"), F.lit("http://b/"))).alias("iri")).collect()
+    assert rows[0].label == len(long) - len("https://doi.org/") + len("doi:") and rows[1].iri == (1 << 20) + len("http://b/")

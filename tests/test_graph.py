@@ -58,6 +58,14 @@ def test_closure(spark):
     assert {r.node for r in both.collect()} == {"x", "y"}
 
 
+def test_below_by_names(spark):
+    names = ["/", "/a", "/a/b", "/a/b/c", "/a-b", "/ab/a"]
+    objects = spark.createDataFrame([("f", n) for n in names] + [("g", "/a/x")], "file_id string, name string")
+    starts = spark.createDataFrame([("f", "/a"), ("f", "/a/b"), ("f", "/"), ("f", "/a"), ("f", "/none")], "file_id string, start string")
+    got = {(r.start, r.name) for r in P.below(objects, starts).collect()}
+    assert got == {("/", n) for n in names} | {("/a", n) for n in ("/a", "/a/b", "/a/b/c")} | {("/a/b", n) for n in ("/a/b", "/a/b/c")}
+
+
 def test_metrics_small(spark):
     g = graph(spark, [(B + "a", TYPE, B + "Class"), (B + "a", LABEL, "A", "lit"), (B + "a", B + "linksTo", B + "b")])
     assert metrics.graph_counts(g).first().asDict() == {"triples": 3, "subjects": 1, "predicates": 3, "objects": 3}

@@ -1,14 +1,17 @@
 import hashlib
 import json
+import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 from test_filters import attributes, objects
 
-from treelake.model import SCHEMAS, Catalogue
+from treelake.model import LABEL, SCHEMAS, TYPE, Catalogue
 from treelake.operators import arrays
 from treelake.operators import triples as T
 from treelake.sources import documents, files
+from treelake.sources.store import TripleStore
 from treelake.streaming import ingest
 
 
@@ -91,14 +94,92 @@ def test_ntriples(spark, tmp_path):
 
 
 def test_streaming_ingest_is_a_set(spark, tmp_path):
-    source, store = tmp_path / "in", str(tmp_path / "store")
+    source, store = tmp_path / "in", TripleStore(spark, str(tmp_path / "store"), buckets=8)
     source.mkdir()
     for k, lines in enumerate((LINES, LINES + ['<http://a> <http://p> "new" .'])):
         (source / f"{k}.nt").write_text("\n".join(lines))
-        ingest.ingest(spark, str(source), store, str(tmp_path / "check")).awaitTermination()
-        assert spark.read.parquet(store).count() == 3 + k
-    ingest.append_new(spark.read.parquet(store), store)
-    assert spark.read.parquet(store).count() == 4
+        ingest.ingest(store, str(source), str(tmp_path / "check")).awaitTermination()
+        assert store.triples().count() == 3 + k
+    assert {(r.measure, r.label): r.n for r in store.measures().collect()}["triples", ""] == 4
+
+
+def test_store_meets_only_the_buckets_of_a_batch(spark, tmp_path):
+    rng = random.Random(2)
+    schema = "graph string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
+    store = TripleStore(spark, str(tmp_path / "store"), buckets=16)
+    held, sets = set(), []
+    for number in range(4):
+        rows = [(f"s{rng.randrange(12)}", rng.choice([LABEL, TYPE, "p"]), f"o{rng.randrange(6)}", rng.choice(["lit", "iri"]), rng.choice([None, "t"])) for _ in range(60)]
+        batch = spark.createDataFrame([("g", s, "iri", p, o, k, d if k == "lit" else None, None) for s, p, o, k, d in rows], schema)
+        for _ in range(2):  # the second time changes nothing
+            store.append(batch, number)
+        held |= {(s, p, o, k, d if k == "lit" else None) for s, p, o, k, d in rows}
+        sets.append(len(held))
+        assert store.triples().count() == len(held)
+    got = {(r.measure, r.label): r.n for r in store.measures().collect()}
+    assert got["triples", ""] == len(held) and got["subjects", ""] == len({t[0] for t in held})
+    assert got["subjects_with_labels", ""] == len({t[0] for t in held if t[1] == LABEL}) and got["predicate", "p"] == sum(t[1] == "p" for t in held)
+    assert got["class", "o1"] == sum(t[1] == TYPE and t[2] == "o1" for t in held) and got["untyped_literals", ""] == sum(t[3] == "lit" and t[4] is None for t in held)
+    one = spark.createDataFrame([("g", "s1", "iri", "new", "x", "iri", None, None)], schema)
+    store.append(one, 9)
+    assert [r.n for r in store.measures().where("label = 'new'").collect()] == [1]
+    touched = store.triples([0])
+    assert {r.bucket for r in touched.collect()} <= {0} and "PartitionFilters: [isnotnull(bucket" in touched._jdf.queryExecution().toString()
+    stars = store.stars(spark.createDataFrame([("s1",), ("s2",), ("s1",)], "s string"))
+    assert {(r.s, r.p, r.o, r.o_kind, r.o_dt) for r in stars.collect()} == {t for t in held if t[0] in ("s1", "s2")} | {("s1", "new", "x", "iri", None)}
+    # A batch that failed after its data were written is written again.
+    shutil.rmtree(tmp_path / "store/measures/batch=9")
+    store.append(one, 9)
+    assert store.triples().where("p = 'new'").count() == 1 and [r.n for r in store.measures().where("label = 'new'").collect()] == [1]
+
+
+def test_repeats_inside_a_watermark(spark, tmp_path):
+    rows = [("g", "a", "iri", "p", "x", "lit", None, None, "2024-01-01 00:00:00"), ("g", "a", "iri", "p", "x", "lit", None, None, "2024-01-01 00:30:00"),
+            ("g", "a", "iri", "p", "x", "lit", "t", None, "2024-01-01 00:31:00")]
+    schema = "graph string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string, at string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    stream = ingest.distinct_with_watermark(spark.readStream.schema(schema).json(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("seen").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.o_dt or "" for r in spark.table("seen").collect()) == ["", "t"]
+
+
+def test_checksums_of_large_files(spark, tmp_path):
+    """A sparse file of 3 GB, which no cell could hold, and small ones beside it."""
+    (tmp_path / "small one.h5").write_bytes(b"abc")
+    with (tmp_path / "big one.h5").open("wb") as f:
+        f.truncate(3 << 30)
+        f.seek(1 << 31)
+        f.write(b"middle")
+    digest = hashlib.md5(usedforsecurity=False)
+    with (tmp_path / "big one.h5").open("rb") as f:
+        while block := f.read(1 << 24):
+            digest.update(block)
+    got = {r.path.rsplit("/", 1)[-1]: (r.length, r.md5) for r in files.checksums(spark, str(tmp_path)).collect()}
+    assert got == {"small one.h5": (3, hashlib.md5(b"abc", usedforsecurity=False).hexdigest()), "big one.h5": (3 << 30, digest.hexdigest())}
+
+
+def test_tree_pieces_are_the_tree(spark):
+    rng = random.Random(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = {("f", "/"), ("g", "/")}
+    for _ in range(120):
+        parts = [rng.choice(["a", "a-b", "b", "z z", "é"]) for _ in range(rng.randrange(1, 5))]
+        rows |= {("f", "/" + "/".join(parts[:k])) for k in range(1, len(parts) + 1)}
+    full = [(f, n, None if n == "/" else n.rpartition("/")[0] or "/", "group", None, None, None) for f, n in sorted(rows)]
+    attrs = [("f", n, "note", f'say "{n}"') for f, n in sorted(rows) if f == "f"][::3]
+    cat = Catalogue(objects(spark, full), attributes(spark, attrs))
+    spark.conf.set("spark.sql.shuffle.partitions", "19")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pieces = documents.tree_texts(cat).orderBy("file_id", "at").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    whole = {r.file_id: r.tree for r in documents.trees(cat).collect()}
+    for f in ("f", "g"):
+        own = [r for r in pieces if r.file_id == f]
+        assert [r.at for r in own] == list(range(len(own))) and json.loads("".join(r.text for r in own)) == json.loads(whole[f])
+    assert len(pieces) == len(rows) + 2
 
 
 @pytest.fixture(scope="module")

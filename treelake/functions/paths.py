@@ -71,7 +71,7 @@ def term_label(term: Column, kind: Column, prefixes: dict[str, str] | None = Non
     out = F.when(kind == "lit", F.when(F.char_length(term) > LONGEST_LITERAL, cut).otherwise(term)).when(kind == "bnode", term)
     named = [*RECORDS.items(), *((v, k) for k, v in (PREFIXES if prefixes is None else prefixes).items())]
     for start, short in named:
-        rest = F.substring(term, len(start) + 1, 1 << 20)
+        rest = F.right(term, F.char_length(term) - len(start))
         out = out.when(term.startswith(start) & (F.length(term) > len(start)), F.concat(F.lit(short + ":"), rest))
     return out.otherwise(last_segment(term))
 
@@ -93,7 +93,7 @@ def attribute_iri(base: Column, path: Column, attr: Column) -> Column:
 def to_iri(value: Column, base: Column, strict: bool = False) -> Column:
     """``_:x`` becomes an IRI under ``base``; http(s) and urn pass; anything else is null, or an error."""
     bad = F.raise_error(F.concat(F.lit("not an IRI: "), value)).cast("string") if strict else F.lit(None).cast("string")
-    return F.when(value.startswith("_:"), F.concat(base, F.substring(value, 3, 1 << 20))).when(
+    return F.when(value.startswith("_:"), F.concat(base, F.right(value, F.char_length(value) - 2))).when(
         value.rlike("^(https?://|urn:)"), value).otherwise(bad)
 
 

@@ -63,16 +63,29 @@ def registry_insert(spark, sf_dir):
     return documents.register_files(first, p.drop("page_id")).select("id", "path")
 
 
-@query("""WITH g AS (SELECT user_id, event_type, count(*) AS n, min('e' || event_id) AS first FROM events GROUP BY 1, 2)
-  SELECT 'user_' || user_id AS file_id, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_datasets, string_agg(event_type || ':' || first, ',' ORDER BY event_type) AS firsts FROM g GROUP BY user_id""")
+_TREE = views("objects", "attributes").rstrip() + """, m AS (SELECT file_id, name, '{' || string_agg('"' || attr || '":"' || replace(coalesce(s, json), '"', '\\"') || '"', ',' ORDER BY attr) || '}' AS attrs
+    FROM attributes WHERE attr <> 'value' GROUP BY ALL),
+  n AS (SELECT o.file_id, replace(o.name, '/', chr(1)) AS key, depth, '{"name":"' || basename || '","kind":"' || obj_type || '"' || coalesce(',"ndim":' || ndim, '')
+      || coalesce(',"/":' || attrs, '') || ',"children":[' AS node FROM objects o LEFT JOIN m ON m.file_id = o.file_id AND m.name = o.name
+    UNION ALL SELECT file_id, chr(1114111), 0, NULL FROM objects WHERE name = '/'),
+  p AS (SELECT file_id, key, row_number() OVER w - 1 AS pos, coalesce(repeat(']}', CAST(greatest(lag(depth) OVER w - depth + 1, 0) AS BIGINT)), '')
+      || CASE WHEN lag(depth) OVER w >= depth AND node IS NOT NULL THEN ',' ELSE '' END || coalesce(node, '') AS text
+    FROM n WINDOW w AS (PARTITION BY file_id ORDER BY key))
+"""
+
+
+@query(_TREE + "SELECT file_id, pos, text FROM p")
+def tree_pieces(spark, sf_dir):
+    """Each file's tree as pieces of JSON text, in order."""
+    cat = Catalogue(event_objects(spark, sf_dir), event_attributes(spark, sf_dir))
+    return documents.tree_texts(cat, ignore=["value"]).select("file_id", F.col("at").alias("pos"), "text")
+
+
+@query(_TREE + "SELECT file_id, string_agg(text, '' ORDER BY pos) AS tree FROM p GROUP BY file_id")
 def tree_structure(spark, sf_dir):
+    """Each file's tree as one text, folded level by level."""
     cat = Catalogue(event_objects(spark, sf_dir), event_attributes(spark, sf_dir))
-    tree = documents.trees(cat)
-    node = "struct<name:string,kind:string,children:array<string>>"
-    top = tree.select("file_id", F.explode(F.from_json("tree", node)["children"]).alias("c")).select("file_id", F.from_json("c", node).alias("g"))
-    per = top.select("file_id", F.col("g.name").alias("g"), F.size("g.children").cast("long").alias("n"), F.get_json_object(F.element_at("g.children", 1), "$.name").alias("first"))
-    return per.groupBy("file_id").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_datasets"), F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("g", "first"))), lambda x: F.concat(x["g"], F.lit(":"), x["first"])), ",").alias("firsts"))
+    return documents.trees(cat, ignore=["value"])
 
 
 @query("""SELECT event_id, kind, CASE WHEN kind = 'integer' THEN user_id END AS as_long, CASE WHEN kind = 'double' THEN value END AS as_double,

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from treelake.functions import paths
 from treelake.jobs.registry import query
 from treelake.jobs.views_sql import views
+from treelake.lineage import new_folder
 from treelake.model import EX, LABEL, OWL, TYPE, XSD, contact_triples, containment, entity_triples, table, text_triples
 from treelake.operators import metrics, neighborhood
 from treelake.operators import patterns as P
 from treelake.operators.filters import first_per
+from treelake.sources.store import TripleStore
 
 _T = views("triples")
 _LINKED = views("triples", "contacts", "linked")
@@ -152,9 +154,46 @@ def set_ops(spark, sf_dir):
 @query(_T + f"""SELECT s, p, o FROM triples WHERE s IN (SELECT s FROM triples WHERE p = '{EX}inRegion' AND o = '{EX}region/1')
   AND s IN (SELECT s FROM triples WHERE p = '{TYPE}' AND o = '{EX}class/nation')""")
 def describe(spark, sf_dir):
+    """From a store in buckets of subjects, which reads what holds the subjects."""
+    store = TripleStore(spark, new_folder(spark, "store"), buckets=64)
+    t = store.append(entity_triples(spark, sf_dir), 0)
+    subjects = P.match(t, ("?s", EX + "inRegion", EX + "region/1"))
+    return store.stars(P.having(subjects, P.match(t, ("?s", TYPE, EX + "class/nation")))).select("s", "p", "o")
+
+
+@query(_T + f""", t AS (SELECT DISTINCT * EXCLUDE (graph) FROM triples), m AS (
+  SELECT 'triples' AS measure, '' AS label, count(*) AS n FROM t UNION ALL SELECT 'predicate', p, count(*) FROM t GROUP BY p
+  UNION ALL SELECT 'class', o, count(*) FROM t WHERE p = '{TYPE}' GROUP BY o UNION ALL SELECT 'literals', '', count(*) FROM t WHERE o_kind = 'lit'
+  UNION ALL SELECT 'untyped_literals', '', count(*) FROM t WHERE o_kind = 'lit' AND o_dt IS NULL AND o_lang IS NULL
+  UNION ALL SELECT 'datatype', coalesce(o_dt, 'None'), count(*) FROM t WHERE o_kind = 'lit' GROUP BY ALL UNION ALL SELECT 'language', 'None', count(*) FROM t WHERE o_kind = 'lit'
+  UNION ALL SELECT 'subjects', '', count(DISTINCT s) FROM t UNION ALL SELECT 'subjects_with_labels', '', count(DISTINCT s) FROM t WHERE p = '{LABEL}')
+  SELECT measure, label, n FROM m WHERE n > 0""")
+def ingest_measures(spark, sf_dir):
+    """Three batches that overlap: the measures that their changes add up to."""
+    store = TripleStore(spark, new_folder(spark, "store"), buckets=64)
     t = entity_triples(spark, sf_dir)
-    subjects = t.where((F.col("p") == EX + "inRegion") & (F.col("o") == EX + "region/1"))
-    return P.describe(t, subjects, EX + "class/nation", TYPE).select("s", "p", "o")
+    for number, batch in enumerate((t.where("graph in ('region', 'nation', 'part')"), t.where(f"graph <> 'part' and p <> '{LABEL}'"), t)):
+        store.append(batch, number)
+    return store.measures()
+
+
+@query("WITH RECURSIVE " + views("member").removeprefix("WITH ") + f""", reach AS (
+  SELECT s AS start, s AS node FROM (SELECT DISTINCT s FROM member WHERE starts_with(s, '{EX}region/') OR starts_with(s, '{EX}nation/1'))
+  UNION SELECT r.start, m.o FROM reach r JOIN member m ON m.s = r.node)
+  SELECT start, node FROM reach""")
+def path_below(spark, sf_dir):
+    """All that regions, and some of their nations, contain: by the names of the containment tree, in one join."""
+    t = lambda name: table(spark, sf_dir, name)
+    part = lambda kind, c: F.concat(F.lit(f"/{kind}-"), F.col(c).cast("string"))
+    nation = t("nation").select("n_nationkey", F.concat(part("region", "n_regionkey"), part("nation", "n_nationkey")).alias("name"))
+    customer = t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat("name", part("customer", "c_custkey")).alias("name"))
+    order = t("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.concat("name", part("order", "o_orderkey")).alias("name"))
+    region = t("nation").select(part("region", "n_regionkey").alias("name")).distinct()
+    objects = region.union(nation.select("name")).union(customer.select("name")).union(order).withColumn("file_id", F.lit("world"))
+    last = F.substring_index("name", "/", -1)
+    starts = region.union(nation.where(last.startswith("nation-1")).select("name")).select(F.lit("world").alias("file_id"), F.col("name").alias("start"))
+    iri = lambda c: F.concat(F.lit(EX), F.replace(F.substring_index(c, "/", -1), F.lit("-"), F.lit("/")))
+    return P.below(objects, starts).select(iri("start").alias("start"), iri("name").alias("node"))
 
 
 @query(_T + f""", b AS (SELECT a.s AS c, b.o AS n, x.o AS bal FROM triples a JOIN triples b ON b.s = a.s AND b.p = '{EX}inNation'

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.lineage import settle
+from treelake.lineage import forget, settle
 
 Pattern = tuple[str, str, str]
 #: What makes two terms the same: literals differ by datatype and language.
@@ -71,13 +71,26 @@ def closure(edges: DataFrame, starts: DataFrame, both_ways: bool = False) -> Dat
     if both_ways:
         edges = edges.select("s", "o").union(edges.select(F.col("o"), F.col("s"))).distinct()
     edges = settle(edges.select("s", "o"))
-    seen = frontier = settle(starts.select("start", F.col("start").alias("node")).distinct())
+    frontier = settle(starts.select("start", F.col("start").alias("node")).distinct())
+    steps = [frontier]
     while True:
         step = frontier.join(edges, frontier["node"] == edges["s"]).select("start", F.col("o").alias("node")).distinct()
+        seen = reduce(DataFrame.union, steps)
         frontier = settle(step.join(seen, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
+            forget(edges, frontier)
             return seen
-        seen = settle(seen.union(frontier))
+        steps.append(frontier)
+
+
+def below(objects: DataFrame, starts: DataFrame) -> DataFrame:
+    """(file_id, start, name): all objects (file_id, name) at or below each of ``starts`` (file_id, start) in its file, by names alone: one
+    join of the starts with the prefixes of the names, without rounds. The root ``/`` holds everything in its file."""
+    parts = F.filter(F.split("name", "/"), lambda x: x != "")
+    n = F.size(parts)
+    above = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/"))))
+    rows = objects.select("file_id", "name", F.explode(F.concat(F.array(F.lit("/")), F.coalesce(above, F.array().cast("array<string>")))).alias("start"))
+    return rows.join(starts.select("file_id", "start").distinct(), ["file_id", "start"]).select("file_id", "start", "name")
 
 
 def union_graphs(*graphs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treelake import ranges
 from treelake.model import Catalogue
 
 #: Attributes that are bookkeeping of the container; they never enter documents.
@@ -103,6 +104,23 @@ def trees(cat: Catalogue, depth: int | None = None, ignore: list[str] | None = N
     raise AssertionError
 
 
+def tree_texts(cat: Catalogue, ignore: list[str] | None = None) -> DataFrame:
+    """(file_id, at, text): each file's JSON tree in pieces; joined in the order of ``at`` they are the text that :func:`trees` gives.
+
+    Objects are sorted by path in ranges. What a piece closes before it opens its own node follows from its depth and that of the
+    row before, which the range borrows from its neighbour where it has to, so a file of any size is many tasks'. Every object's parents
+    must be objects too."""
+    nodes = tree_rows(cat, ignore).select("file_id", F.replace("name", F.lit("/"), F.lit("\x01")).alias("key"), "depth", "node")
+    # A last row closes what is open; no name comes after it.
+    last = cat.objects.where("name = '/'").select("file_id", F.lit("\U0010ffff").alias("key"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("node"))
+    rows = ranges.rolling(nodes.unionByName(last), ["file_id"], ["key"], 2, before=lambda w: F.when(F.count(F.lit(1)).over(w) == 2, F.first("depth").over(w)))
+    closed = F.when(F.col("before") >= F.col("depth"), F.repeat(F.lit("]}"), F.col("before") - F.col("depth") + 1))
+    comma = F.when(F.col("before").isNotNull() & (F.col("before") >= F.col("depth")) & F.col("node").isNotNull(), ",")
+    opened = F.concat(F.left("node", F.char_length("node") - 1), F.lit(',"children":['))
+    pieces = rows.select("file_id", "key", F.concat(*[F.coalesce(c, F.lit("")) for c in (closed, comma, opened)]).alias("text"))
+    return ranges.numbered(pieces, ["file_id"], ["key"], "at").select("file_id", "at", "text")
+
+
 def cast_bindings(results: DataFrame) -> DataFrame:
     """Result cells (row, variable, value, datatype) with typed columns beside the text: integers, decimals, floats,
     booleans, times and dates; what does not parse keeps its text alone."""

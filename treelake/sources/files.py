@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from treelake.lineage import settle
 
 #: Files whose offsets one task sums.
 _BUCKET = 10_000
+#: Bytes up to which a file is one cell, and that are read at a time of a larger one.
+WHOLE, BLOCK = 256 << 20, 8 << 20
 SUFFIXES = (".hdf", ".hdf5", ".h5", ".nc")
 #: The line format. A line is subject, predicate, object and a dot.
 _TERM = r"(<[^>]*>|_:\S+)"
@@ -34,10 +40,28 @@ def with_checksums(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select(*kept, F.octet_length(content).cast("long").alias("length"), F.md5(F.col(content).cast("binary")).alias("md5"))
 
 
-def checksums(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, length, md5). The reader takes files of up to 2 GB."""
+def checksums(spark: SparkSession, folder: str, glob: str = "*", whole: int = WHOLE) -> DataFrame:
+    """(path, length, md5). Files of more than ``whole`` bytes, which a cell cannot or should not hold, are read by a task in blocks
+    that the digest is carried over, through Arrow's file systems."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    return with_checksums(files.select("path", "content"))
+    small = with_checksums(files.where(F.col("length") <= whole).select("path", "content"))
+    large = files.where(F.col("length") > whole).select("path", "length").repartition("path").mapInPandas(_streamed, "path string, length long, md5 string")
+    return small.unionByName(large)
+
+
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        found = []
+        for path in b["path"]:
+            scheme, _, rest = path.partition(":")
+            local = scheme == "file"
+            system, place = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if local else fs.FileSystem.from_uri(path)
+            digest = hashlib.md5(usedforsecurity=False)
+            with system.open_input_stream(place) as stream:
+                while block := stream.read(BLOCK):
+                    digest.update(block)
+            found.append(digest.hexdigest())
+        yield b.assign(md5=found)
 
 
 def verify_checksums(manifest: DataFrame, found: DataFrame) -> DataFrame:

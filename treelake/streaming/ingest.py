@@ -1,39 +1,25 @@
-"""Incremental triples: a stream of N-Triples files kept as a set in Parquet."""
+"""Incremental triples: a stream of N-Triples files kept as a set, and its measures, in a bucketed store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from treelake.sources.files import parse_ntriples
+from treelake.sources.store import KEY, TripleStore
 
-KEY = ["s", "p", "o", "o_kind", "o_dt", "o_lang"]
-SCHEMA = "graph string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
-
-
-def append_new(batch: DataFrame, store: str) -> None:
-    """Adds the batch's triples that the store does not hold. Running a batch again adds nothing."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(KEY)
-    try:
-        held = spark.read.schema(SCHEMA).parquet(store)
-    except Exception as e:  # the store does not exist before the first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        held = None
-    if held is not None:
-        same = [fresh[k].eqNullSafe(held[k]) for k in KEY]
-        fresh = fresh.join(held, same, "left_anti")
-    fresh.write.mode("append").parquet(store)
-
-
-def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Takes every file that appears in ``folder``, once, and stops when none is left."""
-    lines = spark.readStream.option("pathGlobFilter", "*.nt").text(folder)
+
+def ingest(store: TripleStore, folder: str, checkpoint: str) -> StreamingQuery:
+    """Takes every file that appears in ``folder``, once, and stops when none is left. A batch meets only the buckets of the store
+    that its subjects fall into; a batch that is run again changes nothing."""
+    lines = store.spark.readStream.option("pathGlobFilter", "*.nt").text(folder)
     triples = parse_ntriples(lines)
-    return (triples.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-            .foreachBatch(lambda df, _: append_new(df, store)).start())
+
+    def take(batch: DataFrame, number: int) -> None:
+        store.append(batch, number)
+
+    return triples.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
 
 
 def distinct_with_watermark(triples: DataFrame, time: str = "at", late: str = "1 hour") -> DataFrame:
