@@ -199,3 +199,24 @@ def test_bands_miss_next_to_no_pair():
         bits = (x * np.uint32(0x9E3779B1) >> np.uint32(31)) != (y * np.uint32(0x9E3779B1) >> np.uint32(31))
         over += bits.sum() > ring.limit
     assert (shared, missed, over) == (400, 0, 0) and abs(equal - 0.8) < 0.01
+
+
+def test_whole_rows_survive_the_sort(spark):
+    """Columns with the operator's own names, rows that differ beside id and text, a hot text and null ids."""
+    rows = [(1, "a  b", "x", 1), (1, "a b", "y", 2), (2, "a\tb", "z", 3), (None, "c", "n", 4), (None, "c", "m", 5), (3, None, "e", 6), (4, "", "f", 7), (5, "long " * 60000, "l", 8)]
+    rows += [(100 + i, "hot", "h", i) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __sha string, whole long").repartition(6)
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    got = {(r.doc_id, (r.text or "").replace("\t", " ").replace("  ", " ")) for r in kept.collect()}
+    assert got == {(1, "a b"), (None, "c"), (3, ""), (5, "long " * 60000), (100, "hot")} and kept.count() == 5
+    again = exact_dedup.drop_exact_copies(docs.repartition(3, F.rand(4)))
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
+    assert exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short text")], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert int(got[1].fingerprint, 16) == simhash.fingerprint(long) and got[2].component_id == 1 and got[3].component_id == 3

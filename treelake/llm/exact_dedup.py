@@ -34,33 +34,52 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranks after all others, and of rows that repeat the same id exactly one is kept. An empty
     table gives an empty result; other columns of ``docs`` are ignored.
     """
-    parts = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_of(text_col)).alias("norm"))
-    rows = rows.withColumn("key", F.xxhash64("norm"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_of(text_col)).alias("norm")).withColumn("key", F.xxhash64("norm"))
+    return _grouped(rows, docs.count(), []).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
-    total = docs.count()
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns, whatever their names. Of rows that are equal in
+    id and text but not in the rest, the one with the least hash of the whole row stays. The rows themselves are sorted, so a
+    text is moved once."""
+    norm = normalised(F.coalesce(F.col("whole")[text_col], F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    rows = rows.select(F.col("whole")[id_col].alias("doc_id"), "whole", F.xxhash64(norm).alias("key"), F.substring(norm, 1, _PREFIX).alias("head"))
+    found = _grouped(rows, docs.count(), ["whole"], norm)
+    return found.where("kept").select("whole.*")
+
+
+def _grouped(rows: DataFrame, total: int, carried: list[str], norm: Column | None = None) -> DataFrame:
+    """The groups of ``rows`` (doc_id, key, and either norm or head and what ``norm`` is made of) with the columns ``carried``."""
+    parts = shuffle_partitions(rows.sparkSession)
     large = {r["key"]: r["n"] for r in rows.groupBy("key").agg(F.count("*").alias("n"))
              .where(F.col("n") * parts > max(total, 1) + parts).collect()}
-    rows = rows.withColumn("head", F.substring("norm", 1, _PREFIX))
+    if norm is None:
+        rows = rows.withColumn("head", F.substring("norm", 1, _PREFIX))
     by = ("head", "key")
     if large:
         split = F.create_map(*[F.lit(x).cast("long") for k, n in large.items() for x in (k, -(-n * parts // total))])
         salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.element_at(split, F.col("key"))), F.lit(0))
         rows = rows.withColumn("salt", salt.cast("int"))
         by = (*by, "salt")
-    order = Window.partitionBy(*by).orderBy("norm", F.col("doc_id").asc_nulls_last())
     dealt = rows.repartitionByRange(*by)
+    if norm is not None:
+        dealt = dealt.withColumn("norm", norm)
+    ties = [F.xxhash64(*carried)] if carried else []
+    order = Window.partitionBy(*by).orderBy("norm", F.col("doc_id").asc_nulls_last(), *ties)
     first = ~F.lag("norm").over(order).eqNullSafe(F.col("norm"))
-    seen = dealt.select(*by, "doc_id", "norm", first.alias("first"), F.row_number().over(order).alias("at"))
+    seen = dealt.select(*by, "doc_id", "norm", *carried, first.alias("first"), F.row_number().over(order).alias("at"))
     run = F.max(F.when(F.col("first"), F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     runs = seen.withColumn("run", run)
     own = Window.partitionBy(*by, "run")
     found = runs.select(
-        "doc_id", "first", F.sha2("norm", 256).alias("text_sha256"), F.col("key").isin(*large).alias("large"),
+        "doc_id", *carried, "first", F.sha2("norm", 256).alias("text_sha256"), F.col("key").isin(*large).alias("large"),
         F.when(F.col("first") & F.col("key").isin(*large), F.col("norm")).alias("part_text"),
         F.min("doc_id").over(own).alias("part_id"), F.count("*").over(own).alias("part_size"))
+    if carried:  # only a part's first row can stay
+        found = found.where("first")
     if not large:
-        return found.select("doc_id", F.col("part_id").alias("keep_id"), F.col("part_size").alias("group_size"),
+        return found.select("doc_id", *carried, F.col("part_id").alias("keep_id"), F.col("part_size").alias("group_size"),
                             F.col("first").alias("kept"), "text_sha256")
 
     found = cut(found)
@@ -72,20 +91,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = found.join(F.broadcast(merged), found["large"] & found["part_id"].eqNullSafe(F.col("of"))
                         & (found["text_sha256"] == F.col("sha")), "left")
     keep = F.coalesce("keep_id", "part_id")
-    return joined.select("doc_id", keep.alias("keep_id"),
+    return joined.select("doc_id", *carried, keep.alias("keep_id"),
                          F.coalesce("group_size", "part_size").alias("group_size"),
                          (F.col("first") & F.col("part_id").eqNullSafe(keep)).alias("kept"), "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_groups` keeps, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha"))
-    rows = docs.withColumn("__sha", F.sha2(normalised(text_of(text_col)), 256))
-    same = rows[id_col].eqNullSafe(kept["__kept_id"]) & (rows["__sha"] == kept["__kept_sha"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "__sha"]).drop("__sha")
-
-
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
