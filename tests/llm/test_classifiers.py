@@ -83,6 +83,16 @@ def test_quality_held_out(spark):
     assert (own["predicted"] == own["quality"]).mean() > 0.97
 
 
+def test_quality_learns_from_long_texts_whatever_the_partitions(spark):
+    rows = [(i, "good words in order here " * (12_000 if i % 30 == 0 else 9) if i % 2 == 0 else "BUY NOW!!! " * 20) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert all(r.predicted == 1 - k % 2 for k, r in got.items())
+    again = quality.classify(docs.repartition(3, F.rand(1)), labels.repartition(2, F.rand(2))).collect()
+    assert {r.doc_id: r.score for r in again} == {k: r.score for k, r in got.items()}
+
+
 def test_quality_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "some text", "c"), (2, "", "b")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, quality int")

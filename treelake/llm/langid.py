@@ -165,8 +165,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> pd.Dat
                 yield pd.DataFrame({"lang": b["lang"].to_numpy()[at : at + len(g)], "x": list(frequencies(g))})
                 at += len(g)
 
-    got = (some.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).limit(2 * cap * len(sizes))
-           .mapInPandas(run, "lang string, x array<float>").toPandas())
+    # The same rows however the table is partitioned.
+    got = (some.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).orderBy(unit_hash(F.col("id")), "id", "text").limit(2 * cap * len(sizes))
+           .select("lang", "text").mapInPandas(run, "lang string, x array<float>").toPandas())
     return got.groupby("lang", sort=True).head(cap)
 
 

@@ -4,8 +4,8 @@ Each word has a sparse random index vector; its context vector is the sum of the
 the words around it over the training sample. A document is pooled into the means of the context
 vectors of its words and of their shapes (case and punctuation), and of its repetitions. A
 two-layer numpy network scores the pool; a temperature fitted on rows that the network has not
-seen calibrates the probability. The sample has at most ``SAMPLE`` labelled rows of at most
-``LONGEST`` characters; every text is scored whole.
+seen calibrates the probability. The sample has at most ``SAMPLE`` labelled rows, the same ones however the tables are partitioned;
+every text is learned from and scored whole.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from treelake.llm.tokens import MEMO, groups
 
 #: Buckets of words and of shapes, size of the vectors, words on each side, hidden units.
 WORDS, SHAPES, DIM, WINDOW, HIDDEN = 8192, 1024, 32, 2, 24
-#: Bounds of the training sample.
-SAMPLE, LONGEST = 3000, 40_000
+#: Most labelled rows that are learned from.
+SAMPLE = 3000
 _REPEAT = WORDS + SHAPES
 _ROWS = _REPEAT + 2
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -140,16 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from labels (0 or 1) of rows whose crc32(id as text) mod 3 is not 1."""
     known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where(
         F.col("__y").isin(0, 1) & (F.crc32(F.col("__id").cast("string")) % 3 != 1))
-    total = known.count()
-    known = known.where(unit_hash(F.col("__id")) < min(1.0, SAMPLE / max(1, total))).limit(2 * SAMPLE)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).where(F.length("text") <= LONGEST)
+    known = known.orderBy(unit_hash(F.col("__id")), "__id", "__y").limit(SAMPLE)
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b["__id"], "y": b["__y"], "rows": [token_rows(t).ravel() for t in b["text"]]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = (texts.join(F.broadcast(known), "__id").select("__id", "__y", "text").limit(2 * SAMPLE)
+    got = (texts.join(F.broadcast(known), "__id").select("__id", "__y", "text")
            .mapInPandas(run, f"id {kind}, y int, rows array<int>").toPandas())
     got = got.sort_values(["id", "y"], kind="stable").iloc[:SAMPLE]
     rows = [np.asarray(r, np.int32).reshape(-1, 3) for r in got["rows"]]
@@ -191,6 +190,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                                 "predicted": (score >= 0.5).astype(int)})
 
     if keep:
+        if "__score" in docs.columns:
+            raise ValueError("the table has a column __score already")
         # Only the text goes to Python; the other columns stay as they are.
         @F.pandas_udf("double")
         def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
