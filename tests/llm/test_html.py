@@ -33,6 +33,14 @@ def test_parts_inside_an_article_that_do_not_belong():
     assert html_text.main_text(page(body)) == TEXT
 
 
+def test_nothing_is_lost_inside_the_article():
+    marked = "<article><p>First paragraph &amp; more, spaced out.</p><div class='promotion-history'><p>A chapter on promotions.</p></div><div class='promo-banner'>Buy</div></article>"
+    assert html_text.main_text(page(marked)) == "First paragraph & more, spaced out.\n\nA chapter on promotions."
+    long = "<p>A long first paragraph of an article that has no mark of its own at all.</p><p>And a second one that is as long as the first one is.</p>"
+    plain = f"<nav>{NOISE}</nav><div class='content'><div>{long}</div><div><p>Short end.</p></div></div><div class='x'>Elsewhere</div><footer>End</footer>"
+    assert html_text.main_text(page(plain)).endswith("first one is.\n\nShort end.")
+
+
 def test_odd_input():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>x</nav>") == ""
     assert html_text.main_text("plain text only") == "plain text only"

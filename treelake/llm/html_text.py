@@ -55,21 +55,22 @@ _WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising
 _WEAK = {"banner", "notice", "notices", "alert", "aside", "side", "widget", "widgets", "foot", "header", "reply", "share", "sharing", "trending",
          "popular", "search", "tags", "copyright", "legal", "disclaimer", "skip", "teaser", "teasers", "links", "buttons"}
 _FILLER = {"site", "page", "main", "top", "bottom", "left", "right", "box", "bar", "area", "section", "block", "list", "wrap", "wrapper",
-           "container", "inner", "content", "post", "posts", "item", "global"}
+           "container", "inner", "content", "post", "posts", "item", "global", "slot", "unit", "thread", "form", "banner"}
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _names_surroundings(value: str) -> bool:
+def _names_surroundings(value: str, marked: bool) -> bool:
+    """Whether a class or id names what surrounds articles. Inside the page's own article mark all of its words have to."""
     for whole in value.split():
         words = [w.lower() for w in _SPLIT.split(whole) if len(w) > 1]
-        if any(w in _WORDS for w in words):
+        if not marked and any(w in _WORDS for w in words):
             return True
-        if any(w in _WEAK for w in words) and all(w in _WEAK or w in _FILLER for w in words):
+        if any(w in _WEAK or w in _WORDS for w in words) and all(w in _WEAK or w in _WORDS or w in _FILLER for w in words):
             return True
     return False
 
 
-def _surrounds(tag: str, attributes: str) -> tuple[bool, bool]:
+def _surrounds(tag: str, attributes: str, marked: bool) -> tuple[bool, bool]:
     """Whether the element is no part of an article for certain, and whether its class says so."""
     if tag in _DROP:
         return True, False
@@ -81,7 +82,7 @@ def _surrounds(tag: str, attributes: str) -> tuple[bool, bool]:
         if (name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value)
                 or name == "role" and value.strip().lower() in _ROLES):
             return True, False
-        named = named or name in ("class", "id") and _names_surroundings(value)
+        named = named or name in ("class", "id") and _names_surroundings(value, marked)
     return False, named
 
 
@@ -99,7 +100,7 @@ class Line:
 
 @dataclass
 class Page:
-    """Lines (None: an empty one), for each container its first line and the line after its last, and for each
+    """Lines (None: an empty one), for each container its first line, the line after its last and the container around it, and for each
     element that may surround the article (a shade) the shade around it and whether it surely does."""
 
     lines: list[Line | None] = field(default_factory=list)
@@ -170,11 +171,11 @@ def read(page: str) -> Page:
         elif tag not in _VOID and not m[3].endswith("/"):
             if tag in _SELF_CLOSING and stack and stack[-1][0] == tag:
                 pop()
-            sure, named = _surrounds(tag, m[3])
+            sure, named = _surrounds(tag, m[3], mark >= 0)
             if tag in _CONTAINER:
                 out.lines.extend([None] * WINDOW)
-                container = len(out.containers)
-                out.containers.append([len(out.lines), -1])
+                out.containers.append([len(out.lines), -1, container])
+                container = len(out.containers) - 1
             if tag in ("article", "main") and not (tag == "main" and mark >= 0):
                 mark = container
             if sure or named:
@@ -208,6 +209,26 @@ def _shaded(page: Page) -> list[bool]:
     return out
 
 
+def _wrappers(page: Page, lines: list[Line | None], around: set[int]) -> list[int]:
+    """Of an article without a mark: the containers around what surged, as long as most of their text is in it and
+    they hold nothing that surrounds articles; short parts of the article may stand in them on their own."""
+    if any(x and x.mark >= 0 for x in lines):
+        return []
+    dropped = [0, *accumulate(a is not None and b is None for a, b in zip(page.lines, lines))]
+    size = [0, *accumulate(len(x.text) if x else 0 for x in lines)]
+    out: set[int] = set()
+    for inside in around:
+        begin, end, outer = page.containers[inside]
+        held = size[end] - size[begin]
+        while outer >= 0 and outer not in around and outer not in out:
+            begin, end, beyond = page.containers[outer]
+            if dropped[end] > dropped[begin] or 2 * held < size[end] - size[begin]:
+                break
+            out.add(outer)
+            outer = beyond
+    return sorted(out)
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by empty lines; "" if there are none."""
     read_ = read(page or "")
@@ -245,6 +266,9 @@ def main_text(page: str | None) -> str:
                 if inside >= 0 and inside not in around:
                     around.add(inside)
                     first, last = min(first, read_.containers[inside][0]), max(last, read_.containers[inside][1])
+    for inside in _wrappers(read_, lines, around):
+        first, last = min(first, read_.containers[inside][0]), max(last, read_.containers[inside][1])
+        around.add(inside)
     kept = []
     for x, surged in zip(lines[first:last], own[first:last], strict=True):
         if x and (surged or x.mark >= 0 or x.container in around or x.linked <= LINKS * len(x.text)):

@@ -127,7 +127,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (doc_id, piece, length, ...) with sequence_id and offset: gapless from 0, no
     sequence above the capacity. An empty table gives an empty result; a null doc_id packs like any
-    other; repeated rows are packed one by one; lengths must be 1 to ``capacity``."""
+    other; repeated rows are packed one by one; lengths must be 1 to ``capacity``; columns must not begin with ``__``."""
+    if clash := [c for c in items.columns if c.startswith("__")]:
+        raise ValueError(f"columns that clash with the operator's own: {clash}")
     spark = items.sparkSession
     items = cut(items)
     buckets = shuffle_partitions(spark)
@@ -152,5 +154,5 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id",
                    text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Cut and pack ``docs``: one row per piece. Null text counts as empty: one piece of the end id
-    alone; other columns of ``docs`` are ignored."""
+    alone; other columns of ``docs`` are ignored. Ids are integers; text that is none fails the job."""
     return pack(pieces(docs, path, end_id, capacity, id_col, text_col, keep_ids), capacity)

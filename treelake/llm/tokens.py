@@ -386,7 +386,7 @@ def write_token_files(docs: DataFrame, out: str, path: str, end_id: int | None =
     The files are Parquet, committed by Spark: part p holds the p-th range of ids; a row holds whole
     documents as Simple-8b words with the word offset of each block, and ``first``, the ids of
     its part before it. Null text counts as empty; rows that repeat an id are neighbours in the
-    order of a hash of their text; null ids come first.
+    order of a hash of their text; null ids come first. Ids are integers; text that is none fails the job.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part = word_encoder(path), TaskContext.get().partitionId()
