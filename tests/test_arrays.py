@@ -75,6 +75,7 @@ def test_alignment(spark, vel):
     assert [r.rolling for r in arrays.rolling_mean(vel, ["file_id"], "coord", 2).orderBy("coord").collect()] == [None, 2.0, 3.0]
     assert arrays.dataset_stats(vel, ["file_id"]).first().std == pytest.approx(math.sqrt(2 / 3))
     assert arrays.normalize(vel, 2.0, coord="coord").where("i = 1").first().v_norm == 1.25
+    assert arrays.normalized_name("u", "ref") == "u/ref"
     hits = arrays.where_index(spark.range(100).select(F.col("id").alias("i")), F.col("i") > 66, ["i"])
     assert hits.count() == 33
 

@@ -194,6 +194,14 @@ def test_all_measures_in_one_row(spark):
     assert (empty.triples, empty.components, empty.largest_component, empty.label_coverage, empty.avg_out_degree) == (0, 0, 0, 0.0, 0.0)
 
 
+def test_namespaces_and_classes_of_a_view(spark):
+    g = graph(spark, [("http://a#x", "http://p/q", "http://b/y"), ("_n", "http://p/q", "http://b/z"), ("http://a#x", "http://p/q", "text", "lit")])
+    got = {r.group: (r.namespace, r.nodes) for r in neighborhood.namespace_groups(g, {"b": "http://b/"}).collect()}
+    assert got == {"http://a#": ("http://a#", 1), "b": ("http://b/", 2), "blank": ("blank", 1)}
+    nodes = spark.createDataFrame([("a", "C", 3, 1), ("b", "C", 2, 0), ("c", "D", 1, 1)], "node string, class string, degree long, hidden long")
+    assert {tuple(r) for r in neighborhood.class_index(nodes).collect()} == {("C", 2, 5, 1), ("D", 1, 1, 1)}
+
+
 def test_first_of_each_key(spark):
     df = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 3, "z")], "k string, at int, v string")
     assert {(r.k, r.v) for r in first_per(df, ["k"], ["at"]).collect()} == {("a", "x"), ("b", "z")}

@@ -1,8 +1,11 @@
+import json
+
 import pytest
+from pyspark.sql import functions as F
 from test_filters import attributes, objects
 
 from treelake.model import Catalogue
-from treelake.operators import convention, layout
+from treelake.operators import convention, layout, shapes
 from treelake.operators.convention import Rule
 from treelake.operators.layout import Spec
 
@@ -53,3 +56,42 @@ def test_string_datasets_are_left_alone(spark):
     cat = Catalogue(objects(spark, [("f", "/s", "/", "dataset", "str", 0, []), ("f", "/n", "/", "dataset", "int8", 0, [])]), attributes(spark, [("f", "/x", "y", "z")]))
     got = convention.validate(cat, [Rule("units", "dataset", "units", numeric_only=True)]).collect()
     assert [r.name for r in got] == ["/n"]
+
+
+def test_convention_from_its_configuration(arrays, tmp_path):
+    config = {"__name__": "c", "$kinds": ["m", "km/s"], "units": {"target_method": "create_dataset", "validator": "$kinds"},
+              "comment-dataset": {"target_method": "create_dataset", "validator": "$regex(^[A-Z].*$)", "default_value": "$NONE", "requirements": ["author"]},
+              "title": {"target_method": "__init__", "validator": "str", "alternative_standard_attribute": "long_title"},
+              "note": {"target_method": "create_group", "default_value": "nothing"}}
+    rules = convention.from_config(config)
+    assert rules == [Rule("units", "dataset", "in", ["m", "km/s"]), Rule("comment", "dataset", "regex", "^[A-Z].*$", obligatory=False, requires=["author"]),
+                     Rule("title", "file", alternative="long_title"), Rule("note", "group", obligatory=False)]
+    got = {(r.name, r.attr, r.problem) for r in convention.validate(arrays, rules).collect()}
+    assert got == {("/b", "units", "invalid"), ("/d", "units", "missing"), ("/a", "comment", "requires author"), ("/", "title", "missing")}
+    (tmp_path / "c.yaml").write_text(json.dumps(config))
+    assert convention.from_yaml(str(tmp_path / "c.yaml")) == rules
+    for bad in ({"x": {"target_method": "create_table"}}, {"x": {"target_method": "create_group", "validator": "$unheard"}}):
+        with pytest.raises(ValueError):
+            convention.from_config(bad)
+
+
+def test_validators_of_the_caller(arrays):
+    convention.register("short", lambda c, arg: F.length(c) <= arg)
+    got = convention.validate(arrays, [Rule("units", "dataset", "short", 4, obligatory=False)]).collect()
+    assert [(r.name, r.problem) for r in got] == [("/b", "invalid")]
+
+
+def test_filters_of_a_tree_are_scanned_once(arrays):
+    """However many specifications there are, the catalogue is read by one scan of each table and the roots' own."""
+    specs = [Spec(f"s{k}", {"$ndim": k, "units": {"$regex": "m"}}, "dataset", then=[Spec(f"t{k}", {"comment": {"$exists": False}})]) for k in range(1, 4)]
+    plan = layout.validate(arrays, specs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") <= 4
+
+
+def test_report_as_triples(spark):
+    rows = [("s", "http://f", "http://p", "http://v", "class", "no"), ("s", "http://f", "http://p", None, "minCount", "none")]
+    v = spark.createDataFrame(rows, "shape string, focus string, path string, value string, component string, message string")
+    got = [(r.p.rsplit("#", 1)[-1], r.o, r.o_kind) for r in shapes.report(v).collect()]
+    assert ("conforms", "false", "lit") in got and sum(p == "result" for p, *_ in got) == 2 and got.count(("value", "http://v", "iri")) == 1
+    assert ("sourceConstraintComponent", shapes.SH + "MinCountConstraintComponent", "iri") in got
+    assert [(r.p.rsplit("#", 1)[-1], r.o) for r in shapes.report(v.limit(0)).collect() if r.o_kind == "lit"] == [("conforms", "true")]

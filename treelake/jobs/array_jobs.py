@@ -73,6 +73,19 @@ def scale_offset(spark, sf_dir):
     return out.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.sum(F.round("decoded", 4)), 2).alias("total"))
 
 
+@query("""WITH d AS (SELECT l_suppkey, avg(l_discount) AS scale, avg(l_tax) AS shift FROM lineitem GROUP BY l_suppkey)
+  SELECT l_suppkey, l_returnflag, count(*) AS n, round(sum(round((l_extendedprice * scale + shift) / 1000, 6)), 2) AS total, count(*) FILTER (l_quantity > 25) AS flagged
+  FROM lineitem JOIN d USING (l_suppkey) GROUP BY ALL""")
+def decoder_chain(spark, sf_dir):
+    """Three decoders in the order of registration: scale and offset, a unit, a flag."""
+    line = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("v"))
+    one = lambda c: line.groupBy("l_suppkey").agg(F.avg(c).alias("factor"))
+    out = arrays.decode_all(line, [
+        lambda df: arrays.decode(df, one("l_discount"), one("l_tax"), ["l_suppkey"]),
+        lambda df: df.withColumn("decoded", F.round(F.col("decoded") / 1000, 6)), lambda df: df.withColumn("flag", F.col("l_quantity") > 25)])
+    return out.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("decoded"), 2).alias("total"), F.count_if("flag").alias("flagged"))
+
+
 _AXES = "max(CASE WHEN name = 'click' THEN v END) AS click, max(CASE WHEN name = 'view' THEN v END) AS view"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from treelake.jobs.registry import query
 from treelake.jobs.views_sql import views
 from treelake.lineage import new_folder, remove
-from treelake.model import EX, Catalogue, entity_triples, event_attributes, event_catalogue, event_objects, event_values, table, text_triples
+from treelake.model import EX, Catalogue, embedding_values, entity_triples, event_attributes, event_catalogue, event_objects, event_values, table, text_triples
 from treelake.operators import triples as T
 from treelake.sources import documents, files
 
@@ -165,24 +165,50 @@ _HDF = "http://purl.allotrope.org/ontologies/hdf5/1.8#"
 _IRI = "'https://example.org/' || file_id || '/' || substr(name, 2)"
 
 
-@query(views("objects").rstrip() + f""", me AS (SELECT *, {_IRI} AS iri, 'https://example.org/' || file_id || '/' || substr(parent, 2) AS up FROM objects)
-  SELECT p, o_kind, count(*) AS n, count(DISTINCT s) AS subjects FROM (
-    SELECT iri AS s, 'name' AS p, 'lit' AS o_kind FROM me UNION ALL SELECT iri, 'type', 'iri' FROM me UNION ALL SELECT up, 'member', 'iri' FROM me WHERE parent IS NOT NULL
-    UNION ALL SELECT 'https://example.org/' || file_id, 'type', 'iri' FROM me WHERE name = '/' UNION ALL SELECT 'https://example.org/' || file_id, 'rootGroup', 'iri' FROM me WHERE name = '/'
-    UNION ALL SELECT iri, 'rank', 'lit' FROM me WHERE obj_type = 'dataset' UNION ALL SELECT iri, 'size', 'lit' FROM me WHERE obj_type = 'dataset'
-    UNION ALL SELECT iri, 'datatype', 'lit' FROM me WHERE obj_type = 'dataset' UNION ALL SELECT iri, 'datatype', 'iri' FROM me WHERE obj_type = 'dataset'
-    UNION ALL SELECT iri, 'layout', 'iri' FROM me WHERE obj_type = 'dataset' UNION ALL SELECT iri, 'value', 'lit' FROM me WHERE obj_type = 'dataset') GROUP BY 1, 2""")
+_RDF, _XS = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2001/XMLSchema#"
+#: Every triple of the events' structure and attributes; numbers as decimals, as engines write doubles differently.
+_STRUCTURE = f""", me AS (SELECT *, {_IRI} AS iri, 'https://example.org/' || file_id AS file, 'https://example.org/' || file_id || '/' || substr(parent, 2) AS up FROM objects),
+  ats AS (SELECT *, {_IRI} AS iri, {_IRI} || '@' || attr AS it FROM attributes),
+  st AS (SELECT file AS s, '{_RDF}type' AS p, '{_HDF}File' AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_dt FROM me WHERE name = '/'
+    UNION ALL SELECT file, '{_HDF}rootGroup', iri, 'iri', NULL FROM me WHERE name = '/'
+    UNION ALL SELECT iri, '{_RDF}type', CASE obj_type WHEN 'group' THEN '{_HDF}Group' ELSE '{_HDF}Dataset' END, 'iri', NULL FROM me
+    UNION ALL SELECT iri, '{_HDF}name', name, 'lit', NULL FROM me UNION ALL SELECT up, '{_HDF}member', iri, 'iri', NULL FROM me WHERE parent IS NOT NULL
+    UNION ALL SELECT iri, '{_HDF}rank', '0', 'lit', '{_XS}integer' FROM me WHERE obj_type = 'dataset'
+    UNION ALL SELECT iri, '{_HDF}size', '1', 'lit', '{_XS}integer' FROM me WHERE obj_type = 'dataset'
+    UNION ALL SELECT iri, '{_HDF}datatype', 'H5T_FLOAT', 'lit', NULL FROM me WHERE obj_type = 'dataset'
+    UNION ALL SELECT iri, '{_HDF}datatype', '{_HDF}H5T_IEEE_F64LE', 'iri', NULL FROM me WHERE obj_type = 'dataset'
+    UNION ALL SELECT iri, '{_HDF}layout', '{_HDF}H5D_CONTIGUOUS', 'iri', NULL FROM me WHERE obj_type = 'dataset'
+    UNION ALL SELECT iri, '{_HDF}value', CAST(CAST(d AS DECIMAL(18,4)) AS VARCHAR), 'lit', '{_XS}double' FROM ats WHERE attr = 'value'
+    UNION ALL SELECT iri, '{_HDF}attribute', it, 'iri', NULL FROM ats UNION ALL SELECT it, '{_HDF}name', attr, 'lit', NULL FROM ats
+    UNION ALL SELECT it, '{_RDF}type', '{_HDF}' || CASE vtype WHEN 'float' THEN 'FloatAttribute' ELSE 'StringAttribute' END, 'iri', NULL FROM ats
+    UNION ALL SELECT it, '{_HDF}data', coalesce(s, CAST(CAST(d AS DECIMAL(18,4)) AS VARCHAR), json), 'lit', CASE vtype WHEN 'float' THEN '{_XS}float' END FROM ats)"""
+_CONTEXT = f""", co AS (SELECT subject AS s, '{_RDF}type' AS p, type AS o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS o_dt FROM annotations
+    UNION ALL SELECT subject, predicate, coalesce(object, CAST(CAST(value AS DECIMAL(18,4)) AS VARCHAR)), CASE WHEN object IS NULL THEN 'lit' ELSE 'iri' END,
+      CASE WHEN object IS NULL THEN '{_XS}float' END FROM annotations
+    UNION ALL SELECT {_IRI}, 'https://schema.org/about', subject, 'iri', NULL FROM annotations)"""
+
+
+def _decimals(t):
+    number = F.col("o_dt").isin(_XS + "float", _XS + "double")
+    return t.withColumn("o", F.when(number, F.col("o").cast("decimal(18,4)").cast("string")).otherwise(F.col("o"))).select("s", "p", "o", "o_kind", "o_dt")
+
+
+@query(views("objects", "attributes").rstrip() + _STRUCTURE + " SELECT s, p, o, o_kind, o_dt FROM st")
 def structural_triples(spark, sf_dir):
-    t = T.structural(event_objects(spark, sf_dir), None, event_values(spark, sf_dir))
-    return t.groupBy(F.substring_index("p", "#", -1).alias("p"), "o_kind").agg(F.count("*").alias("n"), F.countDistinct("s").alias("subjects"))
+    return _decimals(T.structural(event_objects(spark, sf_dir), event_attributes(spark, sf_dir), event_values(spark, sf_dir)))
 
 
-@query(views("annotations") + f"""SELECT subject AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, type AS o, 'iri' AS o_kind FROM annotations
-  UNION ALL SELECT subject, predicate, object, 'iri' FROM annotations WHERE object IS NOT NULL
-  UNION ALL SELECT {_IRI}, 'https://schema.org/about', subject, 'iri' FROM annotations""")
+@query(views("annotations").rstrip() + _CONTEXT + " SELECT s, p, o, o_kind, o_dt FROM co")
 def contextual_triples(spark, sf_dir):
     cat = event_catalogue(spark, sf_dir)
-    return T.contextual(cat.objects, cat.attributes, cat.annotations).where("o_kind = 'iri'").select("s", "p", "o", "o_kind")
+    return _decimals(T.contextual(cat.objects, cat.attributes, cat.annotations))
+
+
+@query(views("objects", "attributes", "annotations").rstrip() + _STRUCTURE + _CONTEXT + " SELECT * FROM st UNION SELECT * FROM co")
+def graph_selection(spark, sf_dir):
+    """Structure and context as one set."""
+    cat = event_catalogue(spark, sf_dir)
+    return _decimals(T.select_graph(T.structural(cat.objects, cat.attributes, cat.values), T.contextual(cat.objects, cat.attributes, cat.annotations)))
 
 
 @query(views("attributes") + f"""SELECT {_IRI} AS s, CASE attr WHEN 'units' THEN '{EX}unit' ELSE '{EX}at' END AS p, CASE WHEN attr = 'units' THEN '{EX}u/' || s ELSE s END AS o
@@ -192,7 +218,31 @@ def rdf_mapping(spark, sf_dir):
                             {"units": lambda c: F.when(c != "", F.concat(F.lit(EX + "u/"), c))})
 
 
-@query("""SELECT 'user_' || user_id AS file_id, '/' || event_type || '/e' || event_id AS name, false AS has_root, false AS has_group FROM events""")
+@query("""WITH f AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), g AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+  SELECT 'user_' || e.user_id AS file_id, '/' || e.event_type || '/e' || event_id AS name, 'n=' || f.n || ';owner=' || e.user_id AS file_attrs,
+    CASE WHEN e.event_type <> 'signup' THEN 'kind=' || e.event_type || ';n=' || g.n END AS parent_attrs
+  FROM events e JOIN f USING (user_id) JOIN g ON g.user_id = e.user_id AND g.event_type = e.event_type""")
 def provenance(spark, sf_dir):
-    out = documents.provenance(event_objects(spark, sf_dir), event_attributes(spark, sf_dir))
-    return out.select("file_id", "name", F.col("file_attrs").isNotNull().alias("has_root"), F.col("parent_attrs").isNotNull().alias("has_group"))
+    """Each dataset with the attributes of its file and of its group; groups of signups have none."""
+    e = table(spark, sf_dir, "events").withColumn("file_id", F.concat(F.lit("user_"), F.col("user_id").cast("string")))
+    attr = lambda name, value: F.struct(F.lit(name).alias("attr"), value.cast("string").alias("s"))
+    root = e.groupBy("file_id", "user_id").agg(F.count("*").alias("n")).select("file_id", F.lit("/").alias("name"), F.explode(F.array(
+        attr("owner", F.col("user_id")), attr("n", F.col("n")))).alias("x"))
+    group = e.where("event_type <> 'signup'").groupBy("file_id", "event_type").agg(F.count("*").alias("n")).select(
+        "file_id", F.concat(F.lit("/"), "event_type").alias("name"), F.explode(F.array(attr("kind", F.col("event_type")), attr("n", F.col("n")))).alias("x"))
+    more = root.union(group).select("file_id", "name", "x.attr", F.lit("str").alias("vtype"), "x.s")
+    attributes = event_attributes(spark, sf_dir).unionByName(more, allowMissingColumns=True)
+    out = documents.provenance(event_objects(spark, sf_dir), attributes)
+    return out.select("file_id", "name", _entries("file_attrs").alias("file_attrs"), _entries("parent_attrs").alias("parent_attrs"))
+
+
+@query("""SELECT vec_id AS i0, pos - 1 AS i1, round(CAST(embedding[pos] AS DOUBLE), 6) AS v FROM (SELECT *, unnest(range(1, 65)) AS pos FROM embeddings) WHERE label % 2 = 1""")
+def slices_reapplied(spark, sf_dir):
+    """The cells of the slice documents whose label is odd."""
+    e = table(spark, sf_dir, "embeddings")
+    data = e.agg((F.max("vec_id") + 1).cast("int").alias("n0")).select(F.lit("emb").alias("file_id"), F.lit("/embeddings").alias("name"), "n0")
+    scales = e.select(F.lit("emb").alias("file_id"), F.lit("/embeddings").alias("dataset"), F.col("vec_id").cast("int").alias("i"),
+                      F.lit("label").alias("scale_name"), F.col("label").cast("string").alias("value"))
+    found = documents.slice_documents(data, scales).where(F.element_at("scales", F.lit("label")).cast("int") % 2 == 1)
+    cells = documents.apply_slices(found, embedding_values(spark, sf_dir))
+    return cells.select(F.col("i0").cast("long").alias("i0"), F.col("i1").cast("long").alias("i1"), F.round("v", 6).alias("v"))

@@ -459,20 +459,43 @@ def neighborhood_search(spark, sf_dir):
     return neighborhood.search(entity_triples(spark, sf_dir), "Nation_7").select("s", "p", "o")
 
 
-@query(_T + f""", e AS (SELECT DISTINCT s, o FROM triples WHERE o_kind = 'iri' AND p <> '{TYPE}'),
+_TOP = f""", e AS (SELECT DISTINCT s, o FROM triples WHERE o_kind = 'iri' AND p <> '{TYPE}'),
   d AS (SELECT node, count(*) AS degree FROM (SELECT s AS node FROM e UNION ALL SELECT o FROM e) GROUP BY node),
-  c AS (SELECT s AS node, min({_label('o')}) AS class FROM triples WHERE p = '{TYPE}' GROUP BY s)
-  SELECT d.node, coalesce(class, 'Resource') AS class, degree FROM d LEFT JOIN c USING (node)""")
-def node_table(spark, sf_dir):
+  top AS (SELECT node FROM d ORDER BY degree DESC, {_label('node')}, node LIMIT 200),
+  kept AS (SELECT s, o FROM e WHERE s IN (SELECT node FROM top) AND o IN (SELECT node FROM top)),
+  c AS (SELECT s AS node, min({_label('o')}) AS class FROM triples WHERE p = '{TYPE}' GROUP BY s),
+  w AS (SELECT node, count(*) AS shown FROM (SELECT s AS node FROM kept UNION ALL SELECT o FROM kept) GROUP BY node),
+  nt AS (SELECT d.node, coalesce(class, 'Resource') AS class, degree, coalesce(shown, 0) AS shown, degree - coalesce(shown, 0) AS hidden FROM d LEFT JOIN c USING (node) LEFT JOIN w USING (node))
+"""
+
+
+def _nodes(spark, sf_dir):
     t = entity_triples(spark, sf_dir)
-    return neighborhood.node_table(t, neighborhood.edges(t, with_terms=False)).select("node", "class", "degree")
+    e = neighborhood.edges(t, with_terms=False)
+    shown = neighborhood.most_connected(e, nodes=200, edges=100_000).where("s is not null")
+    return neighborhood.node_table(t, e, shown)
 
 
-@query(_T + f""", e AS (SELECT DISTINCT s, o FROM triples WHERE o_kind = 'iri' AND p <> '{TYPE}'),
-  d AS (SELECT node, count(*) AS degree FROM (SELECT s AS node FROM e UNION ALL SELECT o FROM e) GROUP BY node),
-  top AS (SELECT node FROM d ORDER BY degree DESC, {_label('node')}, node LIMIT 200),
-  kept AS (SELECT s, o FROM e WHERE s IN (SELECT node FROM top) AND o IN (SELECT node FROM top))
-  SELECT s, o, (SELECT count(*) FROM d) AS total_nodes, (SELECT count(*) FROM e) AS total_edges, true AS truncated FROM kept""")
+@query(_T.rstrip() + _TOP + "SELECT node, class, degree, shown, hidden FROM nt")
+def node_table(spark, sf_dir):
+    """All nodes, with the neighbours inside and outside of the part that is shown."""
+    return _nodes(spark, sf_dir)
+
+
+@query(_T.rstrip() + _TOP + "SELECT class, count(*) AS nodes, CAST(sum(degree) AS BIGINT) AS links, CAST(sum(hidden) AS BIGINT) AS hidden FROM nt GROUP BY class")
+def class_index(spark, sf_dir):
+    return neighborhood.class_index(_nodes(spark, sf_dir))
+
+
+@query(_T.rstrip() + _TOP + """SELECT s, o, (SELECT count(*) FROM d) AS total_nodes, (SELECT count(*) FROM e) AS total_edges,
+  (SELECT count(*) FROM d) > 200 OR (SELECT count(*) FROM kept) > 100000 AS truncated FROM kept""")
 def subgraph_top(spark, sf_dir):
     t = entity_triples(spark, sf_dir)
     return neighborhood.most_connected(neighborhood.edges(t, with_terms=False), nodes=200, edges=100_000)
+
+
+@query(_LINKED + """, n AS (SELECT s_kind AS kind, s AS node FROM linked UNION SELECT o_kind, o FROM linked WHERE o_kind <> 'lit'),
+  g AS (SELECT CASE WHEN kind = 'bnode' THEN 'blank' WHEN contains(node, '#') THEN regexp_extract(node, '^(.*#)', 1) ELSE regexp_extract(node, '^(.*/)', 1) END AS namespace FROM n)
+  SELECT CASE namespace WHEN 'http://ex.org/class/' THEN 'cls' ELSE namespace END AS "group", namespace, count(*) AS nodes FROM g GROUP BY namespace""")
+def namespace_groups(spark, sf_dir):
+    return neighborhood.namespace_groups(_linked(spark, sf_dir), {"cls": EX + "class/"})

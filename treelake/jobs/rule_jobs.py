@@ -33,6 +33,27 @@ _LAYOUT = """WITH u AS (SELECT DISTINCT user_id FROM events), f AS (SELECT 'user
 """
 
 
+#: A convention as its configuration is read.
+_CONFIG = {
+    "__name__": "events", "$kinds": ["view", "click"],
+    "units": {"target_method": "create_dataset", "validator": "$units"},
+    "event_type": {"target_method": "create_dataset", "validator": "$kinds", "default_value": "$NONE", "requirements": "units"},
+    "ts": {"target_method": "create_dataset", "validator": "$regex(^2024-01)", "default_value": "$NONE"},
+    "value": {"target_method": "create_dataset", "validator": "$small(50)", "default_value": "$NONE"},
+    "comment-group": {"target_method": "create_group", "validator": "str", "default_value": "$NONE"}}
+
+
+@query(views("objects", "attributes") + """, a AS (SELECT file_id, name, max(CASE WHEN attr = 'units' THEN s END) AS u, max(CASE WHEN attr = 'event_type' THEN s END) AS t,
+    max(CASE WHEN attr = 'ts' THEN s END) AS ts, max(CASE WHEN attr = 'value' THEN d END) AS v FROM attributes GROUP BY 1, 2)
+  SELECT file_id, name, 'units' AS attr, CASE WHEN u IS NULL THEN 'missing' ELSE 'invalid' END AS problem FROM a WHERE u IS NULL OR u = 'invalid'
+  UNION ALL SELECT file_id, name, 'event_type', CASE WHEN t NOT IN ('view', 'click') THEN 'invalid' ELSE 'requires units' END FROM a WHERE t NOT IN ('view', 'click') OR u IS NULL
+  UNION ALL SELECT file_id, name, 'ts', 'invalid' FROM a WHERE ts NOT LIKE '2024-01%' UNION ALL SELECT file_id, name, 'value', 'invalid' FROM a WHERE v >= 50""")
+def convention_from_config(spark, sf_dir):
+    """A convention read from a configuration, with a validator of the caller's own."""
+    convention.register("small", lambda c, arg: c.try_cast("double") < float(arg))
+    return convention.validate(event_catalogue(spark, sf_dir), convention.from_config(_CONFIG))
+
+
 @query(_LAYOUT + "SELECT file_id, spec, target, CAST(n_hits AS BIGINT) AS n_hits, CAST(flag AS INTEGER) AS flag FROM r")
 def layout_validate(spark, sf_dir):
     return layout.validate(event_catalogue(spark, sf_dir), _SPECS).select("file_id", "spec", "target", "n_hits", "flag")
@@ -76,19 +97,54 @@ def convention_rules(spark, sf_dir):
     return convention.validate(event_catalogue(spark, sf_dir), rules)
 
 
-@query(views("triples") + f"""SELECT 'customer' AS shape, s AS focus, '{LABEL}' AS path, '0' AS value, 'minCount' AS component FROM triples WHERE p = '{TYPE}' AND o = '{EX}class/customer'
-  UNION ALL SELECT 'order', s, '{EX}hasPart', CAST(count(*) AS VARCHAR), 'maxCount' FROM triples WHERE p = '{EX}hasPart' AND s IN (SELECT s FROM triples WHERE p = '{TYPE}' AND o = '{EX}class/order') GROUP BY s HAVING count(*) > 5
-  UNION ALL SELECT 'order', s, '{EX}by', o, 'node' FROM triples WHERE p = '{EX}by' AND o IN (SELECT s FROM triples WHERE p = '{EX}inNation' AND o NOT IN (SELECT s FROM triples WHERE p = '{EX}inRegion'))
-  UNION ALL SELECT 'nation', s, '{EX}inRegion', NULL, 'notExists' FROM triples WHERE p = '{EX}inRegion'""")
-def shacl_validate(spark, sf_dir):
+_VIOLATIONS = views("triples").rstrip() + f""", typed AS (SELECT s FROM triples WHERE p = '{TYPE}' AND o = '{EX}class/order'),
+  v AS (SELECT 'customer' AS shape, s AS focus, '{LABEL}' AS path, '0' AS value, 'minCount' AS component, 'a customer needs a name' AS message FROM triples WHERE p = '{TYPE}' AND o = '{EX}class/customer'
+  UNION ALL SELECT 'order', s, '{EX}hasPart', CAST(count(*) AS VARCHAR), 'maxCount', 'violates maxCount of {EX}hasPart' FROM triples WHERE p = '{EX}hasPart' AND s IN (SELECT s FROM typed) GROUP BY s HAVING count(*) > 5
+  UNION ALL SELECT 'order', s, '{EX}by', o, 'node', 'violates node of {EX}by' FROM triples WHERE p = '{EX}by' AND s IN (SELECT s FROM typed)
+    AND o IN (SELECT s FROM triples WHERE p = '{EX}inNation' AND o NOT IN (SELECT s FROM triples WHERE p = '{TYPE}' AND o = '{EX}class/nation'))
+  UNION ALL SELECT 'order', s, '{EX}total', o, 'datatype', 'violates datatype of {EX}total' FROM triples WHERE p = '{EX}total' AND o_dt <> '{XSD}decimal'
+  UNION ALL SELECT 'nation', s, '{EX}inRegion', NULL, 'notExists', 'violates notExists of {EX}inRegion' FROM triples WHERE p = '{EX}inRegion')
+"""
+
+
+def _violations(spark, sf_dir):
     t = entity_triples(spark, sf_dir)
     located = Shape("located", properties=[Property(EX + "inNation", of_class=EX + "class/nation", node_kind="iri")])
-    found = shapes.validate(t, [
-        Shape("customer", target_class=EX + "class/customer", properties=[Property(LABEL, min_count=1)]),
+    return shapes.validate(t, [
+        Shape("customer", target_class=EX + "class/customer", properties=[Property(LABEL, min_count=1, message="a customer needs a name")]),
         Shape("order", target_class=EX + "class/order", properties=[
-            Property(EX + "hasPart", max_count=5), Property(EX + "total", min_count=1, max_count=1, datatype=XSD + "double"), Property(EX + "by", node=located)]),
+            Property(EX + "hasPart", max_count=5), Property(EX + "total", min_count=1, max_count=1, datatype=XSD + "decimal"), Property(EX + "by", node=located)]),
         Shape("nation", subjects_of=EX + "inRegion", not_exists=EX + "inRegion")])
-    return found.drop("message")
+
+
+@query(_VIOLATIONS + "SELECT shape, focus, path, value, component, message FROM v")
+def shacl_validate(spark, sf_dir):
+    return _violations(spark, sf_dir)
+
+
+_SH, _NAME = shapes.SH, "'urn:report:' || sha256(shape || chr(1) || focus || chr(1) || path || chr(1) || coalesce(value, chr(2)) || chr(1) || component)"
+
+
+@query(_VIOLATIONS.rstrip() + f""", n AS (SELECT *, {_NAME} AS name FROM v)
+  SELECT 'urn:report:all' AS s, '{TYPE}' AS p, '{_SH}ValidationReport' AS o, 'iri' AS o_kind UNION ALL SELECT 'urn:report:all', '{_SH}conforms', 'false', 'lit'
+  UNION ALL SELECT 'urn:report:all', '{_SH}result', name, 'iri' FROM n UNION ALL SELECT name, '{TYPE}', '{_SH}ValidationResult', 'iri' FROM n
+  UNION ALL SELECT name, '{_SH}focusNode', focus, 'iri' FROM n UNION ALL SELECT name, '{_SH}resultPath', path, 'iri' FROM n
+  UNION ALL SELECT name, '{_SH}sourceShape', shape, 'lit' FROM n UNION ALL SELECT name, '{_SH}resultMessage', message, 'lit' FROM n
+  UNION ALL SELECT name, '{_SH}resultSeverity', '{_SH}Violation', 'iri' FROM n
+  UNION ALL SELECT name, '{_SH}sourceConstraintComponent', '{_SH}' || CASE component WHEN 'notExists' THEN 'SPARQL' ELSE upper(component[1]) || component[2:] END || 'ConstraintComponent', 'iri' FROM n
+  UNION ALL SELECT name, '{_SH}value', value, CASE WHEN value LIKE 'http%' THEN 'iri' ELSE 'lit' END FROM n WHERE value IS NOT NULL""")
+def shacl_report(spark, sf_dir):
+    """The violations as triples."""
+    return shapes.report(_violations(spark, sf_dir)).select("s", "p", "o", "o_kind")
+
+
+@query(views("triples") + f"""SELECT 'priced' AS shapes, NOT EXISTS (SELECT 1 FROM (SELECT s FROM triples WHERE p = '{TYPE}' AND o = '{EX}class/order') WHERE s NOT IN (SELECT s FROM triples WHERE p = '{EX}total')) AS conforms
+  UNION ALL SELECT 'labelled', NOT EXISTS (SELECT 1 FROM (SELECT s FROM triples WHERE p = '{TYPE}' AND o = '{EX}class/part') WHERE s NOT IN (SELECT s FROM triples WHERE p = '{LABEL}'))""")
+def shacl_conforms(spark, sf_dir):
+    t = entity_triples(spark, sf_dir)
+    of = lambda kind, path: [Shape(kind, target_class=f"{EX}class/{kind}", properties=[Property(path, min_count=1)])]
+    one = lambda name, own: shapes.conforms(shapes.validate(t, own)).select(F.lit(name).alias("shapes"), "conforms")
+    return one("priced", of("order", EX + "total")).unionByName(one("labelled", of("part", LABEL)))
 
 
 @query(views("triples") + f""", t AS (SELECT DISTINCT s, p, o, o_kind FROM triples)

@@ -5,6 +5,7 @@ Rules are a small configuration; all attributes they name are looked up in one g
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -41,6 +42,11 @@ def register(name: str, check: Callable[[Column, Any], Column]) -> None:
     VALIDATORS[name] = check
 
 
+#: What the configuration's methods create, and how it marks attributes without a default.
+_TARGETS = {"__init__": "file", "create_group": "group", "create_dataset": "dataset", "create_string_dataset": "dataset"}
+_EMPTY, _NONE = "$EMPTY", "$NONE"
+
+
 @dataclass
 class Rule:
     """One standard attribute of a kind of object (``file``, ``group``, ``dataset``)."""
@@ -55,6 +61,44 @@ class Rule:
     numeric_only: bool = False
 
 
+def from_config(config: dict[str, Any]) -> list[Rule]:
+    """Rules from a convention's configuration, as YAML or JSON reads it: names in ``__`` describe the convention, a name with ``$`` and a
+    list is a set of allowed values, everything else a standard attribute with ``target_method``, ``validator``, ``default_value``,
+    ``requirements`` and ``alternative_standard_attribute``. An attribute without a default is obligatory. The name may end in
+    ``-file``, ``-group`` or ``-dataset`` where kinds of objects share it."""
+    lists = {k: v for k, v in config.items() if k.startswith("$") and isinstance(v, list)}
+    rules = []
+    for name, given in config.items():
+        if name.startswith(("__", "$")):
+            continue
+        method = given.get("target_method")
+        if method not in _TARGETS:
+            raise ValueError(f"{name}: no kind of object is created by {method!r}")
+        validator, arg = str(given.get("validator") or "str"), None
+        call = re.fullmatch(r"\$(\w+)\((.*)\)", validator, re.S)
+        if validator in lists:
+            validator, arg = "in", lists[validator]
+        elif call:
+            validator, arg = call[1], call[2]
+        validator = validator.removeprefix("$")
+        if validator not in VALIDATORS:
+            raise ValueError(f"{name}: no validator is called {validator!r}; see register()")
+        needs = given.get("requirements") or []
+        default = given.get("default_value", _EMPTY)
+        rules.append(Rule(re.sub("-(?:file|group|dataset)$", "", name), _TARGETS[method], validator, arg, obligatory=default == _EMPTY,
+                          alternative=given.get("alternative_standard_attribute"), requires=[needs] if isinstance(needs, str) else list(needs),
+                          numeric_only=validator in ("units", "quantity")))
+    return rules
+
+
+def from_yaml(path: str) -> list[Rule]:
+    """Rules from a YAML or JSON file; see :func:`from_config`."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return from_config(yaml.safe_load(f))
+
+
 def validate(cat: Catalogue, rules: list[Rule]) -> DataFrame:
     """(file_id, name, attr, problem): obligatory attributes that are missing, and present ones that are not
     valid. A root counts as file and as group; rules for numeric datasets leave string datasets alone."""
@@ -80,4 +124,4 @@ def validate(cat: Catalogue, rules: list[Rule]) -> DataFrame:
     return out.where("problem is not null")
 
 
-__all__ = ["Rule", "VALIDATORS", "parse_unit", "register", "validate"]
+__all__ = ["Rule", "VALIDATORS", "from_config", "from_yaml", "parse_unit", "register", "validate"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treelake.functions.paths import term_label
+from treelake.functions.paths import PREFIXES, namespace, term_label
 from treelake.lineage import settle
 from treelake.model import LABEL, RDF, RDFS, OWL, TYPE
 
@@ -78,3 +78,18 @@ def most_connected(e: DataFrame, nodes: int = 1000, edges: int = 2000) -> DataFr
     out = totals.crossJoin(found).join(inner.orderBy("s", "o").limit(edges), F.lit(True), "left")
     cut = (F.col("total_nodes") > nodes) | (F.col("__inner") > edges)
     return out.select("s", "o", "total_nodes", "total_edges", cut.alias("truncated"))
+
+
+def namespace_groups(triples: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """(group, namespace, nodes): the nodes by namespace, which is called by its bound prefix if it has one; blank nodes are a
+    group of their own."""
+    ends = F.array(F.struct(F.col("s_kind").alias("kind"), F.col("s").alias("node")), F.when(F.col("o_kind") != "lit", F.struct(F.col("o_kind").alias("kind"), F.col("o").alias("node"))))
+    nodes = triples.select(F.explode(ends).alias("x")).where("x is not null").select("x.*").distinct()
+    space = F.when(F.col("kind") == "bnode", "blank").otherwise(namespace(F.col("node")))
+    bound = F.create_map(*[F.lit(x) for k, v in (PREFIXES if prefixes is None else prefixes).items() for x in (v, k)])
+    return nodes.groupBy(space.alias("namespace")).agg(F.count("*").alias("nodes")).select(F.coalesce(F.element_at(bound, F.col("namespace")), "namespace").alias("group"), "namespace", "nodes")
+
+
+def class_index(nodes: DataFrame) -> DataFrame:
+    """(class, nodes, links, hidden) of a table of nodes: how many have each class, their neighbours, and those of them not shown."""
+    return nodes.groupBy("class").agg(F.count("*").alias("nodes"), F.sum("degree").alias("links"), F.sum("hidden").alias("hidden"))
