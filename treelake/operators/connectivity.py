@@ -37,11 +37,20 @@ def components(edges: DataFrame, by: str | None = None, nodes: DataFrame | None
         names = settle(numbered(ends.distinct(), [], [*key, "node"], "id"))
         end = lambda c, out: names.select(*key, F.col("node").alias(c), F.col("id").alias(out))
         e = edges.where("s <> o").join(end("s", "a"), [*key, "s"]).join(end("o", "b"), [*key, "o"])
-    e = settle(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = stars(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), max_rounds)
+    rooted = names.join(e.select(F.col("u").alias("id"), "v"), "id", "left").select(*key, "node", F.coalesce("v", "id").alias("id"))
+    labels = rooted.groupBy("id").agg(F.min("node").alias("root"), F.count("*").alias("n"))
+    return lookup(rooted, labels, "id", "n").select(*key, "node", "root")
+
+
+def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``edges`` (u, v) between numbered nodes, u > v, as one star per component: (u, v) with v the least node. Nodes without edges are
+    not in it."""
+    e = settle(edges.where("u <> v").distinct())
     for _ in range(max_rounds):
         # Done when every edge leads straight to a root.
         if e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
-            break
+            return e
         near = settle(_neighbours(e))
         wide = settle(lookup(_both(e), near, "u", "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = settle(wide.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
@@ -49,11 +58,7 @@ def components(edges: DataFrame, by: str | None = None, nodes: DataFrame | None
         rest = lookup(wide, least.where("n > 1"), "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, e = e, settle(rest.union(least.select("u", F.col("m").alias("v"))).distinct())
         forget(before, near, wide, least)
-    else:
-        raise RuntimeError("components did not settle")
-    rooted = names.join(e.select(F.col("u").alias("id"), "v"), "id", "left").select(*key, "node", F.coalesce("v", "id").alias("id"))
-    labels = rooted.groupBy("id").agg(F.min("node").alias("root"), F.count("*").alias("n"))
-    return lookup(rooted, labels, "id", "n").select(*key, "node", "root")
+    raise RuntimeError("components did not settle")
 
 
 def _number(key: list[str], name: str) -> Column:
@@ -122,4 +127,4 @@ def distances(edges: DataFrame, sizes: DataFrame, by: str, limit: int = DISTANCE
     return out.select(by, "resource_nodes", F.when(F.col("computed"), F.coalesce("longest", F.lit(0).cast("long"))).alias("largest_distance"), "computed")
 
 
-__all__ = ["DISTANCE_LIMIT", "components", "diameter", "distances"]
+__all__ = ["DISTANCE_LIMIT", "components", "diameter", "distances", "stars"]
