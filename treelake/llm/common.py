@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treelake.operators.connectivity import stars
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
@@ -75,53 +77,12 @@ def unit_hash(key: Column) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u long, v long): rows (node, root), root the smallest
-    node of the component. Only nodes that have an edge to another node appear.
-
-    Alternates large-star and small-star rounds: every round is a grouping on a node, and a node's
-    neighbours are never gathered; they are only compared with the smallest of them, so a hub
-    costs no more than its edges. The table shrinks towards one star per component and the number
-    of rounds grows with the logarithm of the longest chain.
-    """
-    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            .where("u <> v").distinct())
-    state = None
-    for _ in range(max_rounds):
-        before, e = e, cut(_star(_star(e, large=True), large=False))
-        forget(before)
-        now = e.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")),
-                    F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                e.select(F.col("v"), F.col("v")).distinct())
-        state = tuple(now)
-    raise RuntimeError("components did not settle")
-
-
-def _star(e: DataFrame, large: bool) -> DataFrame:
-    """One round. Large: a node hands its greater neighbours the least of its neighbourhood;
-    small: a node hands its smaller neighbours that least one."""
-    if large:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = both.join(least, "u").where("v > u")
-        return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    linked = e.join(least, "u")
-    own = least.select("u", F.col("m").alias("v"))
-    return linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(own).distinct()
-
-
-def hot_join(rows: DataFrame, unique: DataFrame, key: str, count: str, parts: int) -> DataFrame:
-    """``rows`` joined with ``unique`` (a row per ``key``, which says in ``count`` how many of ``rows`` have that key). Keys with more
-    rows than an average partition, of which there are at most ``parts``, are broadcast; only the others are shuffled."""
-    total = unique.agg(F.sum(count)).first()[0] or 0
-    hot = F.col(count) * parts > total
-    large = unique.where(hot)
-    some = rows.join(F.broadcast(large), key)
-    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(unique.where(~hot), key)
-    return some.unionByName(rest)
+    node of the component. Only nodes that have an edge to another node appear. Rounds of stars, in which
+    a hub's edges stay where they are (:func:`treelake.operators.connectivity.stars`)."""
+    e = stars(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), max_rounds)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
 def crc32_sql(text: str) -> str:

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelake.llm.common import components, cut, exact_id
+from treelake.skew import lookup
 
 WORDS, MAX_BITS, SEGMENTS, SEED = 4, 4, 7, 42
 
@@ -304,11 +305,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes)
     rooted = fingerprint_components(classes.drop("least"), ring, confirm)
     placed = classes.join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     own = "f0" if similarity is None else "id"
-    named = placed.join(named, "root").select(own, "component_id")
+    # A class may hold a large share of the fingerprints, and a fingerprint of the rows.
+    rows_of = fps.groupBy(own).agg(F.count("*").alias("n_rows"))
+    named = lookup(placed, named, "root", "n").select(own, "component_id").join(rows_of, own)
     hexed = F.concat(*[F.lpad(F.lower(F.hex(n)), 16, "0") for n in bits])
-    return fps.join(named, own).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return lookup(fps, named, own, "n_rows").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,

@@ -19,8 +19,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelake.llm.common import crc32_sql, cut, hot_join
+from treelake.llm.common import crc32_sql, cut
 from treelake.ranges import PART, ROW, numbered, ranged
+from treelake.skew import lookup
 
 #: Turns of a block (as a power of 2) that one task call cuts; ids that are joined to one text at a time.
 BITS, CHUNK = 10, 1 << 16
@@ -113,7 +114,7 @@ def named(turns: DataFrame, bits: int = BITS) -> DataFrame:
                        F.when(F.col("before").isNull(), F.coalesce("start", F.lit(ROOT))).otherwise(below("before")).alias("parent"))
 
 
-def rebuilt(conversations: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rebuilt conversations' turns (conv_id, at, item, size), and (conv_id, total) of every conversation."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     rows = conversations.where("conv_id is not null").select(
@@ -127,7 +128,7 @@ def rebuilt(conversations: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]
     convs = cut(lengths.join(bases, "base", "left").withColumn("taken", taken)
                 .withColumn("total", F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))))
     # A conversation may hold a large share of all turns.
-    own = hot_join(turns.where(F.col("at") >= shared), convs.select("conv_id", "h", "taken", "n"), "conv_id", "n", parts)
+    own = lookup(turns.where(F.col("at") >= shared), convs.select("conv_id", "h", "taken", "n"), "conv_id", "n")
     own = own.select("conv_id", (F.col("at") - F.col("h") + F.col("taken")).alias("at"), "item", "size")
     first = turns.where((F.col("at") < SHARED) & (F.col("conv_id") % GROUP == 0)).withColumnRenamed("conv_id", "base")
     copied = (convs.where("taken > 0").select("conv_id", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("taken").cast("long") - 1)).alias("at"))
@@ -188,8 +189,7 @@ def prefix_trie(conversations: DataFrame, bits: int = BITS) -> DataFrame:
     ``conversations``: conv_id (an integer), turn, role, text. Turns are ordered by turn, null first; turns with the same number by a digest of
     their role and text; repeated rows are turns of their own. Null roles and texts are empty. A row without conv_id belongs to no
     conversation and counts for nothing. An empty table gives an empty result (no member, no root); other columns are ignored."""
-    parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    turns, convs = rebuilt(conversations, parts)
+    turns, convs = rebuilt(conversations)
     prefixes = named(turns, bits).join(turns.select("conv_id", "at", "size"), ["conv_id", "at"])
     none = F.lit(None).cast("binary")
     top = convs.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit(ROOT).alias("name"), none.alias("parent"), F.lit(0).cast("long").alias("size"))
@@ -203,7 +203,7 @@ def prefix_trie(conversations: DataFrame, bits: int = BITS) -> DataFrame:
     nodes = cut(nodes.withColumn("saved", (F.col("n_convs") - 1) * F.col("size")).withColumn("leaves", (F.col("n_children") == 0).cast("long")))
     # A node may have any number of children.
     parents = nodes.where("n_children > 0").select(F.col("name").alias("parent"), F.col("conv_id").alias("parent_conv_id"), "n_children")
-    above = hot_join(nodes.where("depth > 0").select("name", "parent"), parents, "parent", "n_children", parts).select("name", "parent_conv_id")
+    above = lookup(nodes.where("depth > 0").select("name", "parent"), parents, "parent", "n_children").select("name", "parent_conv_id")
     sums = _grafted(nodes.select("conv_id", "depth", "name", "saved", "leaves"), steps.select("conv_id", "depth", "name"))
     total = nodes.where("depth > 0").agg(F.sum("saved").alias("saved"), F.sum("leaves").alias("leaves")).select(F.lit(ROOT).alias("name"), "saved", "leaves")
     sums = sums.unionByName(total).select("name", F.col("saved").alias("saved_below"), F.col("leaves").alias("leaves_below"))
