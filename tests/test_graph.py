@@ -194,6 +194,21 @@ def test_all_measures_in_one_row(spark):
     assert (empty.triples, empty.components, empty.largest_component, empty.label_coverage, empty.avg_out_degree) == (0, 0, 0, 0.0, 0.0)
 
 
+def test_views_by_detail(spark, monkeypatch):
+    monkeypatch.setattr(neighborhood, "DETAIL", {"compact": (2, 1), "balanced": (5, 1), "detailed": (7, 5), "full": (None, None)})
+    g = graph(spark, [(f"{B}node-{i}", B + "linksTo", f"{B}node-{i + 1}") for i in range(6)] + [(B + "alone", B + "note", "text", "lit")])
+    one = lambda **how: neighborhood.view(g, **how).summary.first().asDict()
+    got = one(detail="balanced")
+    assert (got["shown_nodes"], got["shown_edges"], got["dropped_isolated"], got["truncated"]) == (2, 1, 3, True)
+    assert one(detail="balanced", isolated=True)["shown_nodes"] == 5 and one(detail="compact")["shown_edges"] == 1 and one(detail="detailed")["shown_edges"] == 5
+    full = neighborhood.view(g, "full")
+    assert full.summary.first().asDict() == {"total_nodes": 8, "shown_nodes": 8, "total_edges": 6, "shown_edges": 6, "dropped_isolated": 0, "truncated": False}
+    nodes = {r.label: (r.degree, r.shown, r.hidden) for r in neighborhood.view(g, "balanced").nodes.collect()}
+    assert len(nodes) == 2 and all(d == s + h for d, s, h in nodes.values())
+    with pytest.raises(ValueError):
+        neighborhood.view(g, "huge")
+
+
 def test_namespaces_and_classes_of_a_view(spark):
     g = graph(spark, [("http://a#x", "http://p/q", "http://b/y"), ("_n", "http://p/q", "http://b/z"), ("http://a#x", "http://p/q", "text", "lit")])
     got = {r.group: (r.namespace, r.nodes) for r in neighborhood.namespace_groups(g, {"b": "http://b/"}).collect()}

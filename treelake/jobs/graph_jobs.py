@@ -499,3 +499,26 @@ def subgraph_top(spark, sf_dir):
   SELECT CASE namespace WHEN 'http://ex.org/class/' THEN 'cls' ELSE namespace END AS "group", namespace, count(*) AS nodes FROM g GROUP BY namespace""")
 def namespace_groups(spark, sf_dir):
     return neighborhood.namespace_groups(_linked(spark, sf_dir), {"cls": EX + "class/"})
+
+
+_VIEW = f""", r AS (SELECT DISTINCT s, p, o FROM linked WHERE o_kind <> 'lit'), nodes AS (SELECT s AS node FROM linked UNION SELECT o FROM r),
+  d AS (SELECT node, count(x.node) AS degree FROM nodes LEFT JOIN (SELECT s AS node FROM r UNION ALL SELECT o FROM r) AS x USING (node) GROUP BY node),
+  top AS (SELECT node FROM d WHERE degree > 0 ORDER BY degree DESC, {_label('node')}, node LIMIT 250),
+  inside AS (SELECT * FROM r WHERE s IN (SELECT node FROM top) AND o IN (SELECT node FROM top)), shown AS (SELECT * FROM inside ORDER BY s, p, o LIMIT 750),
+  w AS (SELECT node, count(*) AS shown FROM (SELECT s AS node FROM shown UNION ALL SELECT o FROM shown) GROUP BY node),
+  c AS (SELECT s AS node, min({_label('o')}) AS class FROM linked WHERE p = '{TYPE}' GROUP BY s)
+"""
+
+
+@query(_LINKED.rstrip() + _VIEW + f"""SELECT node, {_label('node')} AS label, coalesce(class, 'Resource') AS class, degree, shown, degree - shown AS hidden
+  FROM w JOIN d USING (node) LEFT JOIN c USING (node)""")
+def graph_view(spark, sf_dir):
+    """Nodes of the compact view of the whole graph."""
+    return neighborhood.view(_linked(spark, sf_dir), "compact").nodes
+
+
+@query(_LINKED.rstrip() + _VIEW + """SELECT (SELECT count(*) FROM d WHERE degree > 0) AS total_nodes, (SELECT count(*) FROM w) AS shown_nodes, (SELECT count(*) FROM inside) AS total_edges,
+  (SELECT count(*) FROM shown) AS shown_edges, (SELECT count(*) FROM top) - (SELECT count(*) FROM w) AS dropped_isolated,
+  (SELECT count(*) FROM d WHERE degree > 0) > 250 OR (SELECT count(*) FROM inside) > 750 AS truncated""")
+def graph_view_summary(spark, sf_dir):
+    return neighborhood.view(_linked(spark, sf_dir), "compact").summary

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +83,56 @@ def most_connected(e: DataFrame, nodes: int = 1000, edges: int = 2000) -> DataFr
     return out.select("s", "o", "total_nodes", "total_edges", cut.alias("truncated"))
 
 
+#: Nodes and edges that a view shows at most, by its detail.
+DETAIL: dict[str, tuple[int | None, int | None]] = {"compact": (250, 750), "balanced": (1000, 2000), "detailed": (2500, 8000), "full": (None, None)}
+
+
+@dataclass
+class View:
+    """A part of a graph to look at: nodes (node, label, class, degree, shown, hidden), edges (s, p, o) and one row of totals."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    summary: DataFrame
+
+
+def view(triples: DataFrame, detail: str = "balanced", isolated: bool = False, with_terms: bool = True) -> View:
+    """The nodes of highest degree (ties by label and name) and the edges among them, as many as ``detail`` allows. Nodes without a
+    shown edge are left out unless ``isolated``; a full view has no limits and leaves nothing out. Limits are of the view, not of the
+    graph that it counts."""
+    if detail not in DETAIL:
+        raise ValueError(f"detail is one of {', '.join(DETAIL)}")
+    most_nodes, most_edges = DETAIL[detail]
+    isolated = isolated or detail == "full"
+    rows = triples.select("s", "s_kind", "p", "o", "o_kind").distinct()
+    if not with_terms:
+        schema = lambda c: F.col(c).startswith(RDF) | F.col(c).startswith(RDFS) | F.col(c).startswith(OWL)
+        rows = rows.where(~schema("s") & ~((F.col("o_kind") != "lit") & schema("o")))
+    link = F.col("o_kind") != "lit"
+    ends = F.array(F.struct(F.col("s").alias("node"), F.col("s_kind").alias("kind"), link.cast("long").alias("n")),
+                   F.when(link, F.struct(F.col("o").alias("node"), F.col("o_kind").alias("kind"), F.lit(1).cast("long").alias("n"))))
+    found = rows.select(F.explode(ends).alias("x")).where("x is not null").select("x.*").groupBy("node").agg(F.max("kind").alias("kind"), F.sum("n").alias("degree"))
+    found = settle(found.withColumn("label", term_label(F.col("node"), F.col("kind"))))
+    if not isolated:
+        found = found.where("degree > 0")
+    kept = found if most_nodes is None else found.orderBy(F.col("degree").desc(), "label", "node").limit(most_nodes)
+    kept = settle(kept)
+    few = kept.select("node") if most_nodes is None else F.broadcast(kept.select("node"))
+    inner = rows.where(link).select("s", "p", "o").join(few.withColumnRenamed("node", "s"), "s", "left_semi").join(few.withColumnRenamed("node", "o"), "o", "left_semi")
+    inner = settle(inner.select("s", "p", "o"))
+    shown = inner if most_edges is None else settle(inner.orderBy("s", "p", "o").limit(most_edges))
+    seen = shown.select(F.explode(F.array("s", "o")).alias("node")).groupBy("node").agg(F.count("*").alias("shown"))
+    classes = triples.where(F.col("p") == TYPE).groupBy(F.col("s").alias("node")).agg(F.min(term_label(F.col("o"), F.col("o_kind"))).alias("class"))
+    nodes = kept.join(seen, "node", "left" if isolated else "inner").join(classes, "node", "left").fillna({"shown": 0, "class": "Resource"})
+    nodes = nodes.select("node", "label", "class", "degree", "shown", (F.col("degree") - F.col("shown")).alias("hidden"))
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    # Each side is one row.
+    totals = reduce(DataFrame.crossJoin, [one(found, "total_nodes"), one(nodes, "shown_nodes"), one(kept, "kept"), one(inner, "total_edges"), one(shown, "shown_edges")])
+    summary = totals.select("total_nodes", "shown_nodes", "total_edges", "shown_edges", (F.col("kept") - F.col("shown_nodes")).alias("dropped_isolated"),
+                            ((F.col("total_nodes") > F.col("kept")) | (F.col("total_edges") > F.col("shown_edges"))).alias("truncated"))
+    return View(nodes, shown, summary)
+
+
 def namespace_groups(triples: DataFrame, prefixes: dict[str, str] | None = None) -> DataFrame:
     """(group, namespace, nodes): the nodes by namespace, which is called by its bound prefix if it has one; blank nodes are a
     group of their own."""
