@@ -243,3 +243,29 @@ def test_shapes_with_subclasses(spark):
     two = unit.union(graph(spark, [("m2", TYPE, B + "Unit"), ("q2", B + "unit", "m2")], "h"))
     typed = shapes.Shape("u", subjects_of=B + "unit", properties=[shapes.Property(B + "unit", of_class=B + "Unit")])
     assert {r.graph for r in shapes.validated_load(two, [typed]).collect()} == {"h"}
+
+
+def test_hubs_leave_few_edges_to_components(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(f"n{i}", "class") for i in range(400)] + [(f"n{i}", f"p{rng.randrange(60)}") for i in range(400) for _ in range(4)]
+    edges += [(f"x{i}", f"x{i + 1}") for i in range(30)] + [("y1", "y2"), ("y2", "y2")]
+    monkeypatch.setattr(connectivity, "HUBS", 3)
+    given, stars = [], connectivity.stars
+    monkeypatch.setattr(connectivity, "stars", lambda e, *a: given.append(e.distinct().count()) or stars(e, *a))
+    got = {r.node: r.root for r in connectivity.components(spark.createDataFrame(edges, "s string, o string")).collect()}
+    want = {n: ("class" if n[0] in "npc" else "x0" if n[0] == "x" else "y1") for e in edges for n in e}
+    assert got == want and given[0] < 150
+
+
+def test_edges_of_a_large_graph_are_not_gathered_for_distances(spark, monkeypatch):
+    edges = spark.createDataFrame([("large", f"n{i}", f"n{i + 1}") for i in range(50)] + [("small", "a", "b"), ("small", "b", "c")], "graph string, s string, o string")
+    sizes = spark.createDataFrame([("large", 51), ("small", 3), ("alone", 1)], "graph string, resource_nodes long")
+    monkeypatch.setattr(connectivity, "settle", lambda df: df, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = connectivity.distances(edges, sizes, "graph", 10)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in out.collect()} == {("large", 51, None, False), ("small", 3, 2, True), ("alone", 1, 0, True)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan
