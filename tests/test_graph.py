@@ -269,3 +269,12 @@ def test_edges_of_a_large_graph_are_not_gathered_for_distances(spark, monkeypatc
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan
+
+
+def test_report_makes_violations_distinct_not_their_triples(spark):
+    schema = "shape string, focus string, path string, value string, component string, message string"
+    one = ("s", "http://f", "http://p", None, "minCount")
+    out = shapes.report(spark.createDataFrame([(*one, "a"), (*one, "a"), (*one, "b"), ("s", "http://g", "http://p", "7", "datatype", "c")], schema))
+    assert "distinct" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()).lower() and "Aggregate [s#" not in plan
+    rows = [tuple(r) for r in out.collect()]
+    assert len(rows) == len(set(rows)) and sorted(r[2] for r in rows if r[1].endswith("resultMessage")) == ["a", "b", "c"]

@@ -177,17 +177,20 @@ _COMPONENTS = {"minCount": "MinCountConstraintComponent", "maxCount": "MaxCountC
 
 def report(violations: DataFrame, base: str = "urn:report:") -> DataFrame:
     """The violations as triples (s, p, o, o_kind, o_dt) of a validation report; a result is named by the digest of what it says. Without
-    any there is only the report, which conforms."""
-    name = F.concat(F.lit(base), F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("\u0002")) for c in ("shape", "focus", "path", "value", "component")]), 256))
+    any there is only the report, which conforms. Violations are made distinct before they become triples, of which there are several each."""
+    said = ["shape", "focus", "path", "value", "component"]
+    violations = settle(violations.groupBy(*said).agg(F.collect_set(F.struct("message")).alias("messages")))
+    name = F.concat(F.lit(base), F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c), F.lit("\u0002")) for c in said]), 256))
     parts = F.create_map(*[F.lit(x) for kv in _COMPONENTS.items() for x in kv])
     t = lambda s, p, o, kind="iri": F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(None).cast("string").alias("o_dt"))
     whole = F.lit(base + "all")
     iri = F.col("value").rlike("^(?:https?://|urn:)")
     rows = F.array(t(whole, SH + "result", name), t(name, TYPE, F.lit(SH + "ValidationResult")), t(name, SH + "focusNode", F.col("focus")), t(name, SH + "resultPath", F.col("path")),
-                   t(name, SH + "sourceShape", F.col("shape"), "lit"), t(name, SH + "resultMessage", F.col("message"), "lit"),
+                   t(name, SH + "sourceShape", F.col("shape"), "lit"),
                    t(name, SH + "sourceConstraintComponent", F.concat(F.lit(SH), F.element_at(parts, F.col("component")))),
                    t(name, SH + "resultSeverity", F.lit(SH + "Violation")), F.when(iri, t(name, SH + "value", F.col("value"))).when(F.col("value").isNotNull(), t(name, SH + "value", F.col("value"), "lit")))
-    results = violations.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("t")).select("t.*").distinct()
+    messages = F.transform("messages", lambda m: t(name, SH + "resultMessage", m["message"], "lit"))
+    results = violations.select(F.explode(F.concat(F.filter(rows, lambda r: r.isNotNull()), messages)).alias("t")).select("t.*")
     head = conforms(violations).select(F.explode(F.array(
         t(whole, TYPE, F.lit(SH + "ValidationReport")), F.struct(whole.alias("s"), F.lit(SH + "conforms").alias("p"), F.col("conforms").cast("string").alias("o"), F.lit("lit").alias("o_kind"),
                                                                  F.lit("http://www.w3.org/2001/XMLSchema#boolean").alias("o_dt")))).alias("t")).select("t.*")
