@@ -266,3 +266,17 @@ def test_conflicting_coordinates(spark):
         arrays.to_datasets(grid, ["x"], ["u"], own(1.0, 3.0)).collect()
     twice = lambda df: df.withColumn("v", F.col("v") * 2)
     assert arrays.decode_all(arrays.to_datasets(grid, ["x"], ["u"]), [twice, twice]).agg(F.max("v")).first()[0] == 28.0
+
+
+def test_first_batch_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    schema = "graph string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
+    rows = spark.createDataFrame([("g", f"s{i % 3}", "iri", "p", f"o{i % 4}", "iri", None, None) for i in range(24)], schema)
+    store = TripleStore(spark, str(tmp_path / "store"), buckets=4)
+    assert store.append(rows.mapInPandas(count, schema), 0).count() == 12 and seen.value == 24

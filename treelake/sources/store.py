@@ -26,13 +26,13 @@ class TripleStore:
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder, self.buckets = spark, folder, buckets
 
+    def _exists(self, part: str) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
     def _read(self, part: str, schema: str) -> DataFrame:
         """A part of the store; nothing where it does not exist yet."""
-        path = f"{self.folder}/{part}"
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{part}") if self._exists(part) else self.spark.createDataFrame([], schema)
 
     def triples(self, touched: list[int] | None = None) -> DataFrame:
         """The triples with their bucket and batch, of the buckets given or of all."""
@@ -44,13 +44,17 @@ class TripleStore:
 
     def append(self, batch: DataFrame, number: int) -> DataFrame:
         """Adds the triples of a batch that the store does not hold, as batch ``number``, and returns them. A batch that was
-        added wholly is left as it is."""
-        fresh = batch.select(*[f.split(" ")[0] for f in SCHEMA.split(", ")]).dropDuplicates(KEY).withColumn("bucket", bucket_of("s", self.buckets))
+        added wholly is left as it is. The first batch is computed once and compared with nothing."""
         if self._read("measures", "batch long").where(F.col("batch") == number).isEmpty():
+            fresh = batch.select(*[f.split(" ")[0] for f in SCHEMA.split(", ")]).dropDuplicates(KEY).withColumn("bucket", bucket_of("s", self.buckets))
+            first = not self._exists("data")
+            if first:
+                new = fresh = settle(fresh)
             touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most one number a bucket
-            held = self.triples(touched).where(F.col("batch") != number)
-            same = [F.col(f"new.{k}").eqNullSafe(F.col(f"held.{k}")) for k in ("bucket", *KEY)]
-            new = settle(fresh.alias("new").join(held.alias("held"), same, "left_anti"))
+            if not first:
+                held = self.triples(touched).where(F.col("batch") != number)
+                same = [F.col(f"new.{k}").eqNullSafe(F.col(f"held.{k}")) for k in ("bucket", *KEY)]
+                new = settle(fresh.alias("new").join(held.alias("held"), same, "left_anti"))
             self._write(new.repartitionByRange("bucket", "s", "p", "o").sortWithinPartitions("bucket", "s", "p"), "data", number, "bucket")
             forget(new)
             self._write(self._changes(number, touched), "measures", number)
