@@ -220,3 +220,30 @@ def test_fingerprints_of_very_long_texts(spark):
     docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short text")], "doc_id long, text string")
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     assert int(got[1].fingerprint, 16) == simhash.fingerprint(long) and got[2].component_id == 1 and got[3].component_id == 3
+
+
+def test_parities_never_refuse_a_pair_of_the_similarity():
+    rng = np.random.default_rng(4)
+    for n, apart in [(0, 0), (0, 3), (120, 30), (120, 60), (3000, 700), (3000, 9000)]:
+        pool = rng.integers(0, 1 << 63, n + apart, np.uint64)
+        x, y = np.unique(pool[: n + apart // 2]), np.unique(np.concatenate([pool[:n], pool[n + apart // 2 :]]))
+        bits = sum(bin(int(a)).count("1") for a in (simhash.parities(x) ^ simhash.parities(y)).astype(np.uint64))
+        assert bits <= apart and (apart > 100 or bits >= apart - 8)
+
+
+def test_unlike_versions_of_one_text_are_not_compared_in_pairs(spark, monkeypatch):
+    # Every version is at 0.7 or so to any other: hundreds of classes in the same buckets.
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for k in range(200):
+        copy = list(base)
+        for at in rng.sample(range(5, 145, 7), 3):
+            copy[at] = f"x{k}"
+        rows.append((k, " ".join(copy)))
+    sets = {i: shingles_by_hand(t) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    compared, confirmed = [], simhash.confirmed
+    monkeypatch.setattr(simhash, "confirmed", lambda pairs, *rest: compared.append(pairs.count()) or confirmed(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows), words=5, similarity=0.8).collect()}
+    assert got == components_by_hand(sets, linked)
+    assert sum(compared) <= 4 * (len(rows) + len(linked))

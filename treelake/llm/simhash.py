@@ -16,7 +16,8 @@ links settle almost every large bucket. Only buckets that still hold several lab
 with themselves, and only across labels, which finds every link that is still missing.
 
 A similarity instead of a number of bits compares sets of shingles: MinHash bands are the bucket keys, one bit
-of each minimum makes a sketch that sorts out clearly unlike pairs, and every pair that passes is
+of each minimum makes a sketch that sorts out clearly unlike pairs, the parities of the shingles in each of 1024 cells
+bound the sets' difference from below, and every pair that passes is
 confirmed by the Jaccard likeness of the two texts' own shingle sets.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelake.llm.common import components, cut, exact_id
-from treelake.skew import lookup
+from treelake.skew import SMALL, lookup
 
 WORDS, MAX_BITS, SEGMENTS, SEED = 4, 4, 7, 42
 
@@ -45,6 +46,8 @@ WORDS, MAX_BITS, SEGMENTS, SEED = 4, 4, 7, 42
 MINIMA, MISSED = 256, 1e-5
 _MIX = np.random.default_rng(SEED).integers(0, 1 << 32, (2, MINIMA, 1), np.uint32)
 _MIX[1] |= 1
+#: Words of 64 cells whose parities a shingle set keeps.
+PARITY = 16
 
 
 def _shingles(text: str | None, words: int) -> list[bytes]:
@@ -91,6 +94,13 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """``PARITY`` numbers of 64 bits: whether each cell holds an odd number of the set's shingles. Every shingle that only one of two
+    sets has changes one bit, so two sets differ in no fewer shingles than their parities in bits."""
+    odd = np.bincount((shingles % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
+
+
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The fingerprint of one text as an unsigned 64-bit number; 0 if it has no word."""
     return int.from_bytes(_majority(text, words, 8, _xxh64), "big")
@@ -109,36 +119,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sketches(docs: DataFrame, ring: Bands, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, text, id, f0 to f3, size, bands): ``id`` is a hash of the shingle set, f0 to f3 one bit of each minimum."""
+    """(doc_id, text, id, f0 to f3, size, g0 ..., bands): ``id`` is a hash of the shingle set, f0 to f3 one bit of each minimum, g0 ... the
+    parities."""
     rows = ring.rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, sizes, bits, bands = [], [], [], []
+            ids, sizes, bits, odd, bands = [], [], [], [], []
             for text in b["text"]:
                 shingles = shingle_set(text, words)
                 least = minima(shingles)
                 ids.append(_signed(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)))
                 sizes.append(len(shingles))
                 bits.append(np.packbits(least * np.uint32(0x9E3779B1) >> np.uint32(31)).tobytes())
+                odd.append(parities(shingles))
                 raw = least.tobytes()
                 bands.append([_signed(xxhash.xxh3_64_intdigest(raw[4 * rows * j : 4 * rows * (j + 1)], j)) for j in range(ring.bands)])
             grid = np.frombuffer(b"".join(bits), ">i8").astype(np.int64).reshape(-1, 4)
+            cells = np.array(odd, np.int64).reshape(-1, PARITY)
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "id": np.array(ids, np.int64),
-                                **{f"f{i}": grid[:, i] for i in range(4)}, "size": np.array(sizes, np.int64), "bands": bands})
+                                **{f"f{i}": grid[:, i] for i in range(4)}, "size": np.array(sizes, np.int64),
+                                **{f"g{i}": cells[:, i] for i in range(PARITY)}, "bands": bands})
 
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(exact_id(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = given.mapInPandas(run, "doc_id string, text string, id long, f0 long, f1 long, f2 long, f3 long, size long, bands array<long>")
+    longs = ", ".join(f"{n} long" for n in ("id", *ring.names))
+    out = given.mapInPandas(run, f"doc_id string, text string, {longs}, bands array<long>")
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, words: int, similarity: Fraction) -> DataFrame:
-    """The ``pairs`` (u, v: ids of ``rows``) whose texts' shingle sets have that Jaccard likeness or more."""
+    """The ``pairs`` (u, v: ids of ``rows``, one row each) whose texts' shingle sets have that Jaccard likeness or more."""
     top, bottom = similarity.numerator, similarity.denominator
     pairs = cut(pairs)
     wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    texts = cut(rows.select("id", "text").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
+    texts = cut(rows.select("id", "text").join(wanted, "id", "left_semi"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = lru_cache(16)(lambda text: shingle_set(text, words))
@@ -203,10 +218,12 @@ class Bands:
     many as leave at most ``MISSED`` of the pairs at the similarity itself without a common bucket. A pair of a bucket
     is worth a comparison if the sizes allow the similarity and its one-bit sketches differ in
     no more than the expected ``MINIMA (1 - J) / 2`` bits and six deviations, which some chain of segments on their ring shows
-    at every length.
+    at every length, and if their parities differ in no more bits than sets of that likeness may differ in shingles, which
+    refuses no pair at the similarity or above.
     """
 
-    names = ("f0", "f1", "f2", "f3", "size")
+    bits = ("f0", "f1", "f2", "f3")
+    names = (*bits, "size", *(f"g{i}" for i in range(PARITY)))
 
     def __init__(self, similarity: float):
         self.least = Fraction(str(similarity))
@@ -218,10 +235,7 @@ class Bands:
         odds = (1 - similarity) / 2
         self.limit = int(MINIMA * odds + 6 * sqrt(MINIMA * odds * (1 - odds)))
 
-    def keys(self, fp: list[Column]) -> Column:
-        return F.transform("bands", lambda b: F.struct(F.lit(0).alias("kind"), b.alias("bits")))
-
-    def linked(self, kind: Column, a: list[Column], b: list[Column]) -> Column:
+    def linked(self, a: list[Column], b: list[Column]) -> Column:
         apart = [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a[:4], b[:4])]
         small, large = F.least(a[4], b[4]), F.greatest(a[4], b[4])
 
@@ -230,19 +244,20 @@ class Bands:
             sums = [reduce(add, [apart[(start + k) % 4] for k in range(n)]) for n in range(1, 5)]
             return reduce(and_, [s * 4 <= n * self.limit for n, s in enumerate(sums, 1)])
 
-        return reduce(or_, [chain(i) for i in range(4)]) & (small * self.least.denominator >= large * self.least.numerator)
+        top, bottom = self.least.numerator, self.least.denominator
+        differ = reduce(add, [F.bit_count(p.bitwiseXOR(q)) for p, q in zip(a[5:], b[5:])])
+        return (reduce(or_, [chain(i) for i in range(4)]) & (small * bottom >= large * top)
+                & (differ * (bottom + top) <= (small + large) * (bottom - top)))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_components(fps: DataFrame, ring: Ring | Bands,
-                           confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def fingerprint_components(fps: DataFrame, ring: Ring) -> DataFrame:
     """(id, root) for every row of ``fps`` (id long, f0, ...; ids and fingerprints distinct) linked to another.
 
-    ``root`` is the same for two rows if and only if a path of links joins them. With ``confirm``, of the pairs
-    (u, v) that ``ring`` links only those count that it returns.
+    ``root`` is the same for two rows if and only if a path of links joins them.
     """
     names = list(ring.names)
     of = lambda prefix: [F.col(prefix + n) for n in names]
@@ -252,17 +267,12 @@ def fingerprint_components(fps: DataFrame, ring: Ring | Bands,
             .where("n > 1").drop("n"))
     links = keyed.join(hubs, ["kind", "bits"]).where("id <> hub").where(ring.linked(F.col("kind"), of(""), of("hub_")))
     links = cut(links.select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
-    tried = links
-    if confirm:
-        links = cut(confirm(links))
 
     # Two steps towards the least hub: labels that are equal only inside a component, which is all
     # that pruning needs.
     least = links.groupBy("u").agg(F.min("v").alias("v"))
     above = least.select(F.col("u").alias("v"), F.col("v").alias("top"))
     label = least.join(above, "v", "left").select(F.col("u").alias("id"), F.coalesce("top", "v").alias("label"))
-    if confirm:  # a refused hub leaves more labels; comparing texts costs more than settling them
-        label = components(links).select(F.col("node").alias("id"), F.col("root").alias("label"))
     marked = fps.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     placed = marked.select("id", "label", *names, F.explode(ring.keys(of(""))).alias("k")).select("id", "label", *names, "k.kind", "k.bits")
     open_ = (placed.groupBy("kind", "bits").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -272,12 +282,42 @@ def fingerprint_components(fps: DataFrame, ring: Ring | Bands,
     across = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.bits") == F.col("b.bits"))
                     & (F.col("a.label") < F.col("b.label")) & ring.linked(F.col("a.kind"), of("a."), of("b.")))
     more = across.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
-    if confirm:
-        more = more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        more = confirm(more.join(tried, ["u", "v"], "left_anti"))
     return components(links.union(more)).withColumnRenamed("node", "id")
 
 
+def set_components(rows: DataFrame, ring: Bands, words: int) -> DataFrame:
+    """(id, root) for every set of ``rows`` (:func:`sketches`; sets may repeat) linked to another, as in
+    :func:`fingerprint_components`, every link confirmed on the texts.
+
+    Most sets share no bucket with another, so buckets are counted by their keys alone; sketches and texts are only fetched for
+    the sets that meet one.
+    """
+    names = list(ring.names)
+    keyed = rows.select("id", F.explode("bands").alias("bits"))
+    hubs = cut(keyed.groupBy("bits").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("n"))
+               .where("hub < last").drop("last"))
+    met = cut(lookup(keyed, hubs, "bits", "n").distinct())
+    own = rows.select("id", "text", *names)
+    known = cut(lookup(own, cut(met.groupBy("id").agg(F.count("*").alias("n"))), "id", "n")
+                .groupBy("id").agg(*[F.first(n).alias(n) for n in ("text", *names)]))
+    named = lambda prefix: known.select(*[F.col(n).alias(prefix + n) for n in ("id", *names)])
+    of = lambda prefix: [F.col(prefix + n) for n in names]
+    tried = cut(met.where("id <> hub").select(F.col("id").alias("u_id"), F.col("hub").alias("v_id")).distinct())
+    likely = tried.join(named("u_"), "u_id").join(named("v_"), "v_id").where(ring.linked(of("u_"), of("v_")))
+    links = cut(confirmed(likely.select(F.col("u_id").alias("u"), F.col("v_id").alias("v")), known, words, ring.least))
+
+    # A refused hub leaves more labels; comparing texts costs more than settling them.
+    label = components(links).select(F.col("node").alias("id"), F.col("root").alias("label"))
+    marked = cut(met.join(label, "id", "left").select("id", "bits", F.coalesce("label", "id").alias("label")))
+    open_ = marked.groupBy("bits").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bits")
+    left = cut(marked.join(open_, "bits", "left_semi").join(known.select("id", *names), "id"))
+    a, b = left.alias("a"), left.alias("b")
+    across = a.join(b, (F.col("a.bits") == F.col("b.bits")) & (F.col("a.label") < F.col("b.label")) & ring.linked(of("a."), of("b.")))
+    more = across.select(F.greatest("a.id", "b.id").alias("u"), F.least("a.id", "b.id").alias("v")).distinct()
+    more = more.join(tried, (F.col("u") == F.col("u_id")) & (F.col("v") == F.col("v_id")), "left_anti")
+    return components(links.union(confirmed(more, known, words, ring.least))).withColumnRenamed("node", "id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     max_bits: int = MAX_BITS, segments: int = SEGMENTS, similarity: float | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
@@ -290,20 +330,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles have that Jaccard likeness instead of by ``max_bits``; texts without words are one class, and
     ``fingerprint`` is the sketch of 256 bits (64 hex digits).
     """
-    confirm = None
     if similarity is None:
         ring = Ring(max_bits, segments)
         fps = cut(fingerprints(docs, id_col, text_col, words))
-        classes = fps.groupBy("f0").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("f0"))
+        classes = cut(fps.groupBy("f0").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("f0")))
+        rooted, bits = fingerprint_components(classes.drop("least"), ring), ring.names
     else:
         ring = Bands(similarity)
         fps = cut(sketches(docs, ring, id_col, text_col, words))
-        rest = [F.first(n).alias(n) for n in (*ring.names, "bands")]
-        classes = fps.groupBy("id").agg(F.min("doc_id").alias("least"), *rest)
-        confirm = lambda pairs: confirmed(pairs, fps, words, ring.least)
-    bits = [n for n in ring.names if n != "size"]
-    classes = cut(classes)
-    rooted = fingerprint_components(classes.drop("least"), ring, confirm)
+        classes = cut(fps.groupBy("id").agg(F.min("doc_id").alias("least")))
+        rooted, bits = set_components(fps, ring, words), ring.bits
     placed = classes.join(rooted, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     own = "f0" if similarity is None else "id"
@@ -318,5 +354,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their class, with all their columns."""
     found = near_duplicates(docs, id_col, text_col, words, similarity=similarity)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")
+    # The few ids that name no class are looked for, not the many that do: whole rows need not move.
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")
+    lost = cut(found.groupBy(F.col("doc_id").alias("__lost_id")).agg(stays).where("not stays").select("__lost_id"))
+    if lost.count() <= SMALL:
+        lost = F.broadcast(lost)
+    return docs.join(lost, docs[id_col].eqNullSafe(lost["__lost_id"]), "left_anti")
