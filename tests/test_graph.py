@@ -278,3 +278,20 @@ def test_report_makes_violations_distinct_not_their_triples(spark):
     assert "distinct" not in (plan := out._jdf.queryExecution().optimizedPlan().toString()).lower() and "Aggregate [s#" not in plan
     rows = [tuple(r) for r in out.collect()]
     assert len(rows) == len(set(rows)) and sorted(r[2] for r in rows if r[1].endswith("resultMessage")) == ["a", "b", "c"]
+
+
+def test_the_union_of_two_graphs_moves_repeated_rows_only(spark, monkeypatch):
+    from treelake import skew
+    from treelake.operators import triples as T
+
+    schema = "s string, p string, o string, o_kind string, o_dt string"
+    rows = [(f"s{i}", "p", f"o{i}", "lit", None) for i in range(50)]
+    one = spark.createDataFrame(rows + rows[:3] + [("s", "p", None, "lit", None)] * 2, schema)
+    two = spark.createDataFrame(rows[10:14] + [("s0", "p", "o0", "lit", "d")], schema)
+    want = sorted(map(str, set(rows) | {("s", "p", None, "lit", None), ("s0", "p", "o0", "lit", "d")}))
+    calls, settle = [], skew.settle
+    monkeypatch.setattr(skew, "settle", lambda df: calls.append(df.count()) or settle(df))
+    assert sorted(str(tuple(r)) for r in T.select_graph(one, two).collect()) == want
+    assert calls == [60, 8]  # the rows, then the hashes that repeat
+    monkeypatch.setattr(skew, "SMALL", 0)
+    assert sorted(str(tuple(r)) for r in T.select_graph(one, two).collect()) == want

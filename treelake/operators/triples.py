@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from treelake.functions.literals import date_literal, literal_type
 from treelake.functions.paths import attribute_iri, object_iri
 from treelake.model import HDF, TYPE, XSD
+from treelake.skew import distinct_rows
 
 SCHEMA_ABOUT = "https://schema.org/about"
 RDF_VALUE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#value"
@@ -109,7 +110,7 @@ def select_graph(structural_rows: DataFrame | None, contextual_rows: DataFrame |
     given = [g for g in (structural_rows, contextual_rows) if g is not None]
     if not given:
         raise ValueError("structural, contextual or both must be given")
-    return given[0] if len(given) == 1 else given[0].unionByName(given[1]).distinct()
+    return given[0] if len(given) == 1 else distinct_rows(given[0].unionByName(given[1]))
 
 
 def map_attributes(attributes: DataFrame, mapping: dict[str, str], objects: dict[str, Callable[[Column], Column]] | None = None,
