@@ -209,6 +209,49 @@ def test_views_by_detail(spark, monkeypatch):
         neighborhood.view(g, "huge")
 
 
+def test_a_view_names_only_nodes_near_its_limit(spark, monkeypatch):
+    """Links are counted by hashes; of the other nodes none is written or counted by name, and repeats count once."""
+    written, settle = [], neighborhood.settle
+
+    def noted(df):
+        out = settle(df)
+        written.extend([out.count()] * ("string" in dict(out.dtypes).values()))
+        return out
+
+    monkeypatch.setattr(neighborhood, "DETAIL", {"compact": (3, 10)})
+    monkeypatch.setattr(neighborhood, "settle", noted)
+    rows = [(f"{B}n{i}", B + "linksTo", f"{B}hub{i % 3}") for i in range(300)] + [(B + "hub0", B + "linksTo", B + "hub1"), (B + "hub1", TYPE, B + "Hub")]
+    # A link that is said often raises its ends' counts, but no degree; a literal is no link.
+    rows += [(B + "n5", B + "linksTo", B + "n6")] * 300 + [(B + "n7", B + "note", str(i), "lit") for i in range(300)]
+    view = neighborhood.view(graph(spark, rows), "compact")
+    got = {tuple(r) for r in view.nodes.collect()}
+    assert got == {(B + "hub0", "hub0", "Resource", 101, 1, 100), (B + "hub1", "hub1", "Hub", 102, 1, 101)} and max(written) <= 10
+    assert view.summary.first().asDict() == {"total_nodes": 304, "shown_nodes": 2, "total_edges": 1, "shown_edges": 1, "dropped_isolated": 1, "truncated": True}
+
+
+def test_a_view_is_right_where_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(neighborhood, "DETAIL", {"compact": (3, 6)})
+    rng = random.Random(5)
+    node = lambda: rng.choice("_" * (rng.random() < 0.2) + "a") + str(min(rng.randrange(25), rng.randrange(25)))
+    rows = [(node(), "p" + str(rng.randrange(2)), node()) for _ in range(90)] + [(node(), "p", "x", "lit") for _ in range(30)] + [("lone", "p", "x", "lit")]
+    rows = [(s, p, o, *(more or ["bnode" if o.startswith("_") else "iri"])) for s, p, o, *more in rows]
+    g = graph(spark, rows * 2 + rows[:40] * 3).cache()
+    links = {r[:3] for r in rows if r[3] != "lit"}
+    degree = {n: sum((s == n) + (o == n) for s, _, o in links) for r in links for n in (r[0], r[2])}
+    top = sorted(degree, key=lambda n: (-degree[n], n))[:3]
+    inside = [x for x in links if x[0] in top and x[2] in top]
+    shown = {n: sum((s == n) + (o == n) for s, _, o in sorted(inside)[:6]) for n in top}
+    rounds, distinct_rows = [], neighborhood.distinct_rows
+    monkeypatch.setattr(neighborhood, "distinct_rows", lambda df: rounds.append(1) or distinct_rows(df))
+    for groups, isolated in ((4, False), (11, True)):
+        monkeypatch.setattr(F, "xxhash64", lambda *c: F.pmod(F.crc32(F.col(c[0]).cast("binary")), F.lit(groups)))
+        got = neighborhood.view(g, "compact", isolated)
+        assert {r.node: (r.degree, r.shown) for r in got.nodes.collect()} == {n: (degree[n], shown[n]) for n in top if shown[n] or isolated}
+        totals = got.summary.first()
+        assert (totals.total_nodes, totals.total_edges) == (len(degree | {r[0]: 0 for r in rows} if isolated else degree), len(inside))
+    assert len(rounds) > 2
+
+
 def test_namespaces_and_classes_of_a_view(spark):
     g = graph(spark, [("http://a#x", "http://p/q", "http://b/y"), ("_n", "http://p/q", "http://b/z"), ("http://a#x", "http://p/q", "text", "lit")])
     got = {r.group: (r.namespace, r.nodes) for r in neighborhood.namespace_groups(g, {"b": "http://b/"}).collect()}
