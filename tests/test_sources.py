@@ -252,6 +252,22 @@ def test_escapes_and_rejected_lines(spark):
     assert files.rejected(lines).first().n == 2
 
 
+def test_plain_lines_need_no_pattern(spark, monkeypatch):
+    """Lines in the form that is written are cut where they part; the pattern is for the others."""
+    lines = ['<http://a> <http://p> <http://b> .', '<http://a> <http://p> "x > y" .', '<http://a> <http://p> "1"^^<http://t> .', '<http://a> <http://p> ""@en .']
+    odd = ['_:n <http://p> <http://b> .', '<http://a>  <http://p> <http://b>.', r'<http://a> <http://p> "x\ny" .', '<a> <p> <b> . # <c> .', '<a> <p> "b" . # "c" .', '<a> <p> "b"@e_n .',
+           '<a> <p> "b"^^<c> <d> .', '<a> <p> "b .', '<a>b> <p> <c> .', '<a> <p> <b> <c> .']
+    of = lambda rows: files.parse_ntriples(spark.createDataFrame([(x,) for x in rows], "value string")).collect()
+    every = {(r.s, r.o, r.o_kind, r.o_dt, r.o_lang) for r in of(lines + odd)}
+    plain = {("http://a", "http://b", "iri", None, None), ("http://a", "x > y", "lit", None, None), ("http://a", "1", "lit", "http://t", None), ("http://a", "", "lit", None, "en")}
+    assert every == plain | {("https://example.org/n", "http://b", "iri", None, None), ("http://a", "x\ny", "lit", None, None), ("a", "b", "iri", None, None), ("a", "b", "lit", None, None)}
+    # A datatype starts after the text, whatever the text holds.
+    held = [r'<a> <p> "\ue000 \\ \"^^<b"^^<c> .', '<a> <p> "^^<b"^^<c> .', '<a> <p> "\ue000\\\\n"@en .']
+    assert [(r.o, r.o_dt, r.o_lang) for r in of(held)] == [('\ue000 \\ "^^<b', "c", None), ("^^<b", "c", None), ("\ue000\\n", None, "en")]
+    monkeypatch.setattr(files, "_LINE", "(^no)(l)(ine$)")
+    assert {(r.s, r.o, r.o_kind, r.o_dt, r.o_lang) for r in of(lines + odd)} == plain
+
+
 def test_rows_of_trees_reach_every_depth(spark, cat):
     rows = {(r.file_id, r.name): json.loads(r.node) for r in documents.tree_rows(cat).collect()}
     assert len(rows) == cat.objects.count() and all(n["kind"] in ("group", "dataset") for n in rows.values())

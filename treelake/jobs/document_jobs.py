@@ -9,6 +9,7 @@ from treelake.jobs.views_sql import views
 from treelake.lineage import new_folder, remove
 from treelake.model import EX, Catalogue, embedding_values, entity_triples, event_attributes, event_catalogue, event_objects, event_values, table, text_triples
 from treelake.operators import triples as T
+from treelake.skew import distinct_rows
 from treelake.sources import documents, files
 
 _V = "coalesce(s, CAST(d AS VARCHAR), json)"
@@ -152,7 +153,7 @@ def ntriples_parse(spark, sf_dir):
     """Written as lines and read back: every escape, datatype and language survives."""
     t = entity_triples(spark, sf_dir).unionByName(text_triples(spark, sf_dir))
     back = files.parse_ntriples(files.format_ntriples(t))
-    return back.select("s", "p", "o", "o_kind", "o_dt", "o_lang").distinct()
+    return distinct_rows(back.select("s", "p", "o", "o_kind", "o_dt", "o_lang"))
 
 
 @query(views("triples") + """SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'lit' THEN '"' || o || '"' || CASE WHEN o_dt IS NOT NULL THEN '^^<' || o_dt || '>' ELSE '' END

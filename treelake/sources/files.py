@@ -131,12 +131,22 @@ def stacked(rows: DataFrame, columns: list[str], axis: int = 0, shape: list[int]
 _ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
+#: Stands for a backslash while other escapes are resolved; texts that hold it are taken apart instead.
+_HELD = "\ue000"
+
+
 def _unescaped(text: Column) -> Column:
     """``text`` with its escapes, by letter or by the number of a character, resolved."""
     one = lambda t: F.when(t.rlike(r"^\\[uU]"), F.decode(F.unhex(F.lpad(F.substring(t, 3, 8), 8, "0")), "UTF-32")).when(
         t.startswith("\\"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _ESCAPES.items() for x in kv]), F.substring(t, 2, 1)), t)).otherwise(t)
     parts = F.regexp_extract_all(text, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]++"), F.lit(0))
-    return F.when(text.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    put = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    letters = put(text, "\\\\", _HELD)
+    for k, v in _ESCAPES.items():
+        if k != "\\":
+            letters = put(letters, "\\" + k, v)
+    numbered = text.contains("\\u") | text.contains("\\U") | text.contains(_HELD)
+    return F.when(~text.contains("\\"), text).when(~numbered, put(letters, _HELD, "\\")).otherwise(F.array_join(F.transform(parts, one), ""))
 
 
 def rejected(lines: DataFrame) -> DataFrame:
@@ -146,18 +156,37 @@ def rejected(lines: DataFrame) -> DataFrame:
 
 def parse_ntriples(lines: DataFrame, graph: Column | None = None, bnode_base: str = "https://example.org/") -> DataFrame:
     """Lines (value) to triples. Blank nodes become IRIs under ``bnode_base``; lines that are no triple are left out
-    (:func:`rejected` counts them)."""
-    part = lambda k: F.regexp_extract("value", _LINE, k)
-    node = lambda c: F.when(c.startswith("_:"), F.concat(F.lit(bnode_base), F.regexp_replace(c, "^_:", ""))).otherwise(
-        _unescaped(F.regexp_replace(c, "^<|>$", "")))
-    rows = lines.select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), (graph if graph is not None else F.lit("default")).alias("graph"))
-    rows = rows.where("s <> ''")
-    literal = F.col("o").startswith('"')
-    text = _unescaped(F.regexp_extract("o", r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1))
-    return rows.select("graph", node(F.col("s")).alias("s"), F.lit("iri").alias("s_kind"), _unescaped(F.col("p")).alias("p"),
-                       F.when(literal, text).otherwise(node(F.col("o"))).alias("o"), F.when(literal, "lit").otherwise("iri").alias("o_kind"),
-                       F.when(literal, F.nullif(F.regexp_extract("o", r"\^\^<([^>]*)>$", 1), F.lit(""))).alias("o_dt"),
-                       F.when(literal, F.nullif(F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1), F.lit(""))).alias("o_lang"))
+    (:func:`rejected` counts them).
+
+    Lines with IRIs and single spaces, without escapes and comments, are cut at ``>`` and at quotes; only others meet the line's pattern.
+    Each step is a projection of its own, so that nothing is computed twice."""
+    after = lambda c, n: F.substring(c, n if isinstance(n, Column) else F.lit(n), F.lit(2147483647))
+    piece = lambda c, k: F.get(c, F.lit(k))
+    value, s, p, o, tail = (F.col(c) for c in ("value", "s", "p", "o", "tail"))
+    cut = lines.select("value", (graph if graph is not None else F.lit("default")).alias("graph"), F.split("value", ">", 3).alias("at"))
+    cut = cut.select("value", "graph", piece("at", 0).alias("s"), piece("at", 1).alias("p"), piece("at", 2).alias("o"))
+    cut = cut.select("*", F.when(o.startswith(" <"), F.split("o", ">", 2)).alias("iri"), F.when(o.startswith(' "'), F.split("o", '"', 3)).alias("quoted"))
+    cut = cut.select("value", "graph", "s", "p", "iri", piece("quoted", 1).alias("text"), piece("quoted", 2).alias("tail"))
+    typed = tail.startswith("^^<") & (F.substring_index("tail", ">", 1) == F.substring("tail", F.lit(1), F.char_length("tail") - 3)) & tail.endswith("> .")
+    literal = (tail == " .") | typed | tail.rlike(r"^@[A-Za-z0-9-]+ \.\z")
+    plain = s.startswith("<") & p.startswith(" <") & ~value.contains("\\") & F.when(tail.isNull(), piece("iri", 1) == " .").otherwise(literal)
+    cut = cut.select("*", F.coalesce(plain, F.lit(False)).alias("plain"))
+    cut = cut.select("*", F.when(~F.col("plain"), F.array(*[F.regexp_extract("value", _LINE, k) for k in (1, 2, 3)])).alias("terms"))
+    term = lambda k: piece("terms", k)
+    cut = cut.withColumn("escaped", F.when(term(2).startswith('"'), F.regexp_extract(term(2), r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)))
+    fast = F.struct(after(s, 2).alias("s"), F.lit(False).alias("s_blank"), after(p, 3).alias("p"),
+                    F.coalesce("text", after(piece("iri", 0), 3)).alias("o"), F.lit(False).alias("o_blank"), tail.alias("tail"))
+    bare, blank = (lambda c: F.regexp_replace(c, "^<|>$", "")), (lambda c: c.startswith("_:"))
+    slow = F.struct(bare(term(0)).alias("s"), blank(term(0)).alias("s_blank"), term(1).alias("p"), F.coalesce("escaped", bare(term(2))).alias("o"),
+                    blank(term(2)).alias("o_blank"), after(term(2), F.char_length("escaped") + 3).alias("tail"))
+    # An explode, as a filter would be moved below the lines and compute them twice.
+    rows = cut.select("graph", F.explode(F.when(F.col("plain"), F.array(fast)).when(term(0) != "", F.array(slow))).alias("x")).select("graph", "x.*")
+    node = lambda c: F.when(F.col(f"{c}_blank"), F.concat(F.lit(bnode_base), after(F.col(c), 3))).otherwise(_unescaped(F.col(c)))
+    # What follows a literal's text; null of other terms.
+    return rows.select("graph", node("s").alias("s"), F.lit("iri").alias("s_kind"), _unescaped(p).alias("p"), node("o").alias("o"),
+                       F.when(tail.isNotNull(), "lit").otherwise("iri").alias("o_kind"),
+                       F.when(tail.startswith("^^<"), F.nullif(after(F.substring_index("tail", ">", 1), 4), F.lit(""))).alias("o_dt"),
+                       F.when(tail.startswith("@"), after(F.substring_index("tail", " ", 1), 2)).alias("o_lang"))
 
 
 def load_ntriples(spark: SparkSession, folder: str) -> DataFrame:
