@@ -247,3 +247,21 @@ def test_unlike_versions_of_one_text_are_not_compared_in_pairs(spark, monkeypatc
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows), words=5, similarity=0.8).collect()}
     assert got == components_by_hand(sets, linked)
     assert sum(compared) <= 4 * (len(rows) + len(linked))
+
+
+def test_no_bucket_keys_are_broadcast(spark):
+    """A table of 6000 fingerprints has 210,000 keys, some 7 MB, though its file is below the limit of broadcasts."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-(2**63), 2**63 - 1, 3000)
+    pairs = np.stack([x, x ^ (1 << rng.integers(0, 63, 3000))])
+    fps = common.cut(spark.createDataFrame([(int(f), int(f)) for f in pairs.ravel()], "id long, f0 long"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "512k", "spark.sql.maxBroadcastTableSize": "2m"}
+    before = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        got = {r.id: r.root for r in simhash.fingerprint_components(fps, simhash.Ring(4, 7)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {int(f): int(min(p)) for p in pairs.T for f in p}

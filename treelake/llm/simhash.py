@@ -258,6 +258,9 @@ def fingerprint_components(fps: DataFrame, ring: Ring) -> DataFrame:
     """(id, root) for every row of ``fps`` (id long, f0, ...; ids and fingerprints distinct) linked to another.
 
     ``root`` is the same for two rows if and only if a path of links joins them.
+
+    Spark sizes what an explode makes as if it made one row of each, which would have the keys of all buckets broadcast; both joins
+    of them ask for a shuffle.
     """
     names = list(ring.names)
     of = lambda prefix: [F.col(prefix + n) for n in names]
@@ -265,7 +268,7 @@ def fingerprint_components(fps: DataFrame, ring: Ring) -> DataFrame:
     hubs = (keyed.groupBy("kind", "bits").agg(F.min("id").alias("hub"), F.count("*").alias("n"),
                                               *[F.min_by(n, "id").alias(f"hub_{n}") for n in names])
             .where("n > 1").drop("n"))
-    links = keyed.join(hubs, ["kind", "bits"]).where("id <> hub").where(ring.linked(F.col("kind"), of(""), of("hub_")))
+    links = keyed.hint("merge").join(hubs, ["kind", "bits"]).where("id <> hub").where(ring.linked(F.col("kind"), of(""), of("hub_")))
     links = cut(links.select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct())
 
     # Two steps towards the least hub: labels that are equal only inside a component, which is all
@@ -278,7 +281,7 @@ def fingerprint_components(fps: DataFrame, ring: Ring) -> DataFrame:
     open_ = (placed.groupBy("kind", "bits").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
              .where("lo < hi").select("kind", "bits"))
     left = placed.join(open_, ["kind", "bits"], "left_semi")
-    a, b = left.alias("a"), left.alias("b")
+    a, b = left.hint("merge").alias("a"), left.alias("b")
     across = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.bits") == F.col("b.bits"))
                     & (F.col("a.label") < F.col("b.label")) & ring.linked(F.col("a.kind"), of("a."), of("b.")))
     more = across.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
