@@ -2,6 +2,8 @@ import hashlib
 import json
 import random
 import shutil
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from treelake.model import LABEL, SCHEMAS, TYPE, Catalogue
 from treelake.operators import arrays
 from treelake.operators import triples as T
 from treelake.sources import documents, files
+from treelake.sources import store as store_module
 from treelake.sources.store import TripleStore
 from treelake.streaming import ingest
 
@@ -296,3 +299,41 @@ def test_first_batch_is_computed_once(spark, tmp_path):
     rows = spark.createDataFrame([("g", f"s{i % 3}", "iri", "p", f"o{i % 4}", "iri", None, None) for i in range(24)], schema)
     store = TripleStore(spark, str(tmp_path / "store"), buckets=4)
     assert store.append(rows.mapInPandas(count, schema), 0).count() == 12 and seen.value == 24
+
+
+def _shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {p: p.stat().st_size for d in folders for p in Path(d).glob("*/shuffle_*") if p.exists()}
+
+
+def test_append_frees_its_shuffle_files(spark, tmp_path):
+    store = TripleStore(spark, str(tmp_path / "store"), buckets=4)
+    rows = spark.range(60000).selectExpr("'g' AS graph", "concat('s', id % 20000) AS s", "'iri' AS s_kind", "concat('p', id % 3) AS p", "sha2(cast(id % 30000 AS string), 256) AS o",
+                                         "'lit' AS o_kind", "CAST(NULL AS string) AS o_dt", "IF(id % 2 = 0, 'en', NULL) AS o_lang")
+    before = set(_shuffle_files(spark))
+    for number, batch in enumerate((rows.where("p <> 'p2'"), rows)):
+        store.append(batch, number)
+    left = lambda: sum(n for p, n in _shuffle_files(spark).items() if p not in before)
+    until = time.time() + 15
+    while left() > 100_000 and time.time() < until:  # files go in the background
+        time.sleep(0.2)
+    assert left() <= 100_000
+    assert store.triples().count() == rows.distinct().count() and {r.batch: r.n for r in store.triples().groupBy("batch").agg(F.count("*").alias("n")).collect()} == {0: 40000, 1: 20000}
+
+
+def test_a_batch_in_shares_is_a_set(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "PASS_BYTES", 1)
+    monkeypatch.setattr(store_module, "TASK_BYTES", 500)
+    rng, schema = random.Random(4), "graph string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
+    store, held = TripleStore(spark, str(tmp_path / "store"), buckets=16), set()
+    for number in (2, 5, 7):
+        rows = [("g", f"s{rng.randrange(30)}", "iri", rng.choice([LABEL, TYPE, "p"]), rng.choice(["", "a", "b"]), "lit", rng.choice([None, "", "t"]), rng.choice([None, "", "en"])) for _ in range(200)]
+        new = {(s, *rest) for _, s, _, *rest in rows} - held
+        assert {(r.s, r.p, r.o, r.o_kind, r.o_dt, r.o_lang) for r in store.append(spark.createDataFrame(rows, schema), number).collect()} == new
+        held |= new
+    assert store.triples().count() == len(held)
+    got = {(r.measure, r.label): r.n for r in store.measures().collect()}
+    assert got["triples", ""] == got["literals", ""] == len(held) and got["empty_literals", ""] == sum(t[2] == "" for t in held)
+    assert got["subjects", ""] == len({t[0] for t in held}) and got["subjects_with_labels", ""] == len({t[0] for t in held if t[1] == LABEL})
+    assert got["class", "a"] == sum(t[1] == TYPE and t[2] == "a" for t in held) and got["datatype", "None"] == sum(t[4] is None for t in held)
+    assert got["untyped_literals", ""] == sum(t[4] is None and t[5] is None for t in held) and got["language", "en"] == sum(t[5] == "en" for t in held)

@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelake.lineage import forget, settle
+from treelake.lineage import folder_bytes, forget, freed_shuffles, remove, settle
 from treelake.model import LABEL, OWL, TYPE
 from treelake.skew import SMALL
 
 KEY = ["s", "p", "o", "o_kind", "o_dt", "o_lang"]
 SCHEMA = "graph string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
 BUCKETS = 256
+#: Bytes in files, of a batch and what the store has in its buckets, up to which all buckets are taken at once; the shares in which those of
+#: more are taken; and the bytes of one task. Triples take some twenty times as much in memory as in files.
+PASS_BYTES, SHARES, TASK_BYTES = 64 << 20, 8, 2 << 20
 
 
 def bucket_of(s: str = "s", buckets: int = BUCKETS):
@@ -39,37 +42,53 @@ class TripleStore:
         rows = self._read("data", f"{SCHEMA}, batch long, bucket int")
         return rows if touched is None else rows.where(F.col("bucket").isin(*touched) if touched else F.lit(False))
 
-    def _write(self, rows: DataFrame, part: str, batch: int, *by: str) -> None:
-        rows.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").parquet(f"{self.folder}/{part}/batch={batch}")
+    def _write(self, rows: DataFrame, part: str, batch: int, *by: str, mode: str = "overwrite") -> None:
+        rows.write.mode(mode).partitionBy(*by).option("compression", "zstd").parquet(f"{self.folder}/{part}/batch={batch}")
 
     def append(self, batch: DataFrame, number: int) -> DataFrame:
         """Adds the triples of a batch that the store does not hold, as batch ``number``, and returns them. A batch that was
-        added wholly is left as it is. The first batch is computed once and compared with nothing."""
+        added wholly is left as it is. A batch is computed once; a large one is taken some of the buckets at a time, so that
+        shuffle files hold a share of it and of those buckets. The first batch is compared with nothing."""
         if self._read("measures", "batch long").where(F.col("batch") == number).isEmpty():
-            fresh = batch.select(*[f.split(" ")[0] for f in SCHEMA.split(", ")]).dropDuplicates(KEY).withColumn("bucket", bucket_of("s", self.buckets))
-            first = not self._exists("data")
-            if first:
-                new = fresh = settle(fresh)
-            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most one number a bucket
-            if not first:
-                held = self.triples(touched).where(F.col("batch") != number)
-                same = [F.col(f"new.{k}").eqNullSafe(F.col(f"held.{k}")) for k in ("bucket", *KEY)]
-                new = settle(fresh.alias("new").join(held.alias("held"), same, "left_anti"))
-            self._write(new.repartitionByRange("bucket", "s", "p", "o").sortWithinPartitions("bucket", "s", "p"), "data", number, "bucket")
-            forget(new)
-            self._write(self._changes(number, touched), "measures", number)
+            with freed_shuffles(self.spark):
+                self._add(batch, number)
+                added = self.triples().where(F.col("batch") == number).select("bucket").distinct().collect()  # at most one number a bucket
+                self._write(self._changes(number, [r[0] for r in added]), "measures", number)
         return self.triples().where(F.col("batch") == number)
 
+    def _add(self, batch: DataFrame, number: int) -> None:
+        fields = [f.split(" ")[0] for f in SCHEMA.split(", ")]
+        bucket = bucket_of("s", self.buckets)
+        given = settle(batch.select(*fields, bucket.alias("bucket"), (bucket % SHARES).alias("share")), "share")
+        touched = [r[0] for r in given.select("bucket").distinct().collect()]  # at most one number a bucket
+        remove(self.spark, f"{self.folder}/data/batch={number}")  # what an attempt that failed has left
+        stored = folder_bytes(self.spark, f"{self.folder}/data") * len(touched) // self.buckets if self._exists("data") else 0
+        size, passes = folder_bytes(self.spark, given._settled_path) + stored, 1
+        while passes < SHARES and size > passes * PASS_BYTES:
+            passes *= 2
+        for turn in range(passes):
+            own = given.where(F.col("share") % passes == turn).drop("share").withColumn("new", F.lit(True))
+            held = self.triples([b for b in touched if b % passes == turn]).where(F.col("batch") != number)
+            # The ranges in which the store keeps its rows hold all that is equal, so one shuffle serves for both.
+            both = own.unionByName(held.drop("batch").withColumn("new", F.lit(False)))
+            rows = both.repartitionByRange(size // (passes * TASK_BYTES) + 1, "bucket", "s", "p", "o")
+            sets = rows.groupBy("bucket", *KEY).agg(F.bool_and("new").alias("new"), F.min(F.struct("graph", "s_kind")).alias("x"))
+            new = sets.where("new").select("x.graph", "s", "x.s_kind", *KEY[1:], "bucket")
+            self._write(new.sortWithinPartitions("bucket", "s", "p"), "data", number, "bucket", mode="append")
+        forget(given)
+
     def _changes(self, number: int, touched: list[int]) -> DataFrame:
-        """(measure, label, n): what batch ``number`` adds to each measure. New subjects are those that the touched buckets lack."""
+        """(measure, label, n): what batch ``number`` adds to each measure. New subjects are those that the touched buckets, those it added to, lack."""
         rows = self.triples(touched)
         own, lit = F.col("batch") == number, F.col("o_kind") == "lit"
         empty = F.lit("")
         one = lambda test, measure, label=empty: F.when(test, F.struct(F.lit(measure).alias("measure"), label.alias("label")))
-        found = F.array(one(F.lit(True), "triples"), one(F.lit(True), "predicate", F.col("p")), one(F.col("p") == TYPE, "class", F.col("o")), one(lit, "literals"),
-                        one(lit & F.col("o_dt").isNull() & F.col("o_lang").isNull(), "untyped_literals"), one(lit & (F.col("o") == ""), "empty_literals"),
+        # Few sorts of triples, so it is their counts that are dealt out to the measures.
+        sorts = rows.where(own).groupBy("p", "o_kind", "o_dt", "o_lang", F.when(F.col("p") == TYPE, F.col("o")).alias("class"), (F.col("o") == "").alias("blank")).agg(F.count("*").alias("n"))
+        found = F.array(one(F.lit(True), "triples"), one(F.lit(True), "predicate", F.col("p")), one(F.col("p") == TYPE, "class", F.col("class")), one(lit, "literals"),
+                        one(lit & F.col("o_dt").isNull() & F.col("o_lang").isNull(), "untyped_literals"), one(lit & F.col("blank"), "empty_literals"),
                         one(F.col("p") == OWL + "sameAs", "same_as"), one(lit, "datatype", F.coalesce("o_dt", F.lit("None"))), one(lit, "language", F.coalesce("o_lang", F.lit("None"))))
-        counts = rows.where(own).select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).groupBy("x.measure", "x.label").agg(F.count("*").alias("n"))
+        counts = sorts.select("n", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).groupBy("x.measure", "x.label").agg(F.sum("n").alias("n"))
         per = rows.groupBy("bucket", "s_kind", "s").agg(F.min("batch").alias("first"), F.bool_or(~own & (F.col("p") == LABEL)).alias("had"), F.bool_or(own & (F.col("p") == LABEL)).alias("has"))
         before = F.col("first") == number
         subjects = per.agg(F.count_if(before).alias("subjects"), F.count_if(F.col("has") & ~F.col("had")).alias("subjects_with_labels"))
